@@ -42,7 +42,7 @@ def explain(model: NaiveBayesModel, texts: DataFrame, training: DataFrame, k: in
         "doc_id",
         F.length("text").alias("text_length"),
         F.length("clean").alias("clean_length"),
-        tx.word_count(F.col("clean")).alias("words"),
+        tx.word_count(F.col("clean")).alias("words_in_text"),
         "prediction",
         F.inline(F.arrays_zip(sc.class_array(model.classes).alias("label"), F.col("probabilities").alias("p"))),
     )

@@ -27,18 +27,20 @@ def _header(spark: SparkSession, paths: list[str], encoding: str, sep: str) -> l
 
 def read_csv(spark: SparkSession, path: str | list[str], columns: list[str] | None = None,
              encoding: str = "UTF-8", sep: str = ",", multiline: bool = True,
-             na_texts: list[str] | None = None) -> DataFrame:
+             na_texts: list[str] | None = None, header: bool = True) -> DataFrame:
     """All columns as strings, header names unless `columns` gives others.
 
     multiline=True allows line breaks inside quotes but reads each file in one task; for
     large files without them, multiline=False lets Spark split the files.
     """
     paths = [path] if isinstance(path, str) else list(path)
+    if not header and not columns:
+        raise ValueError("files without a header line need column names")
     names = columns or _header(spark, paths, encoding, sep)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     lines = (
         spark.read.schema(T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())]))
-        .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN,
+        .options(header=header, mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN,
                  encoding=encoding, sep=sep, multiLine=multiline, quote='"', escape='"')
         .csv(paths)
     )
