@@ -342,7 +342,7 @@ def _melt(weighted: str, model: str) -> str:
         for m in ("accuracy", "precision", "recall", "f1"))
 
 
-_part("two_models", "q_weighted q2_weighted", f"{_melt('q_weighted', 'alpha_0.5')} UNION ALL {_melt('q2_weighted', 'alpha_2.0')}")
+_part("two_models", "q_weighted q2_weighted", f"{_melt('q_weighted', 'alpha_half')} UNION ALL {_melt('q2_weighted', 'alpha_two')}")
 
 # --- the statements -----------------------------------------------------------------------------------------
 
@@ -421,7 +421,7 @@ _oracle("weighted_prf", "q_weighted", """
 _oracle("classification_report", "q_class q_weighted", _report(4))
 _oracle("metric_union", "two_models", "SELECT model, metric, value FROM two_models")
 _oracle("model_comparison", "two_models", """
-    SELECT metric, max(value) FILTER (model = 'alpha_0.5') AS "alpha_0_5", max(value) FILTER (model = 'alpha_2.0') AS "alpha_2_0"
+    SELECT metric, max(value) FILTER (model = 'alpha_half') AS alpha_half, max(value) FILTER (model = 'alpha_two') AS alpha_two
     FROM two_models GROUP BY metric""")
 _oracle("history_summary", "sweep", """
     SELECT round(1 - max_by(train_score, alpha), 6) AS final_train_loss, round(1 - max_by(val_score, alpha), 6) AS final_val_loss,
@@ -505,8 +505,8 @@ _oracle("encode_sequences", "d_clean vocab labelled", f"""
                                        list_transform(range({SEQUENCE_LENGTH - 2} - len(ids)), lambda i: 0)), ' ') AS attention_mask
     FROM (SELECT l.doc_id, CAST(l.label_idx AS INT) AS label_idx, coalesce(ids, []::INT[])[1:{SEQUENCE_LENGTH - 2}] AS ids
           FROM (SELECT doc_id, dense_rank() OVER (ORDER BY label) - 1 AS label_idx FROM labelled) l
-          LEFT JOIN (SELECT doc_id, list(coalesce(term_idx + 4, 1) ORDER BY at) AS ids
-                     FROM (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS at
+          LEFT JOIN (SELECT doc_id, list(coalesce(term_idx + 4, 1) ORDER BY seq) AS ids
+                     FROM (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS seq
                            FROM (SELECT doc_id, regexp_extract_all(lower(clean), {_lit(tx.FEATURE_TERM)}) AS ts FROM d_clean))
                      LEFT JOIN vocab USING (term) GROUP BY doc_id) USING (doc_id))""")
 _oracle("evaluate", "report3 confusion", " UNION ALL ".join(

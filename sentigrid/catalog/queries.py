@@ -33,6 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 ALPHA = 0.5
+LABELS = ["negative", "neutral", "positive"]
 SEQUENCE_LENGTH = 128
 
 
@@ -45,6 +46,11 @@ def _r(column: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, digits)
 
 
+def _by_class() -> list[Column]:
+    """One probability column per label; null for a label the model does not know."""
+    return [_r(F.try_element_at("proba", F.lit(c))).alias(f"p_{c}") for c in LABELS]
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return src.read_table(spark, f"{folder}/{name}.parquet")
 
@@ -332,8 +338,8 @@ def _two_models(spark, folder):
     """Test metrics of two naive Bayes models, on the lexicon label and with another alpha."""
     fitted = _trained(spark, folder)
     other = nb.NaiveBayesModel.fit(fitted.part("train"), fitted.model.classes, fitted.vocabulary, 2.0)
-    first = mt.metric_rows(fitted.scored("test"), "alpha_0.5")
-    return mt.metric_union([first, mt.metric_rows(other.score_features(fitted.part("test")), "alpha_2.0")])
+    first = mt.metric_rows(fitted.scored("test"), "alpha_half")
+    return mt.metric_union([first, mt.metric_rows(other.score_features(fitted.part("test")), "alpha_two")])
 
 
 @query
@@ -343,9 +349,9 @@ def metric_union(spark, folder):
 
 @query
 def model_comparison(spark, folder):
-    models = ["alpha_0.5", "alpha_2.0"]
+    models = ["alpha_half", "alpha_two"]
     wide = mt.model_comparison(_two_models(spark, folder), models)
-    return wide.select("metric", *[_r(F.col(f"`{m}`")).alias(m.replace(".", "_")) for m in models])
+    return wide.select("metric", *[_r(m).alias(m) for m in models])
 
 
 @query
@@ -649,7 +655,8 @@ def nb_predict(spark, folder):
 def nb_predict_proba(spark, folder):
     fitted = _trained(spark, folder)
     scored = fitted.model.score_features(fitted.features)
-    return scored.select("doc_id", *[_r(fitted.model.probability(c)).alias(f"p_{c}") for c in fitted.model.classes])
+    proba = sc.probability_map(F.col("probabilities"), fitted.model.classes)
+    return scored.select("doc_id", proba.alias("proba")).select("doc_id", *_by_class())
 
 
 @query
@@ -759,7 +766,7 @@ def score_text(spark, folder):
     model = _trained(spark, folder).model
     table = scoring.score(model, _messages(spark, folder), "doc_id")
     return table.select("doc_id", "prediction", "sentiment",
-                        *[_r(F.col("proba")[c]).alias(f"p_{c}") for c in model.classes])
+                        *_by_class())
 
 
 @query
@@ -784,4 +791,4 @@ def score_stream(spark, folder):
     running.awaitTermination()
     scored = spark.read.parquet(out)
     return scored.select("doc_id", "prediction", "sentiment",
-                         *[_r(F.col("proba")[c]).alias(f"p_{c}") for c in model.classes])
+                         *_by_class())
