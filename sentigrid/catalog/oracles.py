@@ -93,7 +93,7 @@ def _clean(text: str) -> str:
 
 def _tokens(text: str) -> str:
     spaced = f"concat({_replace(text, f'[{tx.ODD_SPACE}]', ' ')}, ' ')"
-    for pattern, replacement in tx.TREEBANK_STEPS:
+    for pattern, replacement in tx.OPENING_QUOTE_STEPS + tx.PLAIN_STEPS + tx.CLOSING_QUOTE_STEPS:
         spaced = _replace(spaced, pattern, replacement)
     return f"list_filter(string_split_regex({spaced}, ' +'), lambda t: t <> '')"
 

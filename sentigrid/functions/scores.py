@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sentigrid.functions.binding import let
+
 # Scores are compared to this many digits, so that sums taken in another order agree.
 TIE_DIGITS = 9
 
 
 def softmax(scores: Column) -> Column:
     """array<double> of scores to array<double> of probabilities."""
-    powers = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
+        return let(total, lambda t: F.transform(powers, lambda x: x / t))
+
+    def powers(s: Column) -> Column:
+        return let(F.array_max(s), lambda m: F.transform(s, lambda x: F.exp(x - m)))
+
+    return let(scores, lambda s: let(powers(s), shares))
 
 
 def class_array(classes: list[str]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sentigrid.config import Preprocess
 from sentigrid.functions import stopwords as stoplists
+from sentigrid.functions.binding import let
 from sentigrid.functions.stemming import stem_tokens
 
 # --- fixed values: character classes and patterns ---------------------------------------
@@ -56,29 +57,50 @@ def case_fold(text: Column) -> Column:
 
 # Penn Treebank tokenisation as (pattern, replacement) steps, in order. Each step is plain
 # regular syntax (no look-around), so that SQL engines can run the same chain. A period counts
-# as final before whitespace or the end of the text.
-TREEBANK_STEPS: list[tuple[str, str]] = [
+# as final before whitespace or the end of the text. The first and the last group can only
+# match where a quotation mark is present.
+OPENING_QUOTE_STEPS: list[tuple[str, str]] = [
     (r"([«“‘„]|`+)", r" $1 "),
     (r"(^|[ (\[{<])(?:\"|'')", r"$1 `` "),
     (r"'([a-ce-lo-ru-zA-CE-LO-RU-Z0-9_])\b", r"' $1"),
+]
+PLAIN_STEPS: list[tuple[str, str]] = [
     (r"([^. ])\.([\])}>\"'»”’]*)(\s|$)", r"$1 . $2$3"),
     (r"([:,])([^0-9]|$)", r" $1 $2"),
     (r"\.{2,}|--|[;@#$%&?!*\]\[(){}<>»”’]", r" $0 "),
+    (r"(?i)\b(?:(can)(not)|(gim|lem)(me)|(gon|wan)(na)|(got)(ta))\b", r" $1$3$5$7 $2$4$6$8 "),
+]
+CLOSING_QUOTE_STEPS: list[tuple[str, str]] = [
     (r"([^'])' ", r"$1 ' "),
     (r"\"|''", r" '' "),
     (r"([^' ])('[sSmMdD]|') ", r"$1 $2 "),
     (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"$1 $2 "),
-    (r"(?i)\b(?:(can)(not)|(gim|lem)(me)|(gon|wan)(na)|(got)(ta))\b", r" $1$3$5$7 $2$4$6$8 "),
     (r"(?i)\b(?:(d)('ye)|(more)('n))\b", r" $1$3 $2$4 "),
     (r"(?i) ('t)(is|was)\b", r" $1 $2 "),
 ]
+ANY_QUOTE = r"[\"'`«“‘„]"
+
 
+def _apply(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in steps:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
-def tokenize(text: Column) -> Column:
-    """Word tokens: punctuation, clitics (n't, 's) and ellipses stand alone."""
-    spaced = F.concat(F.regexp_replace(text, f"[{ODD_SPACE}]", " "), F.lit(" "))
-    for pattern, replacement in TREEBANK_STEPS:
-        spaced = F.regexp_replace(spaced, pattern, replacement)
+
+def _where_quoted(text: Column, steps: list[tuple[str, str]]) -> Column:
+    """The steps for texts with a quotation mark; all others skip their regexes."""
+    return let(text, lambda t: F.when(t.rlike(ANY_QUOTE), _apply(t, steps)).otherwise(t))
+
+
+def tokenize(text: Column, plain_spaces: bool = False) -> Column:
+    """Word tokens: punctuation, clitics (n't, 's) and ellipses stand alone.
+
+    `plain_spaces` says that the text holds no whitespace but the space (as after clean_noise).
+    """
+    if not plain_spaces:
+        text = F.regexp_replace(text, f"[{ODD_SPACE}]", " ")
+    spaced = _where_quoted(F.concat(text, F.lit(" ")), OPENING_QUOTE_STEPS)
+    spaced = _where_quoted(_apply(spaced, PLAIN_STEPS), CLOSING_QUOTE_STEPS)
     return non_empty(F.split(spaced, " +"))
 
 
@@ -103,7 +125,7 @@ def prepare_tokens(text: Column, options: Preprocess = Preprocess.extended(),
     """Tokens after the switched-on steps: noise, case, tokens, stopwords, stems."""
     if options.clean:
         text = clean_noise(text)
-    tokens = tokenize(case_fold(text))
+    tokens = tokenize(case_fold(text), plain_spaces=options.clean)
     if options.stopwords:
         tokens = remove_stopwords(tokens, words)
     return stem_tokens(tokens) if options.stem else tokens
@@ -164,7 +186,7 @@ def trace_steps(df: DataFrame, options: Preprocess = Preprocess.extended(),
     if options.clean:
         wide, current = push(wide, "noise_cleaning", clean_noise(F.col(current)))
     wide, current = push(wide, "case_folding", case_fold(F.col(current)))
-    wide, current = push(wide, "tokenization", tokenize(F.col(current)), joined)
+    wide, current = push(wide, "tokenization", tokenize(F.col(current), plain_spaces=options.clean), joined)
     if options.stopwords:
         wide, current = push(wide, "stopword_removal", remove_stopwords(F.col(current), words), joined)
     if options.stem:

@@ -48,15 +48,11 @@ def word_count_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame
         F.when(low == high, high + 0.5).otherwise(high).alias("hi"),
     )
     slot = F.least(F.lit(bins - 1), F.floor((F.col("word_count") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))))
-    filled = ranged.groupBy("label", "lo", "hi", slot.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
-    empty = ranged.select("label", "lo", "hi").distinct().select(
-        "label", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).cast("bigint").alias("n")
-    )
+    shown = ranged.withColumn("slot", slot.cast("int")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("hi") - F.col("lo")) / bins
     return (
-        filled.unionByName(empty)
-        .groupBy("label", "lo", "hi", "bin")
-        .agg(F.sum("n").alias("n"))
+        shown.groupBy("label", "lo", "hi", "bin")
+        .agg(F.sum(F.when(F.col("bin") == F.col("slot"), F.col("n")).otherwise(0)).alias("n"))
         .select("label", "bin", (F.col("lo") + F.col("bin") * width).alias("low"),
                 (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "n")
     )
@@ -94,11 +90,19 @@ def word_count_density(df: DataFrame, points: int = DENSITY_POINTS, bins: int =
     )
 
 
-def cloud_words(text: Column) -> Column:
-    """Words for term statistics: possessive 's cut off, pure numbers dropped."""
-    found = F.regexp_extract_all(text, F.lit(CLOUD_WORD), F.lit(0))
-    bare = F.transform(found, lambda w: F.regexp_replace(w, "'[sS]$", ""))
-    return F.filter(bare, lambda w: ~w.rlike(r"^\p{N}+$"))
+def _found_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(CLOUD_WORD), F.lit(0))
+
+
+def _bare_word(word: Column) -> Column:
+    """Without a possessive 's."""
+    possessive = word.endswith("'s") | word.endswith("'S")
+    return F.when(possessive, F.substring(word, F.lit(1), F.length(word) - 2)).otherwise(word)
+
+
+def _is_word(word: Column) -> Column:
+    """Not a pure number."""
+    return ~word.rlike(r"^\p{N}+$")
 
 
 def _plural_base(word: Column) -> Column:
@@ -116,8 +120,9 @@ def _merge_plurals(items: DataFrame, item: str) -> DataFrame:
 
 def term_counts_by_label(df: DataFrame, words: Sequence[str] = stoplists.ENGLISH) -> DataFrame:
     """(label, base, term, n) of the words of `clean` that are no stopwords."""
-    terms = unnest(df, tx.drop_words(cloud_words(F.col("clean")), words), "term", "label")
-    return _merge_plurals(terms, "term")
+    found = unnest(df, _found_words(F.col("clean")), "found", "label")
+    terms = found.select("label", _bare_word(F.col("found")).alias("term"))
+    return _merge_plurals(terms.filter(_is_word(F.col("term")) & ~F.col("term").isin(*words)), "term")
 
 
 def _ranked(counts: DataFrame, k: int) -> DataFrame:
@@ -151,7 +156,8 @@ def phrase_association(c12: Column, c1: Column, c2: Column, total: Column) -> Co
 
 
 def _scored_pairs(df: DataFrame, unigrams: DataFrame, words: Sequence[str]) -> DataFrame:
-    listed = df.select("label", cloud_words(F.col("clean")).alias("ws"))
+    bare = F.transform(_found_words(F.col("clean")), _bare_word)
+    listed = df.select("label", F.filter(bare, _is_word).alias("ws"))
     pairs = F.filter(
         F.transform("ws", lambda w, i: F.struct(w.alias("a"), F.get("ws", i + 1).alias("b"))),
         lambda p: p["b"].isNotNull() & ~p["a"].isin(*words) & ~p["b"].isin(*words),
