@@ -396,7 +396,7 @@ def class_term_sums(spark, folder):
     features, vocabulary = training.split_features(_staged(spark, folder))
     sums = ft.class_term_sums(features.filter("split = 'train'"))
     names = F.broadcast(vocabulary.table(sums))
-    return sums.join(names, "term_idx").select("label", "term", _r("weight_sum").alias("weight_sum"))
+    return sums.join(names, "position").select("label", "term", _r("weight_sum").alias("weight_sum"))
 
 
 # --- windows ------------------------------------------------------------------------------------
@@ -414,8 +414,10 @@ def three_way_split(spark, folder):
 @query
 def top_features_per_doc(spark, folder):
     staged = _staged(spark, folder)
-    weights = ft.tfidf_transform(staged, ft.Vocabulary.fit(staged), "doc_id")
-    return ft.top_features(weights).select("doc_id", "term", _r("weight").alias("weight"), "rank")
+    vocabulary = ft.Vocabulary.fit(staged)
+    top = ft.top_features(vocabulary.transform(staged), vocabulary)
+    rows = top.select("doc_id", F.posexplode_outer("top").alias("i", "t")).filter("t is not null")
+    return rows.select("doc_id", "t.term", _r("t.weight").alias("weight"), (F.col("i") + 1).alias("rank"))
 
 
 @query
@@ -689,7 +691,7 @@ def encode_sequences(spark, folder):
     staged = _staged(spark, folder)
     vocabulary = ft.Vocabulary.fit(staged)
     classes = nb.class_list(staged)
-    coded = sq.encode_sequences(staged, vocabulary.terms, SEQUENCE_LENGTH, "terms")
+    coded = sq.encode_sequences(staged, vocabulary.by_rank(), SEQUENCE_LENGTH, "terms")
     return coded.select(
         "doc_id", nb.encode_label(F.col("label"), classes).alias("label_idx"),
         F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),

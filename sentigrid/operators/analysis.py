@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
-from sentigrid.session import unnest, unnest_structs
+from sentigrid.session import stage_table, unnest, unnest_structs
 
 # --- fixed values: figures of the charts ------------------------------------------------
 HISTOGRAM_BINS = 30
@@ -111,11 +111,16 @@ def _plural_base(word: Column) -> Column:
 
 
 def _merge_plurals(items: DataFrame, item: str) -> DataFrame:
-    """(label, base, item, n): a plural is counted under its singular where both occur."""
-    return items.groupBy("label", _plural_base(F.col(item)).alias("base")).agg(
-        F.coalesce(F.max(F.when(F.col(item) == _plural_base(F.col(item)), F.col(item))), F.max(item)).alias(item),
-        F.count("*").alias("n"),
-    )
+    """(label, base, item, n): a plural is counted under its singular where both occur.
+
+    Forms with one base are the base itself and base + 's', so counting the former tells which
+    occur. All aggregates are numbers, which keeps this a hash aggregation combined map-side.
+    """
+    base = _plural_base(F.col(item))
+    counted = items.groupBy("label", base.alias("base")).agg(
+        F.count("*").alias("n"), F.count(F.when(F.col(item) == base, 1)).alias("n_singular"))
+    form = F.when(F.col("n_singular") > 0, F.col("base")).otherwise(F.concat("base", F.lit("s")))
+    return counted.select("label", "base", form.alias(item), "n")
 
 
 def term_counts_by_label(df: DataFrame, words: Sequence[str] = stoplists.ENGLISH) -> DataFrame:
@@ -156,14 +161,14 @@ def phrase_association(c12: Column, c1: Column, c2: Column, total: Column) -> Co
 
 
 def _scored_pairs(df: DataFrame, unigrams: DataFrame, words: Sequence[str]) -> DataFrame:
-    bare = F.transform(_found_words(F.col("clean")), _bare_word)
-    listed = df.select("label", F.filter(bare, _is_word).alias("ws"))
-    pairs = F.filter(
-        F.transform("ws", lambda w, i: F.struct(w.alias("a"), F.get("ws", i + 1).alias("b"))),
-        lambda p: p["b"].isNotNull() & ~p["a"].isin(*words) & ~p["b"].isin(*words),
-    )
+    found = df.select("label", "clean", _found_words(F.col("clean")).alias("found"))
+    bare = F.when(F.col("clean").contains("'"), F.transform("found", _bare_word)).otherwise(F.col("found"))
+    listed = found.select("label", F.filter(bare, _is_word).alias("ws"))
+    n_pairs = F.greatest(F.size("ws") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("ws", F.lit(1), n_pairs).alias("a"), F.slice("ws", F.lit(2), n_pairs).alias("b"))
+    neighbours = unnest_structs(listed, pairs, "label").filter(~F.col("a").isin(*words) & ~F.col("b").isin(*words))
     phrases = _merge_plurals(
-        unnest_structs(listed, pairs, "label").select("label", F.concat_ws(" ", "a", "b").alias("phrase")), "phrase"
+        neighbours.select("label", F.concat_ws(" ", "a", "b").alias("phrase")), "phrase"
     ).select("label", "phrase", F.col("n").alias("c12"))
     halves = F.split("phrase", " ")
     keyed = phrases.withColumns({
@@ -179,7 +184,8 @@ def _scored_pairs(df: DataFrame, unigrams: DataFrame, words: Sequence[str]) -> D
 def bigram_collocations(df: DataFrame, threshold: float = COLLOCATION_THRESHOLD,
                         words: Sequence[str] = stoplists.ENGLISH) -> DataFrame:
     """(label, phrase, n, c1, c2, score) of strongly associated neighbouring words."""
-    scored = _scored_pairs(df, term_counts_by_label(df, words), words)
+    unigrams = stage_table(term_counts_by_label(df, words), "unigrams")
+    scored = _scored_pairs(df, unigrams, words)
     return scored.filter(F.col("score") > threshold).select(
         "label", "phrase", F.col("c12").alias("n"), "c1", "c2", "score"
     )
@@ -188,8 +194,8 @@ def bigram_collocations(df: DataFrame, threshold: float = COLLOCATION_THRESHOLD,
 def word_cloud(df: DataFrame, k: int = CLOUD_WORDS, threshold: float = COLLOCATION_THRESHOLD,
                words: Sequence[str] = stoplists.ENGLISH) -> DataFrame:
     """Words and phrases together: an accepted phrase is taken off the counts of its two words."""
-    unigrams = term_counts_by_label(df, words)
-    accepted = _scored_pairs(df, unigrams, words).filter(F.col("score") > threshold)
+    unigrams = stage_table(term_counts_by_label(df, words), "unigrams")
+    accepted = stage_table(_scored_pairs(df, unigrams, words).filter(F.col("score") > threshold), "phrases")
     changes = accepted.select("label", F.inline(F.array(
         F.struct(F.col("phrase").alias("term"), F.col("c12").alias("n")),
         F.struct(F.col("word_1").alias("term"), (-F.col("c12")).alias("n")),

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentigrid.config import MAX_VOCABULARY
@@ -77,18 +77,24 @@ def vocabulary_table(df: DataFrame, max_features: int = 5000) -> DataFrame:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A fitted vocabulary: bounded by MAX_VOCABULARY, so it may sit on the driver."""
+    """A fitted vocabulary: bounded by MAX_VOCABULARY, so it may sit on the driver.
+
+    Terms are in alphabetical order, and the position is the index in the vectors; `ranks` are
+    the positions by frequency.
+    """
 
     terms: list[str]
     idf: list[float]
+    ranks: list[int]
 
     @classmethod
     def from_table(cls, table: DataFrame) -> "Vocabulary":
+        """From (term, term_idx, idf), where term_idx is the rank by frequency."""
         rows = table.select("term", "term_idx", "idf").limit(MAX_VOCABULARY + 1).collect()
         if len(rows) > MAX_VOCABULARY:
             raise ValueError(f"a vocabulary holds at most {MAX_VOCABULARY} terms")
-        rows.sort(key=lambda r: r.term_idx)
-        return cls([r.term for r in rows], [float(r.idf) for r in rows])
+        rows.sort(key=lambda r: r.term)
+        return cls([r.term for r in rows], [float(r.idf) for r in rows], [int(r.term_idx) for r in rows])
 
     @classmethod
     def fit(cls, df: DataFrame, max_features: int = 5000) -> "Vocabulary":
@@ -96,9 +102,17 @@ class Vocabulary:
         return cls.from_table(vocabulary_table(df, max_features))
 
     def table(self, df: DataFrame) -> DataFrame:
-        """The vocabulary as a table in the session of `df`."""
-        rows = [(t, i, w) for i, (t, w) in enumerate(zip(self.terms, self.idf))]
-        return df.sparkSession.createDataFrame(rows, "term string, term_idx int, idf double")
+        """(term, position, term_idx, idf) as a table in the session of `df`."""
+        rows = list(zip(self.terms, range(len(self.terms)), self.ranks, self.idf))
+        return df.sparkSession.createDataFrame(rows, "term string, position int, term_idx int, idf double")
+
+    def by_rank(self) -> list[str]:
+        """The terms, most frequent first."""
+        return [term for _, term in sorted(zip(self.ranks, self.terms))]
+
+    def term_at(self, position: Column) -> Column:
+        """The term of a vector index, looked up in a constant array (terms hold no space)."""
+        return F.get(F.split(F.lit(" ".join(self.terms)), " "), position)
 
     def stages(self) -> list:
         """Feature stages: counts of known terms, times idf, scaled to length one.
@@ -121,10 +135,10 @@ class Vocabulary:
 
 
 def long_features(df: DataFrame, *keep: str) -> DataFrame:
-    """(kept columns, term_idx, tf, weight) of the vectors made by Vocabulary.transform."""
+    """(kept columns, position, tf, weight) of the vectors made by Vocabulary.transform."""
     parts = df.select(*keep, F.unwrap_udt("tf").alias("_t"), F.unwrap_udt("features").alias("_w"))
     cells = F.arrays_zip(
-        F.col("_t.indices").alias("term_idx"),
+        F.col("_t.indices").alias("position"),
         F.col("_t.values").alias("tf"),
         F.col("_w.values").alias("weight"),
     )
@@ -134,21 +148,31 @@ def long_features(df: DataFrame, *keep: str) -> DataFrame:
 def tfidf_transform(df: DataFrame, vocabulary: Vocabulary, *keep: str) -> DataFrame:
     """Long TF-IDF weights with their terms: (kept columns, term, tf, weight)."""
     long = long_features(vocabulary.transform(df), *keep)
-    names = F.broadcast(vocabulary.table(df).select("term", "term_idx"))
-    return long.join(names, "term_idx").select(*keep, "term", F.col("tf").cast("bigint").alias("tf"), "weight")
+    names = F.broadcast(vocabulary.table(df).select("term", "position"))
+    return long.join(names, "position").select(*keep, "term", F.col("tf").cast("bigint").alias("tf"), "weight")
+
 
+def top_features(df: DataFrame, vocabulary: Vocabulary, k: int = 10) -> DataFrame:
+    """Adds `top`, array<struct<term, weight>> of the k heaviest terms, ties by term.
 
-def top_features(weights: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataFrame:
-    """The k heaviest terms of each document."""
-    order = Window.partitionBy(id_col).orderBy(F.desc(F.round("weight", 9)), "term")
-    return weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    Sorted inside the row: vector positions are alphabetical, so no lookup or shuffle is needed
+    before the cut.
+    """
+    vector = df.withColumn("_w", F.unwrap_udt("features"))
+    cells = vector.withColumn("_cells", F.arrays_zip(
+        F.col("_w.indices").alias("position"), F.col("_w.values").alias("weight")))
+    keyed = F.transform("_cells", lambda c: F.struct(
+        (-F.round(c["weight"], 9)).alias("order"), c["position"].alias("position"), c["weight"].alias("weight")))
+    best = cells.withColumn("_best", F.slice(F.sort_array(keyed), 1, k))
+    return best.withColumn("top", F.transform("_best", lambda c: F.struct(
+        vocabulary.term_at(c["position"]).alias("term"), c["weight"].alias("weight")))).drop("_w", "_cells", "_best")
 
 
 def class_term_sums(df: DataFrame, *keys: str) -> DataFrame:
-    """Sum of the weights per class and term: (label, term_idx, weight_sum).
+    """Sum of the weights per class and term: (label, position, weight_sum).
 
     At most classes x vocabulary rows leave each task.
     """
-    return long_features(df, "label", *keys).groupBy("label", *keys, "term_idx").agg(
+    return long_features(df, "label", *keys).groupBy("label", *keys, "position").agg(
         F.sum("weight").alias("weight_sum")
     )

@@ -52,14 +52,14 @@ def theta_table(sums: DataFrame, vocabulary: DataFrame, classes: list[str], alph
 
     The grid is the vocabulary times the class list, independent of the number of documents.
     """
-    grid = vocabulary.select("term", "term_idx", F.explode(sc.class_array(classes)).alias("label"))
+    grid = vocabulary.select("term", "position", F.explode(sc.class_array(classes)).alias("label"))
     per_class = Window.partitionBy("label")
     return (
-        grid.join(sums, ["label", "term_idx"], "left")
+        grid.join(sums, ["label", "position"], "left")
         .withColumn("s", F.coalesce("weight_sum", F.lit(0.0)))
         .withColumn("theta", F.log(
             (F.col("s") + alpha) / (F.sum("s").over(per_class) + alpha * F.count("*").over(per_class))))
-        .select("label", "term", "term_idx", "theta")
+        .select("label", "term", "position", "theta")
     )
 
 
@@ -81,7 +81,7 @@ class TermSums:
             sizes[position[row["label"]]] = row["count"]
         sums = np.zeros((len(classes), n_terms))
         table = class_term_sums(train).toPandas()
-        sums[table["label"].map(position), table["term_idx"]] = table["weight_sum"]
+        sums[table["label"].map(position), table["position"]] = table["weight_sum"]
         return cls(classes, sizes, sums)
 
     def log_prior(self) -> np.ndarray:
@@ -176,14 +176,15 @@ class NaiveBayesModel:
 
     @classmethod
     def fit(cls, train: DataFrame, classes: list[str], vocabulary: Vocabulary, alpha: float,
-            options: Preprocess | None = None, words: list[str] | None = None) -> "NaiveBayesModel":
-        """`train` has label and the vector `features`."""
+            options: Preprocess | None = None, words: list[str] | None = None,
+            log_prior: list[float] | None = None) -> "NaiveBayesModel":
+        """`train` has label and the vector `features`; known priors save a pass."""
         coded = train.select(encode_label(F.col("label"), classes).cast("double").alias("label"), "features")
         model = NaiveBayes(smoothing=alpha, modelType="multinomial").fit(coded)
-        sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-        total = sum(sizes.values())
-        prior = [float(np.log(sizes[c] / total)) for c in classes]
-        return cls(classes, prior, alpha, vocabulary, model,
+        if log_prior is None:
+            known = {r.label: r.log_prior for r in class_log_priors(train).collect()}
+            log_prior = [known[c] for c in classes]
+        return cls(classes, log_prior, alpha, vocabulary, model,
                    options or Preprocess.extended(), list(words or stoplists.DEFAULT))
 
     def prepare(self, df: DataFrame, text_col: str = "text") -> DataFrame:

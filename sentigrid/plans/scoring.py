@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentigrid.functions import scores as sc
 from sentigrid.functions import text as tx
 from sentigrid.operators.analysis import class_vocab_overlap
-from sentigrid.operators.features import tfidf_transform, top_features
+from sentigrid.operators.features import top_features
 from sentigrid.operators.labelling import sentiment_name
 from sentigrid.operators.naive_bayes import NaiveBayesModel
 
@@ -37,22 +37,21 @@ def explain(model: NaiveBayesModel, texts: DataFrame, training: DataFrame, k: in
     `texts` has doc_id and text, `training` label and clean.
     """
     prepared = model.prepare(texts.filter(~tx.is_blank(F.col("text"))))
-    scored = model.score_terms(prepared)
+    scored = top_features(model.score_terms(prepared), model.vocabulary, k)
+    names = F.transform("top", lambda t: t["term"])
     per_class = scored.select(
         "doc_id",
         F.length("text").alias("text_length"),
         F.length("clean").alias("clean_length"),
         tx.word_count(F.col("clean")).alias("words_in_text"),
         "prediction",
-        F.inline(F.arrays_zip(sc.class_array(model.classes).alias("label"), F.col("probabilities").alias("p"))),
-    )
+        F.when(F.size("top") > 0, F.array_join(names, ", ")).alias("features"),
+        F.explode_outer(F.arrays_zip(
+            sc.class_array(model.classes).alias("label"), F.col("probabilities").alias("p"))).alias("_class"),
+    ).select("*", "_class.label", "_class.p").drop("_class")
     sizes = training.groupBy("label").agg(F.count("*").alias("training_rows"))
-    best = top_features(tfidf_transform(prepared, model.vocabulary, "doc_id"), k)
-    listed = best.groupBy("doc_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda e: e["term"]), ", ").alias("features"))
     overlap = class_vocab_overlap(prepared, training, show)
     return (
         per_class.join(F.broadcast(sizes), "label", "left")
-        .join(listed, "doc_id", "left")
         .join(overlap, ["doc_id", "label"], "left")
     )

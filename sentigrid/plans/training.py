@@ -71,17 +71,19 @@ def train_naive_bayes(prepared: DataFrame, config: Training = Training(), alpha:
     final fit. With the defaults the vocabulary sees every row and alpha is chosen on the test
     part; `fit_on` and `choose_on` in the config keep the parts apart.
     """
-    require_min_classes(prepared)
+    classes = class_list(prepared)
+    if len(classes) < 2:
+        raise ValueError(f"training needs at least 2 different labels, found {len(classes)}")
     features, vocabulary = split_features(prepared, config)
     train = features.filter(F.col("split") == "train")
-    classes = class_list(features)
     sums = TermSums.collect(train, classes, len(vocabulary.terms))
     history = None
     if alpha is None:
         swept = alpha_sweep(features, sums, config.alphas())
         history = stage_table(sweep_history(swept, config.choose_on), "history")
         alpha = best_alpha(history).first().alpha
-    model = NaiveBayesModel.fit(train, classes, vocabulary, alpha, options, list(words))
+    model = NaiveBayesModel.fit(train, classes, vocabulary, alpha, options, list(words),
+                                sums.log_prior().tolist())
     return TrainedNaiveBayes(model, vocabulary, sums, features, history, config)
 
 

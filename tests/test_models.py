@@ -49,6 +49,12 @@ def test_weights_have_length_one(small):
     assert [got["red"], got["green"]] == pytest.approx(list(raw / np.linalg.norm(raw)))
 
 
+def test_top_features(small):
+    vocabulary = ft.Vocabulary.fit(small, 4)
+    rows = {r.doc_id: [t.term for t in r.top] for r in ft.top_features(vocabulary.transform(small), vocabulary, 2).collect()}
+    assert rows == {0: ["red", "green"], 1: ["blue", "red"], 2: ["green"], 3: ["blue", "black"]}
+
+
 def test_naive_bayes_by_hand(small):
     vocabulary = ft.Vocabulary.fit(small, 4)
     featured = vocabulary.transform(small)
@@ -59,7 +65,7 @@ def test_naive_bayes_by_hand(small):
     prior = np.log([0.75, 0.25])
 
     table = nb.theta_table(ft.class_term_sums(featured), vocabulary.table(small), ["a", "b"], alpha).collect()
-    got = {(r.label, r.term_idx): r.theta for r in table}
+    got = {(r.label, r.position): r.theta for r in table}
     assert len(got) == 8
     assert all(got[c, t] == pytest.approx(theta[i, t]) for i, c in enumerate("ab") for t in range(4))
 
