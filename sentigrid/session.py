@@ -62,14 +62,15 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan at least one partition per core.
+    """Give a small scan work for every core.
 
-    A large input already has more splits than cores and passes through without a shuffle.
-    An input smaller than that (one row group, say) is cheap to move, and is hashed on its
-    key so that per-document grouping needs no second exchange.
+    Spark cuts small files into about one split per core, but a split without a row group of its
+    own stays empty, so a file of one row group would keep a single core busy. Such an input
+    is hashed on its key, after which per-document grouping needs no second exchange. A scan of
+    two or more splits per core is left alone: large inputs are never shuffled here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores, *keys)
 

@@ -31,7 +31,7 @@ def select_text(df: DataFrame, text_col: str, id_col: str = "doc_id") -> DataFra
 def apply_null_policy(df: DataFrame, policy: str = "drop", text_col: str = "text") -> DataFrame:
     """'drop' removes rows without text, 'nan' keeps them with the text 'nan'."""
     if policy == "drop":
-        return df.na.drop(subset=[text_col])
+        return df.filter(F.col(text_col).isNotNull())
     if policy == "nan":
         return df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(NULL_TEXT)))
     raise ValueError("the null policy is 'drop' or 'nan'")
