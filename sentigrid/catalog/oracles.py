@@ -489,6 +489,7 @@ _oracle("tfidf_fit", "vocab", "SELECT term, term_idx, df, total_tf, round(idf, 6
 _oracle("tfidf_transform", "weights", "SELECT doc_id, term, tf, round(w, 6) AS weight FROM weights")
 _oracle("label_encode", "labelled", """
     SELECT doc_id, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INT) AS label_idx, label AS decoded FROM labelled""")
+_oracle("label_decode", "labelled", "SELECT doc_id, label FROM labelled")
 _oracle("nb_fit", "theta", "SELECT label, term, round(theta, 6) AS theta FROM theta")
 _oracle("nb_prior", "prior", "SELECT label, round(log_prior, 6) AS log_prior FROM prior")
 _oracle("nb_predict", "predicted", "SELECT doc_id, split, label, prediction, round(score, 6) AS score FROM predicted")

@@ -625,16 +625,25 @@ def tfidf_transform(spark, folder):
 @query
 def label_encode(spark, folder):
     labelled = _labels_only(spark, folder)
-    classes = nb.class_list(labelled)
+    classes = lb.class_list(labelled)
     coded = labelled.withColumn("label_idx", nb.encode_label(F.col("label"), classes))
     return coded.withColumn("decoded", nb.decode_label(F.col("label_idx"), classes))
 
 
+@query
+def label_decode(spark, folder):
+    """The coded labels turned back into names."""
+    labelled = _labels_only(spark, folder)
+    classes = lb.class_list(labelled)
+    coded = labelled.select("doc_id", nb.encode_label(F.col("label"), classes).alias("label_idx"))
+    return coded.select("doc_id", nb.decode_label(F.col("label_idx"), classes).alias("label"))
+
+
 @query
 def nb_fit(spark, folder):
     features, vocabulary = training.split_features(_staged(spark, folder))
     sums = ft.class_term_sums(features.filter("split = 'train'"))
-    theta = nb.theta_table(sums, vocabulary.table(sums), nb.class_list(features), ALPHA)
+    theta = nb.theta_table(sums, vocabulary.table(sums), lb.class_list(features), ALPHA)
     return theta.select("label", "term", _r("theta").alias("theta"))
 
 
@@ -690,7 +699,7 @@ def encode_sequences(spark, folder):
     """Ids and mask as text, next to the label code."""
     staged = _staged(spark, folder)
     vocabulary = ft.Vocabulary.fit(staged)
-    classes = nb.class_list(staged)
+    classes = lb.class_list(staged)
     coded = sq.encode_sequences(staged, vocabulary.by_rank(), SEQUENCE_LENGTH, "terms")
     return coded.select(
         "doc_id", nb.encode_label(F.col("label"), classes).alias("label_idx"),

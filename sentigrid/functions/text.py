@@ -41,7 +41,7 @@ def decode_bytes(raw: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """Null, empty or nothing but whitespace."""
-    return text.isNull() | (F.regexp_replace(text, f"[{SPACE}]+", "") == "")
+    return text.isNull() | ~text.rlike(f"[^{SPACE}]")
 
 
 def clean_noise(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
+from sentigrid.operators.labelling import class_list
 from sentigrid.session import stage_table, unnest, unnest_structs
 
 # --- fixed values: figures of the charts ------------------------------------------------
@@ -174,6 +175,7 @@ def _scored_pairs(df: DataFrame, unigrams: DataFrame, words: Sequence[str]) -> D
     keyed = phrases.withColumns({
         "base_1": _plural_base(halves[0]), "base_2": _plural_base(halves[1]),
     })
+    class_list(unigrams)  # refuses too many classes: the totals below are broadcast
     totals = unigrams.groupBy("label").agg(F.sum("n").alias("total"))
     first = unigrams.select("label", F.col("base").alias("base_1"), F.col("term").alias("word_1"), F.col("n").alias("c1"))
     second = unigrams.select("label", F.col("base").alias("base_2"), F.col("term").alias("word_2"), F.col("n").alias("c2"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -114,6 +115,7 @@ class Vocabulary:
         """The term of a vector index, looked up in a constant array (terms hold no space)."""
         return F.get(F.split(F.lit(" ".join(self.terms)), " "), position)
 
+    @cached_property
     def stages(self) -> list:
         """Feature stages: counts of known terms, times idf, scaled to length one.
 
@@ -129,7 +131,7 @@ class Vocabulary:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds the vectors `tf` (counts) and `features` (weights)."""
-        for stage in self.stages():
+        for stage in self.stages:
             df = stage.transform(df)
         return df.drop("tfidf")
 

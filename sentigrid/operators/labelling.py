@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentigrid.config import Preprocess
+from sentigrid.config import MAX_CLASSES, Preprocess
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
 from sentigrid.functions.lexicon import (
@@ -63,6 +63,14 @@ def with_derived(df: DataFrame, options: Preprocess = Preprocess.extended(),
     )
 
 
+def class_list(df: DataFrame, label_col: str = "label") -> list[str]:
+    """The labels in alphabetical order; more than MAX_CLASSES are refused."""
+    rows = df.select(label_col).distinct().orderBy(label_col).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"at most {MAX_CLASSES} classes are supported")
+    return [r[0] for r in rows]
+
+
 def class_balance(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Number of classes and of rows in the smallest and largest class."""
     return (

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentigrid.config import MAX_CLASSES, MAX_VOCABULARY, Preprocess
+from sentigrid.config import MAX_VOCABULARY, Preprocess
 from sentigrid.functions import scores as sc
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
@@ -23,14 +23,6 @@ from sentigrid.operators.features import Vocabulary, class_term_sums
 _CHUNK = 256
 
 
-def class_list(df: DataFrame, label_col: str = "label") -> list[str]:
-    """The labels in alphabetical order; more than MAX_CLASSES are refused."""
-    rows = df.select(label_col).distinct().orderBy(label_col).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"at most {MAX_CLASSES} classes are supported")
-    return [r[0] for r in rows]
-
-
 def encode_label(label: Column, classes: list[str]) -> Column:
     """Position of the label in the class list, from 0."""
     return (F.array_position(sc.class_array(classes), label) - 1).cast("int")

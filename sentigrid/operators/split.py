@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentigrid.operators.labelling import class_list
+
 # hex digits of the hash in the histogram: 16**3 rows per class, each holding 1/4096 of it
 PREFIX_DIGITS = 3
 
@@ -57,7 +59,11 @@ def _cut_keys(keyed: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def split_by_class(df: DataFrame, parts: list[str], shares: list[float], seed: int = 42) -> DataFrame:
-    """Adds `split` to a frame with doc_id and label; rows beyond the last cut are 'train'."""
+    """Adds `split` to a frame with doc_id and label; rows beyond the last cut are 'train'.
+
+    The cut table is broadcast: one row per class, and too many classes are refused first.
+    """
+    class_list(df)
     keyed = df.select("label", F.struct(order_key(F.col("doc_id"), seed).alias("key"), "doc_id").alias("at"))
     keyed = keyed.withColumn("bucket", F.substring("at.key", 1, PREFIX_DIGITS))
     cuts = _cut_keys(keyed, shares)

@@ -49,7 +49,7 @@ def explain(model: NaiveBayesModel, texts: DataFrame, training: DataFrame, k: in
         F.explode_outer(F.arrays_zip(
             sc.class_array(model.classes).alias("label"), F.col("probabilities").alias("p"))).alias("_class"),
     ).select("*", "_class.label", "_class.p").drop("_class")
-    sizes = training.groupBy("label").agg(F.count("*").alias("training_rows"))
+    sizes = training.filter(F.col("label").isin(*model.classes)).groupBy("label").agg(F.count("*").alias("training_rows"))
     overlap = class_vocab_overlap(prepared, training, show)
     return (
         per_class.join(F.broadcast(sizes), "label", "left")

@@ -13,9 +13,9 @@ from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
 from sentigrid.functions.lexicon import EXTENDED, Lexicon, with_label
 from sentigrid.operators.features import Vocabulary
-from sentigrid.operators.labelling import require_min_classes
+from sentigrid.operators.labelling import class_list, require_min_classes
 from sentigrid.operators.naive_bayes import (
-    NaiveBayesModel, TermSums, alpha_sweep, best_alpha, class_list, sweep_history,
+    NaiveBayesModel, TermSums, alpha_sweep, best_alpha, sweep_history,
 )
 from sentigrid.operators.softmax_head import HISTORY_SCHEMA, SoftmaxHead, fit_softmax_head
 from sentigrid.operators.split import stratified_split, three_way_split

@@ -21,6 +21,8 @@ def build_session(app: str = "sentigrid", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # texts can be long: smaller Arrow batches keep the Python workers small
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     )
     if master:
         builder = builder.master(master)
