@@ -171,9 +171,9 @@ def _scored_pairs(df: DataFrame, unigrams: DataFrame, words: Sequence[str]) -> D
     phrases = _merge_plurals(
         neighbours.select("label", F.concat_ws(" ", "a", "b").alias("phrase")), "phrase"
     ).select("label", "phrase", F.col("n").alias("c12"))
-    halves = F.split("phrase", " ")
     keyed = phrases.withColumns({
-        "base_1": _plural_base(halves[0]), "base_2": _plural_base(halves[1]),
+        "base_1": _plural_base(F.substring_index("phrase", " ", 1)),
+        "base_2": _plural_base(F.substring_index("phrase", " ", -1)),
     })
     class_list(unigrams)  # refuses too many classes: the totals below are broadcast
     totals = unigrams.groupBy("label").agg(F.sum("n").alias("total"))
