@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentigrid.config import MAX_WORD_LIST
+from sentigrid.functions.binding import let
 
 # --- fixed values: keyword lists (an entry given twice weighs two) ---------------------
 COMPACT_NEGATIVE = [
@@ -110,7 +111,7 @@ def hit_positions(lowered: Column, lexicon: Lexicon, engine: str = "auto") -> Co
     terms = [term for term, _, _ in lexicon.entries]
     if engine == "builtin":
         table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(terms)])
-        found = F.filter(table, lambda e: lowered.contains(e["t"]))
+        found = let(lowered, lambda text: F.filter(table, lambda e: text.contains(e["t"])))
         return F.coalesce(F.transform(found, lambda e: e["i"]), F.array().cast("array<int>"))
     if engine != "automaton":
         raise ValueError("engine is 'auto', 'automaton' or 'builtin'")

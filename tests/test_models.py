@@ -55,7 +55,7 @@ def test_top_features(small):
     assert rows == {0: ["red", "green"], 1: ["blue", "red"], 2: ["green"], 3: ["blue", "black"]}
 
 
-def test_naive_bayes_by_hand(small):
+def test_model_by_hand(small):
     vocabulary = ft.Vocabulary.fit(small, 4)
     featured = vocabulary.transform(small)
     dense = np.array([r.features.toArray() for r in featured.orderBy("doc_id").select("features").collect()])
