@@ -462,8 +462,8 @@ _oracle("decode_bytes", "", "SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE
 _oracle("case_fold", "", "SELECT doc_id, lower(text) AS folded FROM documents")
 _oracle("tokenize", "d_tokens", "SELECT doc_id, array_to_string(tokens, ' ') AS tokens, CAST(len(tokens) AS INT) AS n_tokens FROM d_tokens")
 _oracle("remove_stopwords", "d_clean", "SELECT doc_id, clean AS kept FROM d_clean")
-_oracle("full_pipeline", "d_clean", "SELECT doc_id, clean FROM d_clean")
-_oracle("pipeline_trace", "d_kept", """
+_oracle("full_preparation", "d_clean", "SELECT doc_id, clean FROM d_clean")
+_oracle("preparation_trace", "d_kept", """
     SELECT doc_id, 0 AS step_no, 'original' AS step, text AS result FROM d_kept
     UNION ALL SELECT doc_id, 1, 'noise_cleaning', cleaned FROM d_kept
     UNION ALL SELECT doc_id, 2, 'case_folding', lower(cleaned) FROM d_kept

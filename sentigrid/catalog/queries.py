@@ -548,18 +548,18 @@ def stem(spark, folder):
 
 
 @query
-def full_pipeline(spark, folder):
+def full_preparation(spark, folder):
     return _docs(spark, folder).select("doc_id", tx.full_pipeline(F.col("text")).alias("clean"))
 
 
 @query
-def full_pipeline_compact(spark, folder):
+def full_preparation_compact(spark, folder):
     """With stemming."""
     return _docs(spark, folder).select("doc_id", tx.full_pipeline(F.col("text"), Preprocess.compact()).alias("clean"))
 
 
 @query
-def pipeline_trace(spark, folder):
+def preparation_trace(spark, folder):
     return tx.trace_steps(_docs(spark, folder))
 
 
