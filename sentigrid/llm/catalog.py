@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentigrid.llm.chat import control_case, format_conversations, read_back
 from sentigrid.llm.common import table
 from sentigrid.llm.decontaminate import leaks
 from sentigrid.llm.mixing import mix
 from sentigrid.llm.quality import quality_metrics
+from sentigrid.llm.secrets import find_secrets
 from sentigrid.llm.simhash import near_duplicates
 from sentigrid.llm.site_lines import (
     _BLOCK, _GONE, MIN_HOST_PAGES, MIN_PAGES_WITH, RATIO, drop_boilerplate, html_lines, url_host)
+from sentigrid.llm.suffixes import remove_repeats
+from sentigrid.llm.toxicity import score_toxicity, train
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +32,26 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"), with_kept=False)
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return score_toxicity(docs, train(docs, table(spark, folder, "labels")))
+
+
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_conversations(turns.unionByName(control_case(spark))))
+
+
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"),
+                        "spans", "n_layers")
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     q = quality_metrics(table(spark, folder, "documents").select("doc_id", "text"))
     return q.select("doc_id", *(f"quality.{c}" for c in (
@@ -43,7 +67,8 @@ def op10_site_lines(spark: SparkSession, folder: str) -> DataFrame:
                       F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mix, op3_decontaminate, op9_quality, op10_site_lines)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_mix, op3_decontaminate, op4_suffixes, op5_toxicity, op7_chat, op8_secrets, op9_quality, op10_site_lines)}
 
 # The two runs of page lines: as in site_lines, with the patterns as text.
 _PAGE_LINES = f"""
