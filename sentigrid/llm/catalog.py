@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sentigrid.llm.chat import control_case, format_conversations, read_back
 from sentigrid.llm.common import table
 from sentigrid.llm.decontaminate import leaks
+from sentigrid.llm.gru_lm import score_texts
 from sentigrid.llm.mixing import mix
 from sentigrid.llm.quality import quality_metrics
 from sentigrid.llm.secrets import find_secrets
@@ -41,6 +42,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(docs, train(docs, table(spark, folder, "labels")))
 
 
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"))
+
+
 def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return read_back(format_conversations(turns.unionByName(control_case(spark))))
@@ -68,7 +73,8 @@ def op10_site_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_mix, op3_decontaminate, op4_suffixes, op5_toxicity, op7_chat, op8_secrets, op9_quality, op10_site_lines)}
+    op1_simhash, op2_mix, op3_decontaminate, op4_suffixes, op5_toxicity, op6_language_model, op7_chat,
+    op8_secrets, op9_quality, op10_site_lines)}
 
 # The two runs of page lines: as in site_lines, with the patterns as text.
 _PAGE_LINES = f"""
