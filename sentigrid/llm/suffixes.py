@@ -64,11 +64,15 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
 
 
-_ANCHOR = "h bigint, ctx bigint, doc bigint, salt bigint, p bigint, spread int"
+_ANCHOR = "h bigint, ctx bigint, doc bigint, salt bigint, p bigint, spread int, more array<bigint>"
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """One row per anchor: its hash, the digest of its context, and where it is."""
+    """One row per anchor and document: its hash, the digest of its context, and where it is.
+
+    Later places of an equal context in the same document travel in `more`, so that a text that repeats one word does not
+    fill a task with its one anchor.
+    """
     schema = _arrow_schema(docs.sparkSession.createDataFrame([], _ANCHOR).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +89,26 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                                      np.full(len(h), salt), p, (p - s) << 8 | (p - e)))
                 if rows:
                     columns = [np.concatenate(c) for c in zip(*rows)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                    keep, more = _within_documents(*columns)
+                    arrays = [pa.array(c[keep], f.type) for c, f in zip(columns, schema)]
+                    yield pa.RecordBatch.from_arrays([*arrays, more], schema=schema)
 
     return docs.select("doc", "salt", "t").mapInArrow(run, _ANCHOR)
 
 
+def _within_documents(h, ctx, doc, salt, p, spread) -> tuple[np.ndarray, pa.Array]:
+    """Rows that are the first of their context in a document, and the later places of each."""
+    order = np.lexsort((p, ctx, h, salt, doc))
+    same = np.ones(len(order), bool)
+    same[0] = False
+    for c in (h, ctx, doc, salt):
+        same[1:] &= c[order][1:] == c[order][:-1]
+    head = np.flatnonzero(~same)
+    count = np.diff(np.concatenate([head, [len(order)]])) - 1
+    offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+    return order[head], pa.ListArray.from_arrays(offsets, pa.array(p[order[same]], pa.int64()))
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """Anchors whose gram occurs more than once.
 
@@ -99,9 +118,9 @@ def _shared(rows: DataFrame) -> DataFrame:
     marked = rows.withColumns({
         "n": F.count("*").over(gram), "mixed": F.min("ctx").over(gram) != F.max("ctx").over(gram),
         "first": F.row_number().over(same) == 1})
-    kept = marked.filter((F.col("n") > 1) & (~F.col("first") | F.col("mixed")))
+    kept = marked.filter((F.col("n") > 1) & (~F.col("first") | F.col("mixed")) | (F.size("more") > 0))
     left = F.shiftright("spread", 8)
-    return kept.select("h", "doc", "salt", "p", "first", left.alias("left"), F.col("spread").bitwiseAND(255).alias("skip"))
+    return kept.select("h", "doc", "salt", "p", "first", "mixed", "more", left.alias("left"), F.col("spread").bitwiseAND(255).alias("skip"))
 
 
 _CONTEXT = "h bigint, doc bigint, salt bigint, p bigint, left int, skip int, context binary"
@@ -285,9 +304,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not unique:
         source = source.dropDuplicates(["doc", "salt"])
     shared = stage_table(_shared(_anchor_rows(source)), "anchors")
-    again = shared.filter(~F.col("first"))
+    again = F.when(F.col("first"), F.col("more")).otherwise(F.concat("more", F.array("p")))
+    again = shared.select("doc", "salt", "left", "skip", F.explode(again).alias("p"))
     spans = again.select("doc", "salt", (F.col("p") - F.col("left")).alias("a"), (F.col("p") - F.col("skip") + LENGTH).alias("b"))
-    wanted = shared.filter("first")
+    wanted = shared.filter("first and mixed")
     sizes = wanted.groupBy("h").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n"), F.max("n")).first()
     if total[0]:
