@@ -301,7 +301,7 @@ def _load(raw: bytes, like: dict) -> dict:
     return out
 
 
-def _average(models: DataFrame, parts: int) -> bytes | None:
+def _average(models: DataFrame, rows: int) -> bytes | None:
     """The mean of the tasks' networks, weighted by steps, over a tree of tasks: 16 meet in one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = None, 0.0
@@ -313,9 +313,9 @@ def _average(models: DataFrame, parts: int) -> bytes | None:
             yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype("<f4").tobytes()], pa.binary()),
                                               pa.array([weight], pa.float64())], names=["model", "w"])
 
-    while parts > 1:
-        parts = -(-parts // 16)
-        models = models.repartition(parts).mapInArrow(run, "model binary, w double")
+    while rows > 1:
+        rows = -(-rows // 16)
+        models = models.repartition(rows).mapInArrow(run, "model binary, w double")
     row = models.first()
     return bytes(row[0]) if row else None
 
@@ -343,7 +343,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> dict:
 
         mine = docs.filter(F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(ROUNDS)) == number).select("t")
         trained = stage_table(mine.mapInArrow(run, "model binary, w double"), "networks")
-        mean = _average(trained, trained.rdd.getNumPartitions())
+        mean = _average(trained, trained.count())
         if mean:
             model = _load(mean, like)
     return model
