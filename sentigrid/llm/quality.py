@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentigrid.llm.common import WHITE, text_of
@@ -65,15 +65,14 @@ def measure(text: str, packer: zstandard.ZstdCompressor) -> tuple:
             len(worded) - len(set(worded)), repeats, len(raw), ratio, chunks, bad, failed, good and not failed)
 
 
-@F.pandas_udf(FIELDS)
-def _measured(texts: pd.Series) -> pd.DataFrame:
-    packer = zstandard.ZstdCompressor(level=LEVEL)
-    names = [f.split()[0] for f in FIELDS.split(", ")]
-    return pd.DataFrame([measure(t, packer) for t in texts], columns=names)
+def _measured(text: Column) -> Column:
+    def run(texts: pd.Series) -> pd.DataFrame:
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        names = [f.split()[0] for f in FIELDS.split(", ")]
+        return pd.DataFrame([measure(t, packer) for t in texts], columns=names)
 
-
-# a filter on the verdict would otherwise run the function a second time
-_measured = _measured.asNondeterministic()
+    # a filter on the verdict would otherwise run the function a second time
+    return F.pandas_udf(run, FIELDS).asNondeterministic()(text)
 
 
 def quality_metrics(docs: DataFrame, text_col: str = "text", into: str = "quality") -> DataFrame:
