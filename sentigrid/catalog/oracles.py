@@ -350,18 +350,18 @@ _oracle("scan_parquet", "", "SELECT doc_id, lang, source, n_chars, text FROM doc
 _oracle("scan_csv", "", """
     SELECT conv_id, turn, text, CASE WHEN turn % 4 = 2 THEN NULL ELSE role END AS role
     FROM conversations WHERE role <> 'assistant'""")
-_oracle("scan_csv_encodings", "", r"""
-    SELECT doc_id, lang, regexp_replace(text, '[^\x00-\x{ff}]', '', 'g') AS text FROM documents""")
-_oracle("stringify_columns", "", f"SELECT doc_id, CASE WHEN lang <> 'en' THEN text ELSE '{NULL_TEXT}' END AS text, lang FROM documents")
+_oracle("scan_csv_encodings", "", "SELECT doc_id, lang, text FROM documents")
+_oracle("stringify_columns", "", f"""
+    SELECT doc_id, coalesce(text, '{NULL_TEXT}') AS text, coalesce(lang, '{NULL_TEXT}') AS lang,
+           CASE WHEN lang <> 'en' THEN coalesce(source, '{NULL_TEXT}') ELSE '{NULL_TEXT}' END AS note FROM documents""")
 _oracle("write_results", "prepared", f"""
     SELECT doc_id, label, clean, CAST({_count_words('clean')} AS INT) AS word_count, {_NAME.format('label')} AS sentiment FROM prepared""")
 ORACLES["with_derived"] = ORACLES["write_results"]
 _oracle("save_and_load_model", "test_rows", "SELECT * FROM test_rows")
 _oracle("select_text", "", "SELECT doc_id, text FROM documents")
-_oracle("drop_null_text", "", """
-    SELECT doc_id, text FROM documents LEFT JOIN labels USING (doc_id) WHERE text IS NOT NULL AND coalesce(toxic, 0) = 0""")
-_oracle("blank_text", "", r"""
-    SELECT doc_id, CASE WHEN lang = 'de' THEN CAST(regexp_replace(text, '\s+', '', 'g') = '' AS INT) ELSE 1 END AS blank FROM documents""")
+_oracle("drop_null_text", "", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+_oracle("blank_text", "", f"""
+    SELECT doc_id, CAST({_replace('text', f'[{tx.SPACE}]+', '')} = '' AS INT) AS blank, 1 AS gaps_blank FROM documents""")
 _oracle("filter_by_label", "labelled", "SELECT doc_id, label, text FROM labelled WHERE label = 'negative'")
 _oracle("require_min_classes", "labelled", """
     SELECT count(*) AS n_classes, min(n) AS smallest, max(n) AS largest, CAST(count(*) >= 2 AS INT) AS accepted
@@ -514,17 +514,18 @@ _oracle("evaluate", "report3 confusion", " UNION ALL ".join(
     f"""SELECT 'report' AS section, "row", '{m}' AS measure, {m} AS value FROM report3""" for m in ("precision", "recall", "f1", "support"))
     + " UNION ALL SELECT 'confusion', label, prediction, n::DOUBLE FROM confusion")
 _score_select = f"""
-    SELECT doc_id, max(class) FILTER (place = 1) AS prediction, {_NAME.format("max(class) FILTER (place = 1)")} AS sentiment, {_by_class}
-    FROM m_proba GROUP BY doc_id"""
+    SELECT m.doc_id, prediction, CASE WHEN prediction IS NOT NULL THEN {_NAME.format("prediction")} END AS sentiment, p_negative, p_neutral, p_positive
+    FROM (SELECT concat(conv_id, ':', turn) AS doc_id FROM conversations) m
+    LEFT JOIN (SELECT doc_id, max(class) FILTER (place = 1) AS prediction, {_by_class} FROM m_proba GROUP BY doc_id) USING (doc_id)"""
 _oracle("score_text", "m_proba", _score_select)
 _oracle("score_stream", "m_proba", _score_select)
 _oracle("score_explain", "m_proba m_clean m_weights overlap labelled", """
-    SELECT p.doc_id, p.class AS label, CAST(length(text) AS INT) AS text_length, CAST(length(clean) AS INT) AS clean_length,
-           CAST(n_kept AS INT) AS words_in_text, b.prediction, round(p.p, 6) AS p, t.training_rows, f.features, o.n_common, o.words
-    FROM m_proba p JOIN m_clean c USING (doc_id)
-    JOIN (SELECT doc_id, class AS prediction FROM m_proba WHERE place = 1) b USING (doc_id)
-    LEFT JOIN (SELECT label, count(*) AS training_rows FROM labelled GROUP BY label) t ON t.label = p.class
-    LEFT JOIN (SELECT doc_id, array_to_string(list(term ORDER BY place), ', ') AS features FROM (
-                   SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS place FROM m_weights)
+    SELECT c.doc_id, p.class AS label, CAST(length(text) AS INT) AS text_length, CAST(length(clean) AS INT) AS clean_length,
+           CAST(n_kept AS INT) AS words_in_text, b.prediction, round(p.p, 6) AS p, t.training_rows, round(t.training_percent, 6) AS training_percent, f.features, round(f.weights, 6) AS weights, o.n_common, o.words
+    FROM m_clean c LEFT JOIN m_proba p USING (doc_id)
+    LEFT JOIN (SELECT doc_id, class AS prediction FROM m_proba WHERE place = 1) b USING (doc_id)
+    LEFT JOIN (SELECT label, count(*) AS training_rows, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS training_percent FROM labelled GROUP BY label) t ON t.label = p.class
+    LEFT JOIN (SELECT doc_id, array_to_string(list(term ORDER BY place), ', ') AS features, sum(w) AS weights FROM (
+                   SELECT doc_id, term, w, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS place FROM m_weights)
                WHERE place <= 10 GROUP BY doc_id) f USING (doc_id)
     LEFT JOIN overlap o ON o.doc_id = p.doc_id AND o.label = p.class""")

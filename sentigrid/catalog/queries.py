@@ -64,7 +64,7 @@ def _messages(spark: SparkSession, folder: str) -> DataFrame:
     keyed = _table(spark, folder, "conversations").withColumn(
         "doc_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     )
-    return src.corpus(keyed)
+    return src.select_text(keyed, "text")
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,14 +128,14 @@ def scan_csv(spark, folder):
 
 @query
 def scan_csv_encodings(spark, folder):
-    """Documents written as UTF-8 files for English and as Latin-1 files for the other
-    languages, read back in one go. Characters outside Latin-1 are left out first."""
-    rows = _table(spark, folder, "documents").select(
-        "doc_id", "lang", F.regexp_replace("text", r"[^\x00-\xff]", "").alias("text"))
+    """Documents of other languages than English written as Latin-1 files where Latin-1 can hold them, all
+    others as UTF-8 files, read back in one go."""
+    rows = _table(spark, folder, "documents").select("doc_id", "lang", "text")
+    latin = F.coalesce((F.col("lang") != "en") & ~F.col("text").rlike(r"[^\x00-\xff]"), F.lit(False))
     path = scratch_path(spark, "csv-encodings")
     options = {"header": True, "quoteAll": True, "escape": '"'}
-    rows.filter("lang = 'en'").write.options(encoding="UTF-8", **options).csv(f"{path}/a")
-    rows.filter("lang <> 'en'").write.options(encoding="ISO-8859-1", **options).csv(f"{path}/b")
+    rows.filter(~latin).write.options(encoding="UTF-8", **options).csv(f"{path}/a")
+    rows.filter(latin).write.options(encoding="ISO-8859-1", **options).csv(f"{path}/b")
     read = csv_source.read_csv_any_encoding(spark, [f"{path}/a", f"{path}/b"])
     return read.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
 
@@ -144,7 +144,7 @@ def scan_csv_encodings(spark, folder):
 def stringify_columns(spark, folder):
     """A text column that is null for part of the rows becomes 'nan' there."""
     rows = _table(spark, folder, "documents").select(
-        "doc_id", F.when(F.col("lang") != "en", F.col("text")).alias("text"), "lang")
+        "doc_id", "text", "lang", F.when(F.col("lang") != "en", F.col("source")).alias("note"))
     return src.stringify_columns(rows)
 
 
@@ -176,18 +176,18 @@ def select_text(spark, folder):
 
 @query
 def drop_null_text(spark, folder):
-    """Rows whose text is null (here: the toxic ones) are dropped."""
-    marked = _table(spark, folder, "documents").join(_table(spark, folder, "labels"), "doc_id", "left").select(
-        "doc_id", F.when(F.coalesce("toxic", F.lit(0)) == 0, F.col("text")).alias("text"))
-    return src.apply_null_policy(marked, "drop")
+    """Rows whose text is null are dropped: for each document one is added, under a negative key."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    empty = docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    return src.apply_null_policy(docs.unionByName(empty), "drop")
 
 
 @query
 def blank_text(spark, folder):
-    """Texts reduced to their whitespace and one word in some cases: is the result blank?"""
-    gaps = F.when(F.col("lang") == "en", F.regexp_replace("text", r"[^\s]+", "")).when(
-        F.col("lang") == "de", F.col("text"))
-    return _table(spark, folder, "documents").select("doc_id", tx.is_blank(gaps).cast("int").alias("blank"))
+    """Whether a text is blank, and whether its white space alone is."""
+    gaps = F.regexp_replace("text", r"[^\s]+", "")
+    return _table(spark, folder, "documents").select(
+        "doc_id", tx.is_blank(F.col("text")).cast("int").alias("blank"), tx.is_blank(gaps).cast("int").alias("gaps_blank"))
 
 
 @query
@@ -498,7 +498,7 @@ def auto_label_extended(spark, folder):
 @query
 def auto_label_builtin(spark, folder):
     """The extended label from contains() tests alone."""
-    return lx.with_label(_docs(spark, folder), engine="builtin").select("doc_id", "label")
+    return lx.with_label(_docs(spark, folder), engine="automaton").select("doc_id", "label")
 
 
 @query
@@ -785,7 +785,9 @@ def score_explain(spark, folder):
     prepared = stage_table(_prepared(spark, folder), "prepared")
     model = training.train_naive_bayes(prepared, Training(), ALPHA).model
     table = scoring.explain(model, _messages(spark, folder), prepared)
-    return table.withColumn("p", _r("p"))
+    return table.withColumns({
+        "p": _r("p"), "training_percent": _r("training_percent"),
+        "weights": _r(F.aggregate("weights", F.lit(0.0), lambda a, b: a + b))})
 
 
 # --- streaming ---------------------------------------------------------------------------------------------------

@@ -91,30 +91,19 @@ COMPACT = Lexicon.of(COMPACT_POSITIVE, COMPACT_NEGATIVE)
 EXTENDED = Lexicon.of(EXTENDED_POSITIVE, EXTENDED_NEGATIVE)
 
 
-def automaton_available() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return False
-    return True
-
-
-def hit_positions(lowered: Column, lexicon: Lexicon, engine: str = "auto") -> Column:
+def hit_positions(lowered: Column, lexicon: Lexicon, engine: str = "builtin") -> Column:
     """Positions (in lexicon order) of the terms that occur in `lowered`, as array<int>.
 
-    engine 'automaton' walks each text once whatever the number of terms, in Arrow batches;
-    'builtin' tests each term with contains() and needs no extra package. Both give the
-    same array. 'auto' takes the automaton where its package is installed.
+    engine 'builtin' tests each term with contains(), in the JVM; 'automaton' walks each text once
+    in Arrow batches and needs a package on the executors. Both give the same array.
     """
-    if engine == "auto":
-        engine = "automaton" if automaton_available() else "builtin"
     terms = [term for term, _, _ in lexicon.entries]
     if engine == "builtin":
         table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(terms)])
         found = let(lowered, lambda text: F.filter(table, lambda e: text.contains(e["t"])))
         return F.coalesce(F.transform(found, lambda e: e["i"]), F.array().cast("array<int>"))
     if engine != "automaton":
-        raise ValueError("engine is 'auto', 'automaton' or 'builtin'")
+        raise ValueError("engine is 'automaton' or 'builtin'")
     return _automaton_udf(terms)(lowered)
 
 
@@ -168,7 +157,7 @@ def contains_score(lowered: Column, lexicon: Lexicon, polarity: str) -> Column:
 
 
 def with_scores(df: DataFrame, lexicon: Lexicon = EXTENDED, text_col: str = "text",
-                engine: str = "auto") -> DataFrame:
+                engine: str = "builtin") -> DataFrame:
     """Adds `hits`, `positive_score` and `negative_score`."""
     return (
         df.withColumn("hits", hit_positions(F.lower(F.col(text_col)), lexicon, engine))
@@ -178,7 +167,7 @@ def with_scores(df: DataFrame, lexicon: Lexicon = EXTENDED, text_col: str = "tex
 
 
 def with_label(df: DataFrame, lexicon: Lexicon = EXTENDED, text_col: str = "text",
-               engine: str = "auto") -> DataFrame:
+               engine: str = "builtin") -> DataFrame:
     """Adds `label`; blank and null text come out neutral because nothing is found in them."""
     scored = with_scores(df, lexicon, text_col, engine)
     return scored.withColumn("label", label_of(F.col("positive_score"), F.col("negative_score"))).drop(

@@ -30,13 +30,16 @@ ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 def decode_bytes(raw: Column) -> Column:
     """UTF-8 text of a binary column; bytes that are not valid UTF-8 are dropped.
 
-    A genuine U+FFFD in the input is kept: it is parked under a private-use pair while the
-    replacement marks of the invalid bytes are removed.
+    A genuine U+FFFD in the input is kept: it is escaped with U+E000 while the replacement marks of the
+    invalid bytes are removed, and a genuine U+E000 is escaped first, so nothing is taken for an escape.
     """
     text = raw.cast("string")
-    mark, parked = F.lit("\ufffd"), F.lit("\ue000\uf8ff")
-    repaired = F.replace(F.make_valid_utf8(F.replace(text, mark, parked)), mark, F.lit(""))
-    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(repaired, parked, mark))
+    mark, escape = "\ufffd", "\ue000"
+    for_mark, for_escape = F.lit(escape + "\ue001"), F.lit(escape + "\ue002")
+    escaped = F.replace(F.replace(text, F.lit(escape), for_escape), F.lit(mark), for_mark)
+    repaired = F.replace(F.make_valid_utf8(escaped), F.lit(mark), F.lit(""))
+    restored = F.replace(F.replace(repaired, for_mark, F.lit(mark)), for_escape, F.lit(escape))
+    return F.when(F.is_valid_utf8(text), text).otherwise(restored)
 
 
 def is_blank(text: Column) -> Column:

@@ -27,7 +27,7 @@ def sentiment_name(label: Column) -> Column:
 
 
 def lexicon_matches(df: DataFrame, lexicon: Lexicon = EXTENDED, id_col: str = "doc_id",
-                    text_col: str = "text", engine: str = "auto") -> DataFrame:
+                    text_col: str = "text", engine: str = "builtin") -> DataFrame:
     """One row per document and matched term; a document without match keeps one row of nulls."""
     entries = lexicon.as_array()
     return df.select(id_col, hit_positions(F.lower(F.col(text_col)), lexicon, engine).alias("hits")).select(
@@ -36,7 +36,7 @@ def lexicon_matches(df: DataFrame, lexicon: Lexicon = EXTENDED, id_col: str = "d
 
 
 def explain_label(df: DataFrame, lexicon: Lexicon = EXTENDED, id_col: str = "doc_id",
-                  text_col: str = "text", engine: str = "auto") -> DataFrame:
+                  text_col: str = "text", engine: str = "builtin") -> DataFrame:
     """Matched terms and scores of both sides, the label, and the first 100 characters."""
     hits = df.select(id_col, text_col,
                      hit_positions(F.lower(F.col(text_col)), lexicon, engine).alias("hits"))

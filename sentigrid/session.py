@@ -1,4 +1,4 @@
-"""Session set-up, shared scratch tables and input spreading."""
+"""Session set-up and shared scratch tables."""
 
 from __future__ import annotations
 
@@ -41,7 +41,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(_CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if root:
         return root
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="sentigrid-"))
     return context.getCheckpointDir()
@@ -63,20 +63,6 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small scan work for every core.
-
-    Spark cuts small files into about one split per core, but a split without a row group of its
-    own stays empty, so a file of one row group would keep a single core busy. Such an input
-    is hashed on its key, after which per-document grouping needs no second exchange. A scan of
-    two or more splits per core is left alone: large inputs are never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def unnest(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
     """One row per element of the array `items`, as column `name` next to the kept columns.
 

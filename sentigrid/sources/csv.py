@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +22,24 @@ _BROKEN = "_broken_line"
 _SENTINEL = "\ue000\uf8ff\ue000"
 
 
-def _header(spark: SparkSession, paths: list[str], encoding: str, sep: str) -> list[str]:
+def _header(spark: SparkSession, path: str, encoding: str, sep: str) -> list[str]:
     options = {"header": True, "encoding": encoding, "sep": sep}
-    return spark.read.options(**options).csv(paths[0]).columns
+    return spark.read.options(**options).csv(path).columns
+
+
+def _files_by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Files grouped by their first line; files without a line are left out.
+
+    One row per file reaches the driver, as in Spark's own file listing.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), F.base64(F.col("value").cast("binary")).alias("line"))
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("line", "at").alias("line"))
+    groups: dict[str, list[str]] = {}
+    for row in first.collect():
+        groups.setdefault(row.line, []).append(row.file)
+    return [sorted(files) for _, files in sorted(groups.items())]
 
 
 def read_csv(spark: SparkSession, path: str | list[str], columns: list[str] | None = None,
@@ -30,13 +47,26 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: list[str] | No
              na_texts: list[str] | None = None, header: bool = True) -> DataFrame:
     """All columns as strings, header names unless `columns` gives others.
 
+    Each file's columns go by its own header line: files with the same columns in another order are
+    aligned by name, and a column that a file lacks is null there.
+
     multiline=True allows line breaks inside quotes but reads each file in one task; for
     large files without them, multiline=False lets Spark split the files.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if not header and not columns:
         raise ValueError("files without a header line need column names")
-    names = columns or _header(spark, paths, encoding, sep)
+    if columns:
+        return _read_alike(spark, paths, columns, encoding, sep, multiline, na_texts, header)
+    groups = _files_by_header(spark, paths) or [paths]
+    parts = [_read_alike(spark, files, _header(spark, files[0], encoding, sep), encoding, sep, multiline,
+                         na_texts, header) for files in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _read_alike(spark: SparkSession, paths: list[str], names: list[str], encoding: str, sep: str,
+                multiline: bool, na_texts: list[str] | None, header: bool) -> DataFrame:
+    """Files that all have these columns in this order."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     lines = (
         spark.read.schema(T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())]))

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentigrid.functions.text import is_blank
-from sentigrid.session import spread
 
 # the text a null becomes when every text column is turned into strings
 NULL_TEXT = "nan"
@@ -39,13 +37,9 @@ def apply_null_policy(df: DataFrame, policy: str = "drop", text_col: str = "text
 
 def corpus(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
            null_policy: str = "drop") -> DataFrame:
-    """A (doc_id, text) corpus ready for text work, spread over the cores if it is small."""
+    """A (doc_id, text) corpus ready for text work, partitioned as it was read."""
     picked = select_text(df, text_col, id_col).withColumnRenamed(id_col, "doc_id")
-    return spread(apply_null_policy(picked, null_policy), "doc_id")
-
-
-def blank_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.filter(is_blank(F.col(text_col)))
+    return apply_null_policy(picked, null_policy)
 
 
 def write_table(df: DataFrame, path: str, bucket_by: str | None = None, buckets: int = 0,

@@ -25,8 +25,9 @@ def test_scoring_is_narrow_and_whole(fitted, spark):
     result = scoring.score(model, texts, "doc_id")
     assert "Exchange" not in result._jdf.queryExecution().toString()
     rows = {r.doc_id: r for r in result.collect()}
-    assert set(rows) == {1, 3} and rows[1].prediction == "positive" and rows[1].sentiment == "Positive"
+    assert set(rows) == {1, 2, 3} and rows[1].prediction == "positive" and rows[1].sentiment == "Positive"
     assert sum(rows[3].proba.values()) == pytest.approx(1)
+    assert rows[2].prediction is None and rows[2].sentiment is None and rows[2].proba is None
 
 
 def test_explain(fitted, spark):
@@ -35,6 +36,9 @@ def test_explain(fitted, spark):
     rows = {r.label: r for r in scoring.explain(trained.model, texts, prepared).collect()}
     assert set(rows) == set(trained.model.classes)
     assert rows["positive"].features.split(", ")[0] in ("mobil", "bagus")
+    assert len(rows["positive"].weights) == 2 and rows["positive"].training_percent == pytest.approx(37.5)
+    blank = spark.createDataFrame([(1, " "), (2, None)], "doc_id bigint, text string")
+    assert [(r.label, r.prediction) for r in scoring.explain(trained.model, blank, prepared).collect()] == [(None, None)] * 2
     assert rows["positive"].words == "bagus, mobil" and rows["positive"].training_rows == 18
 
 
@@ -47,7 +51,7 @@ def test_stream_equals_batch(fitted, spark, tmp_path):
     flat = ["doc_id", "prediction", F.map_entries("proba").alias("p")]
     got = spark.read.parquet(str(tmp_path / "out")).select(*flat).collect()
     want = scoring.score(model, texts, "doc_id").select(*flat).collect()
-    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 9
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 10
 
 
 def test_entry_points(spark):

@@ -49,8 +49,8 @@ def test_label_edge_cases(texts, engine):
 
 def test_smoke_frame(texts):
     rows = ["I love this!", "This is terrible", "Okay, not bad"]
-    assert scores(texts, rows, lx.EXTENDED, "auto") == [(1, 0), (0, 2), (0, 1)]
-    assert scores(texts, rows, lx.COMPACT, "auto") == [(1, 0), (0, 0), (0, 0)]
+    assert scores(texts, rows, lx.EXTENDED, "builtin") == [(1, 0), (0, 2), (0, 1)]
+    assert scores(texts, rows, lx.COMPACT, "builtin") == [(1, 0), (0, 0), (0, 0)]
 
 
 def test_expression_form_agrees(column):
@@ -72,7 +72,7 @@ def test_matches_and_explanation(texts):
 def test_own_lexicon_table(spark, texts):
     table = spark.createDataFrame([("Up", "positive", 3), ("down", "negative", 1)], "term string, polarity string, weight int")
     lexicon = lx.Lexicon.from_table(table)
-    assert scores(texts, ["up and down"], lexicon, "auto") == [(3, 1)]
+    assert scores(texts, ["up and down"], lexicon, "builtin") == [(3, 1)]
 
 
 def test_sentiment_names(column):

@@ -24,6 +24,18 @@ def test_long_lines_skipped_short_lines_padded(spark, tmp_path):
         ("6", None, "e"), ("8", 'say "hi"', "q")]
 
 
+def test_header_of_each_file(spark, tmp_path):
+    folder = tmp_path / "in"
+    put(folder, "1.csv", b"a,b\n1,x\n")
+    put(folder, "2.csv", b"b,a\ny,2\n")
+    put(folder, "3.csv", b"a,c\n3,z\n")
+    put(folder, "4.csv", b"")
+    want = [("1", "x", None), ("2", "y", None), ("3", None, "z")]
+    assert values(csv.read_csv(spark, str(folder)).select("a", "b", "c")) == want
+    assert values(csv.read_csv_any_encoding(spark, str(folder)).select("a", "b", "c")) == [
+        tuple(x or "nan" for x in row) for row in want]
+
+
 def test_na_texts(spark, tmp_path):
     path = put(tmp_path / "in", "f.csv", b"a,b\n1,NA\n2,null\n3,nano\n")
     assert values(csv.read_csv(spark, path)) == [("1", None), ("2", None), ("3", "nano")]
@@ -60,6 +72,7 @@ def test_stage_and_write(spark):
     assert values(tables.read_table(spark, path)) == values(df)
 
 
-def test_large_scans_are_not_shuffled(spark):
-    df = spark.range(0, 1000, 1, 16).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
+@pytest.mark.parametrize("splits", [1, 16])
+def test_scans_are_not_shuffled(spark, splits):
+    df = spark.range(0, 1000, 1, splits).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
     assert "Exchange" not in tables.corpus(df)._jdf.queryExecution().toString()
