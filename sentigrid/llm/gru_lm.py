@@ -27,6 +27,8 @@ SCORE_LANES = 1024
 TRAIN_LANES = 128
 # Training reads each window of each document and carries the state through; every fourth gives a gradient step.
 STEP_EVERY = 4
+# Gradients are gathered until they cover so many tokens, so a window in which few documents are left weighs little.
+STEP_TOKENS = 1024
 ROUNDS = 2
 RATE = 0.01
 # Tokens a task gathers before it runs the network over them.
@@ -222,7 +224,18 @@ class _Descent:
     def __init__(self, model: dict) -> None:
         self.m = {k: np.zeros_like(v) for k, v in model.items()}
         self.v = {k: np.zeros_like(v) for k, v in model.items()}
-        self.t = 0
+        self.t, self.count, self.sum = 0, 0, None
+
+    def add(self, model: dict, grad: dict, tokens: int) -> int:
+        """Takes a window's mean gradient; a step once enough tokens have met. The number of steps."""
+        grad = {k: g * tokens for k, g in grad.items()}
+        self.sum = grad if self.sum is None else {k: self.sum[k] + g for k, g in grad.items()}
+        self.count += tokens
+        if self.count < STEP_TOKENS:
+            return 0
+        self.step(model, {k: g / self.count for k, g in self.sum.items()})
+        self.count, self.sum = 0, None
+        return 1
 
     def step(self, model: dict, grad: dict) -> None:
         self.t += 1
@@ -245,8 +258,8 @@ def learn(model: dict, texts: list[np.ndarray], descent: _Descent) -> int:
         stepping = i % STEP_EVERY == 0
         states, h, trace = run_window(model, numbers, start, h, stepping)
         if stepping:
-            descent.step(model, gradients(model, numbers, start, docs >= 0, states, trace)[0])
-            steps += 1
+            live = docs >= 0
+            steps += descent.add(model, gradients(model, numbers, start, live, states, trace)[0], int(live.sum()))
     return steps
 
 

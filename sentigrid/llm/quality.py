@@ -14,10 +14,11 @@ SYMBOLS = "#*$%&|<>"
 LEVEL = 3
 CHUNK = 4096
 # (bytes up to, least ratio, largest ratio) of the compressed size to the size: short texts carry the frame's own bytes,
-# so they have no upper limit; long ones find more to refer back to.
-BANDS = ((128, 0.0, np.inf), (256, 0.30, np.inf), (1024, 0.28, 0.95), (4096, 0.25, 0.90),
-         (16384, 0.22, 0.85), (np.inf, 0.20, 0.85))
-CHUNK_BAND = (0.20, 0.90)
+# so they have no upper limit; long ones find more to refer back to. Prose of any script stays below the upper limits,
+# base64 and other noise in text form (0.75 and more) does not.
+BANDS = ((128, 0.0, np.inf), (256, 0.30, np.inf), (1024, 0.28, 0.85), (4096, 0.25, 0.75),
+         (16384, 0.22, 0.70), (np.inf, 0.20, 0.68))
+CHUNK_BAND = (0.20, 0.72)
 # A text goes if more than this share of its full chunks lies outside CHUNK_BAND.
 CHUNK_SHARE = 0.5
 MIN_WORDS = 50

@@ -198,12 +198,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """`docs` with one row of each group of near duplicates: that of the smallest id.
 
     By default five-word shingles and 256 bits, of which 38 may differ: the share 0.15 of differing bits
-    that a similarity of 0.8 leads to. Only ids move; the texts are read again for the rows that stay. Rows that repeat
-    an id go into the group as one and only one of them stays; of a group whose ids are all null one row stays.
+    that a similarity of 0.8 leads to. Only ids move; the texts are read again for the rows that stay. Of rows that
+    repeat an id one stays at most. A row of null id is known by a hash of its text and stays only if its group has no id.
     """
-    found = near_duplicates(docs, id_col, text_col, words, bits, max_bits)
-    key = F.col(id_col).cast("bigint")
-    stays = found.groupBy("component_id").agg(F.first("doc_id").alias("any"))
-    first = stays.filter("component_id is not null").select(F.col("component_id").alias("_first"))
-    unique = docs.join(first, key.eqNullSafe(F.col("_first")), "left_semi")
-    return unique.dropDuplicates([id_col])
+    key, first = "_key", "_first"
+    while {key, first} & set(docs.columns):
+        key, first = key + "_", first + "_"
+    unnamed = F.lit(1 << 62) + F.xxhash64(text_of(text_col)).bitwiseAND(F.lit((1 << 62) - 1))
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("bigint"), unnamed))
+    found = near_duplicates(keyed, key, text_col, words, bits, max_bits)
+    stays = found.select(F.col("component_id").alias(first)).distinct()
+    return keyed.join(stays, F.col(key) == F.col(first), "left_semi").dropDuplicates([key]).drop(key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +19,35 @@ FACTORS = 8
 # the fit in one process. Chosen by a hash of the id.
 FIT_ROWS = 8_000
 EPOCHS = 6
+# A small sample is gone through more often, for so many steps at least.
+LEAST_STEPS = 400
 BATCH = 64
-RATE = 0.05
-DECAY = 1e-5
+RATE = 1.0
+DECAY = 1e-4
+LEAST_CHI2 = 11.0
 THRESHOLD = 0.7
 _STRIP = b".,;:!?\"'()[]{}*#%&|$<>-_"
-_MEMO = 500_000
+_MEMO = 200_000
+# Lengths of the beginnings of a word that are terms of their own.
+STEMS = (4, 5, 6, 7)
 
 
 class _Slots(dict):
-    """Hash slot of a word, remembered."""
+    """Hash slots of a word's terms, remembered: the word itself and its beginnings, which stand for its stem."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple:
         if len(self) >= _MEMO:
             self.clear()
         bare = word.strip(_STRIP)
-        value = self[word] = zlib.crc32(bare) & ((1 << BITS) - 1) if bare else -1
+        stem = bare.decode(errors="replace")
+        terms = [bare] + [stem[:n].encode() + b"-" for n in STEMS if len(stem) >= n] if bare else []
+        value = self[word] = tuple(zlib.crc32(t) & ((1 << BITS) - 1) for t in terms)
         return value
 
 
 def features(text: bytes, slots: _Slots) -> np.ndarray:
     """Slots of the distinct lower-cased terms of a whole text."""
-    found = set(map(slots.__getitem__, set(text.lower().split())))
-    found.discard(-1)
+    found = set(chain.from_iterable(map(slots.__getitem__, set(text.lower().split()))))
     return np.fromiter(found, np.int64, len(found))
 
 
@@ -69,30 +76,41 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+def informative(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Slots whose presence goes with the label beyond chance: chi-squared, continuity-corrected, of at least LEAST_CHI2."""
+    slots = 1 << BITS
+    at = np.concatenate([np.zeros(0, np.int64), *rows])
+    y = np.repeat(labels, [len(r) for r in rows]) if rows else np.zeros(0)
+    a, b = np.bincount(at, y, slots), np.bincount(at, 1 - y, slots)
+    toxic, n = labels.sum(), len(labels)
+    c, d = toxic - a, n - toxic - b
+    spread = (a + b) * (c + d) * toxic * (n - toxic)
+    surplus = np.maximum(np.abs(a * d - b * c) - n / 2, 0)
+    return np.where(spread > 0, n * surplus ** 2 / np.maximum(spread, 1), 0) >= LEAST_CHI2
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> dict:
-    """Adaptive gradient descent on the log loss, in small batches."""
+    """Gradient descent on the log loss in small batches, over the informative slots; all others stay at zero."""
     rng = np.random.default_rng(seed)
     slots = 1 << BITS
-    model = {"b": -2.0, "w": np.zeros(slots), "v": rng.normal(0, 0.02, (slots, FACTORS))}
-    seen_w, seen_v, seen_b = np.full(slots, 1e-2), np.full((slots, FACTORS), 1e-2), 1e-2
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
+    keep = informative(rows, labels)
+    rows = [r[keep[r]] for r in rows]
+    model = {"b": -2.0, "w": np.zeros(slots), "v": rng.normal(0, 0.01, (slots, FACTORS)) * keep[:, None], "keep": keep}
+    batches = max(1, len(rows) // BATCH)
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches)) if rows else 0):
+        for part in np.array_split(rng.permutation(len(rows)), batches):
+            n = len(part)
             at, row = _pack([rows[i] for i in part])
-            z, total = margin(model, at, row, len(part))
+            z, total = margin(model, at, row, n)
             error = sigmoid(z) - labels[part]
-            size = np.maximum(np.bincount(row, minlength=len(part)), 1)
+            size = np.maximum(np.bincount(row, minlength=n), 1)
             used, where = np.unique(at, return_inverse=True)
-            grad_w = np.bincount(where, error[row], len(used)) + DECAY * model["w"][used]
             each = (error / size)[row][:, None] * (total[row] - model["v"][at])
-            grad_v = np.stack([np.bincount(where, each[:, f], len(used)) for f in range(FACTORS)], axis=1)
-            grad_v += DECAY * model["v"][used]
-            seen_w[used] += grad_w ** 2
-            seen_v[used] += grad_v ** 2
-            model["w"][used] -= RATE * 4 * grad_w / np.sqrt(seen_w[used])
-            model["v"][used] -= RATE * grad_v / np.sqrt(seen_v[used])
-            bias = float(error.sum())
-            seen_b += bias ** 2
-            model["b"] -= RATE * bias / seen_b ** 0.5
+            grad_w = np.bincount(where, error[row], len(used)) / n ** 0.5
+            grad_v = np.stack([np.bincount(where, each[:, f], len(used)) for f in range(FACTORS)], axis=1) / n ** 0.5
+            model["w"][used] -= RATE * (grad_w + DECAY * model["w"][used])
+            model["v"][used] -= RATE * (grad_v + DECAY * model["v"][used])
+            model["b"] -= RATE / 10 * float(error.mean())
     return model
 
 
@@ -142,7 +160,7 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     empty table gives an empty result; other columns are ignored, clashing names included.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
-        {"b": model["b"], "w": model["w"].astype(np.float32), "v": model["v"].astype(np.float32)})
+        {"b": model["b"], "w": model["w"].astype(np.float32), "v": model["v"].astype(np.float32), "keep": model["keep"]})
     target = "doc_id bigint, held_out boolean, score double, predicted int"
     schema = _arrow_schema(docs.sparkSession.createDataFrame([], target).schema)
 
@@ -152,7 +170,7 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 rows = [features(t.as_py(), slots) for t in part.column(2)]
-                at, row = _pack(rows)
+                at, row = _pack([r[known["keep"][r]] for r in rows])
                 score = sigmoid(margin(known, at, row, len(rows))[0])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(score, pa.float64()),
