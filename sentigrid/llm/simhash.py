@@ -14,7 +14,9 @@ from sentigrid.llm.components import connected_components
 from sentigrid.session import stage_table
 
 SEED = 42
+# Two segments of a 64-bit fingerprint; of a wide one, two shorter ones in each 64-bit word.
 SEGMENT = 32
+WIDE_SEGMENT = 28
 # A bucket of more distinct fingerprints than this is linked without pairing its members.
 HEAVY = 64
 _BLOCK = 4096
@@ -71,19 +73,19 @@ def _distance(x: str, y: str, lanes: int):
     return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(lanes)), F.lit(0))
 
 
-def _variants(classes: DataFrame, bits: int) -> DataFrame:
+def _variants(classes: DataFrame, bits: int, width: int) -> DataFrame:
     """One row per segment variant: the whole segment, and it with each single bit left out.
 
     `key` names segment, left-out bit and what is left; `bit` is the value of the left-out bit
     (null for the whole segment).
     """
-    per = SEGMENT + 1
+    per = width + 1
     i = F.col("i")
     segment, hole = F.floor(i / per).cast("int"), (i % per - 1).cast("int")
     word = F.get(F.col("fp"), F.floor(segment / 2).cast("int"))
-    value = F.when(segment % 2 == 0, word).otherwise(F.shiftrightunsigned(word, SEGMENT))
-    value = value.bitwiseAND(F.lit((1 << SEGMENT) - 1))
-    spread = classes.select("cls", "fp", F.explode(F.sequence(F.lit(0), F.lit(bits // SEGMENT * per - 1))).alias("i"))
+    value = F.when(segment % 2 == 0, word).otherwise(F.shiftrightunsigned(word, width))
+    value = value.bitwiseAND(F.lit((1 << width) - 1))
+    spread = classes.select("cls", "fp", F.explode(F.sequence(F.lit(0), F.lit(bits // 32 * per - 1))).alias("i"))
     spread = spread.select("cls", "fp", "i", hole.alias("hole"), value.alias("v"))
     one = F.expr("shiftleft(1L, greatest(hole, 0))")
     keyed = F.when(F.col("hole") < 0, F.col("v")).otherwise(F.col("v").bitwiseAND(F.bitwise_not(one)))
@@ -91,7 +93,7 @@ def _variants(classes: DataFrame, bits: int) -> DataFrame:
     return spread.select("cls", "fp", (i.cast("bigint") * (1 << SEGMENT) + keyed).alias("key"), bit.alias("bit"))
 
 
-def _buckets(classes: DataFrame, bits: int) -> DataFrame:
+def _buckets(classes: DataFrame, bits: int, width: int) -> DataFrame:
     """Variants that at least two fingerprints share usefully, with the size `n` of their bucket.
 
     A bucket with a left-out bit is useful only if both values of that bit occur in it: two
@@ -100,7 +102,7 @@ def _buckets(classes: DataFrame, bits: int) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    narrow = _variants(classes, bits).select("key", "cls", "bit")
+    narrow = _variants(classes, bits, width).select("key", "cls", "bit")
     same = Window.partitionBy("key")
     sized = narrow.select("key", "cls", "bit", F.count("*").over(same).alias("n"),
                           F.min("bit").over(same).alias("lo"), F.max("bit").over(same).alias("hi"))
@@ -134,7 +136,8 @@ def _pivot_links(heavy: DataFrame, lanes: int, max_bits: int) -> DataFrame:
     """Links of large buckets through pivots: what is linked to a pivot needs no link among itself.
 
     In each round the smallest member not yet tied to a pivot is compared with the whole bucket; one round
-    settles one group of near copies, and rounds go on until every member is tied.
+    settles one group of near copies, and rounds go on until every member is tied. Every member is linked to all
+    pivots it is close to; two members of different pivots stay unlinked here if no pivot is close to both.
     """
     links, left = [], heavy
     while True:
@@ -153,14 +156,14 @@ def _pivot_links(heavy: DataFrame, lanes: int, max_bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                    bits: int = 64, max_bits: int = 2) -> DataFrame:
+                    bits: int = 64, max_bits: int = 2, width: int = SEGMENT) -> DataFrame:
     """(doc_id, fp, component_id) of every row: near duplicates share a component.
 
     Fingerprints are cut into segments of 32 bits. Of two 64-bit fingerprints at distance 2 or
     less, one segment differs in at most one bit, so they share a variant of that segment with one bit
     left out; variants are joined by equality and the distance verifies. Wider
-    fingerprints (bits=256) have more segments and take a larger distance: such pairs meet if any segment
-    differs in at most one bit.
+    fingerprints (bits=512) have more segments, each of `width` bits, and take a larger distance: such pairs
+    meet if any segment differs in at most one bit.
 
     Texts of equal fingerprint are one class before anything is joined, so copies never multiply.
     Buckets of at most 64 classes are paired; larger ones are linked through common neighbours (64 bits) or pivots.
@@ -169,13 +172,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept. `component_id` is the smallest non-null id reachable, null if all are null. An empty table gives an
     empty result; other columns are ignored.
     """
-    if bits % 64 or (bits == 64 and max_bits > 3):
-        raise ValueError("bits is a multiple of 64, and two segments prove a distance of 3 at most")
+    if bits % 64 or not 1 <= width <= SEGMENT or (bits == 64 and (max_bits > 3 or width < SEGMENT)):
+        raise ValueError("bits is a multiple of 64, and two segments of 32 bits prove a distance of 3 at most")
     lanes = bits // 64
     cls = F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")
     rows = stage_table(fingerprints(docs, id_col, text_col, words, bits).withColumn("cls", cls), "fingerprints")
     classes = stage_table(rows.groupBy("cls").agg(F.min("doc").alias("least"), F.first("fp").alias("fp")), "classes")
-    buckets = stage_table(_buckets(classes, bits), "buckets")
+    buckets = stage_table(_buckets(classes, bits, width), "buckets")
     if lanes == 1:
         buckets = buckets.withColumn("fp", F.array("cls"))
     else:
@@ -194,11 +197,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-               bits: int = 256, max_bits: int = 38) -> DataFrame:
+               bits: int = 512, max_bits: int = 82, width: int = WIDE_SEGMENT) -> DataFrame:
     """`docs` with one row of each group of near duplicates: that of the smallest id.
 
-    By default five-word shingles and 256 bits, of which 38 may differ: the share 0.15 of differing bits
-    that a similarity of 0.8 leads to. Only ids move; the texts are read again for the rows that stay. Of rows that
+    By default five-word shingles and 512 bits, of which 82 may differ: a similarity of 0.8 leads to a share of
+    0.15, or 78 bits, give or take 8. Only ids move; the texts are read again for the rows that stay. Of rows that
     repeat an id one stays at most. A row of null id is known by a hash of its text and stays only if its group has no id.
     """
     key, first = "_key", "_first"
@@ -206,6 +209,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         key, first = key + "_", first + "_"
     unnamed = F.lit(1 << 62) + F.xxhash64(text_of(text_col)).bitwiseAND(F.lit((1 << 62) - 1))
     keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("bigint"), unnamed))
-    found = near_duplicates(keyed, key, text_col, words, bits, max_bits)
+    found = near_duplicates(keyed, key, text_col, words, bits, max_bits, width)
     stays = found.select(F.col("component_id").alias(first)).distinct()
     return keyed.join(stays, F.col(key) == F.col(first), "left_semi").dropDuplicates([key]).drop(key)
