@@ -19,6 +19,8 @@ SEGMENT = 32
 WIDE_SEGMENT = 28
 # A bucket of more distinct fingerprints than this is linked without pairing its members.
 HEAVY = 64
+# Pivots of a bucket in one round: twice as many as in the round before, up to this number.
+PIVOTS = 64
 _BLOCK = 4096
 
 
@@ -135,13 +137,15 @@ def _neighbour_links(heavy: DataFrame) -> DataFrame:
 def _pivot_links(heavy: DataFrame, lanes: int, max_bits: int) -> DataFrame:
     """Links of large buckets through pivots: what is linked to a pivot needs no link among itself.
 
-    In each round the smallest member not yet tied to a pivot is compared with the whole bucket; one round
-    settles one group of near copies, and rounds go on until every member is tied. Every member is linked to all
+    In each round some members not yet tied to a pivot, one in the first and twice as many in each further round,
+    are compared with the whole bucket, until every member is tied. A pivot settles its group of near copies. Every member is linked to all
     pivots it is close to; two members of different pivots stay unlinked here if no pivot is close to both.
     """
-    links, left = [], heavy
+    links, left, slots = [], heavy, 1
     while True:
-        pivots = left.groupBy("key").agg(F.min(F.struct("cls", "fp")).alias("p"))
+        slot = F.pmod(F.xxhash64("cls", F.lit(slots)), F.lit(slots))
+        pivots = left.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("cls", "fp")).alias("p"))
+        slots = min(2 * slots, PIVOTS)
         met = heavy.join(pivots, "key").withColumn("pfp", F.col("p.fp"))
         met = met.filter(_distance("fp", "pfp", lanes) <= max_bits)
         met = stage_table(met.select("key", "cls", F.col("p.cls").alias("pivot")), "pivots")
