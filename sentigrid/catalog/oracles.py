@@ -134,24 +134,31 @@ _part("prepared", "labelled d_clean",
 # --- splits -------------------------------------------------------------------------------------
 
 
-def _quota(total: str, share: float) -> str:
-    return f"CAST(greatest(least(ceil(round({total} * {share!r}, 9)), {total} - 1), 0) AS BIGINT)"
+def _quotas(sizes: str, share: float) -> str:
+    """(label, total, quota): rows of a part per class, by largest remainder, from (label, total)."""
+    return f"""SELECT label, total, floor_n + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= wanted - sum(floor_n) OVER ()
+                      THEN 1 ELSE 0 END AS quota
+        FROM (SELECT *, (total * wanted) // everything AS floor_n, (total * wanted) % everything AS rest FROM (
+            SELECT *, CAST(greatest(least(ceil(round(everything * {share!r}, 9)), everything - 1), 0) AS BIGINT) AS wanted
+            FROM (SELECT label, total, CAST(sum(total) OVER () AS BIGINT) AS everything FROM ({sizes}))))"""
 
 
 def _split_parts(prefix: str, labels: str) -> None:
     config = Training()
     adjusted = config.validation_share / (1 - config.test_ratio)
     _part(f"{prefix}ranked", labels, f"""
-        SELECT doc_id, label, count(*) OVER (PARTITION BY label) AS total,
-               row_number() OVER (PARTITION BY label ORDER BY md5(concat('{config.seed}:', doc_id)), doc_id) AS place
+        SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('{config.seed}:', doc_id)), doc_id) AS place
         FROM {labels}""")
-    _part(f"{prefix}split", f"{prefix}ranked", f"""
-        SELECT doc_id, label, CASE WHEN place <= {_quota('total', config.test_ratio)} THEN 'test' ELSE 'train' END AS split
-        FROM {prefix}ranked""")
-    _part(f"{prefix}split3", f"{prefix}ranked", f"""
-        SELECT doc_id, label, CASE WHEN place <= q THEN 'test'
-               WHEN place <= q + {_quota('(total - q)', adjusted)} THEN 'val' ELSE 'train' END AS split
-        FROM (SELECT *, {_quota('total', config.test_ratio)} AS q FROM {prefix}ranked)""")
+    _part(f"{prefix}tested", labels, _quotas(f"SELECT label, count(*) AS total FROM {labels} GROUP BY label", config.test_ratio))
+    _part(f"{prefix}checked", f"{prefix}tested",
+          _quotas(f"SELECT label, CAST(total - quota AS BIGINT) AS total FROM {prefix}tested", adjusted))
+    _part(f"{prefix}split", f"{prefix}ranked {prefix}tested", f"""
+        SELECT doc_id, label, CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS split
+        FROM {prefix}ranked JOIN {prefix}tested USING (label)""")
+    _part(f"{prefix}split3", f"{prefix}ranked {prefix}tested {prefix}checked", f"""
+        SELECT doc_id, r.label, CASE WHEN place <= t.quota THEN 'test'
+               WHEN place <= t.quota + v.quota THEN 'val' ELSE 'train' END AS split
+        FROM {prefix}ranked r JOIN {prefix}tested t ON t.label = r.label JOIN {prefix}checked v ON v.label = r.label""")
 
 
 _split_parts("", "labelled")

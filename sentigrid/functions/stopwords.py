@@ -27,7 +27,7 @@ ENGLISH = (
 ).split()
 # --- end of fixed values ----------------------------------------------------------------
 
-DEFAULT = INDONESIAN + ENGLISH
+DEFAULT = INDONESIAN
 
 
 def from_table(table: DataFrame) -> list[str]:

@@ -71,6 +71,14 @@ def class_list(df: DataFrame, label_col: str = "label") -> list[str]:
     return [r[0] for r in rows]
 
 
+def class_sizes(df: DataFrame, label_col: str = "label") -> dict[str, int]:
+    """Rows per label in alphabetical order; more than MAX_CLASSES labels are refused."""
+    rows = df.groupBy(label_col).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"at most {MAX_CLASSES} classes are supported")
+    return {r[0]: r.n for r in sorted(rows, key=lambda r: r[0] or "") if r[0] is not None}
+
+
 def class_balance(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Number of classes and of rows in the smallest and largest class."""
     return (

@@ -2,84 +2,108 @@
 
 Documents of a class are ordered by a seeded md5 of their key, and the first ones up to an
 exact quota go to the test part, the next to the validation part. No class is ever sorted
-as a whole: the position of a quota is found in a histogram of hash prefixes, and only the
-one prefix in which it falls is ranked. The split itself is then a comparison per row.
+as a whole: the position of a quota is found in a histogram of hash prefixes, the prefix in which it falls
+is refined until it holds few rows, and only these are ranked. The split itself is then a comparison per row.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentigrid.operators.labelling import class_list
+from sentigrid.operators.labelling import class_sizes
 
-# hex digits of the hash in the histogram: 16**3 rows per class, each holding 1/4096 of it
-PREFIX_DIGITS = 3
+# hex digits by which a prefix grows: a step's histogram has 16**3 rows per class and cut
+STEP_DIGITS = 3
+# rows that one task ranks for a cut
+RANKED = 100_000
+_KEY_DIGITS = 32
+_CROSSING = "label string, no int, prefix string, need bigint"
 
 
 def order_key(doc_id: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string")).cast("binary"))
 
 
-def _share_of(total: Column, share: float) -> Column:
-    """ceil(share * total), leaving at least one; the inner rounding hides binary fractions."""
-    return F.least(F.ceil(F.round(total * F.lit(share), 9)), total - 1).cast("bigint")
-
+def class_quotas(sizes: dict[str, int], share: float) -> dict[str, int]:
+    """ceil(share * rows) rows in all, leaving at least one, spread over the classes by largest remainder.
 
-def quotas(total: Column, shares: list[float]) -> list[Column]:
-    """Cumulative cut positions: each share is taken from what the previous ones left."""
-    cuts, taken = [], F.lit(0).cast("bigint")
+    Equal remainders go by class name. The inner rounding hides binary fractions.
+    """
+    rows = sum(sizes.values())
+    wanted = max(min(math.ceil(round(rows * share, 9)), rows - 1), 0)
+    quota = {c: n * wanted // rows for c, n in sizes.items()} if rows else {}
+    by_remainder = sorted(sizes, key=lambda c: (-(sizes[c] * wanted % rows), c)) if rows else []
+    for c in by_remainder[:wanted - sum(quota.values())]:
+        quota[c] += 1
+    return quota
+
+
+def cumulative_quotas(sizes: dict[str, int], shares: list[float]) -> list[dict[str, int]]:
+    """Cut positions per class: each share is taken from what the previous ones left."""
+    cuts, rest = [], dict(sizes)
     for share in shares:
-        rest = total - taken
-        taken = taken + F.greatest(_share_of(rest, share), F.lit(0).cast("bigint"))
-        cuts.append(taken)
+        part = class_quotas(rest, share)
+        rest = {c: n - part[c] for c, n in rest.items()}
+        cuts.append({c: sizes[c] - n for c, n in rest.items()})
     return cuts
 
 
-def _cut_keys(keyed: DataFrame, shares: list[float]) -> DataFrame:
-    """Per label, the (key, id) at each cut: (label, cut_0, cut_1, ...), null for an empty part."""
-    histogram = keyed.groupBy("label", "bucket").agg(F.count("*").alias("n"))
-    whole = Window.partitionBy("label")
-    running = histogram.withColumn("total", F.sum("n").over(whole)).withColumn(
-        "upto", F.sum("n").over(whole.orderBy("bucket"))
-    )
-    crossing = running.select(
-        "label", "bucket", "n", "upto", F.posexplode(F.array(*quotas(F.col("total"), shares))).alias("no", "quota")
-    ).filter((F.col("quota") > F.col("upto") - F.col("n")) & (F.col("quota") <= F.col("upto"))).select(
-        "label", "bucket", "no", (F.col("quota") - F.col("upto") + F.col("n")).alias("need")
-    )
-    inside = Window.partitionBy("label", "no").orderBy("at")
+def _cut_keys(keyed: DataFrame, cuts: list[dict[str, int]]) -> DataFrame:
+    """Per label, the (key, id) at each cut: (label, cut_0, cut_1, ...), null for an empty part.
+
+    Only one row per class and cut reaches the driver in a step; classes are bounded.
+    """
+    spark = keyed.sparkSession
+    crossing = [(c, no, "", n) for no, quota in enumerate(cuts) for c, n in quota.items() if n]
+    digits = 0
+    while True:
+        at_prefix = F.broadcast(spark.createDataFrame(crossing, _CROSSING))
+        inside = keyed.withColumn("prefix", F.substring("at.key", 1, digits)).join(at_prefix, ["label", "prefix"])
+        digits += STEP_DIGITS
+        finer = F.substring("at.key", 1, digits)
+        histogram = inside.groupBy("label", "no", "need", finer.alias("finer")).agg(F.count("*").alias("n"))
+        before = Window.partitionBy("label", "no").orderBy("finer")
+        found = histogram.withColumn("upto", F.sum("n").over(before)).filter(
+            (F.col("need") > F.col("upto") - F.col("n")) & (F.col("need") <= F.col("upto")))
+        rows = found.select("label", "no", "finer", (F.col("need") - F.col("upto") + F.col("n")).alias("need"), "n").collect()
+        crossing = [(r.label, r.no, r.finer, r.need) for r in rows]
+        if digits + STEP_DIGITS > _KEY_DIGITS or all(r.n <= RANKED for r in rows):
+            break
+    at_prefix = F.broadcast(spark.createDataFrame(crossing, _CROSSING))
+    inside = keyed.withColumn("prefix", F.substring("at.key", 1, digits)).join(at_prefix, ["label", "prefix"])
+    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("label", "no").orderBy("at")))
     return (
-        keyed.join(F.broadcast(crossing), ["label", "bucket"])
-        .withColumn("rank", F.row_number().over(inside))
-        .filter(F.col("rank") == F.col("need"))
-        .groupBy("label")
-        .agg(*[F.max(F.when(F.col("no") == i, F.col("at"))).alias(f"cut_{i}") for i in range(len(shares))])
+        ranked.filter(F.col("rank") == F.col("need")).groupBy("label")
+        .agg(*[F.max(F.when(F.col("no") == i, F.col("at"))).alias(f"cut_{i}") for i in range(len(cuts))])
     )
 
 
-def split_by_class(df: DataFrame, parts: list[str], shares: list[float], seed: int = 42) -> DataFrame:
+def split_by_class(df: DataFrame, parts: list[str], shares: list[float], seed: int = 42,
+                   sizes: dict[str, int] | None = None) -> DataFrame:
     """Adds `split` to a frame with doc_id and label; rows beyond the last cut are 'train'.
 
-    The cut table is broadcast: one row per class, and too many classes are refused first.
+    The cut table is broadcast: one row per class, and too many classes are refused first. Known class
+    sizes save a pass.
     """
-    class_list(df)
+    cuts = cumulative_quotas(class_sizes(df) if sizes is None else sizes, shares)
     keyed = df.select("label", F.struct(order_key(F.col("doc_id"), seed).alias("key"), "doc_id").alias("at"))
-    keyed = keyed.withColumn("bucket", F.substring("at.key", 1, PREFIX_DIGITS))
-    cuts = _cut_keys(keyed, shares)
     at = F.struct(order_key(F.col("doc_id"), seed).alias("key"), "doc_id")
-    joined = df.join(F.broadcast(cuts), "label", "left")
+    joined = df.join(F.broadcast(_cut_keys(keyed, cuts)), "label", "left")
     part = F.lit("train")
     for i in reversed(range(len(parts))):
         part = F.when(at <= F.col(f"cut_{i}"), parts[i]).otherwise(part)
     return joined.withColumn("split", part).drop(*[f"cut_{i}" for i in range(len(parts))])
 
 
-def stratified_split(df: DataFrame, test_ratio: float = 0.2, seed: int = 42) -> DataFrame:
-    return split_by_class(df, ["test"], [test_ratio], seed)
+def stratified_split(df: DataFrame, test_ratio: float = 0.2, seed: int = 42,
+                     sizes: dict[str, int] | None = None) -> DataFrame:
+    return split_by_class(df, ["test"], [test_ratio], seed, sizes)
 
 
 def three_way_split(df: DataFrame, test_ratio: float = 0.2, validation_share: float = 0.1,
-                    seed: int = 42) -> DataFrame:
+                    seed: int = 42, sizes: dict[str, int] | None = None) -> DataFrame:
     """Test first; then `validation_share` of all rows from the rest as validation part."""
-    return split_by_class(df, ["test", "val"], [test_ratio, validation_share / (1 - test_ratio)], seed)
+    return split_by_class(df, ["test", "val"], [test_ratio, validation_share / (1 - test_ratio)], seed, sizes)

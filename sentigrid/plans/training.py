@@ -13,7 +13,7 @@ from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
 from sentigrid.functions.lexicon import EXTENDED, Lexicon, with_label
 from sentigrid.operators.features import Vocabulary
-from sentigrid.operators.labelling import class_list, require_min_classes
+from sentigrid.operators.labelling import class_list, class_sizes, require_min_classes
 from sentigrid.operators.naive_bayes import (
     NaiveBayesModel, TermSums, alpha_sweep, best_alpha, sweep_history,
 )
@@ -48,12 +48,13 @@ class TrainedNaiveBayes:
         return self.model.score_features(self.part(split))
 
 
-def split_features(prepared: DataFrame, config: Training = Training()) -> tuple[DataFrame, Vocabulary]:
-    """Split, vocabulary and weights of a (doc_id, label, terms) table, written once."""
+def split_features(prepared: DataFrame, config: Training = Training(),
+                   sizes: dict[str, int] | None = None) -> tuple[DataFrame, Vocabulary]:
+    """Split, vocabulary and weights of a (doc_id, label, terms) table, written once. Known class sizes save a pass."""
     if config.choose_on == "val":
-        parts = three_way_split(prepared, config.test_ratio, config.validation_share, config.seed)
+        parts = three_way_split(prepared, config.test_ratio, config.validation_share, config.seed, sizes)
     else:
-        parts = stratified_split(prepared, config.test_ratio, config.seed)
+        parts = stratified_split(prepared, config.test_ratio, config.seed, sizes)
     fit_rows = parts if config.fit_on == "train" else prepared
     if config.fit_on == "train":
         fit_rows = fit_rows.filter(F.col("split") == "train")
@@ -71,10 +72,11 @@ def train_naive_bayes(prepared: DataFrame, config: Training = Training(), alpha:
     final fit. With the defaults the vocabulary sees every row and alpha is chosen on the test
     part; `fit_on` and `choose_on` in the config keep the parts apart.
     """
-    classes = class_list(prepared)
+    sizes = class_sizes(prepared)
+    classes = list(sizes)
     if len(classes) < 2:
         raise ValueError(f"training needs at least 2 different labels, found {len(classes)}")
-    features, vocabulary = split_features(prepared, config)
+    features, vocabulary = split_features(prepared, config, sizes)
     train = features.filter(F.col("split") == "train")
     sums = TermSums.collect(train, classes, len(vocabulary.terms))
     history = None

@@ -135,30 +135,36 @@ def test_one_class_is_refused(prepared):
         training.train_naive_bayes(prepared.filter("label = 'a'"))
 
 
-@pytest.mark.parametrize("ratio", [0.1, 0.2, 0.5])
-def test_split_quotas(spark, ratio):
-    sizes = {"one": 1, "two": 2, "five": 5, "many": 100, "hot": 6000}
+# 108 rows of sizes 1, 2, 5, 100: 11, 22 and 54 rows by hand
+@pytest.mark.parametrize("ratio, quotas", [
+    (0.1, {"one": 0, "two": 0, "five": 1, "many": 10}),
+    (0.2, {"one": 0, "two": 1, "five": 1, "many": 20}),
+    (0.5, {"one": 0, "two": 1, "five": 3, "many": 50}),
+])
+def test_split_quotas(spark, ratio, quotas, monkeypatch):
+    monkeypatch.setattr(sp, "RANKED", 2)  # many rows for one prefix: it is refined
+    sizes = {"one": 1, "two": 2, "five": 5, "many": 100}
     rows, i = [], 0
     for label, n in sizes.items():
         for _ in range(n):
             rows.append((i, label))
             i += 1
     df = spark.createDataFrame(rows, "doc_id bigint, label string")
+    monkeypatch.setattr(sp, "STEP_DIGITS", 1)
     got = sp.stratified_split(df, ratio).collect()
     assert len(got) == len(rows) and {r.doc_id for r in got} == set(range(i))
     import hashlib
-    for label, n in sizes.items():
+    for label in sizes:
         mine = sorted((hashlib.md5(f"42:{r.doc_id}".encode()).hexdigest(), r.doc_id) for r in got if r.label == label)
         test = {r.doc_id for r in got if r.label == label and r.split == "test"}
-        quota = max(min(math.ceil(round(ratio * n, 9)), n - 1), 0)
-        assert test == {d for _, d in mine[:quota]}
+        assert test == {d for _, d in mine[:quotas[label]]}
 
 
 def test_three_way_split_is_repeatable(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("label"))
     first = {(r.doc_id, r.split) for r in sp.three_way_split(df).collect()}
     assert first == {(r.doc_id, r.split) for r in sp.three_way_split(df.repartition(7)).collect()}
-    assert {s: sum(x == s for _, x in first) for s in ("train", "val", "test")} == {"train": 698, "val": 101, "test": 201}
+    assert {s: sum(x == s for _, x in first) for s in ("train", "val", "test")} == {"train": 700, "val": 100, "test": 200}
     other = {(r.doc_id, r.split) for r in sp.three_way_split(df, seed=7).collect()}
     assert other != first
 
