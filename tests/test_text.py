@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sentigrid.config import Preprocess
+from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
 from sentigrid.functions.stemming import porter_stem, stem_tokens
 
@@ -65,8 +66,9 @@ def test_pipeline_switches(column):
     rows = ["Running runners @me, the cats!"]
     off = Preprocess(False, False, False)
     assert column(rows, tx.full_pipeline(F.col("text"), off)) == ["running runners @ me , the cats !"]
-    assert column(rows, tx.full_pipeline(F.col("text"), Preprocess.extended())) == ["running runners cats"]
-    assert column(rows, tx.full_pipeline(F.col("text"), Preprocess.compact())) == ["run runner cat"]
+    assert column(rows, tx.full_pipeline(F.col("text"), Preprocess.extended(), stoplists.ENGLISH)) == ["running runners cats"]
+    assert column(rows, tx.full_pipeline(F.col("text"), Preprocess.compact(), stoplists.ENGLISH)) == ["run runner cat"]
+    assert column(["not the yang dan x"], tx.full_pipeline(F.col("text"), Preprocess.extended())) == ["not the x"]
 
 
 def test_trace_ends_with_the_pipeline_result(texts, column):
@@ -81,7 +83,7 @@ def test_trace_ends_with_the_pipeline_result(texts, column):
 
 
 def test_preprocess_text(column):
-    assert column(["Don't @stop, the cats!", None], tx.preprocess_text(F.col("text"), stem=False)) == ["dont stop cats", ""]
+    assert column(["Don't @stop, the cats!", None], tx.preprocess_text(F.col("text"), stem=False, words=stoplists.ENGLISH)) == ["dont stop cats", ""]
 
 
 def test_counts_and_blank(column):
