@@ -96,27 +96,56 @@ def _variants(classes: DataFrame, bits: int, width: int) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, bits: int, width: int) -> DataFrame:
-    """Variants that at least two fingerprints share usefully, with the size `n` of their bucket.
+    """Variants that at least two fingerprints share usefully, with the size `n` and the least class `hub` of their bucket.
 
     A bucket with a left-out bit is useful only if both values of that bit occur in it: two
-    fingerprints with equal segments already meet in the bucket of the whole segment. Only key, class and bit travel; the
-    fingerprint itself is the class when it has 64 bits.
+    fingerprints with equal segments already meet in the bucket of the whole segment. Only key, class and bit travel,
+    never the fingerprint.
     """
     from pyspark.sql import Window
 
     narrow = _variants(classes, bits, width).select("key", "cls", "bit")
     same = Window.partitionBy("key")
-    sized = narrow.select("key", "cls", "bit", F.count("*").over(same).alias("n"),
+    sized = narrow.select("key", "cls", "bit", F.count("*").over(same).alias("n"), F.min("cls").over(same).alias("hub"),
                           F.min("bit").over(same).alias("lo"), F.max("bit").over(same).alias("hi"))
     kept = sized.filter((F.col("n") > 1) & (F.col("lo").isNull() | (F.col("lo") < F.col("hi"))))
-    return kept.select("key", "cls", "bit", "n")
+    return kept.select("key", "cls", "bit", "n", "hub")
+
+
+def _with_print(df: DataFrame, classes: DataFrame, lanes: int, cls: str, fp: str) -> DataFrame:
+    """`df` with the fingerprint of the class in column `cls`; one of 64 bits is the class itself."""
+    if lanes == 1:
+        return df.withColumn(fp, F.array(cls))
+    return df.join(classes.select(F.col("cls").alias(cls), F.col("fp").alias(fp)), cls)
+
+
+def _hub_links(buckets: DataFrame, classes: DataFrame, lanes: int, max_bits: int) -> DataFrame:
+    """Links of the members of every bucket to its least class, where the distance allows them.
+
+    A large group of copies meets in many buckets, mostly around the same hubs: each (class, hub) is verified once.
+    """
+    met = buckets.select("cls", "hub").filter("cls != hub").distinct()
+    met = _with_print(_with_print(met, classes, lanes, "cls", "fp"), classes, lanes, "hub", "hub_fp")
+    return (met.filter(_distance("fp", "hub_fp", lanes) <= max_bits)
+            .select(F.col("hub").alias("a"), F.col("cls").alias("b")))
+
+
+def _mixed(buckets: DataFrame, classes: DataFrame, parts: DataFrame, lanes: int) -> DataFrame:
+    """The buckets in which classes of different parts meet, with part and fingerprint of each member.
+
+    Within a part everything is linked already, so no other bucket can add a link that matters.
+    """
+    part = parts.select(F.col("node").alias("cls"), F.col("root").alias("part"))
+    known = buckets.join(part, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    open_ = known.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
+    return _with_print(known.join(open_.select("key"), "key", "left_semi"), classes, lanes, "cls", "fp")
 
 
 def _pair_links(light: DataFrame, lanes: int, max_bits: int) -> DataFrame:
-    """Pairs within buckets of at most HEAVY members, verified by their distance."""
+    """Pairs of different parts within buckets of at most HEAVY members, verified by their distance."""
     x, y = light.alias("x"), light.alias("y")
     ordered = F.when(F.col("x.bit").isNull(), F.col("x.cls") < F.col("y.cls")).otherwise(F.col("x.bit") < F.col("y.bit"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & ordered)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & ordered & (F.col("x.part") != F.col("y.part")))
     return (met.filter(_distance("x.fp", "y.fp", lanes) <= max_bits)
             .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")))
 
@@ -170,7 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meet if any segment differs in at most one bit.
 
     Texts of equal fingerprint are one class before anything is joined, so copies never multiply.
-    Buckets of at most 64 classes are paired; larger ones are linked through common neighbours (64 bits) or pivots.
+    Each bucket first links its members to its least class. Only buckets in which different parts of the link graph still
+    meet go on: of at most 64 classes, members of different parts are paired; larger ones are linked through common
+    neighbours (64 bits) or pivots.
 
     A null or empty text has the fingerprint zero and is linked like any other. Repeated rows are
     kept. `component_id` is the smallest non-null id reachable, null if all are null. An empty table gives an
@@ -183,12 +214,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage_table(fingerprints(docs, id_col, text_col, words, bits).withColumn("cls", cls), "fingerprints")
     classes = stage_table(rows.groupBy("cls").agg(F.min("doc").alias("least"), F.first("fp").alias("fp")), "classes")
     buckets = stage_table(_buckets(classes, bits, width), "buckets")
-    if lanes == 1:
-        buckets = buckets.withColumn("fp", F.array("cls"))
-    else:
-        buckets = buckets.join(classes.select("cls", "fp"), "cls")
-    light, heavy = buckets.filter(F.col("n") <= HEAVY), buckets.filter(F.col("n") > HEAVY)
-    links = _pair_links(light, lanes, max_bits)
+    parts = stage_table(connected_components(_hub_links(buckets, classes, lanes, max_bits)), "parts")
+    mixed = stage_table(_mixed(buckets, classes, parts, lanes), "mixed")
+    light, heavy = mixed.filter(F.col("n") <= HEAVY), mixed.filter(F.col("n") > HEAVY)
+    known = parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = known.unionByName(_pair_links(light, lanes, max_bits))
     if not heavy.isEmpty():
         close = _neighbour_links(heavy) if lanes == 1 and max_bits <= 2 else _pivot_links(heavy, lanes, max_bits)
         links = links.unionByName(close)
