@@ -1,22 +1,20 @@
-"""Benchmark decontamination: rare word n-grams as seeds, Smith-Waterman alignment as proof."""
+"""Benchmark decontamination: word pairs as seeds, Smith-Waterman alignment as proof."""
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from sentigrid.llm.common import SLICE, _arrow_schema, map_rows, record_batch, text_of
 from sentigrid.session import stage_table
 
-GRAM = 3
-# Of so many consecutive n-grams of an item, the rarest becomes a seed.
-WINDOW = 4
 # Hits of one passage lie at most so many words apart.
 GAP = 48
 MATCH, MISS, SKIP = 2, -1, -1
@@ -43,15 +41,35 @@ def tokens(text: bytes, memo: _Memo) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def grams(ids: np.ndarray) -> np.ndarray:
-    """Number of the n-gram at each word; an item shorter than n words is one n-gram."""
-    n = len(ids)
-    size = min(GRAM, n)
-    out = np.zeros(max(0, n - size + 1), np.uint64) if n else ids
-    for k in range(size):
-        out = (out ^ ids[k:n - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out = out ^ (out >> np.uint64(29))
-    return out
+def pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of word pairs."""
+    out = (left * np.uint64(0x9E3779B97F4A7C15) ^ right) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(29))
+
+
+def pairs_needed(n: int, least: float) -> int:
+    """How many of the n - 1 neighbour pairs of an item every accepted copy has, side by side or with one word between.
+
+    Of a copy's steps from match to match, s need no edit, t insert one word, p leave out u >= p words of the item, the
+    others insert two words or more. Its score is at most 2 + 2s + t + 2p - u, and s + t + p + u < n; so a
+    score of 2 * least * n takes 1.5 s + 0.5 t >= 2 * least * n - (n + 3) / 2. At 0 or less pairs prove nothing.
+    """
+    return math.ceil((2 * least * n - (n + 3) / 2) / 1.5 - 1e-9)
+
+
+def item_keys(ids: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """Keys of an item and how many of them every accepted copy has: its neighbour pairs, or the words of a very short item."""
+    need = pairs_needed(len(ids), least)
+    if need > 0:
+        return pairs(ids[:-1], ids[1:]), need
+    return ids, max(1, math.ceil(least * len(ids) - 1e-9))
+
+
+def text_keys(ids: np.ndarray, with_words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that a text can share with an item, and the word each begins at."""
+    at = np.arange(len(ids))
+    found = [(pairs(ids[:-1], ids[1:]), at[:-1]), (pairs(ids[:-2], ids[2:]), at[:-2])] + [(ids, at)] * with_words
+    return np.concatenate([k for k, _ in found]), np.concatenate([a for _, a in found])
 
 
 def _signed(values: np.ndarray) -> list[int]:
@@ -59,7 +77,8 @@ def _signed(values: np.ndarray) -> list[int]:
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A fixed-size bit table of the n-gram numbers in `h`: at most 2^17 words of 64 bits reach the driver."""
+    """A fixed-size bit table with two bits for each key in `h`: at most 2^17 words of 64 bits reach the driver."""
+    keys = keys.select(F.explode(F.array("h", F.call_function("shiftleft", F.col("h"), F.lit(_FILTER_BITS)))).alias("h"))
     cell = F.shiftrightunsigned("h", 64 - _FILTER_BITS)
     word = F.floor(cell / 64)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (cell % 64).cast("int"))
@@ -71,25 +90,29 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
 
 
 def _known(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(table[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+    shift = np.uint64(64 - _FILTER_BITS)
+    at = np.flatnonzero(table[(h >> shift).astype(np.int64)])
+    return at[table[((h[at] << np.uint64(_FILTER_BITS)) >> shift).astype(np.int64)]]
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, words): distinct items with the numbers of their words."""
+def _items(benchmark: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """(no, item, words, keys, need): distinct items with the numbers of their words and keys."""
     memo = _Memo()
 
     def body(ids, texts):
         for i, t in zip(ids, texts):
             ids_ = tokens(t, memo)
             if len(ids_):
-                yield i, _signed(ids_), _signed(grams(ids_))
+                keys, need = item_keys(ids_, least)
+                yield i, _signed(ids_), _signed(keys), need
 
     picked = benchmark.select(F.col(id_col).cast("bigint").alias("item"), text_of(text_col).cast("binary").alias("t")).distinct()
-    return map_rows(picked, body, "item bigint, words array<bigint>, grams array<bigint>")
+    made = map_rows(picked, body, "item bigint, words array<bigint>, keys array<bigint>, need int")
+    return made.withColumn("no", F.monotonically_increasing_id())
 
 
-def _frequencies(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(h, df) of the n-grams the table knows, over all documents; counts are combined in the tasks."""
+def _frequencies(docs: DataFrame, table: np.ndarray, with_words: bool) -> DataFrame:
+    """(h, df) of the keys the table knows, over all documents; counts are combined in the tasks."""
     schema = _arrow_schema(docs.sparkSession.createDataFrame([], "h bigint, n bigint").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +120,7 @@ def _frequencies(docs: DataFrame, table: np.ndarray) -> DataFrame:
         for batch in batches:
             seen: Counter = Counter()
             for text in batch.column(0):
-                h = grams(tokens(text.as_py(), memo))
+                h, _ = text_keys(tokens(text.as_py(), memo), with_words)
                 seen.update(_signed(np.unique(h[_known(h, table)])))
             if seen:
                 yield record_batch(list(seen.items()), schema)
@@ -107,28 +130,31 @@ def _frequencies(docs: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def _rare_seeds(items: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(h, item): in every run of WINDOW n-grams of an item the rarest one, so no part of an item is without seeds."""
-    at = items.select("item", F.posexplode("grams").alias("pos", "h"), F.size("grams").alias("n"))
-    weighed = at.join(frequencies, "h", "left").withColumn("w", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h"))
-    last = F.greatest(F.col("n") - WINDOW, F.lit(0))
-    runs = F.explode(F.sequence(F.greatest(F.col("pos") - WINDOW + 1, F.lit(0)), F.least(F.col("pos"), last)))
-    best = weighed.select("item", "w", runs.alias("run")).groupBy("item", "run").agg(F.min("w").alias("w"))
-    return best.select(F.col("w.h").alias("h"), "item").distinct()
+    """(h, no): the keys of each item without the need - 1 most frequent ones.
 
+    An accepted copy has `need` keys of the item, so it has one of these; a key that is in no document meets nothing.
+    """
+    at = items.select("no", "need", F.size("keys").alias("n"), F.explode("keys").alias("h"))
+    weighed = at.join(frequencies, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("no").orderBy("df", "h"))
+    kept = weighed.withColumn("rank", rank).filter((F.col("rank") <= F.col("n") - F.col("need") + 1) & (F.col("df") > 0))
+    return kept.select("h", "no").distinct()
 
-def _passages(docs: DataFrame, table: np.ndarray, reach: int) -> DataFrame:
+
+def _passages(docs: DataFrame, table: np.ndarray, reach: int, with_words: bool) -> DataFrame:
     """(doc, start, words, hits): the surroundings of seed hits, as word numbers; documents without hits leave no row."""
     memo = _Memo()
 
     def body(ids, texts):
         for i, t in zip(ids, texts):
             ids_ = tokens(t, memo)
-            h = grams(ids_)
-            at = _known(h, table)
-            if not len(at):
+            h, at = text_keys(ids_, with_words)
+            hit = _known(h, table)
+            if not len(hit):
                 continue
-            for run in np.split(at, np.flatnonzero(np.diff(at) > GAP) + 1):
-                lo, hi = max(0, int(run[0]) - reach), int(run[-1]) + GRAM + reach
+            hit = hit[np.argsort(at[hit], kind="stable")]
+            for run in np.split(hit, np.flatnonzero(np.diff(at[hit]) > GAP) + 1):
+                lo, hi = max(0, int(at[run[0]]) - reach), int(at[run[-1]]) + 1 + reach
                 yield i, lo, _signed(ids_[lo:hi]), _signed(np.unique(h[run]))
 
     return map_rows(docs, body, "doc bigint, start bigint, words array<bigint>, hits array<bigint>")
@@ -154,6 +180,9 @@ def _aligned(pairs: DataFrame, least: float) -> DataFrame:
     def body(docs, items, starts, passages, words):
         for doc, item, start, passage, own in zip(docs, items, starts, passages, words):
             a, b = np.array(own, np.int64), np.array(passage, np.int64)
+            keys, need = item_keys(a.view(np.uint64), least)
+            if np.isin(keys, text_keys(b.view(np.uint64), len(keys) == len(a))[0]).sum() < need:
+                continue
             score, end = align(a, b)
             share = score / (MATCH * len(a))
             if share >= least:
@@ -167,28 +196,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           item_id_col: str = "item_id", item_text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): documents that hold a copy of a benchmark item.
 
-    Two passes over the texts. The first counts in how many documents each word 3-gram of the items occurs;
-    the rarest of every four in a row become seeds. The second cuts out the passages around seed hits;
-    these join the items by seed, and a Smith-Waterman alignment over words scores each
-    pair: 2 for a match, -1 for an edit, as a share of the item's own score. From 0.5 on it is a leak, so
-    edited, shortened and paraphrased copies count. One row per (document, item): the best alignment.
+    Two passes over the texts. The first counts in how many documents each pair of neighbour words of the items occurs,
+    side by side or with one word between. A copy that the alignment accepts has a third of an item's pairs at least
+    (`pairs_needed`), so all but the most frequent ones become seeds and no such copy is without a seed. The second pass
+    cuts out the passages around seed hits, as wide as an accepted copy can be; these join the items by seed, and a
+    Smith-Waterman alignment over words scores each pair: 2 for a match, -1 for an edit, as a share of the
+    item's own score. From 0.5 on it is a leak, so edited, shortened and paraphrased copies count. One row per
+    (document, item): the best alignment.
 
     What tasks get of the items is a bit table of fixed size; everything else is joined by equality, so items
     may be many. Items and documents without a word match nothing; null texts count as empty; repeated rows
     give one result row; null ids are kept as null. Empty tables give an empty result; other columns are ignored.
     """
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc"), text_of(text_col).cast("binary").alias("t"))
-    items = stage_table(_items(benchmark, item_id_col, item_text_col), "items")
-    reach = items.agg(F.max(F.size("words"))).first()[0] or 0
-    every = items.select(F.explode("grams").alias("h"))
-    df = _frequencies(picked, _filter_of(every))
+    items = stage_table(_items(benchmark, item_id_col, item_text_col, least), "items")
+    size = F.size("words")
+    longest, with_words = items.agg(F.max(size), F.max(size == F.size("keys"))).first()
+    # an accepted copy has at most n words of the item and 2 n (1 - least) inserted ones
+    reach, with_words = math.ceil((longest or 0) * (3 - 2 * least)), bool(with_words)
+    every = items.select(F.explode("keys").alias("h"))
+    df = _frequencies(picked, _filter_of(every), with_words)
     seeds = stage_table(_rare_seeds(items, df), "seeds")
-    found = _passages(picked, _filter_of(seeds), reach).withColumn("id", F.monotonically_increasing_id())
+    found = _passages(picked, _filter_of(seeds), reach, with_words).withColumn("id", F.monotonically_increasing_id())
     found = stage_table(found, "passages")
-    met = found.select("id", F.explode("hits").alias("h")).join(seeds, "h").select("id", "item").distinct()
-    pairs = met.join(found.select("id", "doc", "start", "words"), "id")
-    pairs = pairs.join(items.select("item", F.col("words").alias("own")), "item")
-    scored = _aligned(pairs.select("doc", "item", "start", "words", "own"), least)
+    met = found.select("id", F.explode("hits").alias("h")).join(seeds, "h").select("id", "no").distinct()
+    pairs_ = met.join(found.select("id", "doc", "start", "words"), "id")
+    pairs_ = pairs_.join(items.select("no", "item", F.col("words").alias("own")), "no")
+    scored = _aligned(pairs_.select("doc", "item", "start", "words", "own"), least)
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word")))
     out = scored.groupBy("doc_id", "item_id").agg(best.alias("b"))
     return out.select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")

@@ -84,6 +84,26 @@ def test_leaks(frame, spark, messy):
     assert {r.doc_id for r in decontaminate.without_leaks(frame(rows), bench).collect()} == {r[0] for r in rows} - {1, 2, 5}
 
 
+def test_leaks_equal_brute_force(frame, spark):
+    rng = random.Random(5)
+    items = [(k, [f"i{k}w{rng.randrange(60)}" for _ in range(n)]) for k, n in enumerate([1, 2, 3, 4, 5, 15, 15, 22, 40])]
+    filler = lambda: [rng.choice("abcdefgh") for _ in range(30)]
+    rows = []
+    for _, words in items:
+        for every in (2, 3, 4, 5, 6):
+            for at in range(min(every, 3)):
+                put = [f"x{i}" if i % every == at else w for i, w in enumerate(words)]
+                fill = [x for i, w in enumerate(words) for x in ([w, f"y{i}"] if i % (every - 1) == 0 else [w])]
+                cut = [w for i, w in enumerate(words) if i % every != at]
+                rows += [filler() + own + filler() for own in (put, fill, cut)]
+    rows += [filler() + words + filler() for _, words in items]  # intact copies, whose pairs are more frequent
+    rows = list(enumerate(rows))
+    want = {(i, k): s for i, row in rows for k, words in items if (s := brute_align(words, row) / (2 * len(words))) >= 0.5}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, item_text string")
+    got = decontaminate.leaks(frame([(i, " ".join(r)) for i, r in rows]), bench, item_text_col="item_text").collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == pytest.approx(want)
+
+
 def test_toxicity(frame, spark, messy):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(200)]
