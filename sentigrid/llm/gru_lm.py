@@ -25,8 +25,8 @@ END = b"\n"  # no word holds white space
 WINDOW = 32
 SCORE_LANES = 1024
 TRAIN_LANES = 128
-# Training reads each window of each document and carries the state through; every fourth gives a gradient step.
-STEP_EVERY = 4
+# Training reads each window of each document and carries the state through; every one gives a gradient.
+STEP_EVERY = 1
 # Gradients are gathered until they cover so many tokens, so a window in which few documents are left weighs little.
 STEP_TOKENS = 1024
 ROUNDS = 2
@@ -237,6 +237,15 @@ class _Descent:
         self.count, self.sum = 0, None
         return 1
 
+    def flush(self, model: dict) -> float:
+        """A last step for the tokens left over; the share of a whole step they count for."""
+        if not self.count:
+            return 0.0
+        share = self.count / STEP_TOKENS
+        self.step(model, {k: g / self.count for k, g in self.sum.items()})
+        self.count, self.sum = 0, None
+        return share
+
     def step(self, model: dict, grad: dict) -> None:
         self.t += 1
         size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
@@ -346,13 +355,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> dict:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rank, numbers = words.value
-            own, steps = _load(current.value, like), 0
+            own, steps = _load(current.value, like), 0.0
             descent = _Descent(own)
             for rows in _gathered(batches, rank):
                 texts = [_numbers(found, numbers) for _, found, _ in rows]
                 steps += learn(own, texts, descent)
+            steps += descent.flush(own)
             if steps and all(np.isfinite(v).all() for v in own.values()):
-                yield pa.RecordBatch.from_arrays([pa.array([_dump(own)], pa.binary()), pa.array([float(steps)])], names=["model", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([_dump(own)], pa.binary()), pa.array([steps])], names=["model", "w"])
 
         mine = docs.filter(F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(ROUNDS)) == number).select("t")
         trained = stage_table(mine.mapInArrow(run, "model binary, w double"), "networks")

@@ -169,6 +169,19 @@ def test_language_model_base_and_gain(frame, messy, monkeypatch):
     assert [r.n_tokens for r in gru_lm.score_texts(frame(messy[5:6])).collect()] == [30001]
 
 
+def test_every_window_and_every_small_task_learns(spark, monkeypatch):
+    vocabulary = gru_lm.Vocabulary([(f"t{i}".encode(), 9) for i in range(40)] + [(gru_lm.END, 9)], 369, 41)
+    seen, gradients = [], gru_lm.gradients
+    monkeypatch.setattr(gru_lm, "gradients", lambda m, numbers, start, live, *a: seen.append(int(live.sum())) or gradients(m, numbers, start, live, *a))
+    model = gru_lm.initial(vocabulary, 0)
+    gru_lm.learn(model, [np.arange(1, 150, dtype=np.int16) % 40], gru_lm._Descent(model))
+    assert sum(seen) == 149
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(i, f"t{i} t{i + 1} t{i + 2}".encode()) for i in range(8)], "doc bigint, t binary").repartition(4)
+    trained = gru_lm.train(docs, vocabulary)
+    assert any((trained[k] != v).any() for k, v in gru_lm.initial(vocabulary, 0).items())
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     vocabulary = gru_lm.Vocabulary([(b"%d" % i, 2000 - i) for i in range(1100)], sum(range(901, 2001)), 1100)
