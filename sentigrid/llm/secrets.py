@@ -26,6 +26,12 @@ _ASSIGN_LEAST = 12
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Base64 wrapped over several lines, as MIME and PEM have it.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_BREAK = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
+# Where a compressed blob may begin within decoded bytes, and a stretch of text in them; no secret is shorter.
+_MAGIC = re.compile(rb"\x28\xb5\x2f\xfd|\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+_STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){16,}")
 # A layer may hold so many bytes at most: a documented bound against archives that unpack without end; such
 # blobs are reported by n_oversize.
 MAX_LAYER = 1 << 26
@@ -64,6 +70,22 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def _inflate(raw: bytes) -> bytes:
+    """A zlib stream, or all members of a gzip file; what was read before a later member breaks is kept."""
+    out = b""
+    while True:
+        stream = zlib.decompressobj(47)
+        try:
+            out += stream.decompress(raw, MAX_LAYER + 1 - len(out))
+        except zlib.error:
+            if not out:
+                raise
+            return out
+        raw = stream.unused_data
+        if len(out) > MAX_LAYER or not stream.eof or raw[:2] != b"\x1f\x8b":
+            return out
+
+
 def _unpack(raw: bytes) -> bytes | None:
     """What a gzip, zlib or zstandard blob holds; None if it is none. Raises OverflowError beyond the bound."""
     try:
@@ -71,7 +93,7 @@ def _unpack(raw: bytes) -> bytes | None:
             with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as stream:
                 out = stream.read(MAX_LAYER + 1)
         elif raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            out = zlib.decompressobj(47).decompress(raw, MAX_LAYER + 1)
+            out = _inflate(raw)
         else:
             return None
     except (zlib.error, zstandard.ZstdError):
@@ -137,43 +159,84 @@ def _code(mark: str) -> list[tuple[str, int, int]] | None:
     return [(chr(number), 0, len(mark))]
 
 
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Base64 runs and the place of each character: those within a line, and wrapped ones with their line breaks taken out.
+
+    A wrapped run may begin behind a first line and end before a last one that are not part of it, or at the first line
+    of another length; all of these are tried.
+    """
+    for m in _BASE64.finditer(text):
+        yield m[0], np.arange(m.start(), m.end())
+    for m in _WRAPPED.finditer(text):
+        breaks = list(_BREAK.finditer(m[0]))
+        lines = list(zip([0] + [b.end() for b in breaks], [b.start() for b in breaks] + [len(m[0])]))
+        for first in range(min(2, len(lines) - 1)):
+            width = lines[first][1] - lines[first][0]
+            short = next((k for k in range(first, len(lines)) if lines[k][1] - lines[k][0] != width), len(lines))
+            for last in sorted({len(lines), len(lines) - 1, short + 1, short}):
+                if first + 1 < last <= len(lines):
+                    own = lines[first:last]
+                    yield "".join(m[0][a:b] for a, b in own), np.concatenate([np.arange(a, b) for a, b in own]) + m.start()
+
+
 def _base64_layers(layer: _Layer) -> Iterator[_Layer | None]:
-    """Texts and unpacked texts of base64 runs; None for a blob beyond the bound."""
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[:len(body) - (len(body) % 4 == 1)]
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
+    """Texts and unpacked texts of base64 runs; None for a blob beyond the bound.
+
+    A run that gives nothing from its first character on may be glued to others: it is decoded from the
+    next three too, and blobs and stretches of text within the bytes are taken.
+    """
+    for run, at in _runs(layer.text):
+        if (yield from _decoded(layer, run, at, False)):
             continue
+        for skip in range(4):
+            yield from _decoded(layer, run[skip:], at[skip:], True)
+
+
+def _decoded(layer: _Layer, run: str, at: np.ndarray, within: bool):
+    """The layers of one run, as a whole or `within` its bytes; returns whether there was one."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    body = body[:len(body) - (len(body) % 4 == 1)]
+    try:
+        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+    except binascii.Error:
+        return False
+    some, lo, hi = False, int(at[0]) if len(at) else 0, int(at[-1]) + 1 if len(at) else 0
+    for start in [m.start() for m in _MAGIC.finditer(raw)] if within else [0]:
         try:
-            packed = _unpack(raw)
+            packed = _unpack(raw[start:])
         except OverflowError:
             yield None
+            some = True
             continue
         while packed is not None:  # archives within archives
             text = _readable(packed)
             if text is not None:
-                yield _whole(layer, m.start(), m.end(), text)
+                yield _whole(layer, int(at[start * 4 // 3]) if within else lo, hi, text)
+                some = True
                 break
             try:
                 inner = _unpack(packed)
             except OverflowError:
                 yield None
+                some = True
                 break
             packed = inner if inner != packed else None
+    if some:
+        return True
+    for start, end in [m.span() for m in _STRETCH.finditer(raw)] if within else [(0, len(raw))]:
+        text = _readable(raw[start:end])
+        if text is None:
+            continue
+        # byte i of the blob comes from characters i*4/3 to (i+1)*4/3 of the run
+        index = start + np.cumsum([0] + [len(c.encode()) for c in text])
+        a = at[index[:-1] * 4 // 3]
+        b = at[np.minimum(-(-index[1:] * 4 // 3), len(at)) - 1] + 1
+        some = True
+        if layer.start is None:
+            yield _Layer(text, a, b)
         else:
-            text = _readable(raw)
-            if text is None:
-                continue
-            # byte i of the blob comes from characters i*4/3 to (i+1)*4/3 of the run
-            index = np.cumsum([0] + [len(c.encode()) for c in text])
-            a = m.start() + index[:-1] * 4 // 3
-            b = np.minimum(m.start() + -(-index[1:] * 4 // 3), m.end())
-            if layer.start is None:
-                yield _Layer(text, a, b)
-            else:
-                yield _Layer(text, layer.start[a], layer.end[b - 1])
+            yield _Layer(text, layer.start[a], layer.end[b - 1])
+    return some
 
 
 def scan(text: str) -> tuple[list, list, int, int]:

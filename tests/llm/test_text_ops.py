@@ -283,6 +283,28 @@ def test_layers(wrap):
     assert inner.find(b"password") * 4 // 3 + 4 == a and abs(b - a - len(SECRET[:-1]) * 4 / 3) <= 4
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, zstandard.compress,
+                                  lambda b: gzip.compress(b"first member ") + gzip.compress(b)])
+def test_wrapped_and_glued_layers(pack):
+    rng = random.Random(8)
+    inner = "".join(f"line {i} {rng.random()}\n" for i in range(60)) + SECRET + "\nend of it\n"
+    blob = base64.b64encode(pack(inner.encode())).decode()
+    has = lambda text: any(k == 0 for _, k, _ in secrets.scan(text)[1])
+    for width in (64, 76):
+        lines = [blob[i:i + width] for i in range(0, len(blob), width)]
+        assert has("pré\n" + "\n".join(lines) + "\npost") and has("\r\n  ".join(lines))
+        assert has("-----BEGIN X-----\n" + "\n".join(lines) + "\n-----END X-----")
+    for glue in ("key_", "path/to/", "a/b/", "abcde/"):
+        assert has(f"pré {glue}{blob} post"), glue
+
+
+def test_secret_across_a_line_break():
+    blob = base64.b64encode(f"{'x' * 40} {SECRET} and more of it, {'y' * 40}".encode()).decode()
+    text = "\n".join(blob[i:i + 64] for i in range(0, len(blob), 64))
+    (a, _, b), = [s for s in secrets.scan(text)[1] if s[1] == 0]
+    assert a < 64 < b and text[a:b].count("\n") == 1
+
+
 def test_secrets_of_messy_rows(frame, messy):
     got = secrets.find_secrets(frame([*messy, (9, SECRET), (10, "%41" * 5000), (11, base64.b64encode(zlib.compress(b"0" * (1 << 27))).decode())])).collect()
     by = {r.doc_id: r for r in got}
