@@ -9,13 +9,17 @@ from sentigrid.llm.chat import control_case, format_conversations, read_back
 from sentigrid.llm.common import table
 from sentigrid.llm.decontaminate import leaks
 from sentigrid.llm.gru_lm import score_texts
+from sentigrid.llm.language_id import identify_languages
 from sentigrid.llm.mixing import mix
 from sentigrid.llm.quality import quality_metrics
+from sentigrid.llm.ranked_search import (
+    IMPACT_SCALE, LENGTH_SHARE, SATURATION, TERM, WEIGHT_SCALE, ranked_search)
 from sentigrid.llm.secrets import find_secrets
 from sentigrid.llm.simhash import near_duplicates
 from sentigrid.llm.site_lines import (
     _BLOCK, _GONE, MIN_HOST_PAGES, MIN_PAGES_WITH, RATIO, drop_boilerplate, html_lines, url_host)
 from sentigrid.llm.suffixes import remove_repeats
+from sentigrid.llm.token_alignment import align_corpus
 from sentigrid.llm.toxicity import score_toxicity, train
 
 
@@ -72,9 +76,22 @@ def op10_site_lines(spark: SparkSession, folder: str) -> DataFrame:
                       F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_languages(table(spark, folder, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    documents, _ = align_corpus(table(spark, folder, "documents"))
+    return documents
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_mix, op3_decontaminate, op4_suffixes, op5_toxicity, op6_language_model, op7_chat,
-    op8_secrets, op9_quality, op10_site_lines)}
+    op8_secrets, op9_quality, op10_site_lines, op11_ranked_search, op12_language_id, op13_token_alignment)}
 
 # The two runs of page lines: as in site_lines, with the patterns as text.
 _PAGE_LINES = f"""
@@ -94,6 +111,9 @@ common AS (
     HAVING t.pages >= {MIN_HOST_PAGES} AND count(DISTINCT page_id) >= {MIN_PAGES_WITH} AND count(DISTINCT page_id) > {RATIO} * t.pages
 )"""
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{TERM}')"
+
 ORACLES: dict[str, str] = {
     "op10_site_lines": f"""
 WITH {_PAGE_LINES},
@@ -105,5 +125,26 @@ kept AS (
 )
 SELECT p.page_id, p.host, k.n_lines, k.n_dropped, md5(coalesce(body, '')) AS text_md5
 FROM page p JOIN kept k USING (page_id)
+""",
+    "op11_ranked_search": f"""
+WITH word AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM word GROUP BY doc_id, term),
+size AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM size),
+weight AS (
+    SELECT term, CAST(floor({WEIGHT_SCALE} * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM tf, total GROUP BY term, docs
+),
+wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * (({IMPACT_SCALE} * tf) // ({WEIGHT_SCALE} * tf + {SATURATION} * (
+        100 - {LENGTH_SHARE} + ({LENGTH_SHARE} * n * docs) // words)))) AS BIGINT) AS score
+    FROM wanted JOIN tf USING (term) JOIN weight USING (term) JOIN size USING (doc_id), total
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank
+    FROM scored WHERE score > 0)
+WHERE rank <= 10
 """,
 }
