@@ -56,7 +56,9 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return src.corpus(_table(spark, folder, "documents"))
+    """The documents; a table of few splits is dealt out over the cores."""
+    table = _table(spark, folder, "documents")
+    return src.corpus(table, partitions=src.idle_cores(table))
 
 
 def _messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -497,7 +499,7 @@ def auto_label_extended(spark, folder):
 
 @query
 def auto_label_builtin(spark, folder):
-    """The extended label from contains() tests alone."""
+    """The extended label by the other engine, which must agree with the contains() tests."""
     return lx.with_label(_docs(spark, folder), engine="automaton").select("doc_id", "label")
 
 

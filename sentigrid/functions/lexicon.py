@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentigrid.config import MAX_WORD_LIST
-from sentigrid.functions.binding import let
 
 # --- fixed values: keyword lists (an entry given twice weighs two) ---------------------
 COMPACT_NEGATIVE = [
@@ -99,9 +98,8 @@ def hit_positions(lowered: Column, lexicon: Lexicon, engine: str = "builtin") ->
     """
     terms = [term for term, _, _ in lexicon.entries]
     if engine == "builtin":
-        table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(terms)])
-        found = let(lowered, lambda text: F.filter(table, lambda e: text.contains(e["t"])))
-        return F.coalesce(F.transform(found, lambda e: e["i"]), F.array().cast("array<int>"))
+        # plain tests, so that they are compiled; a lambda over the terms would be interpreted
+        return F.array_compact(F.array(*[F.when(lowered.contains(t), i) for i, t in enumerate(terms)]))
     if engine != "automaton":
         raise ValueError("engine is 'automaton' or 'builtin'")
     return _automaton_udf(terms)(lowered)
@@ -158,11 +156,17 @@ def contains_score(lowered: Column, lexicon: Lexicon, polarity: str) -> Column:
 
 def with_scores(df: DataFrame, lexicon: Lexicon = EXTENDED, text_col: str = "text",
                 engine: str = "builtin") -> DataFrame:
-    """Adds `hits`, `positive_score` and `negative_score`."""
+    """Adds `positive_score` and `negative_score`."""
+    if engine == "builtin":
+        lowered = df.withColumn("_lowered", F.lower(F.col(text_col)))
+        return lowered.withColumns({
+            f"{side}_score": contains_score(F.col("_lowered"), lexicon, side) for side in ("positive", "negative")
+        }).drop("_lowered")
     return (
         df.withColumn("hits", hit_positions(F.lower(F.col(text_col)), lexicon, engine))
         .withColumn("positive_score", side_score(F.col("hits"), lexicon, "positive"))
         .withColumn("negative_score", side_score(F.col("hits"), lexicon, "negative"))
+        .drop("hits")
     )
 
 
@@ -171,5 +175,5 @@ def with_label(df: DataFrame, lexicon: Lexicon = EXTENDED, text_col: str = "text
     """Adds `label`; blank and null text come out neutral because nothing is found in them."""
     scored = with_scores(df, lexicon, text_col, engine)
     return scored.withColumn("label", label_of(F.col("positive_score"), F.col("negative_score"))).drop(
-        "hits", "positive_score", "negative_score"
+        "positive_score", "negative_score"
     )

@@ -35,11 +35,22 @@ def apply_null_policy(df: DataFrame, policy: str = "drop", text_col: str = "text
     raise ValueError("the null policy is 'drop' or 'nan'")
 
 
+def idle_cores(df: DataFrame) -> int | None:
+    """The session's cores if the table has fewer splits than twice that, else None: see `corpus`."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores if df.rdd.getNumPartitions() < 2 * cores else None
+
+
 def corpus(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-           null_policy: str = "drop") -> DataFrame:
-    """A (doc_id, text) corpus ready for text work, partitioned as it was read."""
+           null_policy: str = "drop", partitions: int | None = None) -> DataFrame:
+    """A (doc_id, text) corpus ready for text work.
+
+    It is partitioned as it was read. A file of few row groups keeps few cores busy: `partitions` deals its
+    texts out by their key, at the cost of moving them once. Large tables need none of that.
+    """
     picked = select_text(df, text_col, id_col).withColumnRenamed(id_col, "doc_id")
-    return apply_null_policy(picked, null_policy)
+    kept = apply_null_policy(picked, null_policy)
+    return kept.repartition(partitions, "doc_id") if partitions else kept
 
 
 def write_table(df: DataFrame, path: str, bucket_by: str | None = None, buckets: int = 0,
