@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
-from sentigrid.operators.labelling import class_list
 from sentigrid.session import stage_table, unnest, unnest_structs
 
 # --- fixed values: figures of the charts ------------------------------------------------
@@ -18,6 +17,7 @@ DENSITY_POINTS = 200
 CLOUD_WORDS = 100
 COLLOCATION_THRESHOLD = 30.0
 PROBABILITY_FLOOR = 1e-10
+KERNEL_RADIUS = 9.0
 CLOUD_WORD = rf"[{tx.WORD}][{tx.WORD}']*"
 # --- end of fixed values ----------------------------------------------------------------
 
@@ -35,28 +35,49 @@ def length_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("label", "word_count").agg(F.count("*").alias("n"))
 
 
+def _ends(counts: DataFrame) -> tuple[float, float] | None:
+    """Least and largest length over all labels; None for an empty table. One row reaches the driver."""
+    low, high = counts.agg(F.min("word_count"), F.max("word_count")).first()
+    return None if low is None else (float(low), float(high))
+
+
+def _grid(labels: DataFrame, name: str, n: int) -> DataFrame:
+    """Every label with the numbers 0 to n - 1."""
+    return labels.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
 def word_count_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """(label, bin, low, high, n) over equal-width bins shared by all labels, zeros included.
 
-    A constant column is centred in a range of width one.
+    A constant column is centred in a range of width one. The documents are counted by length once; the
+    ends are one row, and the counted lengths stay spread over the tasks by (label, length).
     """
-    counts = length_counts(df)
-    ends = Window.partitionBy()
-    low, high = F.min("word_count").over(ends).cast("double"), F.max("word_count").over(ends).cast("double")
-    ranged = counts.select(
-        "label", "word_count", "n",
-        F.when(low == high, low - 0.5).otherwise(low).alias("lo"),
-        F.when(low == high, high + 0.5).otherwise(high).alias("hi"),
-    )
-    slot = F.least(F.lit(bins - 1), F.floor((F.col("word_count") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))))
-    shown = ranged.withColumn("slot", slot.cast("int")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    width = (F.col("hi") - F.col("lo")) / bins
-    return (
-        shown.groupBy("label", "lo", "hi", "bin")
-        .agg(F.sum(F.when(F.col("bin") == F.col("slot"), F.col("n")).otherwise(0)).alias("n"))
-        .select("label", "bin", (F.col("lo") + F.col("bin") * width).alias("low"),
-                (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "n")
-    )
+    counts = stage_table(length_counts(df), "lengths")
+    low, high = _ends(counts) or (0.0, 0.0)
+    if low == high:
+        low, high = low - 0.5, high + 0.5
+    slot = F.least(F.lit(bins - 1), F.floor((F.col("word_count") - low) * bins / (high - low))).cast("int")
+    filled = counts.groupBy("label", slot.alias("bin")).agg(F.sum("n").alias("n"))
+    width = (high - low) / bins
+    every = _grid(counts.select("label").distinct(), "bin", bins)
+    same = every["label"].eqNullSafe(filled["label"]) & (every["bin"] == filled["bin"])
+    return every.join(filled, same, "left").select(
+        every["label"], every["bin"], (low + every["bin"] * width).alias("low"),
+        (low + (every["bin"] + 1) * width).alias("high"), F.coalesce(filled["n"], F.lit(0)).alias("n"))
+
+
+def length_moments(counts: DataFrame) -> DataFrame:
+    """(label, total, h) from counted lengths: rows and Scott's bandwidth, for labels whose lengths vary.
+
+    Sums of whole numbers, so the variance is exact however the rows are spread.
+    """
+    n, x = (F.col(c).cast("decimal(18,0)") for c in ("n", "word_count"))
+    sums = counts.groupBy("label").agg(
+        F.sum("n").alias("total"), F.sum(n * x).cast("decimal(38,0)").alias("s1"), F.sum(n * x * x).cast("decimal(38,0)").alias("s2"))
+    # sum of squared distances: (total * s2 - s1 * s1) / total
+    whole, s1, s2 = (F.col(c).cast("double") for c in ("total", "s1", "s2"))
+    variance = F.try_divide(s2 - s1 * s1 / whole, whole - 1)
+    return sums.select("label", "total", (F.sqrt(variance) * F.pow(whole, F.lit(-0.2))).alias("h")).filter("h > 0")
 
 
 def word_count_density(df: DataFrame, points: int = DENSITY_POINTS, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -64,30 +85,27 @@ def word_count_density(df: DataFrame, points: int = DENSITY_POINTS, bins: int =
 
     Scott's bandwidth; `curve` is the density scaled to the histogram's counts. Labels whose
     lengths do not vary have no density. Works on the counted lengths, so the grid
-    multiplies distinct lengths and not documents.
+    multiplies distinct lengths and not documents; a length reaches the points within KERNEL_RADIUS bandwidths, beyond
+    which the kernel is below 3e-18 of its peak. The counts stay spread by (label, length); what is joined to them has one row per label.
     """
-    counts = length_counts(df)
-    ends, mine = Window.partitionBy(), Window.partitionBy("label")
-    x, n = F.col("word_count").cast("double"), F.col("n")
-    total = F.sum("n").over(mine)
-    mean = F.sum(x * n).over(mine) / total
-    ranged = counts.select(
-        "label", x.alias("at"), "n", total.alias("total"), mean.alias("mean"),
-        F.min(x).over(ends).alias("lo"), F.max(x).over(ends).alias("hi"),
-    )
-    spread = F.sum(F.col("n") * F.pow(F.col("at") - F.col("mean"), 2)).over(mine)
-    scaled = ranged.withColumn("sd", F.sqrt(F.try_divide(spread, F.col("total") - 1))).filter("sd > 0")
-    scaled = scaled.withColumn("h", F.col("sd") * F.pow("total", F.lit(-0.2)))
-    step = (F.col("hi") - F.col("lo")) / (points - 1)
-    grid = scaled.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
-        "x", F.col("lo") + F.col("point") * step
-    )
-    kernel = F.col("n") * F.exp(-0.5 * F.pow((F.col("x") - F.col("at")) / F.col("h"), 2))
+    counts = stage_table(length_counts(df), "lengths")
+    ends = _ends(counts)
+    moments = stage_table(length_moments(counts), "moments")
+    low, high = ends or (0.0, 0.0)
+    step = (high - low) / (points - 1) or 1.0
+    at, h = F.col("word_count").cast("double"), F.col("h")
+    first = F.greatest(F.lit(0), F.ceil((at - low - KERNEL_RADIUS * h) / step)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((at - low + KERNEL_RADIUS * h) / step)).cast("int")
+    near = counts.join(F.broadcast(moments), "label").withColumn("first", first).withColumn("last", last)
+    reached = near.filter("first <= last").withColumn("point", F.explode(F.sequence("first", "last")))
+    kernel = F.col("n") * F.exp(-0.5 * F.pow((low + F.col("point") * step - at) / h, 2))
+    mass = reached.groupBy("label", "point").agg(F.sum(kernel).alias("mass"))
     return (
-        grid.groupBy("label", "point", "x", "h", "total", "lo", "hi").agg(F.sum(kernel).alias("mass"))
-        .withColumn("density", F.col("mass") / (F.col("total") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi())))
+        _grid(moments, "point", points).join(mass, ["label", "point"], "left")
+        .withColumn("x", low + F.col("point") * step)
+        .withColumn("density", F.coalesce("mass", F.lit(0.0)) / (F.col("total") * h * F.sqrt(F.lit(2.0) * F.pi())))
         .select("label", "point", "x", "density",
-                (F.col("density") * F.col("total") * (F.col("hi") - F.col("lo")) / bins).alias("curve"))
+                (F.col("density") * F.col("total") * (high - low) / bins).alias("curve"))
     )
 
 
@@ -175,11 +193,10 @@ def _scored_pairs(df: DataFrame, unigrams: DataFrame, words: Sequence[str]) -> D
         "base_1": _plural_base(F.substring_index("phrase", " ", 1)),
         "base_2": _plural_base(F.substring_index("phrase", " ", -1)),
     })
-    class_list(unigrams)  # refuses too many classes: the totals below are broadcast
     totals = unigrams.groupBy("label").agg(F.sum("n").alias("total"))
     first = unigrams.select("label", F.col("base").alias("base_1"), F.col("term").alias("word_1"), F.col("n").alias("c1"))
     second = unigrams.select("label", F.col("base").alias("base_2"), F.col("term").alias("word_2"), F.col("n").alias("c2"))
-    joined = keyed.join(first, ["label", "base_1"]).join(second, ["label", "base_2"]).join(F.broadcast(totals), "label")
+    joined = keyed.join(first, ["label", "base_1"]).join(second, ["label", "base_2"]).join(totals, "label")
     return joined.withColumn("score", phrase_association(F.col("c12"), F.col("c1"), F.col("c2"), F.col("total")))
 
 
@@ -224,15 +241,15 @@ def class_vocab_overlap(inputs: DataFrame, training: DataFrame, show: int = 5,
     """Per input text and class: number of its words known in that class, and the first few.
 
     `training` has label and clean. The class words form one row per word, so a frequent word
-    meets a single partner, whatever its number of occurrences.
+    meets a single partner, whatever its number of occurrences. At most `show` words of a text and class are collected.
     """
     matched = distinct_words(inputs, id_col).join(class_words(training), "term")
-    return (
-        matched.select(id_col, "term", F.explode("labels").alias("label"))
-        .groupBy(id_col, "label")
-        .agg(F.count("*").alias("n_common"),
-             F.array_join(F.slice(F.sort_array(F.collect_list("term")), 1, show), ", ").alias("words"))
-    )
+    pairs = matched.select(id_col, "term", F.explode("labels").alias("label"))
+    mine = Window.partitionBy(id_col, "label")
+    ranked = pairs.withColumns({
+        "_place": F.row_number().over(mine.orderBy("term")), "_n": F.count("*").over(mine)})
+    return ranked.filter(F.col("_place") <= show).groupBy(id_col, "label").agg(
+        F.max("_n").alias("n_common"), F.array_join(F.sort_array(F.collect_list("term")), ", ").alias("words"))
 
 
 def word_intersection(inputs: DataFrame, training: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from sentigrid.config import MAX_CLASSES, Preprocess
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
 from sentigrid.functions.lexicon import (
-    EXTENDED, Lexicon, hit_positions, label_of, side_score, side_terms, with_label,
+    EXTENDED, Lexicon, contained_terms, hit_positions, label_of, side_terms, with_label,
 )
 
 # --- fixed values: display names --------------------------------------------------------
@@ -37,17 +37,20 @@ def lexicon_matches(df: DataFrame, lexicon: Lexicon = EXTENDED, id_col: str = "d
 
 def explain_label(df: DataFrame, lexicon: Lexicon = EXTENDED, id_col: str = "doc_id",
                   text_col: str = "text", engine: str = "builtin") -> DataFrame:
-    """Matched terms and scores of both sides, the label, and the first 100 characters."""
-    hits = df.select(id_col, text_col,
-                     hit_positions(F.lower(F.col(text_col)), lexicon, engine).alias("hits"))
-    scored = hits.select(
-        id_col,
-        F.substring(text_col, 1, 100).alias("preview"),
-        side_terms(F.col("hits"), lexicon, "positive").alias("positive_matches"),
-        side_terms(F.col("hits"), lexicon, "negative").alias("negative_matches"),
-        side_score(F.col("hits"), lexicon, "positive").alias("positive_score"),
-        side_score(F.col("hits"), lexicon, "negative").alias("negative_score"),
-    )
+    """Matched terms and scores of both sides, the label, and the first 100 characters.
+
+    A term of weight n stands n times among the matches, so their number is the score.
+    """
+    lowered, preview = F.lower(F.col(text_col)), F.substring(text_col, 1, 100).alias("preview")
+    sides = ("positive", "negative")
+    if engine == "builtin":
+        found = df.select(id_col, preview, lowered.alias("_lowered")).select(id_col, "preview", *[
+            F.coalesce(contained_terms(F.col("_lowered"), lexicon, s), F.array().cast("array<string>")).alias(f"{s}_matches")
+            for s in sides])
+    else:
+        hits = df.select(id_col, preview, hit_positions(lowered, lexicon, engine).alias("_hits"))
+        found = hits.select(id_col, "preview", *[side_terms(F.col("_hits"), lexicon, s).alias(f"{s}_matches") for s in sides])
+    scored = found.withColumns({f"{s}_score": F.size(f"{s}_matches") for s in sides})
     return scored.withColumn("label", label_of(F.col("positive_score"), F.col("negative_score")))
 
 

@@ -43,7 +43,7 @@ def encode_sequences(df: DataFrame, vocabulary: list[str], max_length: int = 256
 
     Cutting at max_length belongs to the encoding: a model takes no longer input.
     """
-    ids = df.withColumn("_ids", F.slice(token_ids(F.col(tokens_col), vocabulary), 1, max_length - 2))
+    ids = df.withColumn("_ids", token_ids(F.slice(tokens_col, 1, max_length - 2), vocabulary))
     framed = ids.withColumn("_ids", F.concat(F.array(F.lit(START_ID)), "_ids", F.array(F.lit(END_ID))))
     padding = F.lit(max_length) - F.size("_ids")
     return framed.withColumns({

@@ -54,9 +54,8 @@ def explain(model: NaiveBayesModel, texts: DataFrame, training: DataFrame, k: in
             sc.class_array(model.classes).alias("label"), F.col("probabilities").alias("p")))).alias("_class"),
     ).select("*", "_class.label", "_class.p").drop("_class")
     sizes = training.filter(F.col("label").isin(*model.classes)).groupBy("label").agg(F.count("*").alias("training_rows"))
-    whole = sizes.agg(F.sum("training_rows").alias("_whole"))
-    sizes = sizes.join(F.broadcast(whole)).withColumn(
-        "training_percent", 100.0 * F.col("training_rows") / F.col("_whole")).drop("_whole")
+    whole = sizes.agg(F.sum("training_rows")).scalar()
+    sizes = sizes.withColumn("training_percent", 100.0 * F.col("training_rows") / whole)
     overlap = class_vocab_overlap(prepared, training, show)
     return (
         per_class.join(F.broadcast(sizes), "label", "left")
