@@ -74,6 +74,11 @@ def class_list(df: DataFrame, label_col: str = "label") -> list[str]:
     return [r[0] for r in rows]
 
 
+def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
+    """(label, n): rows per label, however many labels there are; rows without a label are left out."""
+    return df.filter(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n"))
+
+
 def class_sizes(df: DataFrame, label_col: str = "label") -> dict[str, int]:
     """Rows per label in alphabetical order; more than MAX_CLASSES labels are refused."""
     rows = df.groupBy(label_col).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()

@@ -211,3 +211,35 @@ def test_parameter_ranges():
         with pytest.raises(ValueError):
             Training(**bad)
     assert len(Training().alphas()) == 20 and Training().alphas()[-1] == 2.0
+
+
+def test_split_of_many_classes_equals_that_of_few(spark, monkeypatch):
+    sizes = {f"c{i:03d}": 1 + (i * i) % 23 for i in range(60)} | {"big": 400, "huge": 900}
+    rows = [(n * 10000 + i, label, "x") for n, (label, size) in enumerate(sizes.items()) for i in range(size)]
+    rows += [(10**7 + i, None, "y") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, label string, place string").repartition(5)
+
+    def splits():
+        frames = [sp.stratified_split(df, 0.3), sp.three_way_split(df, 0.2, 0.1, 7)]
+        return [sorted((r.doc_id, r.label or "", r.place, r.split) for r in f.collect()) for f in frames]
+
+    few = splits()
+    monkeypatch.setattr(sp, "MAX_CLASSES", 10)
+    monkeypatch.setattr(sp, "RANKED", 300)
+    assert splits() == few
+    monkeypatch.setattr(sp, "RANKED", 10**6)
+    assert splits() == few
+
+
+def test_quotas_as_a_table_equal_those_on_the_driver(spark):
+    sizes = {f"l{i}": (i * 7919) % 1000 + 1 for i in range(500)}
+    table = spark.createDataFrame(list(sizes.items()), "label string, n bigint")
+    rows = {r.label: (r.cut_0, r.cut_1) for r in sp.cut_table(table, [0.25, 0.125]).collect()}
+    cuts = sp.cumulative_quotas(sizes, [0.25, 0.125])
+    assert rows == {c: (cuts[0][c], cuts[1][c]) for c in sizes}
+
+
+def test_a_hundred_thousand_classes_are_split(spark):
+    df = spark.range(250_000).select(F.col("id").alias("doc_id"), (F.col("id") % 100_000).cast("string").alias("label"))
+    parts = {r.split: r["count"] for r in sp.stratified_split(df).groupBy("split").count().collect()}
+    assert parts == {"test": 50_000, "train": 200_000}
