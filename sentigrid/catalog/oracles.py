@@ -11,6 +11,7 @@ from sentigrid.config import Training
 from sentigrid.functions import lexicon as lx
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
+from sentigrid.operators import abbreviations as ab
 from sentigrid.operators import analysis as an
 from sentigrid.sources.tables import NULL_TEXT
 
@@ -536,3 +537,66 @@ _oracle("score_explain", "m_proba m_clean m_weights overlap labelled", """
                    SELECT doc_id, term, w, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS place FROM m_weights)
                WHERE place <= 10 GROUP BY doc_id) f USING (doc_id)
     LEFT JOIN overlap o ON o.doc_id = p.doc_id AND o.label = p.class""")
+
+# --- word tables -----------------------------------------------------------------------------------------
+
+_TYPE = _lit(tx.WORD_TYPE)
+_part("abbreviated", "", "SELECT doc_id, replace(text, ' und ', ' u. ') AS text FROM documents WHERE text IS NOT NULL")
+_part("types", "abbreviated", f"""
+    SELECT regexp_extract(w, {_TYPE}, 1) AS term, CASE WHEN regexp_extract(w, {_TYPE}, 2) = '.' THEN 1 ELSE 0 END AS period
+    FROM (SELECT regexp_extract(unnest(string_split_regex(lower(text), {_lit(f'[{tx.SPACE}]+')})), {_TYPE}, 0) AS w FROM abbreviated)
+    WHERE regexp_matches(w, '\p{{L}}')""")
+_part("abbreviation_scores", "types", f"""
+    SELECT term, n_with, n_without, 2 * (n_with * (ln({ab.PERIOD_RATE}::DOUBLE) - ln(rate))
+               + n_without * (ln(1 - {ab.PERIOD_RATE}::DOUBLE) - ln(1 - rate)))
+           * exp(-letters) * (length(term) - letters + 1) * pow(letters::DOUBLE, -n_without) AS score
+    FROM (SELECT term, sum(period)::BIGINT AS n_with, sum(1 - period)::BIGINT AS n_without,
+                 length(replace(term, '.', '')) AS letters FROM types GROUP BY term),
+         (SELECT sum(period)::DOUBLE / count(*) AS rate FROM types)
+    WHERE n_with > 0""")
+_part("abbreviations", "abbreviation_scores", f"SELECT * FROM abbreviation_scores WHERE score >= {ab.THRESHOLD}")
+_oracle("abbreviations", "abbreviations", "SELECT term, n_with, n_without, round(score, 6) AS score FROM abbreviations")
+_oracle("tokenize_abbreviations", "abbreviations abbreviated", f"""
+    SELECT doc_id, array_to_string(list_transform({_tokens('marked')}, lambda t: replace(t, chr(57344), '.')), ' ') AS tokens FROM (
+        SELECT doc_id, array_to_string(list_transform(ws, lambda w, i: CASE
+            WHEN i < len(ws) AND w LIKE '%.' AND list_contains(known, regexp_extract(w, {_TYPE}, 1))
+            THEN concat(left(w, length(w) - 1), chr(57344)) ELSE w END), ' ') AS marked
+        FROM (SELECT doc_id, string_split(lower({_clean('text')}), ' ') AS ws FROM abbreviated),
+             (SELECT coalesce(list(term), []) AS known FROM abbreviations))""")
+_part("message_stems", "m_tokens", """
+    SELECT DISTINCT token, left(token, 5) AS stem FROM (SELECT unnest(tokens) AS token FROM m_tokens) WHERE length(token) > 5""")
+_part("stop_table", "m_tokens", f"""
+    SELECT term FROM (SELECT unnest(list_distinct(tokens)) AS term FROM m_tokens) GROUP BY term
+    HAVING count(*) * 10 > (SELECT count(*) FROM m_tokens) UNION SELECT unnest({_list(stoplists.DEFAULT)})""")
+
+
+def _reassembled(words: str, name: str) -> str:
+    """The words of (doc_id, i, w) joined in order; texts without words stay."""
+    return f"""SELECT d.doc_id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS {name}
+        FROM d_tokens d LEFT JOIN ({words}) x ON d.doc_id = x.doc_id GROUP BY d.doc_id"""
+
+
+_part("d_words", "d_tokens", "SELECT doc_id, unnest(tokens) AS w, unnest(range(len(tokens))) AS i FROM d_tokens")
+_part("d_unlisted", "d_words stop_table", f"""
+    SELECT * FROM d_words WHERE w NOT IN (SELECT term FROM stop_table) AND instr({_lit(tx.ASCII_PUNCTUATION)}, w) = 0""")
+_oracle("stem_by_table", "d_words message_stems", _reassembled(
+    "SELECT doc_id, i, coalesce(stem, w) AS w FROM d_words LEFT JOIN message_stems ON w = token", "stems"))
+_oracle("stopwords_by_table", "d_unlisted", _reassembled("SELECT * FROM d_unlisted", "kept"))
+_oracle("full_preparation_by_tables", "d_unlisted message_stems", _reassembled(
+    "SELECT doc_id, i, coalesce(stem, w) AS w FROM d_unlisted LEFT JOIN message_stems ON w = token", "clean"))
+_entries = ", ".join(f"({_lit(t)}, {_lit(p)}, {w})" for t, p, w in lx.EXTENDED.entries)
+_part("lexicon_table", "", f"""
+    SELECT term, polarity, sum(weight)::BIGINT AS weight FROM (
+        SELECT * FROM (VALUES {_entries}) e(term, polarity, weight) UNION ALL
+        SELECT term, CASE WHEN length(term) % 2 = 0 THEN 'positive' ELSE 'negative' END, 1
+        FROM (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\p{{L}}]+')) AS term FROM benchmark) WHERE length(term) > 5)
+    GROUP BY term, polarity""")
+_part("table_matches", "lexicon_table", """
+    SELECT doc_id, term, polarity, weight FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE text IS NOT NULL)
+    JOIN lexicon_table ON contains(l, term)""")
+_oracle("lexicon_matches_by_table", "table_matches", "SELECT * FROM table_matches")
+_oracle("label_by_table", "table_matches", f"""
+    SELECT doc_id, pos AS positive_score, neg AS negative_score, {_LABEL} AS label FROM (
+        SELECT d.doc_id, coalesce(sum(weight) FILTER (polarity = 'positive'), 0)::BIGINT AS pos,
+               coalesce(sum(weight) FILTER (polarity = 'negative'), 0)::BIGINT AS neg
+        FROM documents d LEFT JOIN table_matches USING (doc_id) WHERE d.text IS NOT NULL GROUP BY d.doc_id)""")

@@ -16,13 +16,16 @@ from sentigrid.functions import lexicon as lx
 from sentigrid.functions import scores as sc
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
+from sentigrid.operators import abbreviations as ab
 from sentigrid.operators import analysis as an
 from sentigrid.operators import features as ft
 from sentigrid.operators import labelling as lb
+from sentigrid.operators import lexicon_join as lj
 from sentigrid.operators import metrics as mt
 from sentigrid.operators import naive_bayes as nb
 from sentigrid.operators import sequences as sq
 from sentigrid.operators import split as sp
+from sentigrid.operators import word_tables as wt
 from sentigrid.plans import scoring, training
 from sentigrid.session import scratch_path, stage_table
 from sentigrid.sources import csv as csv_source
@@ -549,6 +552,95 @@ def stem(spark, folder):
     return _docs(spark, folder).select("doc_id", F.array_join(tx.stem_tokens(tokens), " ").alias("stems"))
 
 
+def _cleaned_tokens() -> Column:
+    return tx.tokenize(tx.case_fold(tx.clean_noise(F.col("text"))), plain_spaces=True)
+
+
+def _joined(table: DataFrame, name: str) -> DataFrame:
+    return table.select("doc_id", F.array_join("tokens", " ").alias(name))
+
+
+def _abbreviated(spark, folder) -> DataFrame:
+    """The documents with the conjunction ` und ` written as the abbreviation ` u. `."""
+    return _docs(spark, folder).withColumn("text", F.replace("text", F.lit(" und "), F.lit(" u. ")))
+
+
+@query
+def abbreviations(spark, folder):
+    """Abbreviations learned from the whole corpus."""
+    return ab.abbreviations(_abbreviated(spark, folder)).withColumn("score", _r("score"))
+
+
+@query
+def tokenize_abbreviations(spark, folder):
+    """Tokens in which the learned abbreviations keep their period."""
+    docs = _abbreviated(spark, folder)
+    known = stage_table(ab.abbreviations(docs), "abbreviations")
+    table = ab.tokenize_with(docs, known, tx.case_fold(tx.clean_noise(F.col("text"))), plain_spaces=True)
+    return _joined(table, "tokens")
+
+
+def _message_stems(spark, folder) -> DataFrame:
+    """A user's stem table: the words of the conversations of more than five letters, by their first five."""
+    words = _messages(spark, folder).select(F.explode(_cleaned_tokens()).alias("token")).distinct()
+    return words.filter(F.length("token") > 5).select("token", F.substring("token", 1, 5).alias("stem"))
+
+
+@query
+def stem_by_table(spark, folder):
+    """All tokens stemmed by a user's table."""
+    return _joined(wt.stem_by_table(_docs(spark, folder), _cleaned_tokens(), _message_stems(spark, folder)), "stems")
+
+
+@query
+def stem_dictionary(spark, folder):
+    """The corpus's own dictionary: each different token stemmed once."""
+    return wt.stem_dictionary(wt.word_rows(_docs(spark, folder), _cleaned_tokens()))
+
+
+@query
+def full_preparation_by_tables(spark, folder):
+    """The compact preparation with a stop list and a stem table from the data, both joined."""
+    docs = _docs(spark, folder)
+    kept = stage_table(wt.remove_listed(docs, _cleaned_tokens(), _stop_table(spark, folder)), "kept")
+    return _joined(wt.stem_by_table(kept, F.col("tokens"), _message_stems(spark, folder)), "clean")
+
+
+def _stop_table(spark, folder) -> DataFrame:
+    """A stop list: the default words, and the words of the conversations that over a tenth of them hold."""
+    words = _messages(spark, folder).select(F.explode(F.array_distinct(_cleaned_tokens())).alias("term"))
+    size = _messages(spark, folder).agg(F.count("*")).scalar()
+    often = words.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") * 10 > size).select("term")
+    default = spark.createDataFrame([(w,) for w in stoplists.DEFAULT], "term string")
+    return often.unionByName(default)
+
+
+@query
+def stopwords_by_table(spark, folder):
+    """Stopwords removed by an anti join with a table."""
+    return _joined(wt.remove_listed(_docs(spark, folder), _cleaned_tokens(), _stop_table(spark, folder)), "kept")
+
+
+def _lexicon_table(spark, folder) -> DataFrame:
+    """The extended lexicon, and the words of the benchmark items of over five letters with sides by their length."""
+    own = spark.createDataFrame(list(lx.EXTENDED.entries), "term string, polarity string, weight int")
+    words = _table(spark, folder, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"))
+    side = F.when(F.length("term") % 2 == 0, "positive").otherwise("negative")
+    more = words.distinct().filter(F.length("term") > 5).select("term", side.alias("polarity"), F.lit(1).alias("weight"))
+    return own.unionByName(more)
+
+
+@query
+def label_by_table(spark, folder):
+    """Labels from a lexicon table of any size."""
+    return lj.label_by_table(_docs(spark, folder), _lexicon_table(spark, folder))
+
+
+@query
+def lexicon_matches_by_table(spark, folder):
+    return lj.matches(_docs(spark, folder), _lexicon_table(spark, folder))
+
+
 @query
 def full_preparation(spark, folder):
     return _docs(spark, folder).select("doc_id", tx.full_pipeline(F.col("text")).alias("clean"))

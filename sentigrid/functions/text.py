@@ -23,6 +23,8 @@ URL = rf"(?:http|www)[^{SPACE}]+"
 MENTION_OR_HASHTAG = rf"[@#][{WORD}]+"
 SPACE_OR_NON_ASCII = r"[\t-\r\x1c-\x20\x{80}-\x{10FFFF}]+"
 FEATURE_TERM = rf"[{WORD}]{{2,}}"
+# a word's last run of letters, digits and inner periods, and the period after it
+WORD_TYPE = rf"([{WORD}][{WORD}.]*?)(\.?)[^{WORD}.]*$"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # --- end of fixed values ----------------------------------------------------------------
 
@@ -95,16 +97,39 @@ def _where_quoted(text: Column, steps: list[tuple[str, str]]) -> Column:
     return let(text, lambda t: F.when(t.rlike(ANY_QUOTE), _apply(t, steps)).otherwise(t))
 
 
-def tokenize(text: Column, plain_spaces: bool = False) -> Column:
+# stands for the period of an abbreviation while a text is tokenized
+_KEPT_PERIOD = "\ue000"
+
+
+def _keep_periods(text: Column, known: Column) -> Column:
+    """The text with the final periods of known abbreviations marked, but for the last word."""
+    def marked(words: Column) -> Column:
+        def mark(word: Column, i: Column) -> Column:
+            held = (i < F.size(words) - 1) & word.endswith(".") & F.array_contains(
+                known, F.regexp_extract(F.lower(word), WORD_TYPE, 1))
+            return F.when(held, F.concat(F.substring(word, F.lit(1), F.length(word) - 1), F.lit(_KEPT_PERIOD))).otherwise(word)
+
+        return F.array_join(F.transform(words, mark), " ")
+
+    return let(F.split(F.rtrim(text), " "), marked)
+
+
+def tokenize(text: Column, plain_spaces: bool = False, abbreviations: Column | None = None) -> Column:
     """Word tokens: punctuation, clitics (n't, 's) and ellipses stand alone.
 
-    `plain_spaces` says that the text holds no whitespace but the space (as after clean_noise).
+    `plain_spaces` says that the text holds no whitespace but the space (as after clean_noise). `abbreviations`, an
+    array<string> of lower-cased words without their final period, names words whose period ends no sentence and stays.
     """
     if not plain_spaces:
         text = F.regexp_replace(text, f"[{ODD_SPACE}]", " ")
+    if abbreviations is not None:
+        text = F.when(F.size(abbreviations) > 0, _keep_periods(text, abbreviations)).otherwise(text)
     spaced = _where_quoted(F.concat(text, F.lit(" ")), OPENING_QUOTE_STEPS)
     spaced = _where_quoted(_apply(spaced, PLAIN_STEPS), CLOSING_QUOTE_STEPS)
-    return non_empty(F.split(spaced, " +"))
+    tokens = non_empty(F.split(spaced, " +"))
+    if abbreviations is None:
+        return tokens
+    return F.transform(tokens, lambda t: F.replace(t, F.lit(_KEPT_PERIOD), F.lit(".")))
 
 
 def non_empty(tokens: Column) -> Column:
