@@ -9,6 +9,7 @@ from __future__ import annotations
 from sentigrid.catalog.queries import ALPHA, SEQUENCE_LENGTH
 from sentigrid.config import Training
 from sentigrid.functions import lexicon as lx
+from sentigrid.functions import stemming as st
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
 from sentigrid.operators import abbreviations as ab
@@ -600,3 +601,76 @@ _oracle("label_by_table", "table_matches", f"""
         SELECT d.doc_id, coalesce(sum(weight) FILTER (polarity = 'positive'), 0)::BIGINT AS pos,
                coalesce(sum(weight) FILTER (polarity = 'negative'), 0)::BIGINT AS neg
         FROM documents d LEFT JOIN table_matches USING (doc_id) WHERE d.text IS NOT NULL GROUP BY d.doc_id)""")
+
+# --- stems: the published rules step by step over the different tokens --------------------------------
+
+
+def _shape(word: str) -> str:
+    """V or C per letter; a y is V after C. Each round settles the first open y of a run."""
+    shape = f"regexp_replace(regexp_replace({word}, '[aeiou]', 'V', 'g'), '[^Vy]', 'C', 'g')"
+    for _ in range(3):
+        shape = f"regexp_replace(regexp_replace({shape}, 'Cy', 'CV', 'g'), '(^|V)y', '\\1C', 'g')"
+    return shape
+
+
+def _measure(word: str) -> str:
+    return f"len(regexp_extract_all({_shape(word)}, 'V+C+'))"
+
+
+def _closed(word: str) -> str:
+    shape = _shape(word)
+    return f"((ends_with({shape}, 'CVC') AND right({word}, 1) NOT IN ('w', 'x', 'y')) OR {shape} = 'VC')"
+
+
+def _suffix_rules(word: str, spec: str) -> str:
+    rules = sorted((tuple((item + ":").split(":")[:2]) for item in spec.split()), key=lambda r: -len(r[0]))
+    cases = " ".join(
+        f"WHEN ends_with({word}, '{old}') THEN CASE WHEN {_measure(f'left({word}, -{len(old)})')} > 0 "
+        f"THEN concat(left({word}, -{len(old)}), '{new}') ELSE {word} END" for old, new in rules)
+    return f"CASE {cases} ELSE {word} END"
+
+
+def _after_suffix(stem: str, word: str) -> str:
+    """What a removed -ed or -ing leaves."""
+    doubled = f"(length({stem}) > 1 AND right({stem}, 1) = left(right({stem}, 2), 1) AND ends_with({_shape(stem)}, 'C'))"
+    return f"""CASE WHEN NOT contains({_shape(stem)}, 'V') THEN {word}
+        WHEN regexp_matches({stem}, '(at|bl|iz)$') THEN concat({stem}, 'e')
+        WHEN {doubled} THEN CASE WHEN right({stem}, 1) IN ('l', 's', 'z') THEN {stem} ELSE left({stem}, -1) END
+        WHEN {_measure(stem)} = 1 AND {_closed(stem)} THEN concat({stem}, 'e') ELSE {stem} END"""
+
+
+_residue = " ".join(
+    f"WHEN ends_with(w, '{x}') THEN CASE WHEN {_measure(f'left(w, -{len(x)})')} > 1"
+    + (" AND regexp_matches(left(w, -3), '[st]$')" if x == "ion" else "") + f" THEN left(w, -{len(x)}) ELSE w END"
+    for x in sorted(st.STEP_4.split(), key=lambda x: -len(x)))
+_STEM_STEPS = [
+    """CASE WHEN ends_with(w, 'ies') THEN CASE WHEN length(w) = 4 THEN left(w, -1) ELSE left(w, -2) END
+        WHEN ends_with(w, 'sses') THEN left(w, -2)
+        WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, -1) ELSE w END""",
+    f"""CASE WHEN ends_with(w, 'ied') THEN CASE WHEN length(w) = 4 THEN left(w, -1) ELSE left(w, -2) END
+        WHEN ends_with(w, 'eed') THEN CASE WHEN {_measure('left(w, -3)')} > 0 THEN left(w, -1) ELSE w END
+        WHEN ends_with(w, 'ed') THEN {_after_suffix('left(w, -2)', 'w')}
+        WHEN ends_with(w, 'ing') THEN {_after_suffix('left(w, -3)', 'w')} ELSE w END""",
+    f"CASE WHEN ends_with(w, 'y') AND length(w) > 2 AND ends_with(left({_shape('w')}, -1), 'C') THEN concat(left(w, -1), 'i') ELSE w END",
+    f"CASE WHEN ends_with(w, 'alli') AND {_measure('left(w, -4)')} > 0 THEN left(w, -2) ELSE w END",
+    f"""CASE WHEN ends_with(w, 'logi') THEN CASE WHEN {_measure('left(w, -3)')} > 0 THEN left(w, -1) ELSE w END
+        ELSE {_suffix_rules('w', st.STEP_2)} END""",
+    _suffix_rules("w", st.STEP_3),
+    f"CASE {_residue} ELSE w END",
+    f"""CASE WHEN ends_with(w, 'e') AND ({_measure('left(w, -1)')} > 1 OR ({_measure('left(w, -1)')} = 1 AND NOT {_closed('left(w, -1)')}))
+        THEN left(w, -1) ELSE w END""",
+    f"CASE WHEN ends_with(w, 'll') AND {_measure('left(w, -1)')} > 1 THEN left(w, -1) ELSE w END",
+]
+_stepped = "SELECT DISTINCT w AS token, lower(w) AS w FROM d_words"
+for _step in _STEM_STEPS:
+    _stepped = f"SELECT token, {_step} AS w FROM ({_stepped})"
+_irregular = " ".join(f"WHEN {_lit(a)} THEN {_lit(b)}" for a, b in st.IRREGULAR.items())
+_part("porter", "d_words", f"""
+    SELECT token, CASE lower(token) {_irregular} ELSE CASE WHEN length(token) <= 2 THEN lower(token) ELSE w END END AS stem
+    FROM ({_stepped})""")
+_oracle("stem_dictionary", "porter", "SELECT token, stem FROM porter")
+_oracle("stem", "d_words porter", _reassembled(
+    "SELECT doc_id, i, stem AS w FROM d_words JOIN porter ON w = token", "stems"))
+_oracle("full_preparation_compact", "d_words porter", _reassembled(f"""
+    SELECT doc_id, i, stem AS w FROM d_words JOIN porter ON w = token
+    WHERE w NOT IN (SELECT unnest({_list(stoplists.DEFAULT)})) AND instr({_lit(tx.ASCII_PUNCTUATION)}, w) = 0""", "clean"))
