@@ -130,3 +130,27 @@ def test_sample_is_repeatable(spark):
     df = spark.range(100).withColumnRenamed("id", "doc_id")
     assert an.random_sample(df, 3).collect() == an.random_sample(df.repartition(5), 3).collect()
     assert [r.doc_id for r in an.preview(df, 3).collect()] == [0, 1, 2]
+
+
+def test_histogram_and_density_have_no_one_task_stage(spark):
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("label"), (F.col("id") * 37 % 211).cast("int").alias("word_count"))
+    for frame in (an.word_count_histogram(df), an.word_count_density(df)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "NestedLoop" not in plan
+
+
+def test_density_equals_the_dense_sum(spark):
+    import math
+    import statistics
+
+    lengths = {"a": [1, 1, 2, 5, 900], "b": [3, 4, 4], "c": [7, 7]}
+    df = spark.createDataFrame([(k, n) for k, v in lengths.items() for n in v], "label string, word_count int")
+    rows = an.word_count_density(df).collect()
+    assert {r.label for r in rows} == {"a", "b"} and len(rows) == 2 * an.DENSITY_POINTS
+    for r in rows:
+        own = lengths[r.label]
+        h = statistics.stdev(own) * len(own) ** -0.2
+        want = sum(math.exp(-0.5 * ((r.x - n) / h) ** 2) for n in own) / (len(own) * h * math.sqrt(2 * math.pi))
+        assert abs(r.density - want) < 1e-15
+    assert an.word_count_density(df.limit(0)).count() == 0 and an.word_count_histogram(df.limit(0)).count() == 0
