@@ -674,3 +674,11 @@ _oracle("stem", "d_words porter", _reassembled(
 _oracle("full_preparation_compact", "d_words porter", _reassembled(f"""
     SELECT doc_id, i, stem AS w FROM d_words JOIN porter ON w = token
     WHERE w NOT IN (SELECT unnest({_list(stoplists.DEFAULT)})) AND instr({_lit(tx.ASCII_PUNCTUATION)}, w) = 0""", "clean"))
+_part("hashed", "d_kept", """
+    SELECT doc_id, place, sum(sign)::INT AS n FROM (
+        SELECT doc_id, ('0x' || left(h, 7))::BIGINT % 64 AS place, CASE WHEN substr(h, 8, 1) < '8' THEN 1 ELSE -1 END AS sign
+        FROM (SELECT doc_id, md5(unnest(kept)) AS h FROM d_kept)) GROUP BY doc_id, place""")
+_oracle("embed_documents", "hashed d_kept", """
+    SELECT d.doc_id, string_agg(coalesce(n, 0)::VARCHAR, ' ' ORDER BY i) AS counts, count(*) FILTER (n <> 0)::INT AS filled,
+           CASE WHEN max(abs(n)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+    FROM d_kept d CROSS JOIN (SELECT i FROM range(64) r(i)) LEFT JOIN hashed h ON h.doc_id = d.doc_id AND h.place = i GROUP BY d.doc_id""")

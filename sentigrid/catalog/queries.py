@@ -803,11 +803,12 @@ def encode_sequences(spark, folder):
 
 @query
 def embed_documents(spark, folder):
-    """Hashed document vectors, as (doc_id, number of filled places, length)."""
+    """Signed hashed document vectors: the counts as text, the number of filled places, and the vector's length."""
     docs = _docs(spark, folder).select("doc_id", tx.prepare_tokens(F.col("text")).alias("tokens"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return sq.hashed_embedding(docs).select(
-        "doc_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("filled"), _r(norm, 4).alias("norm"))
+    return sq.hashed_embedding(docs).withColumn("counts", sq.signed_counts(F.col("tokens"))).select(
+        "doc_id", F.array_join(F.transform("counts", lambda x: x.cast("string")), " ").alias("counts"),
+        F.size(F.filter("embedding", lambda x: x != 0)).alias("filled"), _r(norm, 4).alias("norm"))
 
 
 @query
@@ -844,6 +845,15 @@ def softmax_head_summary(spark, folder):
     return mt.history_summary(history)
 
 
+@query
+def softmax_head_minibatch(spark, folder):
+    """History of the head trained in mini-batches by AdamW with warm-up, weight decay and dropout."""
+    vectors = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
+    config = HeadTraining(solver="adamw", learning_rate=0.05, batch_size=128, warmup=4, epochs=2, dropout=0.1)
+    _, history, _ = training.train_softmax_head(vectors, config)
+    return history.select("step", *[_r(c).alias(c) for c in ("train_loss", "val_loss", "val_accuracy")])
+
+
 @query
 def softmax_head_predict(spark, folder):
     head, _, rows = _head(spark, folder)

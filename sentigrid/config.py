@@ -80,11 +80,16 @@ class HeadTraining:
     test_ratio: float = 0.20
     validation_share: float = 0.1
     seed: int = 42
+    # "l-bfgs" and "gd" use all rows for each iteration; "adamw" takes the parameters below and the batch size
     solver: str = "l-bfgs"
+    weight_decay: float = 0.01
+    warmup: int = 100
+    dropout: float = 0.3
 
     def __post_init__(self) -> None:
         _within("max_length", self.max_length, 3, 512)
         _within("epochs", self.epochs, 1, 10)
         _within("test_ratio", self.test_ratio, 0.10, 0.50)
-        if self.solver not in ("l-bfgs", "gd"):
-            raise ValueError("solver is 'l-bfgs' or 'gd'")
+        _within("dropout", self.dropout, 0.0, 0.5)
+        if self.solver not in ("l-bfgs", "gd", "adamw"):
+            raise ValueError("solver is 'l-bfgs', 'gd' or 'adamw'")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sentigrid.functions.binding import let
+
 # ids below the first vocabulary id
 PAD_ID, UNKNOWN_ID, START_ID, END_ID = 0, 1, 2, 3
 FIRST_TERM_ID = 4
@@ -52,11 +53,45 @@ def encode_sequences(df: DataFrame, vocabulary: list[str], max_length: int = 256
     }).drop("_ids")
 
 
+def signed_counts(tokens: Column, dim: int = 64) -> Column:
+    """Signed feature hashing: per place the number of tokens with a plus less that with a minus, array<int>.
+
+    The first seven hex digits of a token's md5 name its place, the eighth its sign. The cells are sorted and cut
+    where the place changes, inside the row.
+    """
+    digests = F.transform(tokens, lambda t: F.md5(t.cast("binary")))
+    cells = F.sort_array(F.transform(digests, lambda d: F.struct(
+        (F.conv(F.substring(d, 1, 7), 16, 10).cast("int") % dim).alias("place"),
+        F.when(F.substring(d, 8, 1) < "8", 1).otherwise(-1).alias("sign"))))
+
+    def summed(c: Column) -> Column:
+        every = F.when(F.size(c) > 0, F.sequence(F.lit(1), F.size(c))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(every, lambda i: (i == 1) | (F.get(c, i - 1)["place"] != F.get(c, i - 2)["place"]))
+
+        def fold(bounds: Column) -> Column:
+            places = F.transform(bounds, lambda i: F.get(c, i - 1)["place"])
+            sums = F.transform(bounds, lambda a, i: F.aggregate(
+                F.slice(c, a, F.coalesce(F.get(bounds, i + 1), F.size(c) + 1) - a), F.lit(0), lambda total, x: total + x["sign"]))
+            return let(F.map_from_arrays(places, sums), lambda m: F.transform(
+                F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0))))
+
+        return let(starts, fold)
+
+    return let(cells, summed)
+
+
 def hashed_embedding(df: DataFrame, dim: int = 64, tokens_col: str = "tokens") -> DataFrame:
-    """Adds `embedding` (array<float>): hashed term counts of length one. Needs no model file."""
-    counts = HashingTF(numFeatures=dim, inputCol=tokens_col, outputCol="_hashed").transform(df)
-    scaled = Normalizer(p=2.0, inputCol="_hashed", outputCol="_scaled").transform(counts)
-    return scaled.withColumn("embedding", vector_to_array("_scaled", "float32")).drop("_hashed", "_scaled")
+    """Adds `embedding` (array<float>): signed hashed counts scaled to length one. Needs no model file.
+
+    Column expressions only; a text whose signs cancel everywhere, and one without tokens, is all zeros.
+    """
+    counts = signed_counts(F.coalesce(tokens_col, F.array().cast("array<string>")), dim)
+
+    def scaled(c: Column) -> Column:
+        length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda total, x: total + (x * x).cast("double")))
+        return let(length, lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+
+    return df.withColumn("embedding", let(counts, scaled))
 
 
 def embed_documents(df: DataFrame, make_encoder: Callable, text_col: str = "clean",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sentigrid.config import HeadTraining
 from sentigrid.functions import scores as sc
+from sentigrid.operators.minibatch_head import LinearHead, fit_minibatch_head
 from sentigrid.operators.naive_bayes import encode_label
 
 
@@ -53,7 +54,7 @@ class SoftmaxHead:
         return cls(classes, MultilayerPerceptronClassificationModel.load(f"{path}/model"))
 
 
-def _losses(head: SoftmaxHead, rows: DataFrame) -> DataFrame:
+def _losses(head: SoftmaxHead | LinearHead, rows: DataFrame) -> DataFrame:
     """Mean loss and accuracy per split."""
     label = F.col("label").cast("string")
     p_true = F.get(F.col("probabilities"), encode_label(label, head.classes))
@@ -64,12 +65,14 @@ def _losses(head: SoftmaxHead, rows: DataFrame) -> DataFrame:
 
 
 def fit_softmax_head(df: DataFrame, classes: list[str], config: HeadTraining = HeadTraining(),
-                     iterations_per_epoch: int = 20) -> tuple[SoftmaxHead, list[tuple]]:
-    """Train on rows with embedding, label and split ('train' and 'val').
+                     iterations_per_epoch: int = 20) -> tuple[SoftmaxHead | LinearHead, list[tuple]]:
+    """Train on rows with doc_id, embedding, label and split ('train' and 'val').
 
     Each epoch goes on from the weights of the one before. Gives the head and the history rows
-    (step, train_loss, val_loss, val_accuracy).
+    (step, train_loss, val_loss, val_accuracy). With the solver 'adamw' an epoch is one pass in mini-batches.
     """
+    if config.solver == "adamw":
+        return fit_minibatch_head(df, classes, config, _losses)
     data = _vectors(df, classes)
     train = data.filter(F.col("split") == "train").select("features", F.col("label_idx").alias("target"))
     dim = train.select(F.size(vector_to_array("features"))).first()[0]

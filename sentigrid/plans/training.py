@@ -14,6 +14,7 @@ from sentigrid.functions import text as tx
 from sentigrid.functions.lexicon import EXTENDED, Lexicon, with_label
 from sentigrid.operators.features import Vocabulary
 from sentigrid.operators.labelling import class_list, class_sizes, require_min_classes
+from sentigrid.operators.minibatch_head import LinearHead
 from sentigrid.operators.naive_bayes import (
     NaiveBayesModel, TermSums, alpha_sweep, best_alpha, sweep_history,
 )
@@ -90,7 +91,7 @@ def train_naive_bayes(prepared: DataFrame, config: Training = Training(), alpha:
 
 
 def train_softmax_head(vectors: DataFrame, config: HeadTraining = HeadTraining(),
-                       iterations_per_epoch: int = 20) -> tuple[SoftmaxHead, DataFrame, DataFrame]:
+                       iterations_per_epoch: int = 20) -> tuple[SoftmaxHead | LinearHead, DataFrame, DataFrame]:
     """Fit on (doc_id, label, embedding). Gives the head, its history and the split rows."""
     require_min_classes(vectors)
     keyed = vectors.withColumn("label", F.col("label").cast("string"))

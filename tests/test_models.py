@@ -243,3 +243,103 @@ def test_a_hundred_thousand_classes_are_split(spark):
     df = spark.range(250_000).select(F.col("id").alias("doc_id"), (F.col("id") % 100_000).cast("string").alias("label"))
     parts = {r.split: r["count"] for r in sp.stratified_split(df).groupBy("split").count().collect()}
     assert parts == {"test": 50_000, "train": 200_000}
+
+
+def test_signed_counts_equal_brute_force(spark):
+    import hashlib
+
+    rows = [(1, ["x", "y", "x", "é", ""]), (2, []), (3, [f"w{i}" for i in range(300)]), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id int, tokens array<string>")
+    got = {r.doc_id: r for r in sq.hashed_embedding(df.withColumn("c", sq.signed_counts(F.col("tokens"), 16)), 16).collect()}
+    for doc, tokens in rows:
+        want = np.zeros(16)
+        for t in tokens or []:
+            h = hashlib.md5(t.encode()).hexdigest()
+            want[int(h[:7], 16) % 16] += 1 if h[7] < "8" else -1
+        if tokens is not None:
+            assert list(got[doc].c) == want.tolist()
+        length = np.linalg.norm(want) or 1.0
+        assert list(got[doc].embedding) == pytest.approx((want / length).tolist(), abs=1e-6)
+
+
+def _vectors(spark, n=240):
+    rng = np.random.default_rng(8)
+    rows = [(i, "xyz"[i % 3], [float(v) for v in rng.normal(i % 3, 1.5, 5).astype(np.float32)]) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id bigint, label string, embedding array<float>").repartition(3)
+
+
+def _dense_training(parts, config):
+    """The same training on one matrix: batches and masks by the row's hashes, the optimiser written out."""
+    from sentigrid.operators import minibatch_head as mh
+
+    train = parts.filter("split = 'train'")
+    n, batches = train.count(), math.ceil(train.count() / config.batch_size)
+    w, m, v, step = np.zeros((6, 3)), 0.0, 0.0, 0
+    losses = []
+    for epoch in range(1, config.epochs + 1):
+        rows = train.select("doc_id", "label", "embedding", mh.batch_number(F.col("doc_id"), config, epoch, batches).alias("b"),
+                            mh.mask_key(F.col("doc_id"), config, epoch).alias("k")).collect()
+        assert len(rows) == n
+        seen = []
+        for number in range(batches):
+            mine = [r for r in rows if r.b == number]
+            if not mine:
+                continue
+            mask = mh.dropout_mask(np.array([r.k for r in mine]).view(np.uint64), 5, config.dropout)
+            x = np.hstack([np.array([r.embedding for r in mine], dtype=np.float64) * mask, np.ones((len(mine), 1))])
+            y = np.eye(3)[["xyz".index(r.label) for r in mine]]
+            p = np.exp(x @ w)
+            p /= p.sum(axis=1, keepdims=True)
+            seen.append(-np.log((p * y).sum(axis=1)).mean())
+            g = x.T @ (p - y) / len(mine)
+            rate = config.learning_rate * (step / config.warmup if step < config.warmup else
+                                           (config.epochs * batches - step) / max(1, config.epochs * batches - config.warmup))
+            step += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w * (1 - rate * config.weight_decay) - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+        losses.append(np.mean(seen))
+    return w, losses
+
+
+def test_minibatch_training_equals_a_dense_one(spark, tmp_path):
+    from sentigrid.operators.minibatch_head import LinearHead
+
+    config = HeadTraining(solver="adamw", learning_rate=0.1, batch_size=64, warmup=2, epochs=2, dropout=0.2, weight_decay=0.05)
+    head, history, parts = training.train_softmax_head(_vectors(spark), config)
+    want, losses = _dense_training(parts, config)
+    assert head.weights == pytest.approx(want, abs=1e-9)
+    rows = history.orderBy("step").collect()
+    assert [r.train_loss for r in rows] == pytest.approx(losses)
+    scored = head.predict(parts).collect()
+    for r in scored:
+        s = np.append(np.array(r.embedding), 1.0) @ want
+        p = np.exp(s - s.max())
+        assert list(r.probabilities) == pytest.approx((p / p.sum()).tolist())
+        assert r.prediction == "xyz"[int(np.argmax(s))]
+    assert np.mean([r.prediction == r.label for r in scored]) > 0.45  # a third by chance
+    val = [r for r in scored if r.split == "val"]
+    assert rows[-1].val_accuracy == pytest.approx(np.mean([r.prediction == r.label for r in val]))
+    assert rows[-1].val_loss == pytest.approx(np.mean([-math.log(r.probabilities["xyz".index(r.label)]) for r in val]))
+    head.save(spark, str(tmp_path / "l"))
+    assert (LinearHead.load(spark, str(tmp_path / "l")).weights == head.weights).all()
+
+
+def test_every_training_parameter_acts(spark):
+    vectors = _vectors(spark, 90)
+    base = dict(solver="adamw", learning_rate=0.1, batch_size=32, warmup=2, epochs=2, dropout=0.1, weight_decay=0.01, seed=42)
+    weights = [training.train_softmax_head(vectors, HeadTraining(**{**base, **change}))[0].weights for change in (
+        {}, {}, dict(learning_rate=0.2), dict(batch_size=16), dict(warmup=1), dict(epochs=3), dict(dropout=0.3), dict(weight_decay=0.5), dict(seed=7))]
+    assert (weights[0] == pytest.approx(weights[1]))
+    assert all(np.abs(w - weights[0]).max() > 1e-6 for w in weights[2:])
+
+
+def test_head_prediction_equals_its_layer(spark):
+    vectors = _vectors(spark, 90)
+    head, _, parts = training.train_softmax_head(vectors, HeadTraining(epochs=1), 3)
+    flat = head.model.weights.toArray()
+    w, bias = flat[:15].reshape(5, 3), flat[15:]
+    for r in head.predict(parts).collect():
+        s = np.array(r.embedding, dtype=np.float64) @ w + bias
+        p = np.exp(s - s.max())
+        assert list(r.probabilities) == pytest.approx((p / p.sum()).tolist(), abs=1e-9)
+        assert r.prediction == "xyz"[int(np.argmax(s))]
