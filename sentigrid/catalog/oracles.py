@@ -390,6 +390,7 @@ _oracle("stopword_anti_join", "d_tokens", f"""
         WHERE t NOT IN (SELECT unnest({_list(stoplists.DEFAULT)}))) k USING (doc_id) GROUP BY d.doc_id""")
 _oracle("vocab_join", "m_tf vocab", "SELECT doc_id, term, tf FROM m_tf JOIN vocab USING (term)")
 _oracle("class_vocab_overlap", "overlap", "SELECT * FROM overlap")
+_oracle("write_bucketed", "test_rows", "SELECT doc_id, label, prediction FROM test_rows")
 _oracle("predictions_vs_truth", "test_rows", "SELECT * FROM test_rows")
 
 _shares = "SELECT {0}, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1)::DOUBLE AS percent FROM {1} GROUP BY 1"

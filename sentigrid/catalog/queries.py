@@ -38,6 +38,7 @@ QUERIES: dict[str, Query] = {}
 ALPHA = 0.5
 LABELS = ["negative", "neutral", "positive"]
 SEQUENCE_LENGTH = 128
+BUCKETS = 8
 
 
 def query(function: Query) -> Query:
@@ -162,6 +163,16 @@ def write_results(spark, folder):
     return src.read_table(spark, path)
 
 
+@query
+def write_bucketed(spark, folder):
+    """Predictions and true labels written into the same buckets and joined where they lie."""
+    scored = stage_table(_scored_test(spark, folder), "scored")
+    predicted, truth = src.write_pair(
+        scored.select("doc_id", "prediction"), scored.select("doc_id", "label"), "doc_id",
+        scratch_path(spark, "bucketed"), BUCKETS)
+    return truth.join(predicted, "doc_id")
+
+
 @query
 def save_and_load_model(spark, folder):
     """The fitted model saved, loaded and applied to the test part."""

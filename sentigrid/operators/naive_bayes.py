@@ -21,6 +21,8 @@ from sentigrid.operators.features import Vocabulary, class_term_sums
 
 # documents scored against the whole alpha grid at a time, inside one Arrow batch
 _CHUNK = 256
+# weights of a task: 64 MB; a sweep over more goes by blocks of classes
+SWEEP_CELLS = 1 << 23
 
 
 def encode_label(label: Column, classes: list[str]) -> Column:
@@ -84,54 +86,111 @@ class TermSums:
         return np.log((self.sums + alpha) / (self.sums.sum(axis=1, keepdims=True) + alpha * self.sums.shape[1]))
 
 
-def alpha_sweep(features: DataFrame, sums: TermSums, alphas: list[float]) -> DataFrame:
-    """(split, alpha, n, correct, accuracy) for every alpha, from one pass over the features.
-
-    `features` has label, split and a sparse vector `features`. Each Arrow batch is scored
-    against all alphas at once and leaves one row per split and alpha, so the shuffle is tiny.
-    """
+def _dense_chunks(batch: pa.RecordBatch, n_terms: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, stop, matrix) of the sparse vectors of a batch, _CHUNK rows at a time."""
+    lengths = batch.column("indices").value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    index = batch.column("indices").flatten().to_numpy(zero_copy_only=False)
+    value = batch.column("values").flatten().to_numpy(zero_copy_only=False)
+    for start in range(0, batch.num_rows, _CHUNK):
+        stop = min(start + _CHUNK, batch.num_rows)
+        dense = np.zeros((stop - start, n_terms))
+        inside = slice(ends[start], ends[stop])
+        dense[np.repeat(np.arange(stop - start), lengths[start:stop]), index[inside]] = value[inside]
+        yield start, stop, dense
+
+
+def _counted(split: np.ndarray, alphas: list[float], right: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for part in np.unique(split):
+        mine = split == part
+        yield pa.RecordBatch.from_pydict({
+            "split": [str(part)] * len(alphas),
+            "alpha": pa.array(alphas, pa.float64()),
+            "n": pa.array([int(mine.sum())] * len(alphas), pa.int64()),
+            "correct": pa.array(right[mine].sum(axis=0).astype("int64")),
+        })
+
+
+def _sweep_at_once(rows: DataFrame, sums: TermSums, alphas: list[float]) -> DataFrame:
+    """(split, alpha, n, correct) where the weights of all classes and alphas fit a task."""
     n_terms, n_classes = sums.sums.shape[1], len(sums.classes)
     weights = np.concatenate([sums.theta(a) for a in alphas]).T.copy()
     prior = np.tile(sums.log_prior(), len(alphas))
-    digits, chunk = sc.TIE_DIGITS, _CHUNK
+    digits = sc.TIE_DIGITS
 
     def count_correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             truth = batch.column("label_idx").to_numpy(zero_copy_only=False)
             split = np.asarray(batch.column("split").to_pylist())
-            lengths = batch.column("indices").value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            index = batch.column("indices").flatten().to_numpy(zero_copy_only=False)
-            value = batch.column("values").flatten().to_numpy(zero_copy_only=False)
             right = np.zeros((batch.num_rows, len(alphas)), dtype=bool)
-            for start in range(0, batch.num_rows, chunk):
-                stop = min(start + chunk, batch.num_rows)
-                dense = np.zeros((stop - start, n_terms))
-                inside = slice(ends[start], ends[stop])
-                rows = np.repeat(np.arange(stop - start), lengths[start:stop])
-                dense[rows, index[inside]] = value[inside]
+            for start, stop, dense in _dense_chunks(batch, n_terms):
                 scores = np.round(dense @ weights + prior, digits)
                 best = scores.reshape(stop - start, len(alphas), n_classes).argmax(axis=2)
                 right[start:stop] = best == truth[start:stop, None]
-            for part in np.unique(split):
-                mine = split == part
-                yield pa.RecordBatch.from_pydict({
-                    "split": [str(part)] * len(alphas),
-                    "alpha": pa.array(alphas, pa.float64()),
-                    "n": pa.array([int(mine.sum())] * len(alphas), pa.int64()),
-                    "correct": pa.array(right[mine].sum(axis=0).astype("int64")),
-                })
+            yield from _counted(split, alphas, right)
 
+    return rows.mapInArrow(count_correct, "split string, alpha double, n bigint, correct bigint")
+
+
+def _sweep_by_blocks(rows: DataFrame, sums: TermSums, alphas: list[float], width: int) -> DataFrame:
+    """The same with `width` classes at a time.
+
+    A block leaves per row and alpha its best score and class; the best of the blocks is a maximum per row, with the first
+    class on ties, as in one go. No task holds more than the weights of a block.
+    """
+    n_terms, digits, log_prior = sums.sums.shape[1], sc.TIE_DIGITS, sums.log_prior()
+
+    def best_of(first: int) -> DataFrame:
+        mine = slice(first, min(first + width, len(sums.classes)))
+        block = TermSums(sums.classes[mine], sums.sizes[mine], sums.sums[mine])
+        weights = np.concatenate([block.theta(a) for a in alphas]).T.copy()
+        prior = np.tile(log_prior[mine], len(alphas))
+        n_classes = len(block.classes)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                top, place = np.zeros((2, batch.num_rows, len(alphas)))
+                for start, stop, dense in _dense_chunks(batch, n_terms):
+                    scores = np.round(dense @ weights + prior, digits).reshape(stop - start, len(alphas), n_classes)
+                    place[start:stop] = scores.argmax(axis=2)
+                    top[start:stop] = scores.max(axis=2)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(list(top), pa.list_(pa.float64())),
+                     pa.array(list((place + first).astype(np.int32)), pa.list_(pa.int32()))], names=["doc_id", "top", "place"])
+
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        return rows.select("doc_id", "indices", "values").mapInArrow(find, f"doc_id {kind}, top array<double>, place array<int>")
+
+    found = best_of(0)
+    for first in range(width, len(sums.classes), width):
+        found = found.unionByName(best_of(first))
+    cells = found.select("doc_id", F.posexplode(F.arrays_zip("top", "place")).alias("a", "cell"))
+    winner = F.max(F.struct(F.col("cell.top"), (-F.col("cell.place")).alias("place")))
+    best = cells.groupBy("doc_id", "a").agg((-winner["place"]).alias("best"))
+    named = best.join(rows.select("doc_id", "split", "label_idx"), "doc_id")
+    alpha = F.get(F.array(*[F.lit(x) for x in alphas]), F.col("a"))
+    return named.select("split", alpha.alias("alpha"), F.lit(1).cast("bigint").alias("n"),
+                        (F.col("best") == F.col("label_idx")).cast("bigint").alias("correct"))
+
+
+def alpha_sweep(features: DataFrame, sums: TermSums, alphas: list[float]) -> DataFrame:
+    """(split, alpha, n, correct, accuracy) for every alpha, from one pass over the features.
+
+    `features` has doc_id, label, split and a sparse vector `features`. Each Arrow batch is scored
+    against all alphas at once and leaves one row per split and alpha, so the shuffle is tiny. Where the weights
+    (alphas x classes x terms) exceed SWEEP_CELLS numbers, the classes are taken in blocks.
+    """
     vector = F.unwrap_udt("features")
+    rows = features.select(
+        "doc_id", encode_label(F.col("label"), sums.classes).alias("label_idx"), "split",
+        vector["indices"].alias("indices"), vector["values"].alias("values"))
+    width = max(1, SWEEP_CELLS // max(1, len(alphas) * sums.sums.shape[1]))
+    if width >= len(sums.classes):
+        swept = _sweep_at_once(rows, sums, alphas)
+    else:
+        swept = _sweep_by_blocks(rows, sums, alphas, width)
     return (
-        features.select(
-            encode_label(F.col("label"), sums.classes).alias("label_idx"),
-            "split",
-            vector["indices"].alias("indices"),
-            vector["values"].alias("values"),
-        )
-        .mapInArrow(count_correct, "split string, alpha double, n bigint, correct bigint")
-        .groupBy("split", "alpha")
+        swept.groupBy("split", "alpha")
         .agg(F.sum("n").alias("n"), F.sum("correct").alias("correct"))
         .withColumn("accuracy", F.col("correct") / F.col("n"))
     )

@@ -63,3 +63,21 @@ def write_table(df: DataFrame, path: str, bucket_by: str | None = None, buckets:
         raise ValueError("a bucketed table needs a name and a number of buckets")
     writer = df.write.mode(mode).format("parquet").option("path", path)
     writer.bucketBy(buckets, bucket_by).sortBy(bucket_by).saveAsTable(table)
+
+
+def read_bucketed(spark: SparkSession, table: str) -> DataFrame:
+    """A bucketed table by its name; the name carries the buckets, a path alone does not."""
+    return spark.read.table(table)
+
+
+def write_pair(left: DataFrame, right: DataFrame, key: str, path: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Writes two frames into the same buckets of `key` and reads them again: their joins and groups by `key` move no rows.
+
+    Each frame is dealt out by the key first, so that a bucket is one file. The tables' names end the path.
+    """
+    spark, out = left.sparkSession, []
+    for side, frame in (("left", left), ("right", right)):
+        name = f"{path.rstrip('/').rsplit('/', 1)[-1]}_{side}".replace("-", "_")
+        write_table(frame.repartition(buckets, key), f"{path}/{side}", key, buckets, name)
+        out.append(read_bucketed(spark, name))
+    return out[0], out[1]

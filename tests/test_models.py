@@ -343,3 +343,24 @@ def test_head_prediction_equals_its_layer(spark):
         p = np.exp(s - s.max())
         assert list(r.probabilities) == pytest.approx((p / p.sum()).tolist(), abs=1e-9)
         assert r.prediction == "xyz"[int(np.argmax(s))]
+
+
+def test_sweep_by_blocks_equals_that_at_once(spark, prepared, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"c{i % 13:02d}", " ".join(rng.choice(["red", "blue", "sky", "leaf", f"own{i % 13}"], 6))) for i in range(260)]
+    rows += [(1000 + i, f"c{i % 2:02d}", "red") for i in range(6)]  # ties between classes
+    many = ft.with_terms(spark.createDataFrame(rows, "doc_id bigint, label string, clean string"))
+    for frame in (many, prepared):
+        features, vocabulary = training.split_features(frame)
+        classes = sorted(r.label for r in features.select("label").distinct().collect())
+        sums = nb.TermSums.collect(features.filter("split = 'train'"), classes, len(vocabulary.terms))
+        alphas = [0.1, 0.7, 2.0]
+
+        def swept():
+            return sorted((r.split, r.alpha, r.n, r.correct) for r in nb.alpha_sweep(features, sums, alphas).collect())
+
+        at_once = swept()
+        for width in (1, 2, 5):
+            monkeypatch.setattr(nb, "SWEEP_CELLS", width * len(alphas) * len(vocabulary.terms))
+            assert swept() == at_once
+        monkeypatch.undo()

@@ -76,3 +76,23 @@ def test_stage_and_write(spark):
 def test_scans_are_not_shuffled(spark, splits):
     df = spark.range(0, 1000, 1, splits).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
     assert "Exchange" not in tables.corpus(df)._jdf.queryExecution().toString()
+
+
+def test_joins_of_a_bucketed_pair_move_no_rows(spark, tmp_path):
+    from sentigrid.sources import tables as src
+
+    left = spark.range(500).selectExpr("id AS doc_id", "id % 3 AS a").repartition(3)
+    right = spark.range(400).selectExpr("id AS doc_id", "id % 5 AS b").repartition(2)
+    one, two = src.write_pair(left, right, "doc_id", str(tmp_path / "pair-1"), 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = one.join(two, "doc_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        counted = one.groupBy("doc_id").count()
+        assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+        assert {(r.doc_id, r.a, r.b) for r in joined.collect()} == {(i, i % 3, i % 5) for i in range(400)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE pair_1_left")
+        spark.sql("DROP TABLE pair_1_right")
