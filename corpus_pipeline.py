@@ -17,7 +17,7 @@ from sentigrid.llm.common import table
 from sentigrid.llm.decontaminate import without_leaks
 from sentigrid.llm.mixing import mix
 from sentigrid.llm.quality import keep_good
-from sentigrid.llm.simhash import keep_first
+from sentigrid.llm.simhash import MAX_BITS, SEGMENT, SHINGLE, keep_first
 from sentigrid.llm.site_lines import drop_boilerplate
 from sentigrid.session import stage_table
 
@@ -34,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One row of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    return keep_first(docs)
+    """One row of each group of near duplicates: three-word shingles, 64 bits of which two may differ, every link found."""
+    return keep_first(docs, words=SHINGLE, bits=64, max_bits=MAX_BITS, width=SEGMENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -17,7 +17,7 @@ from sentigrid.llm.ranked_search import (
 from sentigrid.llm.secrets import find_secrets
 from sentigrid.llm.simhash import near_duplicates
 from sentigrid.llm.site_lines import (
-    _BLOCK, _GONE, MIN_HOST_PAGES, MIN_PAGES_WITH, RATIO, drop_boilerplate, html_lines, url_host)
+    _BLOCK, _GONE, MIN_PAGES_WITH, RATIO, drop_boilerplate, html_lines, url_host)
 from sentigrid.llm.suffixes import remove_repeats
 from sentigrid.llm.token_alignment import align_corpus
 from sentigrid.llm.toxicity import score_toxicity, train
@@ -108,7 +108,7 @@ common AS (
     SELECT line.host, l FROM line JOIN host_total t ON line.host IS NOT DISTINCT FROM t.host
     WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')
     GROUP BY line.host, l, t.pages
-    HAVING t.pages >= {MIN_HOST_PAGES} AND count(DISTINCT page_id) >= {MIN_PAGES_WITH} AND count(DISTINCT page_id) > {RATIO} * t.pages
+    HAVING count(DISTINCT page_id) >= {MIN_PAGES_WITH} AND count(DISTINCT page_id) > {RATIO} * t.pages
 )"""
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

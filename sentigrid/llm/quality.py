@@ -19,7 +19,7 @@ CHUNK = 4096
 BANDS = ((128, 0.0, np.inf), (256, 0.30, np.inf), (1024, 0.28, 0.85), (4096, 0.25, 0.75),
          (16384, 0.22, 0.70), (np.inf, 0.20, 0.68))
 CHUNK_BAND = (0.20, 0.72)
-# A text goes if more than this share of its full chunks lies outside CHUNK_BAND.
+# A text goes if at least this share of its chunks lies outside CHUNK_BAND.
 CHUNK_SHARE = 0.5
 MIN_WORDS = 50
 
@@ -43,6 +43,15 @@ def repeated_words(words: list[str]) -> int:
     return int(mark.sum())
 
 
+def chunk_starts(n: int) -> list[int]:
+    """Starts of the chunks of a text of n bytes: one after the other, the last one ending with the text.
+
+    A text shorter than a chunk has none: its band as a whole says the same.
+    """
+    starts = list(range(0, n - CHUNK + 1, CHUNK))
+    return starts + [n - CHUNK] if starts and n % CHUNK else starts
+
+
 def in_band(n: int, ratio: float) -> bool:
     low, high = next((lo, hi) for upto, lo, hi in BANDS if n <= upto)
     return low <= ratio <= high
@@ -56,12 +65,12 @@ def measure(text: str, packer: zstandard.ZstdCompressor) -> tuple:
     failed = n < MIN_WORDS or 100 * repeats > 50 * n
     raw = text.encode()
     ratio = len(packer.compress(raw)) / len(raw) if raw else 0.0
-    chunks = bad = 0
-    for start in range(0, len(raw) - CHUNK + 1, CHUNK):
-        chunks += 1
+    starts = chunk_starts(len(raw))
+    chunks, bad = len(starts), 0
+    for start in starts:
         part = len(packer.compress(raw[start:start + CHUNK])) / CHUNK
         bad += not CHUNK_BAND[0] <= part <= CHUNK_BAND[1]
-    good = bool(raw) and in_band(len(raw), ratio) and bad <= CHUNK_SHARE * chunks
+    good = bool(raw) and in_band(len(raw), ratio) and (not chunks or bad < CHUNK_SHARE * chunks)
     return (n, len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)),
             len(worded) - len(set(worded)), repeats, len(raw), ratio, chunks, bad, failed, good and not failed)
 
@@ -80,8 +89,8 @@ def quality_metrics(docs: DataFrame, text_col: str = "text", into: str = "qualit
     """Every row of `docs` with a struct `into` of word statistics, compression figures and the verdict `kept`.
 
     The zstandard ratio of the whole text must lie in the band of its length: below it the text repeats
-    itself, above it is noise. Each full 4,096-byte chunk has a band too, so that a long text cannot hide
-    a junk half behind a good one. `base_failed` holds for texts of fewer than 50 words or
+    itself, above it is noise. Each 4,096-byte chunk has a band too, the last one reaching back from the end of the text,
+    and half of them outside it are enough: no text can hide a junk half behind a good one. `base_failed` holds for texts of fewer than 50 words or
     with over half their words in repeated 3-word windows.
 
     A null text counts as empty: no words, ratio 0, not kept. Repeated rows are judged alike, one by one; an empty table

@@ -14,6 +14,8 @@ from sentigrid.llm.components import connected_components
 from sentigrid.session import stage_table
 
 SEED = 42
+# the operator's contract: words of a shingle, bits that may differ
+SHINGLE, MAX_BITS = 3, 2
 # Two segments of a 64-bit fingerprint; of a wide one, two shorter ones in each 64-bit word.
 SEGMENT = 32
 WIDE_SEGMENT = 28

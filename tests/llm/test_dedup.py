@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sentigrid.llm import simhash, suffixes
+from sentigrid.llm import simhash, site_lines, suffixes
 from sentigrid.llm.components import connected_components
 from sentigrid.llm.site_lines import drop_boilerplate, html_lines, url_host
 
@@ -148,15 +148,43 @@ def test_merge_equals_one_sort():
     assert [key(i) for i in order] == [key(i) for i in want]
 
 
-def test_site_lines(frame):
+def brute_lines(rows, ratio=0.1, least=3):
+    """Text of each row without the lines of its host that enough of its pages hold."""
+    hosts = {}
+    for _, text, host in rows:
+        hosts.setdefault(host, []).append({x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")})
+    common = {h: {x for x in set().union(*p) if sum(x in q for q in p) >= least and sum(x in q for q in p) > ratio * len(p)}
+              for h, p in hosts.items()}
+    return sorted((repr(i), None if t is None else "\n".join(x for x in t.split("\n") if x not in common[h])) for i, t, h in rows)
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_site_lines(frame, monkeypatch, broadcast):
+    monkeypatch.setattr(site_lines, "BROADCAST_LINES", broadcast)
     rows = [(i, f"menu\nown {i}\n\nfoot" if i % 2 else f"own {i}\nfoot", "a") for i in range(12)]
-    rows += [(100 + i, "menu\nx", "small") for i in range(9)] + [(200 + i, f"menu\nz{i}", None) for i in range(12)] + [(300, None, "a")]
+    rows += [(100 + i, f"menu\nx{i}", "small") for i in range(9)] + [(200 + i, f"menu\nz{i}", None) for i in range(12)] + [(300, None, "a")]
+    rows += [(400 + i, f"top\ny{i}", "three") for i in range(3)] + [(410 + i, "top\nx", "two") for i in range(2)]
     got = {r.doc_id: r for r in drop_boilerplate(frame(rows), F.col("text"), F.col("source"), stats=True).collect()}
     assert got[1].text == "own 1\n" and got[1].n_dropped == 2 and got[2].text == "own 2"
-    assert got[100].text == "menu\nx" and got[203].text == "z3" and got[300].text is None and len(got) == len(rows)
+    assert got[100].text == "x0" and got[203].text == "z3" and got[300].text is None and len(got) == len(rows)
+    assert got[401].text == "y1" and got[410].text == "top\nx"  # three pages are enough, two are not
+    assert sorted((repr(i), r.text) for i, r in got.items()) == brute_lines(rows)
     assert drop_boilerplate(frame([]), F.col("text"), F.col("source")).count() == 0
 
 
+def test_site_lines_of_messy_rows(frame, messy, spark):
+    rows = [(i, t, "h") for i, t in messy] + [(50 + i, f"ten\nrow {i}" if i < 3 else f"row {i}", "ratio") for i in range(30)]
+    rows += [(90 + i, "eleven\n" * 2 if i < 4 else f"line {i}", "over") for i in range(30)]
+    out = drop_boilerplate(frame(rows), F.col("text"), F.col("source"))
+    assert sorted((repr(r.doc_id), r.text) for r in out.collect()) == brute_lines(rows)
+    kept = {r.doc_id: r.text for r in out.collect()}
+    assert kept[50] == "ten\nrow 0" and kept[90] == ""  # just a tenth of the pages, and more
+    clash = spark.createDataFrame([(i, "same\nline", "h", 1, 2, 3) for i in range(5)],
+                                  "doc_id bigint, text string, source string, _sitek int, _sitel int, _sites int")
+    odd = drop_boilerplate(clash, F.col("text"), F.col("source"))
+    assert odd.columns == clash.columns and {r.text for r in odd.collect()} == {""}
+
+
 def test_hosts_and_html(spark):
     row = spark.createDataFrame([("HTTP://u@A.example:8/x", "<p>a<b>b</b></p><script>x</script>c"), ("nothing", None)], "u string, t string")
     got = row.select(url_host(F.col("u")).alias("h"), html_lines(F.col("t")).alias("l")).collect()

@@ -46,5 +46,7 @@ def test_queries_are_registered_and_run(spark, name):
     source = spark.read.parquet(f"{SMALL}/{table}.parquet")
     if name == "op7_chat":
         assert rows == source.select(F.col("conv_id")).distinct().count() + 1
+    elif name == "op11_ranked_search":
+        assert rows == 10 * spark.read.parquet(f"{SMALL}/benchmark.parquet").count()
     elif name != "op3_decontaminate":
         assert rows == source.count()

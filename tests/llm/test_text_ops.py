@@ -329,3 +329,35 @@ def test_quality(frame, messy):
         assert (got[doc].n_words, got[doc].word_chars, got[doc].n_repeat_words) == (len(w), sum(map(len, w)), len(marked))
     assert quality.quality_metrics(frame([])).count() == 0
     assert {r.doc_id for r in quality.keep_good(frame(rows)).collect()} == {d for d in got if got[d].kept}
+
+
+def _prose(rng, size):
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    out = ""
+    while len(out) < size:
+        out += rng.choice(words) + " "
+    return out[:size]
+
+
+def _noise(rng, size):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    return "".join(rng.choice(letters) for _ in range(size))
+
+
+@pytest.mark.parametrize("parts, kept", [
+    ([("prose", 4096), ("noise", 4095)], False),                      # half noise in the last, partial chunk
+    ([("prose", 4096), ("noise", 4096), ("noise", 4088)], False),
+    ([("prose", 4096), ("noise", 4096)], False),
+    ([("prose", 12288), ("noise", 1000)], True),
+    ([("prose", 8191)], True), ([("prose", 4097)], True), ([("prose", 3000)], True),
+    ([("noise", 4095), ("prose", 4096)], False),
+])
+def test_quality_measures_the_whole_text(frame, parts, kept):
+    from sentigrid.llm.quality import CHUNK, chunk_starts, quality_metrics
+
+    rng = random.Random(1)
+    text = "".join((_prose if kind == "prose" else _noise)(rng, size) for kind, size in parts)
+    row = quality_metrics(frame([(1, text)])).first().quality
+    starts = chunk_starts(len(text))
+    assert row.n_chunks == len(starts) and all(any(s <= i < s + CHUNK for s in starts) for i in range(len(text)) if starts)
+    assert row.kept is kept
