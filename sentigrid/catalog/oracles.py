@@ -547,7 +547,7 @@ _part("abbreviated", "", "SELECT doc_id, replace(text, ' und ', ' u. ') AS text
 _part("types", "abbreviated", f"""
     SELECT regexp_extract(w, {_TYPE}, 1) AS term, CASE WHEN regexp_extract(w, {_TYPE}, 2) = '.' THEN 1 ELSE 0 END AS period
     FROM (SELECT regexp_extract(unnest(string_split_regex(lower(text), {_lit(f'[{tx.SPACE}]+')})), {_TYPE}, 0) AS w FROM abbreviated)
-    WHERE regexp_matches(w, '\p{{L}}')""")
+    WHERE regexp_matches(w, '\\p{{L}}')""")
 _part("abbreviation_scores", "types", f"""
     SELECT term, n_with, n_without, 2 * (n_with * (ln({ab.PERIOD_RATE}::DOUBLE) - ln(rate))
                + n_without * (ln(1 - {ab.PERIOD_RATE}::DOUBLE) - ln(1 - rate)))
@@ -591,7 +591,7 @@ _part("lexicon_table", "", f"""
     SELECT term, polarity, sum(weight)::BIGINT AS weight FROM (
         SELECT * FROM (VALUES {_entries}) e(term, polarity, weight) UNION ALL
         SELECT term, CASE WHEN length(term) % 2 = 0 THEN 'positive' ELSE 'negative' END, 1
-        FROM (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\p{{L}}]+')) AS term FROM benchmark) WHERE length(term) > 5)
+        FROM (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\\p{{L}}]+')) AS term FROM benchmark) WHERE length(term) > 5)
     GROUP BY term, polarity""")
 _part("table_matches", "lexicon_table", """
     SELECT doc_id, term, polarity, weight FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE text IS NOT NULL)
