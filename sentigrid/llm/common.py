@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,15 @@ def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows)
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of the ranges [start, start + length) one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def list_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column without nulls in one array, and the length of each list."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values, column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sentigrid.llm.common import SLICE, _arrow_schema, map_rows, record_batch, text_of
+from sentigrid.llm.common import SLICE, _arrow_schema, list_column, map_rows, ragged, record_batch, text_of
 from sentigrid.session import stage_table
 
 # Hits of one passage lie at most so many words apart.
@@ -28,10 +27,19 @@ _SIGN = np.uint64(1 << 63)
 
 
 class _Memo(dict):
+    """Numbers of words; 0 for a word that is not in the table of the items' words, if there is one."""
+
+    def __init__(self, table: np.ndarray | None = None):
+        super().__init__()
+        self.table = table
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _MEMO:
             self.clear()
-        value = self[word] = xxh64_intdigest(word)
+        value = xxh64_intdigest(word) or 1
+        if self.table is not None and not len(_known(np.array([value], np.uint64), self.table)):
+            value = 0
+        self[word] = value
         return value
 
 
@@ -65,11 +73,20 @@ def item_keys(ids: np.ndarray, least: float) -> tuple[np.ndarray, int]:
     return ids, max(1, math.ceil(least * len(ids) - 1e-9))
 
 
-def text_keys(ids: np.ndarray, with_words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that a text can share with an item, and the word each begins at."""
-    at = np.arange(len(ids))
-    found = [(pairs(ids[:-1], ids[1:]), at[:-1]), (pairs(ids[:-2], ids[2:]), at[:-2])] + [(ids, at)] * with_words
-    return np.concatenate([k for k, _ in found]), np.concatenate([a for _, a in found])
+def text_keys(words: np.ndarray, owner: np.ndarray, with_words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that texts can share with an item, and the word each begins at.
+
+    `words` are the words of several texts one after the other, 0 for those that no item has, `owner` the text of each.
+    """
+    keys, at = [], []
+    for step in (1, 2):
+        here = np.flatnonzero((words[:-step] != 0) & (words[step:] != 0) & (owner[:-step] == owner[step:]))
+        keys.append(pairs(words[here], words[here + step]))
+        at.append(here)
+    if with_words:
+        at.append(np.flatnonzero(words))
+        keys.append(words[at[-1]])
+    return np.concatenate(keys), np.concatenate(at)
 
 
 def _signed(values: np.ndarray) -> list[int]:
@@ -111,21 +128,47 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, least: float) -> Da
     return made.withColumn("no", F.monotonically_increasing_id())
 
 
-def _frequencies(docs: DataFrame, table: np.ndarray, with_words: bool) -> DataFrame:
-    """(h, df) of the keys the table knows, over all documents; counts are combined in the tasks."""
-    schema = _arrow_schema(docs.sparkSession.createDataFrame([], "h bigint, n bigint").schema)
+def _numbered(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """(doc, words): the numbers of a document's words, 0 for those no item has; documents without the others leave no row.
+
+    The only pass over the texts. What is written is mostly zeros and few different numbers.
+    """
+    memo = _Memo(table)
+
+    def body(ids, texts):
+        for i, t in zip(ids, texts):
+            ids_ = tokens(t, memo)
+            if ids_.any():
+                yield i, ids_.view(np.int64)
+
+    return map_rows(docs, body, "doc bigint, words array<bigint>")
+
+
+def _hits(words: pa.Array, table: np.ndarray, with_words: bool) -> tuple[np.ndarray, ...]:
+    """(words, their texts, keys the table knows, their first words in order) of a list column of word numbers."""
+    values, lengths = list_column(words)
+    values, owner = values.view(np.uint64), np.repeat(np.arange(len(lengths)), lengths)
+    keys, at = text_keys(values, owner, with_words)
+    known = _known(keys, table)
+    known = known[np.argsort(at[known], kind="stable")]
+    return values, owner, keys[known], at[known]
+
 
+def _frequencies(numbered: DataFrame, table: np.ndarray, with_words: bool) -> DataFrame:
+    """(h, df) of the keys the table knows, over all documents; counts are combined in the tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
         for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column(0):
-                h, _ = text_keys(tokens(text.as_py(), memo), with_words)
-                seen.update(_signed(np.unique(h[_known(h, table)])))
-            if seen:
-                yield record_batch(list(seen.items()), schema)
-
-    part = docs.select("t").mapInArrow(run, "h bigint, n bigint")
+            for start in range(0, batch.num_rows, SLICE):
+                _, owner, keys, at = _hits(batch.column(0).slice(start, SLICE), table, with_words)
+                if not len(keys):
+                    continue
+                order = np.lexsort((owner[at], keys))
+                h, text = keys[order], owner[at][order]
+                once = np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])))
+                found, n = np.unique(h[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    part = numbered.select("words").mapInArrow(run, "h bigint, n bigint")
     return part.groupBy("h").agg(F.sum("n").alias("df"))
 
 
@@ -141,23 +184,32 @@ def _rare_seeds(items: DataFrame, frequencies: DataFrame) -> DataFrame:
     return kept.select("h", "no").distinct()
 
 
-def _passages(docs: DataFrame, table: np.ndarray, reach: int, with_words: bool) -> DataFrame:
+def _passages(numbered: DataFrame, table: np.ndarray, reach: int, with_words: bool) -> DataFrame:
     """(doc, start, words, hits): the surroundings of seed hits, as word numbers; documents without hits leave no row."""
-    memo = _Memo()
+    def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
-    def body(ids, texts):
-        for i, t in zip(ids, texts):
-            ids_ = tokens(t, memo)
-            h, at = text_keys(ids_, with_words)
-            hit = _known(h, table)
-            if not len(hit):
-                continue
-            hit = hit[np.argsort(at[hit], kind="stable")]
-            for run in np.split(hit, np.flatnonzero(np.diff(at[hit]) > GAP) + 1):
-                lo, hi = max(0, int(at[run[0]]) - reach), int(at[run[-1]]) + 1 + reach
-                yield i, lo, _signed(ids_[lo:hi]), _signed(np.unique(h[run]))
-
-    return map_rows(docs, body, "doc bigint, start bigint, words array<bigint>, hits array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE):
+                docs, words = (c.slice(begin, SLICE) for c in batch.columns)
+                values, owner, keys, at = _hits(words, table, with_words)
+                if not len(at):
+                    continue
+                text = owner[at]
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(at) > GAP) | (text[1:] != text[:-1]))))
+                last = np.concatenate((first[1:], [len(at)])) - 1
+                sizes = np.bincount(owner, minlength=len(docs))
+                starts = np.cumsum(sizes) - sizes
+                mine = text[first]
+                lo = np.maximum(at[first] - reach, starts[mine])
+                hi = np.minimum(at[last] + 1 + reach, starts[mine] + sizes[mine])
+                yield pa.RecordBatch.from_arrays(
+                    [docs.take(pa.array(mine)), pa.array(lo - starts[mine]), lists(values[ragged(lo, hi - lo)], hi - lo),
+                     lists(keys, last - first + 1)], names=["doc", "start", "words", "hits"])
+
+    return numbered.mapInArrow(run, "doc bigint, start bigint, words array<bigint>, hits array<bigint>")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -176,35 +228,65 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _aligned(pairs: DataFrame, least: float) -> DataFrame:
-    def body(docs, items, starts, passages, words):
-        for doc, item, start, passage, own in zip(docs, items, starts, passages, words):
-            a, b = np.array(own, np.int64), np.array(passage, np.int64)
-            keys, need = item_keys(a.view(np.uint64), least)
-            if np.isin(keys, text_keys(b.view(np.uint64), len(keys) == len(a))[0]).sum() < need:
-                continue
-            score, end = align(a, b)
-            share = score / (MATCH * len(a))
-            if share >= least:
-                _, length = align(a[::-1], b[:end][::-1])
-                yield doc, item, share, start + end - length, start + end
+def _with_row(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One number for a key of a row; two that meet by chance cost an alignment and lose nothing."""
+    return pairs(row.astype(np.uint64) + np.uint64(1), keys)
+
+
+def enough_keys(items: pa.Array, passages: pa.Array, least: float) -> np.ndarray:
+    """Rows whose passage has as many keys of its item as every accepted copy has; all rows are tested together."""
+    own, n = list_column(items)
+    text, size = list_column(passages)
+    own, text = own.view(np.uint64), text.view(np.uint64)
+    item, row = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(size)), size)
+    need = np.array([pairs_needed(int(k), least) for k in n])
+    by_word = need <= 0
+    need = np.where(by_word, np.maximum(1, np.ceil(least * n - 1e-9)), need)
+    next_ = np.flatnonzero((item[:-1] == item[1:]) & ~by_word[item[:-1]])
+    single = np.flatnonzero(by_word[item])
+    wanted = np.concatenate((_with_row(pairs(own[next_], own[next_ + 1]), item[next_]), _with_row(own[single], item[single])))
+    whose = np.concatenate((item[next_], item[single]))
+    keys, at = text_keys(text, row, bool(by_word.any()))
+    met = np.isin(wanted, _with_row(keys, row[at]))
+    return np.flatnonzero(np.bincount(whose[met], minlength=len(n)) >= need)
+
 
-    return map_rows(pairs, body, "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint")
+def _aligned(pairs_: DataFrame, least: float) -> DataFrame:
+    target = "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint"
+    schema = _arrow_schema(pairs_.sparkSession.createDataFrame([], target).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE):
+                docs, items, starts, passages, owns = batch.slice(begin, SLICE).columns
+                out = []
+                for i in enough_keys(owns, passages, least).tolist():
+                    a, b = (np.array(c[i].as_py(), np.int64) for c in (owns, passages))
+                    score, end = align(a, b)
+                    share = score / (MATCH * len(a))
+                    if share >= least:
+                        _, length = align(a[::-1], b[:end][::-1])
+                        start = starts[i].as_py()
+                        out.append((docs[i].as_py(), items[i].as_py(), share, start + end - length, start + end))
+                if out:
+                    yield record_batch(out, schema)
+
+    return pairs_.mapInArrow(run, target)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_id_col: str = "item_id", item_text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): documents that hold a copy of a benchmark item.
 
-    Two passes over the texts. The first counts in how many documents each pair of neighbour words of the items occurs,
-    side by side or with one word between. A copy that the alignment accepts has a third of an item's pairs at least
+    One pass over the texts turns them into word numbers, 0 for words that no item has. Over these, the first pass counts
+    in how many documents each pair of neighbour words of the items occurs, side by side or with one word between. A copy that the alignment accepts has a third of an item's pairs at least
     (`pairs_needed`), so all but the most frequent ones become seeds and no such copy is without a seed. The second pass
     cuts out the passages around seed hits, as wide as an accepted copy can be; these join the items by seed, and a
     Smith-Waterman alignment over words scores each pair: 2 for a match, -1 for an edit, as a share of the
     item's own score. From 0.5 on it is a leak, so edited, shortened and paraphrased copies count. One row per
     (document, item): the best alignment.
 
-    What tasks get of the items is a bit table of fixed size; everything else is joined by equality, so items
+    What tasks get of the items is bit tables of fixed size; everything else is joined by equality, so items
     may be many. Items and documents without a word match nothing; null texts count as empty; repeated rows
     give one result row; null ids are kept as null. Empty tables give an empty result; other columns are ignored.
     """
@@ -214,10 +296,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     longest, with_words = items.agg(F.max(size), F.max(size == F.size("keys"))).first()
     # an accepted copy has at most n words of the item and 2 n (1 - least) inserted ones
     reach, with_words = math.ceil((longest or 0) * (3 - 2 * least)), bool(with_words)
+    numbered = stage_table(_numbered(picked, _filter_of(items.select(F.explode("words").alias("h")))), "word-numbers")
     every = items.select(F.explode("keys").alias("h"))
-    df = _frequencies(picked, _filter_of(every), with_words)
+    df = _frequencies(numbered, _filter_of(every), with_words)
     seeds = stage_table(_rare_seeds(items, df), "seeds")
-    found = _passages(picked, _filter_of(seeds), reach, with_words).withColumn("id", F.monotonically_increasing_id())
+    found = _passages(numbered, _filter_of(seeds), reach, with_words).withColumn("id", F.monotonically_increasing_id())
     found = stage_table(found, "passages")
     met = found.select("id", F.explode("hits").alias("h")).join(seeds, "h").select("id", "no").distinct()
     pairs_ = met.join(found.select("id", "doc", "start", "words"), "id")

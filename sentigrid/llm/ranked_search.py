@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentigrid.llm.common import map_rows
+from sentigrid.llm.common import map_rows, ragged
 from sentigrid.session import stage_table
 
 # (item, term) pairs of a block of items; a block's vocabulary is what travels to the tasks
@@ -104,7 +104,7 @@ class _Bucket:
     def __init__(self, docs, norms, ends, ids, impacts):
         order = np.argsort(-norms, kind="stable")
         lengths = np.diff(ends)[order]
-        spots = _ragged(ends[:-1][order], lengths)
+        spots = ragged(ends[:-1][order], lengths)
         self.docs, self.norms = [docs[i] for i in order], norms[order]
         self.ids, self.impacts = ids[spots], impacts[spots]
         self.starts = np.concatenate(([0], np.cumsum(lengths)))
@@ -138,7 +138,7 @@ class _Bucket:
     def scores(self, item: "_Item", rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Exact scores; `weights` is an empty array over the vocabulary, left empty again."""
         lengths = self.starts[rows + 1] - self.starts[rows]
-        spots = _ragged(self.starts[rows], lengths)
+        spots = ragged(self.starts[rows], lengths)
         weights[item.ids] = item.weights
         parts = weights[self.ids[spots]] * self.impacts[spots]
         weights[item.ids] = 0
@@ -156,12 +156,6 @@ class _Item:
         self.rest = math.sqrt(sum(q * q for q, _ in unit[FOCUS:]))
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions of the ranges [start, start + length) one after the other."""
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
-
-
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[_Bucket]:
     for batch in batches:
         for start in range(0, batch.num_rows, BUCKET):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,6 +26,10 @@ BATCH = 64
 RATE = 1.0
 DECAY = 1e-4
 LEAST_CHI2 = 11.0
+# A pair of terms that is beyond chance although neither term is: there are some 10^8 pairs, so more is asked of one.
+LEAST_PAIR_CHI2 = 45.0
+PAIR_ROWS = 10
+_PAIR_BITS = 23
 THRESHOLD = 0.7
 _STRIP = b".,;:!?\"'()[]{}*#%&|$<>-_"
 _MEMO = 200_000
@@ -51,6 +56,12 @@ def features(text: bytes, slots: _Slots) -> np.ndarray:
     return np.fromiter(found, np.int64, len(found))
 
 
+def word_slots(text: bytes, slots: _Slots) -> np.ndarray:
+    """Slots of the distinct whole words of a text, without their beginnings."""
+    found = {s[0] for s in map(slots.__getitem__, set(text.lower().split())) if s}
+    return np.fromiter(found, np.int64, len(found))
+
+
 def _pack(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of several rows in one array, and the row of each; an empty row has none."""
     sizes = [len(r) for r in rows]
@@ -76,24 +87,93 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def informative(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Slots whose presence goes with the label beyond chance: chi-squared, continuity-corrected, of at least LEAST_CHI2."""
-    slots = 1 << BITS
-    at = np.concatenate([np.zeros(0, np.int64), *rows])
-    y = np.repeat(labels, [len(r) for r in rows]) if rows else np.zeros(0)
-    a, b = np.bincount(at, y, slots), np.bincount(at, 1 - y, slots)
-    toxic, n = labels.sum(), len(labels)
+def _chi2(a: np.ndarray, b: np.ndarray, toxic: float, n: int) -> np.ndarray:
+    """Continuity-corrected chi-squared of what is in `a` toxic and `b` clean rows out of `toxic` and n - toxic."""
     c, d = toxic - a, n - toxic - b
     spread = (a + b) * (c + d) * toxic * (n - toxic)
     surplus = np.maximum(np.abs(a * d - b * c) - n / 2, 0)
-    return np.where(spread > 0, n * surplus ** 2 / np.maximum(spread, 1), 0) >= LEAST_CHI2
+    return np.where(spread > 0, n * surplus ** 2 / np.maximum(spread, 1), 0)
+
+
+def alone(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chi-squared of each slot with the label, and the rows that have it."""
+    at = np.concatenate([np.zeros(0, np.int64), *rows])
+    y = np.repeat(labels, [len(r) for r in rows]) if rows else np.zeros(0)
+    a, b = np.bincount(at, y, 1 << BITS), np.bincount(at, 1 - y, 1 << BITS)
+    return _chi2(a, b, labels.sum(), len(labels)), a + b
+
+
+@lru_cache(maxsize=512)
+def _corners(k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(k, 1)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> dict:
-    """Gradient descent on the log loss in small batches, over the informative slots; all others stay at zero."""
+def _row_pairs(terms: np.ndarray) -> np.ndarray:
+    """The pairs of a row's terms, smaller slot first, as slot * 2^BITS + slot."""
+    terms, k = np.sort(terms), len(terms)
+    if k <= 512:
+        i, j = _corners(k)
+        return (terms[i] << BITS) | terms[j]
+    return np.concatenate([(terms[i] << BITS) | terms[i + 1:] for i in range(k - 1)])
+
+
+def interacting(rows: list[np.ndarray], labels: np.ndarray, chi2: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Slots of pairs that go with the label beyond chance and beyond either of their terms.
+
+    Such as an insult with a group mention, each neutral on its own. All pairs of terms that are neutral and in
+    PAIR_ROWS rows at least are counted in a table of fixed size; the pairs of the cells that stand out are counted exactly.
+    """
+    n, toxic, mask = len(labels), labels.sum(), np.uint64((1 << _PAIR_BITS) - 1)
+    able = (chi2 < LEAST_CHI2) & (size >= PAIR_ROWS)
+    counts = np.zeros((2, 1 << _PAIR_BITS), np.int32)
+
+    def cells(pairs: np.ndarray) -> np.ndarray:
+        h = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ (h >> np.uint64(32))) & mask).astype(np.int64)
+
+    def pairs_of(row: np.ndarray) -> np.ndarray:
+        return _row_pairs(row[able[row]])
+
+    for row, y in zip(rows, labels):
+        np.add.at(counts[int(y)], cells(pairs_of(row)), 1)
+    out = np.zeros(1 << BITS, bool)
+    stands = _chi2(counts[1].astype(float), counts[0].astype(float), toxic, n) >= LEAST_PAIR_CHI2
+    if not stands.any():
+        return out
+    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for row, y in zip(rows, labels):
+        pairs = pairs_of(row)
+        found[int(y)].append(pairs[stands[cells(pairs)]])
+    clean, bad = (np.concatenate(f) for f in found)
+    keys, which = np.unique(np.concatenate((bad, clean)), return_inverse=True)
+    a = np.bincount(which[:len(bad)], minlength=len(keys))
+    b = np.bincount(which[len(bad):], minlength=len(keys))
+    left, right = keys >> BITS, keys & ((1 << BITS) - 1)
+    strong = _chi2(a.astype(float), b.astype(float), toxic, n) >= LEAST_PAIR_CHI2 + np.maximum(chi2[left], chi2[right])
+    out[left[strong]] = out[right[strong]] = True
+    return out
+
+
+def informative(rows: list[np.ndarray], labels: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Slots that go with the label beyond chance, by themselves or, among whole words, together with a partner."""
+    chi2, size = alone(rows, labels)
+    return (chi2 >= LEAST_CHI2) | interacting(words, labels, chi2, size)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0, toxic_share: float | None = None,
+        words: list[np.ndarray] | None = None) -> dict:
+    """Gradient descent on the log loss in small batches, over the informative slots; all others stay at zero.
+
+    `toxic_share` is the share of toxic rows among all labelled ones: the rows of a sample that has another share are
+    weighted by class, so that scores mean the same whatever the sample. `words` are the slots of the rows' whole
+    words, whose pairs are looked at (all slots if not given).
+    """
+    toxic = labels.sum() / max(1, len(labels))
+    known = toxic_share is not None and 0 < toxic < 1
+    weight = np.where(labels == 1, toxic_share / toxic, (1 - toxic_share) / (1 - toxic)) if known else np.ones(len(labels))
     rng = np.random.default_rng(seed)
     slots = 1 << BITS
-    keep = informative(rows, labels)
+    keep = informative(rows, labels, rows if words is None else words)
     rows = [r[keep[r]] for r in rows]
     model = {"b": -2.0, "w": np.zeros(slots), "v": rng.normal(0, 0.01, (slots, FACTORS)) * keep[:, None], "keep": keep}
     batches = max(1, len(rows) // BATCH)
@@ -102,7 +182,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> dict:
             n = len(part)
             at, row = _pack([rows[i] for i in part])
             z, total = margin(model, at, row, n)
-            error = sigmoid(z) - labels[part]
+            error = (sigmoid(z) - labels[part]) * weight[part]
             size = np.maximum(np.bincount(row, minlength=n), 1)
             used, where = np.unique(at, return_inverse=True)
             each = (error / size)[row][:, None] * (total[row] - model["v"][at])
@@ -119,11 +199,15 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def _known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    known = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    return known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("y"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                   fit_rows: int) -> DataFrame:
-    """At most `fit_rows` labelled rows outside the held-out part, both classes, in hash order."""
-    known = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("y"))
+    """At most `fit_rows` labelled ids outside the held-out part, both classes, in hash order (ties by id)."""
+    known = _known_labels(labels, id_col, label_col)
     order = F.xxhash64("_id")
     half = fit_rows // 2
     toxic = known.filter("y = 1").orderBy(order, "_id").limit(half)
@@ -135,21 +219,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> dict:
-    """The fitted machine. Texts become slots in the tasks; only slots of the bounded sample are gathered."""
+    """The fitted machine. Texts become slots in the tasks; only slots of the bounded sample are gathered.
+
+    Of an id with several texts one counts, the same on every run.
+    """
     rows = training_rows(docs, labels, id_col, text_col, label_col, fit_rows)
-    schema = _arrow_schema(docs.sparkSession.createDataFrame([], "id bigint, y int, slots array<int>").schema)
+    target = "id bigint, y int, slots array<int>, words array<int>"
+    schema = _arrow_schema(docs.sparkSession.createDataFrame([], target).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots()
         for batch in batches:
-            out = [(i.as_py(), y.as_py(), np.sort(features(t.as_py(), slots)).tolist()) for i, t, y in zip(*batch.columns)]
+            out = [(i.as_py(), y.as_py(), np.sort(features(t.as_py(), slots)).tolist(), np.sort(word_slots(t.as_py(), slots)).tolist())
+                   for i, t, y in zip(*batch.columns)]
             if out:
                 yield record_batch(out, schema)
 
-    found = rows.mapInArrow(run, "id bigint, y int, slots array<int>").limit(2 * fit_rows).toArrow()
+    one = F.min(F.struct("slots", "words"))
+    found = rows.mapInArrow(run, target).groupBy("id", "y").agg(one.alias("r")).select("id", "y", "r.slots", "r.words").toArrow()
     # the same order whatever task was first
-    found = sorted(zip(found["id"].to_pylist(), found["y"].to_pylist(), found["slots"].to_pylist()))
-    return fit([np.array(s, np.int64) for _, _, s in found], np.array([float(y) for _, y, _ in found]))
+    found = sorted(zip(*(found[c].to_pylist() for c in ("id", "y", "slots", "words"))))
+    share = _known_labels(labels, id_col, label_col).agg(F.avg(F.col("y").cast("double"))).first()[0]
+    return fit([np.array(s, np.int64) for _, _, s, _ in found], np.array([float(y) for _, y, _, _ in found]),
+               toxic_share=share, words=[np.array(w, np.int64) for _, _, _, w in found])
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",

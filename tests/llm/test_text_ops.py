@@ -361,3 +361,40 @@ def test_quality_measures_the_whole_text(frame, parts, kept):
     starts = chunk_starts(len(text))
     assert row.n_chunks == len(starts) and all(any(s <= i < s + CHUNK for s in starts) for i in range(len(text)) if starts)
     assert row.kept is kept
+
+
+def test_pairs_of_neutral_terms_are_learned():
+    rng = random.Random(3)
+    slots, rows, labels = toxicity._Slots(), [], []
+    filler = [f"w{i}" for i in range(200)]
+    for k in range(1200):  # each insult and each mention is neutral: the label is decided by the pair
+        a, b = k % 2, k // 2 % 2
+        rows.append(toxicity.features(" ".join(rng.choices(filler, k=20) + [f"insult{a}", f"mention{b}"]).encode(), slots))
+        labels.append(float(a == b))
+    chi2, size = toxicity.alone(rows, np.array(labels))
+    model = toxicity.fit(rows, np.array(labels))
+    for a in (0, 1):
+        for b in (0, 1):
+            text = f"insult{a} mention{b} w1 w2 w3".encode()
+            assert chi2[toxicity.features(f"insult{a}".encode(), slots)].max() < toxicity.LEAST_CHI2
+            at, row = toxicity._pack([r[model["keep"][r]] for r in [toxicity.features(text, slots)]])
+            score = toxicity.sigmoid(toxicity.margin(model, at, row, 1)[0])[0]
+            assert score > 0.95 if a == b else score < 0.05
+    noise = np.array([float(rng.random() < 0.5) for _ in rows])
+    chi2, size = toxicity.alone(rows, noise)
+    assert not toxicity.interacting(rows, noise, chi2, size).any()
+
+
+def test_sampled_classes_are_weighted():
+    rng = random.Random(5)
+    slots = toxicity._Slots()
+    rows = [toxicity.features(("bad " if k < 200 else "fine ").encode() * (rng.random() < 0.7) + b"x", slots) for k in range(400)]
+    labels = np.array([1.0] * 200 + [0.0] * 200)
+    blank = [toxicity.features(b"x", slots)]
+
+    def score(model):
+        at, row = toxicity._pack([r[model["keep"][r]] for r in blank])
+        return float(toxicity.sigmoid(toxicity.margin(model, at, row, 1)[0])[0])
+
+    even, rare = score(toxicity.fit(rows, labels)), score(toxicity.fit(rows, labels, toxic_share=0.02))
+    assert abs(even - 0.5) < 0.15 and rare < 0.1
