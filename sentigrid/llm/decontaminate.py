@@ -21,6 +21,10 @@ MATCH, MISS, SKIP = 2, -1, -1
 LEAST = 0.5
 _FILTER_BITS = 23
 _MEMO = 300_000
+# bytes of text cut into words at once
+_CUT_BYTES = 1 << 21
+# no UTF-8 text has this byte
+_MARK, _MARK_NUMBER = b"\xff", np.uint64(2**64 - 1)
 # Letters, digits and all non-ASCII bytes stay; everything else parts words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SIGN = np.uint64(1 << 63)
@@ -36,6 +40,9 @@ class _Memo(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _MEMO:
             self.clear()
+        if word == _MARK:
+            value = self[word] = int(_MARK_NUMBER)
+            return value
         value = xxh64_intdigest(word) or 1
         if self.table is not None and not len(_known(np.array([value], np.uint64), self.table)):
             value = 0
@@ -131,17 +138,38 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, least: float) -> Da
 def _numbered(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """(doc, words): the numbers of a document's words, 0 for those no item has; documents without the others leave no row.
 
-    The only pass over the texts. What is written is mostly zeros and few different numbers.
+    The only pass over the texts; texts are cut into words some megabytes at a time, with a mark between them that no text can hold.
+    What is written is mostly zeros and few different numbers.
     """
-    memo = _Memo(table)
+    def cut(docs_: list, texts: list[bytes], memo: _Memo) -> Iterator[pa.RecordBatch]:
+        words = (b" " + _MARK + b" ").join([t.translate(_TABLE) for t in texts]).split()
+        numbers = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        marks = np.flatnonzero(numbers == _MARK_NUMBER)
+        lengths = np.diff(np.concatenate(([-1], marks, [len(words)]))) - 1
+        values = np.delete(numbers, marks)
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        some = np.bincount(owner[values != 0], minlength=len(texts)) > 0
+        ends = np.concatenate(([0], np.cumsum(lengths[some]))).astype(np.int32)
+        if some.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([d for d, s in zip(docs_, some.tolist()) if s], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(values[some[owner]].view(np.int64)))], names=["doc", "words"])
 
-    def body(ids, texts):
-        for i, t in zip(ids, texts):
-            ids_ = tokens(t, memo)
-            if ids_.any():
-                yield i, ids_.view(np.int64)
-
-    return map_rows(docs, body, "doc bigint, words array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Memo(table)
+        for batch in batches:
+            ids, texts, size = [], [], 0
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(i)
+                texts.append(t.as_py())
+                size += len(texts[-1])
+                if size >= _CUT_BYTES:
+                    yield from cut(ids, texts, memo)
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield from cut(ids, texts, memo)
+
+    return docs.mapInArrow(run, "doc bigint, words array<bigint>")
 
 
 def _hits(words: pa.Array, table: np.ndarray, with_words: bool) -> tuple[np.ndarray, ...]:

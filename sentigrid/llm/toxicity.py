@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentigrid.llm.common import SLICE, _arrow_schema, record_batch, text_of
+from sentigrid.llm.common import SLICE, _arrow_schema, list_column, ragged, record_batch, text_of
 
 BITS = 18
 FACTORS = 8
@@ -29,7 +28,6 @@ LEAST_CHI2 = 11.0
 # A pair of terms that is beyond chance although neither term is: there are some 10^8 pairs, so more is asked of one.
 LEAST_PAIR_CHI2 = 45.0
 PAIR_ROWS = 10
-_PAIR_BITS = 23
 THRESHOLD = 0.7
 _STRIP = b".,;:!?\"'()[]{}*#%&|$<>-_"
 _MEMO = 200_000
@@ -103,54 +101,45 @@ def alone(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.nd
     return _chi2(a, b, labels.sum(), len(labels)), a + b
 
 
-@lru_cache(maxsize=512)
-def _corners(k: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(k, 1)
-
-
-def _row_pairs(terms: np.ndarray) -> np.ndarray:
-    """The pairs of a row's terms, smaller slot first, as slot * 2^BITS + slot."""
-    terms, k = np.sort(terms), len(terms)
-    if k <= 512:
-        i, j = _corners(k)
-        return (terms[i] << BITS) | terms[j]
-    return np.concatenate([(terms[i] << BITS) | terms[i + 1:] for i in range(k - 1)])
-
-
 def interacting(rows: list[np.ndarray], labels: np.ndarray, chi2: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Slots of pairs that go with the label beyond chance and beyond either of their terms.
+    """Slots of pairs that go with toxic rows beyond chance and beyond either of their terms.
 
     Such as an insult with a group mention, each neutral on its own. All pairs of terms that are neutral and in
-    PAIR_ROWS rows at least are counted in a table of fixed size; the pairs of the cells that stand out are counted exactly.
+    PAIR_ROWS rows at least are counted exactly, one term at a time with all its partners, so memory grows with the terms only.
     """
-    n, toxic, mask = len(labels), labels.sum(), np.uint64((1 << _PAIR_BITS) - 1)
-    able = (chi2 < LEAST_CHI2) & (size >= PAIR_ROWS)
-    counts = np.zeros((2, 1 << _PAIR_BITS), np.int32)
-
-    def cells(pairs: np.ndarray) -> np.ndarray:
-        h = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((h ^ (h >> np.uint64(32))) & mask).astype(np.int64)
-
-    def pairs_of(row: np.ndarray) -> np.ndarray:
-        return _row_pairs(row[able[row]])
-
-    for row, y in zip(rows, labels):
-        np.add.at(counts[int(y)], cells(pairs_of(row)), 1)
+    n, toxic = len(labels), labels.sum()
+    able = np.flatnonzero((chi2 < LEAST_CHI2) & (size >= PAIR_ROWS))
     out = np.zeros(1 << BITS, bool)
-    stands = _chi2(counts[1].astype(float), counts[0].astype(float), toxic, n) >= LEAST_PAIR_CHI2
-    if not stands.any():
+    if not len(able):
         return out
-    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-    for row, y in zip(rows, labels):
-        pairs = pairs_of(row)
-        found[int(y)].append(pairs[stands[cells(pairs)]])
-    clean, bad = (np.concatenate(f) for f in found)
-    keys, which = np.unique(np.concatenate((bad, clean)), return_inverse=True)
-    a = np.bincount(which[:len(bad)], minlength=len(keys))
-    b = np.bincount(which[len(bad):], minlength=len(keys))
-    left, right = keys >> BITS, keys & ((1 << BITS) - 1)
-    strong = _chi2(a.astype(float), b.astype(float), toxic, n) >= LEAST_PAIR_CHI2 + np.maximum(chi2[left], chi2[right])
-    out[left[strong]] = out[right[strong]] = True
+    place = np.full(1 << BITS, -1, np.int64)
+    place[able] = np.arange(len(able))
+    terms = [place[r][place[r] >= 0] for r in rows]
+    lengths = np.array([len(t) for t in terms])
+    starts, flat = np.cumsum(lengths) - lengths, np.concatenate(terms)
+    # the rows of each term, clean ones first
+    owner = np.repeat(np.arange(n), lengths)
+    order = np.lexsort((labels[owner], flat))
+    ends = np.searchsorted(flat[order], np.arange(len(able) + 1))
+    own = chi2[able]
+    # so many toxic rows has a pair that stands out even if no clean row holds it
+    least = int(np.searchsorted(_chi2(np.arange(toxic + 1), np.zeros(int(toxic) + 1), toxic, n) >= LEAST_PAIR_CHI2, True))
+    for a in range(len(able)):
+        mine = owner[order[ends[a]:ends[a + 1]]]
+        bad = labels[mine] == 1
+        if bad.sum() < least:
+            continue
+        with_bad = np.bincount(flat[ragged(starts[mine[bad]], lengths[mine[bad]])], minlength=len(able))
+        able_b = np.flatnonzero(with_bad >= least)
+        able_b = able_b[able_b != a]
+        if not len(able_b):
+            continue
+        good = mine[~bad]
+        with_clean = np.bincount(flat[ragged(starts[good], lengths[good])], minlength=len(able))[able_b]
+        found = _chi2(with_bad[able_b].astype(float), with_clean.astype(float), toxic, n)
+        strong = able_b[found >= LEAST_PAIR_CHI2 + np.maximum(own[a], own[able_b])]
+        if len(strong):
+            out[able[strong]] = out[able[a]] = True
     return out
 
 
@@ -237,11 +226,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     one = F.min(F.struct("slots", "words"))
     found = rows.mapInArrow(run, target).groupBy("id", "y").agg(one.alias("r")).select("id", "y", "r.slots", "r.words").toArrow()
-    # the same order whatever task was first
-    found = sorted(zip(*(found[c].to_pylist() for c in ("id", "y", "slots", "words"))))
     share = _known_labels(labels, id_col, label_col).agg(F.avg(F.col("y").cast("double"))).first()[0]
-    return fit([np.array(s, np.int64) for _, _, s, _ in found], np.array([float(y) for _, y, _, _ in found]),
-               toxic_share=share, words=[np.array(w, np.int64) for _, _, _, w in found])
+    # the same order whatever task was first
+    order = np.argsort(found["id"].to_numpy(), kind="stable")
+    slots, words = (_rows_of(found[c], order) for c in ("slots", "words"))
+    return fit(slots, found["y"].to_numpy()[order].astype(float), toxic_share=share, words=words)
+
+
+def _rows_of(column: pa.ChunkedArray, order: np.ndarray) -> list[np.ndarray]:
+    if not len(column):
+        return []
+    values, lengths = list_column(column.combine_chunks())
+    parts = np.split(values.astype(np.int32), np.cumsum(lengths)[:-1])
+    return [parts[i] for i in order]
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
