@@ -35,7 +35,8 @@ class _Memo(dict):
 
     def __init__(self, table: np.ndarray | None = None):
         super().__init__()
-        self.table = table
+        # as bytes: looked up word by word, without an array for each
+        self.table = None if table is None else table.tobytes()
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _MEMO:
@@ -44,8 +45,10 @@ class _Memo(dict):
             value = self[word] = int(_MARK_NUMBER)
             return value
         value = xxh64_intdigest(word) or 1
-        if self.table is not None and not len(_known(np.array([value], np.uint64), self.table)):
-            value = 0
+        if self.table is not None:
+            far = 64 - _FILTER_BITS
+            if not (self.table[value >> far] and self.table[(value << _FILTER_BITS & 0xFFFFFFFFFFFFFFFF) >> far]):
+                value = 0
         self[word] = value
         return value
 
