@@ -58,7 +58,7 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = find_secrets(table(spark, folder, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"),
-                        "spans", "n_layers")
+                        "spans", "n_layers", "n_oversize")
 
 
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:

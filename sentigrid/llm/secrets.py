@@ -32,9 +32,13 @@ _BREAK = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
 # Where a compressed blob may begin within decoded bytes, and a stretch of text in them; no secret is shorter.
 _MAGIC = re.compile(rb"\x28\xb5\x2f\xfd|\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){16,}")
-# A layer may hold so many bytes at most: a documented bound against archives that unpack without end; such
-# blobs are reported by n_oversize.
+# The same for the ASCII part of UTF-16, low byte or high byte first.
+_WIDE = (re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){16,}"), re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){16,}"))
+_CONTROL = bytes(c for c in range(32) if c not in b"\t\n\r") + b"\x7f"
+# A blob that unpacks to more bytes is not held whole but read as a stream, in pieces that overlap; n_oversize counts them.
 MAX_LAYER = 1 << 26
+PIECE = 1 << 20
+OVERLAP = 1 << 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -66,10 +70,29 @@ def _readable(raw: bytes) -> str | None:
         text = raw.decode()
     except UnicodeDecodeError:
         return None
-    odd = sum(1 for c in text if (c < " " and c not in "\t\n\r") or c == "\x7f")
+    odd = len(raw) - len(raw.translate(None, _CONTROL))
     return text if text and odd * 20 <= len(text) else None
 
 
+def _stretches(raw: bytes) -> list[tuple[str, np.ndarray]]:
+    """Stretches of UTF-8 and of UTF-16 between other bytes, and where each of their characters begins and the last ends."""
+    out = []
+    for m in _STRETCH.finditer(raw):
+        text = m[0].decode("utf-8", "replace")
+        out.append((text, m.start() + np.cumsum([0] + [len(c.encode()) for c in text])))
+    wide: list[tuple[int, int, int]] = []
+    for start, end, high in sorted((m.start(), m.end(), high) for high in (0, 1) for m in _WIDE[high].finditer(raw)):
+        # a byte further on the other order shows the same stretch but for a character: the longer counts
+        if wide and start < wide[-1][1]:
+            if end - start <= wide[-1][1] - wide[-1][0]:
+                continue
+            wide.pop()
+        wide.append((start, end, high))
+    for start, end, high in wide:
+        out.append((raw[start + high:end:2].decode("ascii"), np.arange(start, end + 1, 2)))
+    return out
+
+
 def _inflate(raw: bytes) -> bytes:
     """A zlib stream, or all members of a gzip file; what was read before a later member breaks is kept."""
     out = b""
@@ -103,10 +126,71 @@ def _unpack(raw: bytes) -> bytes | None:
     return out
 
 
+def _stream(raw: bytes) -> Iterator[bytes]:
+    """What a blob unpacks to, in parts of at most PIECE bytes, up to its end or a fault."""
+    try:
+        if raw[:4] == b"\x28\xb5\x2f\xfd":
+            with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as stream:
+                while part := stream.read(PIECE):
+                    yield part
+            return
+        while True:
+            stream = zlib.decompressobj(47)
+            while raw and not stream.eof:
+                part = stream.decompress(raw, PIECE)
+                raw = stream.unconsumed_tail
+                if part:
+                    yield part
+            if not stream.eof and (part := stream.flush()):
+                yield part
+            raw = stream.unused_data
+            if not stream.eof or raw[:2] != b"\x1f\x8b":
+                return
+    except (zlib.error, zstandard.ZstdError):
+        return
+
+
+def _unpacked(raw: bytes, seen: set[bytes]) -> Iterator[str | None]:
+    """Texts in what a blob unpacks to; None for each blob beyond the bound, before the texts of its pieces."""
+    try:
+        inner = _unpack(raw)
+    except OverflowError:
+        yield None
+        before = b""
+        for part in _stream(raw):
+            yield from _inside(before + part, seen)
+            before = (before + part)[-OVERLAP:]
+        return
+    if inner is not None:
+        yield from _inside(inner, seen)
+
+
+def _inside(raw: bytes, seen: set[bytes]) -> Iterator[str | None]:
+    """Texts in unpacked bytes: all of them, or else those of archives within, or else the stretches of text."""
+    mark = sha256(raw).digest()
+    if mark in seen:
+        return
+    seen.add(mark)
+    text = _readable(raw)
+    if text is not None:
+        yield text
+        return
+    some = False
+    for text in _unpacked(raw, seen):
+        some = True
+        yield text
+    if some:
+        return
+    for m in _MAGIC.finditer(raw, 1):
+        yield from _unpacked(raw[m.start():], seen)
+    for text, _ in _stretches(raw):
+        yield text
+
+
 def _whole(layer: _Layer, a: int, b: int, text: str) -> _Layer:
     """A layer of which every character stands for all of the blob."""
     lo, hi = layer.span(a, b)
-    return _Layer(text, np.full(len(text), lo), np.full(len(text), hi))
+    return _Layer(text, np.broadcast_to(np.int64(lo), len(text)), np.broadcast_to(np.int64(hi), len(text)))
 
 
 def _substituted(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
@@ -135,17 +219,17 @@ def _substituted(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     return _Layer("".join(pieces), np.concatenate(starts), np.concatenate(ends))
 
 
-def _url(run: str) -> list[tuple[str, int, int]] | None:
-    raw = bytes.fromhex(run.replace("%", ""))
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
+def _url(run: str) -> list[tuple[str, int, int]]:
+    """Characters of a run of escapes and their places; a byte that is no UTF-8 stays the escape it is."""
     out, at = [], 0
-    for char in text:
-        width = 3 * len(char.encode())
-        out.append((char, at, at + width))
-        at += width
+    for char in bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"):
+        if "\udc80" <= char <= "\udcff":
+            out += [(run[at + i], at + i, at + i + 1) for i in range(3)]
+            at += 3
+        else:
+            width = 3 * len(char.encode())
+            out.append((char, at, at + width))
+            at += width
     return out
 
 
@@ -200,35 +284,20 @@ def _decoded(layer: _Layer, run: str, at: np.ndarray, within: bool):
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
         return False
-    some, lo, hi = False, int(at[0]) if len(at) else 0, int(at[-1]) + 1 if len(at) else 0
+    some, hi = False, int(at[-1]) + 1 if len(at) else 0
     for start in [m.start() for m in _MAGIC.finditer(raw)] if within else [0]:
-        try:
-            packed = _unpack(raw[start:])
-        except OverflowError:
-            yield None
+        for text in _unpacked(raw[start:], set()):
             some = True
-            continue
-        while packed is not None:  # archives within archives
-            text = _readable(packed)
-            if text is not None:
-                yield _whole(layer, int(at[start * 4 // 3]) if within else lo, hi, text)
-                some = True
-                break
-            try:
-                inner = _unpack(packed)
-            except OverflowError:
-                yield None
-                some = True
-                break
-            packed = inner if inner != packed else None
+            yield None if text is None else _whole(layer, int(at[start * 4 // 3]), hi, text)
     if some:
         return True
-    for start, end in [m.span() for m in _STRETCH.finditer(raw)] if within else [(0, len(raw))]:
-        text = _readable(raw[start:end])
-        if text is None:
-            continue
+    if within:
+        texts = _stretches(raw)
+    else:
+        text = _readable(raw)
+        texts = [] if text is None else [(text, np.cumsum([0] + [len(c.encode()) for c in text]))]
+    for text, index in texts:
         # byte i of the blob comes from characters i*4/3 to (i+1)*4/3 of the run
-        index = start + np.cumsum([0] + [len(c.encode()) for c in text])
         a = at[index[:-1] * 4 // 3]
         b = at[np.minimum(-(-index[1:] * 4 // 3), len(at)) - 1] + 1
         some = True
@@ -239,39 +308,45 @@ def _decoded(layer: _Layer, run: str, at: np.ndarray, within: bool):
     return some
 
 
+def _unwrapped(layer: _Layer) -> Iterator[_Layer | None]:
+    """Every layer below this one, made when it is asked for; None for a blob beyond the bound."""
+    if "%" in layer.text:
+        yield from filter(None, [_substituted(layer, _URL, _url)])
+    if "\\" in layer.text or "&#" in layer.text:
+        yield from filter(None, [_substituted(layer, _UNICODE, _code)])
+    yield from _base64_layers(layer)
+
+
 def scan(text: str) -> tuple[list, list, int, int]:
     """Plain spans, all spans, number of decoded layers, blobs beyond the bound.
 
     A worklist: each layer is searched, then unwrapped in every way; what comes out is a further layer,
     until nothing new comes out. A layer seen before at the same place is not entered again, which also ends cycles.
+    The list holds what is still to come out of each open layer, so a stream's pieces are not held together.
     """
     base = base_spans(text)
     spans = {(a, k, b) for a, k, b in base}
     seen: set[bytes] = set()
-    work, layers, oversize = [_Layer(text, None, None)], 0, 0
+    work, layers, oversize = [(text, _unwrapped(_Layer(text, None, None)))], 0, 0
     while work:
-        layer = work.pop()
-        found = []
-        if "%" in layer.text:
-            found.append(_substituted(layer, _URL, _url))
-        if "\\" in layer.text or "&#" in layer.text:
-            found.append(_substituted(layer, _UNICODE, _code))
-        for inner in _base64_layers(layer):
-            oversize += inner is None
-            found.append(inner)
-        for inner in found:
-            if inner is None or inner.text == layer.text:
-                continue
-            mark = sha256(inner.text.encode("utf-8", "surrogatepass"))
-            mark.update(repr(inner.span(0, len(inner.text))).encode())
-            if mark.digest() in seen:
-                continue
-            seen.add(mark.digest())
-            layers += 1
-            work.append(inner)
-            for a, kind, b in base_spans(inner.text):
-                lo, hi = inner.span(a, b)
-                spans.add((lo, kind, hi))
+        outer, below = work[-1]
+        inner = next(below, False)
+        if inner is False:
+            work.pop()
+            continue
+        oversize += inner is None
+        if inner is None or inner.text == outer:
+            continue
+        mark = sha256(inner.text.encode("utf-8", "surrogatepass"))
+        mark.update(repr(inner.span(0, len(inner.text))).encode())
+        if mark.digest() in seen:
+            continue
+        seen.add(mark.digest())
+        layers += 1
+        work.append((inner.text, _unwrapped(inner)))
+        for a, kind, b in base_spans(inner.text):
+            lo, hi = inner.span(a, b)
+            spans.add((lo, kind, hi))
     return base, sorted(spans), layers, oversize
 
 
@@ -284,7 +359,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The counts and `base_spans` are the plain matches in the whole text; `spans` has those and what is found below URL,
     Unicode, base64 and compressed layers, at the place in the document the secret was decoded from
-    (code points, end exclusive). A secret inside a compressed blob is placed at the whole blob.
+    (code points, end exclusive). A secret inside a compressed blob is placed at the whole blob. Bytes that are no text do
+    not hide the text beside them: escapes of such bytes stay, and stretches of UTF-8 and UTF-16 are taken. A blob of over
+    64 MB unpacked, counted in `n_oversize`, is read to its end in pieces of 1 MB that share 64 kB, so memory is bounded;
+    encoded layers inside such a blob are followed within a piece.
+
+    Very long texts are scanned whole.
 
     A null text is empty and has no spans; null ids and repeated rows are rows like others; an empty table gives an
     empty result; other columns are ignored.

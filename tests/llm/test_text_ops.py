@@ -305,6 +305,42 @@ def test_secret_across_a_line_break():
     assert a < 64 < b and text[a:b].count("\n") == 1
 
 
+def test_text_beside_other_bytes():
+    inner = f"say {SECRET} end of it"
+    escaped = quote(inner, safe="").replace("say", "%73%61%79")
+    hidden = "".join(f"%{b:02x}" for b in inner.encode())
+    plain = [s for s in secrets.scan(f"pré {hidden}")[1] if s[1] == 0]
+    for odd in ("%ff", "%c3%28", "%ed%a0%80", "%f0%9f"):
+        (a, _, b), = [s for s in secrets.scan(f"pré {odd}{hidden}{odd}")[1] if s[1] == 0]
+        assert [(a - len(odd), 0, b - len(odd))] == plain, odd
+    assert secrets.scan("%ff%fe" * 9)[2] == 0 and spans(f"%ff{escaped}") != ""
+    for code in ("utf-16-le", "utf-16-be", "utf-16"):
+        blob = base64.b64encode(inner.encode(code)).decode()
+        (a, _, b), = [s for s in secrets.scan(f"pré {blob} post")[1] if s[1] == 0]
+        exact = (inner.find("password") * 2 + 2 * (code == "utf-16")) * 4 // 3 + 4
+        assert a == exact and abs(b - a - (len(SECRET) - 1) * 8 / 3) <= 6, code
+    latin = f"caf\xe9 {inner} na\xefve".encode("latin-1")
+    for pack in (gzip.compress, zlib.compress, zstandard.compress, lambda b: gzip.compress(b"\xff\xfe\x00" + zlib.compress(b))):
+        blob = base64.b64encode(pack(latin)).decode()
+        assert [s for s in secrets.scan(f"pré {blob} post")[1] if s[1] == 0] == [(4, 0, 4 + len(blob))]
+    wide = base64.b64encode(gzip.compress(inner.encode("utf-16"))).decode()
+    assert [s for s in secrets.scan(wide)[1] if s[1] == 0] == [(0, 0, len(wide))]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, zstandard.compress])
+def test_blobs_beyond_the_bound_are_read_to_the_end(pack, monkeypatch):
+    for name, value in (("MAX_LAYER", 5000), ("PIECE", 1000), ("OVERLAP", 100)):
+        monkeypatch.setattr(secrets, name, value)
+    rng = random.Random(3)
+    filler = lambda n: "".join(rng.choice("ghijk lmnop\n") for _ in range(n))
+    for before in (100, 990, 4990, 5995, 20000):
+        blob = base64.b64encode(pack((filler(before) + " " + SECRET + " " + filler(7000)).encode())).decode()
+        _, found, _, oversize = secrets.scan(f"x {blob}")
+        assert oversize == 1 and [s for s in found if s[1] == 0] == [(2, 0, 2 + len(blob))], before
+    whole = base64.b64encode(pack(filler(30000).encode())).decode()
+    assert [s for s in secrets.scan(whole)[1] if s[1] == 0] == [] and secrets.scan(whole)[3] == 1
+
+
 def test_secrets_of_messy_rows(frame, messy):
     got = secrets.find_secrets(frame([*messy, (9, SECRET), (10, "%41" * 5000), (11, base64.b64encode(zlib.compress(b"0" * (1 << 27))).decode())])).collect()
     by = {r.doc_id: r for r in got}
