@@ -23,7 +23,7 @@ KNOWN = CLASSES * PER_CLASS
 HEAD = 1 << 18
 END = b"\n"  # no word holds white space
 WINDOW = 32
-SCORE_LANES = 1024
+SCORE_LANES = 256
 TRAIN_LANES = 128
 # Training reads each window of each document and carries the state through; every one gives a gradient.
 STEP_EVERY = 1
@@ -111,85 +111,94 @@ def windows(texts: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, n
 
     `documents` is -1 behind a lane's end; a lane keeps its column, so the state can be carried on.
     """
-    dealt = lanes_of([len(t) for t in texts], lanes)
-    rows = [np.concatenate([texts[d] for d in own]) if own else np.zeros(0, np.int16) for own in dealt]
-    which = [np.repeat(own, [len(texts[d]) for d in own]) if own else np.zeros(0, np.int64) for own in dealt]
-    length = np.array([len(r) for r in rows])
-    for at in range(0, int(length.max(initial=0)), WINDOW):
+    sizes = np.array([len(t) for t in texts], np.int64)
+    dealt = lanes_of(sizes.tolist(), lanes)
+    order = [d for own in dealt for d in own]
+    if not order:
+        return
+    flat, which = np.concatenate([texts[d] for d in order]), np.repeat(order, sizes[order])
+    first = np.ones(len(flat), bool)
+    first[1:] = which[1:] != which[:-1]
+    length = np.array([sizes[own].sum() for own in dealt])
+    offset = np.cumsum(length) - length
+    for at in range(0, int(length[0]), WINDOW):
         n = int((length > at).sum())
-        steps = min(WINDOW, int(length[0]) - at)
-        numbers, docs = np.zeros((steps, n), np.int16), np.full((steps, n), -1)
-        start = np.ones((steps, n), bool)
-        for k in range(n):
-            part = which[k][at:at + steps]
-            numbers[:len(part), k], docs[:len(part), k] = rows[k][at:at + steps], part
-            before = which[k][at - 1] if at else -1
-            start[:len(part), k] = part != np.concatenate([[before], part[:-1]])
-        yield numbers, start, docs
+        step = at + np.arange(min(WINDOW, int(length[0]) - at))[:, None]
+        live = step < length[:n]
+        place = np.where(live, offset[:n] + step, 0)
+        yield np.where(live, flat[place], 0).astype(np.int16), first[place] | ~live, np.where(live, which[place], -1)
 
 
 def run_window(model: dict, numbers: np.ndarray, start: np.ndarray, h: np.ndarray, keep: bool) -> tuple:
     """States before each step, the state after the window, and what the way back needs."""
     steps, n = numbers.shape
     states = np.empty((steps, n, HIDDEN), np.float32)
-    trace = []
+    trace = np.empty((4, steps, n, HIDDEN), np.float32) if keep else None
+    inputs, resets = model["x"] + model["xb"], start.any(axis=1)
     for t in range(steps):
-        if start[t].any():
+        if resets[t]:
             h = h * ~start[t][:, None]
         states[t] = h
-        a = model["x"][numbers[t]] + model["xb"]
+        a = inputs.take(numbers[t], axis=0)
         u = h @ model["u"]
         gates = _sigmoid(a[:, :2 * HIDDEN] + u[:, :2 * HIDDEN])
         z, r, un = gates[:, :HIDDEN], gates[:, HIDDEN:], u[:, 2 * HIDDEN:]
         new = np.tanh(a[:, 2 * HIDDEN:] + r * un)
         if keep:
-            trace.append((z, r, un, new))
+            trace[0, t], trace[1, t], trace[2, t], trace[3, t] = z, r, un, new
         h = new + z * (h - new)
     return states, h, trace
 
 
+def _log_softmax(logits: np.ndarray, at: np.ndarray, grad: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Of columns of logits, in place: each column's entry at `at`, and the gradient of the mean loss."""
+    columns = np.arange(logits.shape[1])
+    logits -= logits.max(axis=0)
+    picked = logits[at, columns]
+    np.exp(logits, out=logits)
+    norm = logits.sum(axis=0)
+    logp = picked - np.log(norm)
+    if not grad:
+        return logp, None
+    logits /= norm
+    logits[at, columns] -= 1
+    logits /= len(at)
+    return logp, logits
+
+
 def output(model: dict, states: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural-log probability of each target: its class, then the word within the class.
 
-    Rows are grouped by class, so each class is one dense product. With `grad`, gradients of the mean loss are added to it and those of
-    the states returned.
+    Columns are targets, so sums run over long rows. Targets are grouped by class for the products; all else is done for all
+    classes at once. With `grad`, gradients of the mean loss are added to it and those of the states returned.
     """
-    rows, group, word = np.arange(len(target)), target // PER_CLASS, target % PER_CLASS
-    logits = states @ model["cw"] + model["cb"]
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    norm = e.sum(axis=1)
-    logp = logits[rows, group] - np.log(norm)
-    back = None
-    if grad is not None:
-        e /= norm[:, None]
-        e[rows, group] -= 1
-        e /= len(target)
-        grad["cw"] += states.T @ e
-        grad["cb"] += e.sum(axis=0)
-        back = e @ model["cw"].T
+    group = (target // PER_CLASS).astype(np.int16)
     order = np.argsort(group, kind="stable")
-    bound = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        own = order[bound[c]:bound[c + 1]]
-        if not len(own):
-            continue
-        part = states[own] @ model["ww"][c] + model["wb"][c]
-        part -= part.max(axis=1, keepdims=True)
-        e = np.exp(part)
-        norm, at = e.sum(axis=1), np.arange(len(own))
-        logp[own] += part[at, word[own]] - np.log(norm)
-        if grad is not None:
-            e /= norm[:, None]
-            e[at, word[own]] -= 1
-            e /= len(target)
-            grad["ww"][c] += states[own].T @ e
-            grad["wb"][c] += e.sum(axis=0)
-            back[own] += e @ model["ww"][c].T
+    group, word, own = group[order], (target % PER_CLASS)[order], states[order]
+    bound = np.searchsorted(group, np.arange(CLASSES + 1))
+    used = [(c, slice(bound[c], bound[c + 1])) for c in range(CLASSES) if bound[c] < bound[c + 1]]
+    to_class, back_class = _log_softmax(model["cw"].T @ own.T + model["cb"][:, None], group, grad is not None)
+    logits = np.empty((PER_CLASS, len(target)), own.dtype)
+    for c, at in used:
+        logits[:, at] = model["ww"][c].T @ own[at].T + model["wb"][c][:, None]
+    to_word, back_word = _log_softmax(logits, word, grad is not None)
+    logp = np.empty(len(target), to_word.dtype)
+    logp[order] = to_class + to_word
+    if grad is None:
+        return logp, None
+    grad["cw"] += (back_class @ own).T
+    grad["cb"] += back_class.sum(axis=1)
+    to_state = back_class.T @ model["cw"].T
+    for c, at in used:
+        grad["ww"][c] += (back_word[:, at] @ own[at]).T
+        grad["wb"][c] += back_word[:, at].sum(axis=1)
+        to_state[at] += back_word[:, at].T @ model["ww"][c].T
+    back = np.empty_like(to_state)
+    back[order] = to_state
     return logp, back
 
 
-def gradients(model: dict, numbers: np.ndarray, start: np.ndarray, live: np.ndarray, states: np.ndarray, trace: list) -> tuple[dict, float]:
+def gradients(model: dict, numbers: np.ndarray, start: np.ndarray, live: np.ndarray, states: np.ndarray, trace: np.ndarray) -> tuple[dict, float]:
     """Gradients by backpropagation through one window, and its mean loss; what lies before the window is cut off."""
     grad = {k: np.zeros_like(v) for k, v in model.items()}
     flat = live.ravel()
@@ -198,18 +207,26 @@ def gradients(model: dict, numbers: np.ndarray, start: np.ndarray, live: np.ndar
     to_state[flat] = back
     to_state = to_state.reshape(states.shape)
     steps, n = numbers.shape
+    z, r, un, new = trace
+    # what each gate's gradient takes of the state's, for all steps at once
+    of_new = (1 - z) * (1 - new * new)
+    of_z = (states - new) * z * (1 - z)
+    of_r = un * r * (1 - r)
+    go_on, resets = ~start[:, :, None], start.any(axis=1)
     to_input = np.empty((steps, n, 3 * HIDDEN), np.float32)
-    dh = np.zeros((n, HIDDEN), np.float32)
+    du = np.empty((steps, n, 3 * HIDDEN), np.float32)
+    dh, u_back = np.zeros((n, HIDDEN), np.float32), np.ascontiguousarray(model["u"].T)
     for t in range(steps - 1, -1, -1):
-        z, r, un, new = trace[t]
-        h = states[t]
-        da = dh * (1 - z) * (1 - new * new)
-        dz = dh * (h - new) * z * (1 - z)
-        dr = da * un * r * (1 - r)
-        du = np.concatenate([dz, dr, da * r], axis=1)
-        to_input[t] = np.concatenate([dz, dr, da], axis=1)
-        grad["u"] += h.T @ du
-        dh = (dh * z + du @ model["u"].T + to_state[t]) * ~start[t][:, None]
+        da, own = dh * of_new[t], du[t]
+        own[:, :HIDDEN] = dh * of_z[t]
+        own[:, HIDDEN:2 * HIDDEN] = da * of_r[t]
+        own[:, 2 * HIDDEN:] = da * r[t]
+        to_input[t, :, 2 * HIDDEN:] = da
+        dh = dh * z[t] + own @ u_back + to_state[t]
+        if resets[t]:
+            dh *= go_on[t]
+    to_input[:, :, :2 * HIDDEN] = du[:, :, :2 * HIDDEN]
+    grad["u"] = states.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
     flat_in = to_input.reshape(-1, 3 * HIDDEN) * flat[:, None]
     order = np.argsort(numbers.ravel(), kind="stable")
     used, first = np.unique(numbers.ravel()[order], return_index=True)
@@ -285,29 +302,51 @@ def log10_probability(model: dict, texts: list[np.ndarray]) -> np.ndarray:
     return total / np.log(10.0)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rank: dict) -> Iterator[tuple]:
-    """Rows with their tokens' ranks (-1: not in the head) and the rest tokens, by about GATHER tokens."""
-    rows, size = [], 0
+def numbered(docs: DataFrame, vocabulary) -> DataFrame:
+    """Texts cut into tokens once, as a staged table: what the counts of the head give, the network's numbers of all
+    tokens, and the tokens outside the head with their counts. `vocabulary` is broadcast."""
+    made = ("doc bigint, out boolean, n_tokens bigint, n_known bigint, base double, share double, numbers binary, "
+            "rest array<struct<token: binary, n: bigint>>")
+    schema = _arrow_schema(docs.sparkSession.createDataFrame([], made).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary.value
+        numbers = np.append(words.number, np.int16(0))  # rank -1, outside the head, is number 0
+        for batch in batches:
+            rows, size = [], 0
+            for doc, out, text in zip(*batch.columns):
+                tokens = text.as_py().lower().split()
+                tokens.append(END)
+                found = np.array([words.rank.get(w, -1) for w in tokens], np.int32)
+                own, known = numbers[found], found[found >= 0]
+                rest = Counter([tokens[i] for i in np.flatnonzero(found < 0)])
+                rows.append((doc.as_py(), out.as_py(), len(found), len(known), float(words.base[known].sum()),
+                             float(words.share[found[(found >= 0) & (own == 0)]].sum()), own.astype("<i2").tobytes(),
+                             [{"token": k, "n": n} for k, n in rest.items()]))
+                size += len(found)
+                if size >= GATHER or len(rows) >= 1000:
+                    yield record_batch(rows, schema)
+                    rows, size = [], 0
+            if rows:
+                yield record_batch(rows, schema)
+
+    made_rows = docs.select("doc", "out", "t").mapInArrow(run, made)
+    return stage_table(made_rows.withColumn("id", F.monotonically_increasing_id()), "numbers")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list], list[np.ndarray]]]:
+    """Rows without their last column, and the numbers in it, by about GATHER tokens."""
+    rows, texts, size = [], [], 0
     for batch in batches:
-        for *keys, text in zip(*batch.columns):
-            words = text.as_py().lower().split()
-            words.append(END)
-            found = np.fromiter((rank.get(w, -1) for w in words), np.int32, len(words))
-            rest = Counter([words[i] for i in np.flatnonzero(found < 0)])
-            rows.append(([k.as_py() for k in keys], found, rest))
-            size += len(words)
+        for *keys, raw in zip(*batch.columns):
+            rows.append([k.as_py() for k in keys])
+            texts.append(np.frombuffer(raw.as_py(), "<i2"))
+            size += len(texts[-1])
             if size >= GATHER:
-                yield rows
-                rows, size = [], 0
+                yield rows, texts
+                rows, texts, size = [], [], 0
     if rows:
-        yield rows
-
-
-def _numbers(found: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """The network's numbers of head ranks; 0 for tokens outside the head."""
-    out = np.zeros(len(found), np.int16)
-    out[found >= 0] = numbers[found[found >= 0]]
-    return out
+        yield rows, texts
 
 
 def _dump(model: dict) -> bytes:
@@ -343,28 +382,32 @@ def _average(models: DataFrame, rows: int) -> bytes | None:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> dict:
+    """The network learned from texts (doc, t), all of them training documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return train_numbered(numbered(docs.withColumn("out", F.lit(False)), shared), vocabulary, seed)
+
+
+def train_numbered(rows: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> dict:
     """Rounds of local descent: every task learns from its own documents, then the networks are averaged.
 
     Each training document belongs to one round and is read there whole, in windows with the state carried on.
     """
-    context = docs.sparkSession.sparkContext
-    words, model = context.broadcast((vocabulary.rank, vocabulary.number)), initial(vocabulary, seed)
+    context = rows.sparkSession.sparkContext
+    model = initial(vocabulary, seed)
     like = dict(model)
     for number in range(ROUNDS):
         current = context.broadcast(_dump(model))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rank, numbers = words.value
             own, steps = _load(current.value, like), 0.0
             descent = _Descent(own)
-            for rows in _gathered(batches, rank):
-                texts = [_numbers(found, numbers) for _, found, _ in rows]
+            for _, texts in _gathered(batches):
                 steps += learn(own, texts, descent)
             steps += descent.flush(own)
             if steps and all(np.isfinite(v).all() for v in own.values()):
                 yield pa.RecordBatch.from_arrays([pa.array([_dump(own)], pa.binary()), pa.array([steps])], names=["model", "w"])
 
-        mine = docs.filter(F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(ROUNDS)) == number).select("t")
+        mine = rows.filter(~F.col("out") & (F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(ROUNDS)) == number)).select("numbers")
         trained = stage_table(mine.mapInArrow(run, "model binary, w double"), "networks")
         mean = _average(trained, trained.count())
         if mean:
@@ -372,6 +415,23 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> dict:
     return model
 
 
+def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The HEAD most frequent tokens, ties by token.
+
+    Counts are first put in about five hundred bins by size; only tokens from the bin of the last one on are sorted, so
+    the sort reads the head and one bin, not a head from every task.
+    """
+    size = F.floor(F.log2("c") * 8)
+    bins = sorted(((r[0], r[1]) for r in counts.groupBy(size.alias("b")).count().collect()), reverse=True)
+    met, least = 0, 0
+    for least, n in bins:
+        met += n
+        if met >= HEAD:
+            break
+    head = counts.filter(size >= least).orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
+    return list(zip(head["token"].to_pylist(), head["c"].to_pylist()))
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -389,36 +449,28 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     learning = rows.filter(~F.col("out"))
     counts = stage_table(token_counts(learning), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
-    vocabulary = Vocabulary(list(zip(head["token"].to_pylist(), head["c"].to_pylist())), total, distinct)
-    model = train(learning, vocabulary, seed)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
-    made = ("doc bigint, out boolean, n_tokens bigint, n_known bigint, base double, score double, "
-            "rest array<struct<token: binary, n: bigint>>")
+    vocabulary = Vocabulary(most_frequent(counts), total, distinct)
+    context = docs.sparkSession.sparkContext
+    texts = numbered(rows, context.broadcast(vocabulary))
+    network = context.broadcast(train_numbered(texts, vocabulary, seed))
+    kept = ["id", "doc", "out", "n_tokens", "n_known", "base", "share"]
+    made = "id bigint, doc bigint, out boolean, n_tokens bigint, n_known bigint, base double, score double"
     schema = _arrow_schema(docs.sparkSession.createDataFrame([], made).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, network = shared.value
-        for part in _gathered(batches, words.rank):
-            texts = [_numbers(found, words.number) for _, found, _ in part]
-            logp = log10_probability(network, texts)
-            out = []
-            for ((doc, held), found, rest), numbers, p in zip(part, texts, logp):
-                known = found[found >= 0]
-                p += float(words.share[found[(found >= 0) & (numbers == 0)]].sum())
-                out.append((doc, held, len(found), len(known), float(words.base[known].sum()), float(p),
-                            [{"token": k, "n": n} for k, n in rest.items()]))
-            for at in range(0, len(out), 1000):
-                yield record_batch(out[at:at + 1000], schema)
-
-    scored = rows.mapInArrow(run, made).withColumn("id", F.monotonically_increasing_id())
-    scored = stage_table(scored, "scores")
-    tail = scored.select("id", F.explode("rest").alias("r")).select("id", "r.token", "r.n")
+        for part, own in _gathered(batches):
+            scores = log10_probability(network.value, own)
+            out = [(*row[:-1], row[-1] + float(p)) for row, p in zip(part, scores)]
+            for at in range(0, len(out), 10_000):
+                yield record_batch(out[at:at + 10_000], schema)
+
+    scored = texts.select(*kept, "numbers").mapInArrow(run, made)
+    tail = texts.select("id", F.explode("rest").alias("r")).select("id", "r.token", "r.n")
     met = tail.join(counts, "token", "left")
     c = F.coalesce("c", F.lit(0))
     sums = met.groupBy("id").agg(F.sum("n").alias("n"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
                                  F.sum(F.col("n") * F.log10(c + 0.5)).alias("logs"))
-    joined = scored.drop("rest").join(sums, "id", "left")
+    joined = scored.join(sums, "id", "left")
     n, logs = F.coalesce("n", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     return joined.select(
         F.col("doc").alias("doc_id"), F.col("out").alias("held_out"), "n_tokens",
