@@ -148,41 +148,80 @@ def _words(texts: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(padded, ">u8").reshape(len(texts), width // 8).astype(np.uint64)
 
 
-def shard_order(group: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The suffix order of one shard: by group, then by the symbols that follow."""
-    return np.lexsort((*symbols.T[::-1], group))
+def shard_transform(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted suffixes of a shard's strings, and its transform: the symbol before each, 0 before a whole string.
 
-
-def merge_orders(shards: list[np.ndarray], group: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One order of the suffixes of all shards, and the common prefix of neighbours in it (bytes; -1: other group).
-
-    Iterative interleave refinement: at first only the group says where a shard's suffixes go among
-    the others'. Each step looks one symbol further and splits those blocks that hold suffixes of
-    several shards or different symbols; within a block every shard keeps its own order, so a step interleaves sorted runs
-    and never sorts suffixes anew. Neighbours that part at a step get their common prefix from it.
+    Strings are rows of equal length of symbols above 0; each has an end, 0, behind it. Suffix k of string i has number
+    i * (length + 1) + k; equal suffixes are in the strings' order. Ranks are doubled until they cover a string.
+    """
+    ended = np.pad(strings.astype(np.int64), ((0, 0), (0, 1)))
+    rank, reach = ended, 1
+    while reach < ended.shape[1]:
+        beyond = np.pad(rank, ((0, 0), (0, reach)))[:, reach:]
+        rank = np.unique(rank * (rank.max() + 1) + beyond, return_inverse=True)[1].reshape(ended.shape)
+        reach *= 2
+    order = np.argsort(rank.ravel(), kind="stable")
+    return order, np.roll(ended, 1, axis=1).ravel()[order]
+
+
+def _placed(symbols: np.ndarray) -> np.ndarray:
+    """Where a stable count by symbol takes each place's suffix from: 16 bits at a time."""
+    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (symbols >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
+def merge_transforms(transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes of all shards, as places in the shards' orders one behind the other, and how many
+    symbols a suffix shares with the one before it (-1: all).
+
+    Iterative interleave refinement. What is refined is only which shard the suffix at each place comes from: at first shard
+    by shard. A step reads the transforms in this interleave, each from its front; a suffix that follows symbol c stands for
+    the one that begins with c, so counting the symbols gives the interleave that is right one symbol further. Ends stay
+    shard by shard. No suffix is compared or sorted: the order within a shard is taken from its transform. Suffixes that
+    part in a step share as many symbols as steps lie behind; blocks of those not parted are all that is kept of prefixes.
+    """
+    transform = np.concatenate(transforms)
+    total = len(transform)
+    shards = np.arange(len(transforms), dtype=np.uint16)
+    interleave = np.repeat(shards, [len(t) for t in transforms])
+    ends = np.repeat(shards, [int((t == 0).sum()) for t in transforms])
+    head, shared, depth = np.arange(total) == 0, np.full(total, -1), 0
+    while True:
+        source = np.empty(total, np.int64)
+        source[np.argsort(interleave, kind="stable")] = np.arange(total)
+        symbol = transform[source]
+        placed = _placed(symbol)
+        refined = interleave[placed]
+        refined[:len(ends)] = ends
+        symbol, block = symbol[placed], np.cumsum(head)[placed]
+        parted = head.copy()
+        parted[1:] |= (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]) & (symbol[1:] != 0)
+        fresh = parted & ~head
+        if not fresh.any() and (refined == interleave).all():
+            return source, shared
+        shared[fresh] = depth
+        interleave, head, depth = refined, parted, depth + 1
+
+
+def merged_order(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by group and words, and the common prefix of neighbours in it (bytes; -1: other group).
+
+    A row is the string of its group and its 64-bit words; shards of SHARD rows have a transform each, which are merged.
     """
-    order = np.concatenate(shards)
-    order = order[np.argsort(group[order], kind="stable")]
-    n, g = len(order), group[order]
-    prefix = np.full(n, 8 * symbols.shape[1], np.int64)
-    head = np.concatenate([[True], g[1:] != g[:-1]])
-    prefix[head] = -1
-    for step in range(symbols.shape[1]):
-        # rows in blocks of at least two
-        open_ = np.flatnonzero(~head | np.concatenate([~head[1:], [False]]))
-        if not len(open_):
-            break
-        block = np.cumsum(head)[open_]
-        symbol = symbols[order[open_], step]
-        moved = np.lexsort((symbol, block))  # stable: a shard's rows keep their order
-        order[open_], symbol = order[open_][moved], symbol[moved]
-        apart = np.flatnonzero((symbol[1:] != symbol[:-1]) & (block[1:] == block[:-1])) + 1
-        differ = (symbol[apart] ^ symbol[apart - 1])
-        same = np.zeros(len(apart), np.int64)
-        for byte in range(1, 8):
-            same += (differ >> np.uint64(64 - 8 * byte)) == 0
-        prefix[open_[apart]] = 8 * step + same
-        head[open_[apart]] = True
+    rank = np.unique(words, return_inverse=True)[1].reshape(words.shape) + 1
+    strings = np.column_stack([rank.max() + 1 + group, rank])
+    width, starts = strings.shape[1] + 1, range(0, len(strings), SHARD)
+    made = [shard_transform(strings[a:a + SHARD]) for a in starts]
+    source, shared = merge_transforms([transform for _, transform in made])
+    suffix = np.concatenate([order + a * width for a, (order, _) in zip(starts, made)])[source]
+    whole = suffix % width == 0
+    order, shared = suffix[whole] // width, shared[whole]
+    prefix = np.where(shared == 0, -1, 8 * words.shape[1])
+    parted = np.flatnonzero(shared > 0)
+    at = shared[parted] - 1
+    differ = words[order[parted], at] ^ words[order[parted - 1], at]
+    prefix[parted] = 8 * at + sum((differ >> np.uint64(64 - 8 * byte) == 0).astype(np.int64) for byte in range(1, 8))
     return order, prefix
 
 
@@ -196,13 +235,8 @@ def repeats(group: np.ndarray, contexts: list[bytes], left: np.ndarray, skip: np
     n = len(contexts)
     after = _words([c[k:] for c, k in zip(contexts, left.tolist())], 104)
     before = _words([c[:k][::-1] for c, k in zip(contexts, left.tolist())], 72)
-    shards = [np.arange(a, min(a + SHARD, n)) for a in range(0, n, SHARD)]
-    classes = []
-    for symbols in (after, before):
-        own = [s[shard_order(group[s], symbols[s])] for s in shards]
-        classes.append(merge_orders(own, group, symbols))
+    (right, right_prefix), (back, back_prefix) = merged_order(group, after), merged_order(group, before)
     found = np.zeros((n, REACH), bool)
-    (right, right_prefix), (back, back_prefix) = classes
     for j in range(REACH):
         rows = np.flatnonzero((left >= j) & (skip <= j))
         if len(rows) < 2:

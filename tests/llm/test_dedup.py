@@ -137,15 +137,42 @@ def test_repeats_of_messy_rows(frame, messy):
     assert suffixes.remove_repeats(frame([])).count() == 0
 
 
-def test_merge_equals_one_sort():
-    rng = np.random.default_rng(0)
-    group, symbols = rng.integers(0, 3, 200), rng.integers(0, 3, (200, 4)).astype(np.uint64)
-    shards = [np.arange(a, min(a + 30, 200)) for a in range(0, 200, 30)]
-    shards = [s[suffixes.shard_order(group[s], symbols[s])] for s in shards]
-    order, _ = suffixes.merge_orders(shards, group, symbols)
-    want = sorted(range(200), key=lambda i: (group[i], *symbols[i]))
-    key = lambda i: (group[i], *symbols[i])
-    assert [key(i) for i in order] == [key(i) for i in want]
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("alphabet,size", [(3, 30), (2, 7), (40, 200), (100_000, 64)])
+def test_merge_equals_one_sort(monkeypatch, alphabet, size):
+    rng = np.random.default_rng(alphabet)
+    group, words = rng.integers(0, 3, 200), rng.integers(0, alphabet, (200, 4)).astype(np.uint64)
+    monkeypatch.setattr(suffixes, "SHARD", size)
+    order, prefix = suffixes.merged_order(group, words)
+    row = lambda i: (int(group[i]), *words[i].tolist())
+    assert order.tolist() == sorted(range(200), key=lambda i: (row(i), i))
+    raw = [words[i].astype(">u8").tobytes() for i in order]
+    want = [common(raw[k - 1], raw[k]) if k and group[order[k]] == group[order[k - 1]] else -1 for k in range(200)]
+    assert prefix.tolist() == want
+
+
+def test_transforms_alone_give_the_merged_order_and_prefixes():
+    rng = np.random.default_rng(5)
+    strings = rng.integers(1, 4, (60, 6))
+    strings[30:40] = strings[:10]
+    made = [suffixes.shard_transform(strings[a:a + 15]) for a in range(0, 60, 15)]
+    suffix_of = np.concatenate([order + a * 7 for a, (order, _) in zip(range(0, 60, 15), made)])
+    text = lambda n: (*strings[n // 7, n % 7:].tolist(), 0)
+    for a, (order, transform) in zip(range(0, 60, 15), made):
+        assert [text(n + a * 7) for n in order] == sorted(text(n + a * 7) for n in order)
+        assert len(transform) == 15 * 7 and (transform == 0).sum() == 15
+    source, shared = suffixes.merge_transforms([t for _, t in made])
+    merged = [text(n) for n in suffix_of[source]]
+    assert merged == sorted(text(n) for n in range(60 * 7))
+    assert shared[1:].tolist() == [-1 if a == b else common(a, b) for a, b in zip(merged, merged[1:])]
+    # the shards' own orders are what is merged: with one of them wrong the result is wrong
+    wrong = [t for _, t in made]
+    wrong[2] = wrong[2][::-1]
+    source, _ = suffixes.merge_transforms(wrong)
+    assert [text(n) for n in suffix_of[source]] != merged
 
 
 def brute_lines(rows, ratio=0.1, least=3):
