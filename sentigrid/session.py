@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def build_session(app: str = "sentigrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,8 +52,25 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(scratch_root(spark), "sentigrid", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, within the folder of the open `staging` block if there is one."""
+    return os.path.join(_RUN.get() or os.path.join(scratch_root(spark), "sentigrid"), f"{name}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """Owner of the tables staged in the block: they lie in one folder, which is deleted when the block ends.
+
+    Results are lazy and read staged tables, so write them within the block. Blocks may be nested, each has its own folder;
+    other threads stage outside of it.
+    """
+    folder = os.path.join(scratch_root(spark), "sentigrid", f"run-{uuid.uuid4().hex}")
+    before = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:

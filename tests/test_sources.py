@@ -1,7 +1,9 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from sentigrid.session import scratch_path, stage_table
+from sentigrid.session import scratch_path, scratch_root, stage_table, staging
 from sentigrid.sources import csv, tables
 
 
@@ -72,6 +74,24 @@ def test_stage_and_write(spark):
     assert values(tables.read_table(spark, path)) == values(df)
 
 
+def test_staged_tables_go_with_their_block(spark, tmp_path):
+    there = lambda folder: os.path.exists(folder.removeprefix("file:"))
+    outside = stage_table(spark.range(3), "kept")
+    with staging(spark) as folder:
+        staged = stage_table(spark.range(5), "numbers")
+        assert there(folder) and all(os.path.basename(folder) in f for f in staged.inputFiles())
+        with staging(spark) as inner:
+            assert stage_table(spark.range(2), "numbers").count() == 2 and scratch_path(spark, "x").startswith(inner)
+        assert not there(inner) and scratch_path(spark, "x").startswith(folder)
+        staged.write.parquet(str(tmp_path / "result"))
+    assert not there(folder) and spark.read.parquet(str(tmp_path / "result")).count() == 5
+    with pytest.raises(ValueError), staging(spark) as folder:
+        stage_table(spark.range(5), "numbers")
+        raise ValueError
+    assert not there(folder) and outside.count() == 3
+    assert os.path.dirname(scratch_path(spark, "x")) == os.path.join(scratch_root(spark), "sentigrid")
+
+
 @pytest.mark.parametrize("splits", [1, 16])
 def test_scans_are_not_shuffled(spark, splits):
     df = spark.range(0, 1000, 1, splits).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
