@@ -912,11 +912,12 @@ def score_stream(spark, folder):
     """The messages as a stream of files, scored into a table."""
     model = _trained(spark, folder).model
     schema = _table(spark, folder, "conversations").schema
-    texts = live.read_text_stream(spark, folder, schema, "conversations.parquet").withColumn(
+    texts = live.read_text_stream(spark, live.table_files(folder, "conversations.parquet"), schema).withColumn(
         "doc_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     out = scratch_path(spark, "stream")
     running = live.score_stream(model, texts, out, f"{out}-log", "doc_id", once=True)
     running.awaitTermination()
-    scored = spark.read.parquet(out)
+    # a table without rows leaves no file to take the schema from
+    scored = spark.read.schema(scoring.score(model, texts, "doc_id").schema).parquet(out)
     return scored.select("doc_id", "prediction", "sentiment",
                          *_by_class())

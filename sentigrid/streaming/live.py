@@ -10,9 +10,14 @@ from sentigrid.operators.naive_bayes import NaiveBayesModel
 from sentigrid.plans.scoring import score
 
 
+def table_files(folder: str, name: str) -> str:
+    """A pattern for the files of a table, be it one file or a folder of files: a stream takes a single file by pattern only."""
+    return f"{folder}/{{{name}}}"
+
+
 def read_text_stream(spark: SparkSession, folder: str, schema: T.StructType, name_filter: str = "*.parquet",
                      max_files: int = 1000) -> DataFrame:
-    """New parquet files of a folder as a stream."""
+    """New parquet files of a folder as a stream. The folder may be a pattern, as of `table_files`."""
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", name_filter)

@@ -59,3 +59,18 @@ def test_entry_points(spark):
     assert set(sql) <= set(names)
     if os.path.isdir(entry.SMOKE_FOLDER):
         assert entry.entry(spark).columns == ["label", "n", "percent"]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_of_a_table_in_one_file_or_in_a_folder(spark, tmp_path, parts):
+    texts = spark.createDataFrame(list(enumerate(DOCS[:6])), "doc_id bigint, text string")
+    if parts == 1:
+        import pyarrow.parquet as pq
+        pq.write_table(texts.toArrow(), str(tmp_path / "messages.parquet"))
+    else:
+        texts.repartition(parts).write.parquet(str(tmp_path / "messages.parquet"))
+    stream = live.read_text_stream(spark, live.table_files(str(tmp_path), "messages.parquet"), texts.schema)
+    run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(texts.collect())
