@@ -564,7 +564,7 @@ def stem(spark, folder):
 
 
 def _cleaned_tokens() -> Column:
-    return tx.tokenize(tx.case_fold(tx.clean_noise(F.col("text"))), plain_spaces=True)
+    return tx.cleaned_tokens(F.col("text"))
 
 
 def _joined(table: DataFrame, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentigrid.config import MAX_WORD_LIST
+from sentigrid.functions.words import term_positions
 
 # --- fixed values: keyword lists (an entry given twice weighs two) ---------------------
 COMPACT_NEGATIVE = [
@@ -93,15 +94,17 @@ EXTENDED = Lexicon.of(EXTENDED_POSITIVE, EXTENDED_NEGATIVE)
 def hit_positions(lowered: Column, lexicon: Lexicon, engine: str = "builtin") -> Column:
     """Positions (in lexicon order) of the terms that occur in `lowered`, as array<int>.
 
-    engine 'builtin' tests each term with contains(), in the JVM; 'automaton' walks each text once
-    in Arrow batches and needs a package on the executors. Both give the same array.
+    engine 'words' looks the parts of each different word up once, in Arrow batches; 'builtin' tests each term with
+    contains(), in the JVM; 'automaton' walks each text once and needs a package on the executors. All give the same array.
     """
     terms = [term for term, _, _ in lexicon.entries]
     if engine == "builtin":
         # plain tests, so that they are compiled; a lambda over the terms would be interpreted
         return F.array_compact(F.array(*[F.when(lowered.contains(t), i) for i, t in enumerate(terms)]))
+    if engine == "words":
+        return term_positions(lowered, terms)
     if engine != "automaton":
-        raise ValueError("engine is 'automaton' or 'builtin'")
+        raise ValueError("engine is 'words', 'automaton' or 'builtin'")
     return _automaton_udf(terms)(lowered)
 
 
@@ -168,8 +171,13 @@ def with_scores(df: DataFrame, lexicon: Lexicon = EXTENDED, text_col: str = "tex
         return lowered.withColumns({
             f"{side}_score": contains_score(F.col("_lowered"), lexicon, side) for side in ("positive", "negative")
         }).drop("_lowered")
+    terms = [term for term, _, _ in lexicon.entries]
+    if engine == "words" and all(t.isascii() for t in terms):
+        hits = term_positions(F.col(text_col), terms, fold=True)
+    else:
+        hits = hit_positions(F.lower(F.col(text_col)), lexicon, engine)
     return (
-        df.withColumn("hits", hit_positions(F.lower(F.col(text_col)), lexicon, engine))
+        df.withColumn("hits", hits)
         .withColumn("positive_score", side_score(F.col("hits"), lexicon, "positive"))
         .withColumn("negative_score", side_score(F.col("hits"), lexicon, "negative"))
         .drop("hits")
@@ -177,7 +185,7 @@ def with_scores(df: DataFrame, lexicon: Lexicon = EXTENDED, text_col: str = "tex
 
 
 def with_label(df: DataFrame, lexicon: Lexicon = EXTENDED, text_col: str = "text",
-               engine: str = "builtin") -> DataFrame:
+               engine: str = "words") -> DataFrame:
     """Adds `label`; blank and null text come out neutral because nothing is found in them."""
     scored = with_scores(df, lexicon, text_col, engine)
     return scored.withColumn("label", label_of(F.col("positive_score"), F.col("negative_score"))).drop(

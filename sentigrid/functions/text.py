@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sentigrid.config import Preprocess
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions.binding import let
-from sentigrid.functions.stemming import stem_tokens
+from sentigrid.functions.stemming import porter_stem, stem_tokens
+from sentigrid.functions.words import WordSteps, ascii_terms, word_tokens
 
 # --- fixed values: character classes and patterns ---------------------------------------
 # Unicode whitespace and word characters are spelled out, because regex engines disagree
@@ -49,11 +50,17 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(f"[^{SPACE}]")
 
 
+def _bare_text(text: Column) -> Column:
+    """Without links, mentions and hashtags; a text that can have none is spared the regexes."""
+    no_links = let(text, lambda t: F.when(
+        t.contains("http") | t.contains("www"), F.regexp_replace(t, URL, "")).otherwise(t))
+    return let(no_links, lambda t: F.when(
+        t.contains("@") | t.contains("#"), F.regexp_replace(t, MENTION_OR_HASHTAG, "")).otherwise(t))
+
+
 def clean_noise(text: Column) -> Column:
     """Drops links, mentions and hashtags; other non-ASCII and whitespace runs become one space."""
-    no_links = F.regexp_replace(text, URL, "")
-    no_tags = F.regexp_replace(no_links, MENTION_OR_HASHTAG, "")
-    return F.trim(F.regexp_replace(no_tags, SPACE_OR_NON_ASCII, " "))
+    return F.trim(F.regexp_replace(_bare_text(text), SPACE_OR_NON_ASCII, " "))
 
 
 def case_fold(text: Column) -> Column:
@@ -152,16 +159,32 @@ def prepare_tokens(text: Column, options: Preprocess = Preprocess.extended(),
                    words: Sequence[str] = stoplists.DEFAULT) -> Column:
     """Tokens after the switched-on steps: noise, case, tokens, stopwords, stems."""
     if options.clean:
-        text = clean_noise(text)
-    tokens = tokenize(case_fold(text), plain_spaces=options.clean)
+        return _prepared_words(text, options, words, joined=False)
+    tokens = tokenize(case_fold(text))
     if options.stopwords:
         tokens = remove_stopwords(tokens, words)
     return stem_tokens(tokens) if options.stem else tokens
 
 
+def _prepared_words(text: Column, options: Preprocess, words: Sequence[str], joined: bool) -> Column:
+    """The steps behind noise cleaning, which leaves ASCII words: each different word goes through them once."""
+    steps = [*((p, r, True) for p, r in OPENING_QUOTE_STEPS), *((p, r, False) for p, r in PLAIN_STEPS),
+             *((p, r, True) for p, r in CLOSING_QUOTE_STEPS)]
+    quote, dropped = ANY_QUOTE, (frozenset(words), ASCII_PUNCTUATION) if options.stopwords else None
+    stem = porter_stem if options.stem else None
+    return word_tokens(_bare_text(text), lambda: WordSteps(steps, quote, dropped, stem), joined)
+
+
+def cleaned_tokens(text: Column) -> Column:
+    """The lower-cased tokens of a text without its noise."""
+    return prepare_tokens(text, Preprocess(clean=True, stopwords=False, stem=False))
+
+
 def full_pipeline(text: Column, options: Preprocess = Preprocess.extended(),
                   words: Sequence[str] = stoplists.DEFAULT) -> Column:
     """The prepared tokens joined by single spaces."""
+    if options.clean:
+        return _prepared_words(text, options, words, joined=True)
     return F.array_join(prepare_tokens(text, options, words), " ")
 
 
@@ -184,7 +207,9 @@ def word_count(text: Column) -> Column:
 
 def feature_terms(clean: Column) -> Column:
     """The terms that become features: lower-cased runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(clean), F.lit(FEATURE_TERM), F.lit(0))
+    lowered = F.lower(clean)
+    # in ASCII the pattern's words are those of \w; other texts have no runs there
+    return F.coalesce(ascii_terms(lowered), F.regexp_extract_all(lowered, F.lit(FEATURE_TERM), F.lit(0)))
 
 
 def title_case(label: Column) -> Column:

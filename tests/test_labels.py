@@ -84,3 +84,15 @@ def test_min_classes(texts):
     with pytest.raises(ValueError):
         lb.require_min_classes(lx.with_label(texts(["a", "b"])))
     lb.require_min_classes(lx.with_label(texts(["bagus", "buruk"])))
+
+
+def test_label_by_words_equals_contains(texts):
+    rows = [g[0] for g in GOLDEN] + ["xsUKAx", "tidak  suka", "#indonesiagelap2025", "KECEWA tİdak suka", "wor\nth it", "", None]
+    assert scores(texts, rows, lx.EXTENDED, "words") == scores(texts, rows, lx.EXTENDED, "builtin")
+    own = lx.Lexicon((("é", "positive", 1), ("a b", "negative", 2), ("é", "negative", 1)))
+    assert scores(texts, ["É a b", "a  b"], own, "words") == scores(texts, ["É a b", "a  b"], own, "builtin") == [(1, 3), (0, 0)]
+
+
+def test_labels_do_not_test_term_by_term(texts):
+    plan = lx.with_label(texts(["a"])).filter("label = 'negative'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan

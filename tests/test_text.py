@@ -121,3 +121,17 @@ def test_stem_column(column):
 
 def test_feature_terms(column):
     assert column(["A ab é1_x, c-de"], tx.feature_terms(F.col("text"))) == [["ab", "é1_x", "de"]]
+
+
+def test_words_go_through_the_steps_as_whole_texts_do(column):
+    rows = ["'tis \"quoted\" cannot. we'll, more'n a.b. x,1 1,000: ''s 'a b' end.) (...) -- $5", "'twas", "", None, "Kİ gonna! \x1c é``x`",
+            "see www.a.b @me #tag don't. 'a' ' "]
+    steps = tx.tokenize(tx.case_fold(tx.clean_noise(F.col("text"))), plain_spaces=True)
+    assert column(rows, tx.cleaned_tokens(F.col("text"))) == column(rows, steps)
+    assert column(rows, tx.full_pipeline(F.col("text"), Preprocess.compact())) == column(
+        rows, F.array_join(tx.stem_tokens(tx.remove_stopwords(steps)), " "))
+
+
+def test_preparation_runs_no_tokenizer_regex_over_whole_texts(texts):
+    plan = texts(["a"]).select(tx.full_pipeline(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(can)(not)" not in plan and "\\.{2,}" not in plan
