@@ -1,9 +1,8 @@
 """The softmax head trained by mini-batches: AdamW with warm-up, linear decay and dropout.
 
 A batch is the rows whose seeded hash names it, so batches and dropout masks are the same however the rows lie. The
-rows of an epoch are written once, spread over the tasks and sorted by batch, so a step reads little beyond its own rows. Every
-task leaves the gradient of its rows, the gradients are summed cell by cell in the cluster, and the optimiser's few
-matrices stay on the driver. The batch size counts the rows of all tasks together: large tables want large batches, as a step is
+rows of an epoch are shuffled once into partitions by batch, and a step is a job over the few partitions of its batch. Every
+task leaves the summed gradient of its rows, and the optimiser's few matrices stay on the driver. The batch size counts the rows of all tasks together: large tables want large batches, as a step is
 a job.
 """
 
@@ -13,14 +12,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentigrid.config import HeadTraining
 from sentigrid.functions import scores as sc
 from sentigrid.operators.naive_bayes import encode_label
-from sentigrid.session import stage_table
 
 # --- fixed values: the optimiser -----------------------------------------------------------
 BETA_1, BETA_2, EPSILON = 0.9, 0.999, 1e-8
@@ -116,26 +114,29 @@ class AdamW:
         return weights * (1 - rate * self.config.weight_decay) - rate * mean / (np.sqrt(square) + EPSILON)
 
 
-def _batch_gradient(rows: DataFrame, weights: np.ndarray, rate: float) -> tuple[np.ndarray, float, int]:
-    """Gradient, loss and number of the rows, summed over the tasks; one row per weight reaches the driver."""
-    def run(batches):
-        total, loss, n = np.zeros_like(weights), 0.0, 0
-        for batch in batches:
-            keys, target, vectors = batch.columns
-            if batch.num_rows:
-                dense = vectors.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                dense = dense * dropout_mask(keys.to_numpy().view(np.uint64), dense.shape[1], rate)
-                slope, more = gradient(weights, dense, target.to_numpy())
-                total, loss, n = total + slope, loss + more, n + batch.num_rows
-        if n:
-            cells = np.concatenate([total.ravel(), [loss, n]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)], names=["cell", "value"])
-
-    sums = rows.select("key", "target", "embedding").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value"))
-    cells = np.zeros(weights.size + 2)
-    for cell, value in sums.collect():
-        cells[cell] = value
-    return cells[:-2].reshape(weights.shape), float(cells[-2]), int(cells[-1])
+def _blocks(keyed: DataFrame, batches: int, tasks: int) -> RDD:
+    """The rows (key, target, embedding) dealt out by batch: batch b is the partitions from b * tasks on, `tasks` of them.
+
+    They are shuffled once, at the first step; every step then reads its own partitions and no others.
+    """
+    rows = keyed.select("batch", "key", "target", "embedding").rdd
+    return rows.map(lambda r: (r[0] * tasks + r[1] % tasks, (r[1], r[2], r[3]))).partitionBy(batches * tasks, lambda block: block)
+
+
+def _batch_gradient(blocks: RDD, own: range, weights: np.ndarray, rate: float) -> tuple[np.ndarray, float, int]:
+    """Gradient, loss and number of the rows of a batch's partitions; one small matrix a partition reaches the driver."""
+    def run(rows):
+        found = [row for _, row in rows]
+        if found:
+            keys, target, vectors = zip(*found)
+            dense = np.array(vectors, dtype=np.float64)
+            dense = dense * dropout_mask(np.array(keys, dtype=np.int64).view(np.uint64), dense.shape[1], rate)
+            yield *gradient(weights, dense, np.array(target)), len(found)
+
+    total, loss, n = np.zeros_like(weights), 0.0, 0
+    for slope, more, size in blocks.context.runJob(blocks, run, list(own)):
+        total, loss, n = total + slope, loss + more, n + size
+    return total, loss, n
 
 
 def fit_minibatch_head(df: DataFrame, classes: list[str], config: HeadTraining, losses) -> tuple[LinearHead, list[tuple]]:
@@ -156,10 +157,11 @@ def fit_minibatch_head(df: DataFrame, classes: list[str], config: HeadTraining,
     for epoch in range(1, config.epochs + 1):
         keyed = train.withColumns({"batch": batch_number(F.col("doc_id"), config, epoch, batches),
                                    "key": mask_key(F.col("doc_id"), config, epoch)})
-        rows = stage_table(keyed.repartition(tasks, "doc_id").sortWithinPartitions("batch"), "epoch")
+        blocks = _blocks(keyed, batches, tasks)
         seen = []
         for number in range(batches):
-            slope, loss, size = _batch_gradient(rows.filter(F.col("batch") == number), weights, config.dropout)
+            own = range(number * tasks, (number + 1) * tasks)
+            slope, loss, size = _batch_gradient(blocks, own, weights, config.dropout)
             if size:  # a batch no row hashes to is no step
                 weights = optimiser.update(weights, slope / size)
                 seen.append(loss / size)
