@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
@@ -43,17 +46,31 @@ def tfidf_terms(df: DataFrame, *keep: str, clean_col: str = "clean") -> DataFram
     return unnest_structs(counted, F.col("counts"), *keep)
 
 
+def _counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df, total_tf) of the texts of each batch."""
+    for batch in batches:
+        lists = batch.column(0).cast(pa.list_(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        codes = coded.indices.fill_null(0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+        rows = np.repeat(np.arange(batch.num_rows, dtype=np.int64), lengths)[known]
+        size = len(coded.dictionary)
+        if size:
+            held = np.unique(rows * size + codes) % size
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary, pa.array(np.bincount(held, minlength=size)), pa.array(np.bincount(codes, minlength=size))],
+                names=["term", "df", "total_tf"])
+
+
 def document_frequency(df: DataFrame) -> DataFrame:
     """Per term: number of documents with it (df) and of occurrences (total_tf).
 
-    `df` has one array of terms per document. Both counts are combined map-side, so the
+    `df` has one array of terms per document. Both counts are taken batch by batch and combined, so the
     shuffle carries one row per distinct term and task, however frequent a term is.
     """
-    return (
-        unnest_structs(with_term_counts(df.select("terms")), F.col("counts"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
-    )
+    counted = df.select("terms").mapInArrow(_counted_terms, "term string, df bigint, total_tf bigint")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
 
 
 def vocabulary_table(df: DataFrame, max_features: int = 5000) -> DataFrame:

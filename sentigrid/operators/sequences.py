@@ -56,34 +56,38 @@ def encode_sequences(df: DataFrame, vocabulary: list[str], max_length: int = 256
 def signed_counts(tokens: Column, dim: int = 64) -> Column:
     """Signed feature hashing: per place the number of tokens with a plus less that with a minus, array<int>.
 
-    The first seven hex digits of a token's md5 name its place, the eighth its sign. The cells are sorted and cut
-    where the place changes, inside the row.
+    The first seven hex digits of a token's md5 name its place, the eighth its sign. Arrow batches: each different
+    token of a batch is hashed once; a null array stays null.
     """
-    digests = F.transform(tokens, lambda t: F.md5(t.cast("binary")))
-    cells = F.sort_array(F.transform(digests, lambda d: F.struct(
-        (F.conv(F.substring(d, 1, 7), 16, 10).cast("int") % dim).alias("place"),
-        F.when(F.substring(d, 8, 1) < "8", 1).otherwise(-1).alias("sign"))))
-
-    def summed(c: Column) -> Column:
-        every = F.when(F.size(c) > 0, F.sequence(F.lit(1), F.size(c))).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(every, lambda i: (i == 1) | (F.get(c, i - 1)["place"] != F.get(c, i - 2)["place"]))
+    @F.arrow_udf("array<int>")
+    def count(lists: pa.Array) -> pa.Array:
+        import hashlib
 
-        def fold(bounds: Column) -> Column:
-            places = F.transform(bounds, lambda i: F.get(c, i - 1)["place"])
-            sums = F.transform(bounds, lambda a, i: F.aggregate(
-                F.slice(c, a, F.coalesce(F.get(bounds, i + 1), F.size(c) + 1) - a), F.lit(0), lambda total, x: total + x["sign"]))
-            return let(F.map_from_arrays(places, sums), lambda m: F.transform(
-                F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0))))
+        import numpy as np
 
-        return let(starts, fold)
+        lists = lists.cast(pa.list_(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        heads = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in coded.dictionary.to_pylist()]
+        place = np.array([h // 16 % dim for h in heads], dtype=np.int64)
+        sign = np.array([1 if h % 16 < 8 else -1 for h in heads], dtype=np.int64)
+        known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+        codes = coded.indices.fill_null(0).to_numpy(zero_copy_only=False)[known]
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(lists), dtype=np.int64), lengths)[known]
+        sums = np.zeros(len(lists) * dim, dtype=np.int64)
+        if len(codes):
+            cells = rows * dim + place[codes]
+            sums = (np.bincount(cells, weights=sign[codes], minlength=len(sums))).astype(np.int64)
+        ends = pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(ends, pa.array(sums.astype(np.int32)), mask=lists.is_null())
 
-    return let(cells, summed)
+    return count(tokens)
 
 
 def hashed_embedding(df: DataFrame, dim: int = 64, tokens_col: str = "tokens") -> DataFrame:
     """Adds `embedding` (array<float>): signed hashed counts scaled to length one. Needs no model file.
 
-    Column expressions only; a text whose signs cancel everywhere, and one without tokens, is all zeros.
+    A text whose signs cancel everywhere, and one without tokens, is all zeros.
     """
     counts = signed_counts(F.coalesce(tokens_col, F.array().cast("array<string>")), dim)
 
