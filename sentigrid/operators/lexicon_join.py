@@ -2,7 +2,8 @@
 
 Each term is indexed by its rarest q-gram in the corpus. A text's different q-grams meet the index by equality, and
 the few candidates are verified with contains(). Terms shorter than a q-gram are indexed as a whole. The result is
-the same as that of the literal lexicon in `functions.lexicon`.
+the same as that of the literal lexicon in `functions.lexicon`. A table of at most IN_ROW rows needs no index: its terms go to
+the tasks, which look for all of them in a text at once, and no text is moved.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentigrid.functions.lexicon import label_of
-from sentigrid.operators.word_tables import meet
+from sentigrid.functions.words import term_positions
+from sentigrid.operators.word_tables import meet, repeated_keys
 from sentigrid.session import stage_table, unnest
 
 GRAM = 3
+# rows of a lexicon that go to the tasks as a whole
+IN_ROW = 50_000
 
 
 def grams(text: Column, size: int = GRAM) -> Column:
@@ -34,6 +38,28 @@ def matches(df: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: s
     Texts are compared lower-cased; a null text contains nothing. The key has to be unique.
     """
     lexicon = stage_table(normal_lexicon(table), "lexicon")
+    if lexicon.limit(IN_ROW + 1).count() > IN_ROW:
+        return _matches_by_index(df, lexicon, id_col, text_col)
+    once, again = repeated_keys(df.select(id_col, text_col), id_col)
+    found = _matches_in_row(once, lexicon, id_col, text_col)
+    return found if again is None else found.unionByName(_matches_by_index(again, lexicon, id_col, text_col))
+
+
+def _matches_in_row(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The matches of texts with different keys, text by text; a null key meets nothing."""
+    terms = sorted(r[0] for r in lexicon.select("term").distinct().collect())
+    place = {t: i for i, t in enumerate(terms)}
+    entries = [(place[r.term], r.term, r.polarity, r.weight) for r in lexicon.collect()]
+    kinds = {f.name: f.dataType.simpleString() for f in lexicon.schema.fields}
+    named = df.sparkSession.createDataFrame(
+        entries, f"_place int, term string, polarity {kinds['polarity']}, weight {kinds['weight']}")
+    hits = term_positions(F.lower(F.col(text_col)), terms)
+    places = unnest(df.filter(F.col(id_col).isNotNull()).select(id_col, hits.alias("_hits")), F.col("_hits"), "_place", id_col)
+    return places.join(F.broadcast(named), "_place").select(id_col, "term", "polarity", "weight")
+
+
+def _matches_by_index(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The matches with a lexicon of any size, through the rarest q-grams."""
     terms = lexicon.select("term").distinct()
     short = sorted(r[0] for r in terms.filter(F.length("term") < GRAM).select(F.length("term")).distinct().collect())
     whole = F.when(F.length("term") < GRAM, F.array("term")).otherwise(grams(F.col("term")))

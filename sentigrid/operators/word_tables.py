@@ -3,10 +3,18 @@
 Words are rows (key, position, token). A word that makes up a large share of all words would put them into one task;
 those words are few by arithmetic, at most FREQUENT, so their part of the table is broadcast. All other words
 meet the table in a shuffle by word, in which no word has more than 1/FREQUENT of the rows.
+
+A table of at most IN_ROW rows goes to the tasks as a whole, and the words of a text are looked up where they are: no rows per word,
+no shuffle. Texts whose key repeats are one text, as before; these few are put together by rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +25,64 @@ from sentigrid.session import stage_table
 FREQUENT = 10_000
 # rows of a table that are broadcast at most
 BROADCAST_ROWS = 200_000
+# rows of a table that every task holds at most
+IN_ROW = 200_000
+
+
+def repeated_keys(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key is theirs alone, and those whose key repeats, None if there are none."""
+    again = df.groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("n")).filter("n > 1").select("_again")
+    again = stage_table(again, "repeated-keys")
+    if again.isEmpty():
+        return df, None
+    same = df[id_col].eqNullSafe(again["_again"])
+    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+
+
+def _small(table: DataFrame) -> list | None:
+    """The rows of a table of at most IN_ROW rows, else None."""
+    rows = table.limit(IN_ROW + 1).collect()
+    return rows if len(rows) <= IN_ROW else None
+
+
+def _lists(lists: pa.Array, change: Callable[[pa.Array], tuple[pa.Array, np.ndarray]]) -> pa.Array:
+    """Lists of words after `change`, which gives the words and which of them stay; a null list becomes an empty one."""
+    lists = lists.cast(pa.list_(pa.string()))
+    words, kept = change(lists.flatten())
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    left = np.concatenate([[0], np.cumsum(kept)])[ends]
+    return pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), words.filter(pa.array(kept)))
+
+
+def _without(tokens: Column, listed: list[str], punctuation: bool) -> Column:
+    marks = tx.ASCII_PUNCTUATION
+    pieces = {marks[a:b] for a in range(len(marks) + 1) for b in range(a, len(marks) + 1)} if punctuation else set()
+    gone = sorted({*listed, *pieces})
+
+    @F.arrow_udf("array<string>")
+    def drop(lists: pa.Array) -> pa.Array:
+        def change(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+            out = pc.is_in(words, value_set=pa.array(gone, pa.string()))
+            if punctuation:  # a null word is dropped with the pieces
+                out = pc.or_(out, words.is_null())
+            return words, ~out.to_numpy(zero_copy_only=False)
+
+        return _lists(lists, change)
+
+    return drop(tokens)
+
+
+def _replaced(tokens: Column, stems: dict[str, str]) -> Column:
+    @F.arrow_udf("array<string>")
+    def put(lists: pa.Array) -> pa.Array:
+        def change(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+            coded = words.dictionary_encode()
+            stemmed = pa.array([stems.get(w, w) for w in coded.dictionary.to_pylist()], pa.string())
+            return stemmed.take(coded.indices), np.ones(len(words), dtype=bool)
+
+        return _lists(lists, change)
+
+    return put(tokens)
 
 
 def word_rows(df: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
@@ -55,8 +121,18 @@ def remove_listed(df: DataFrame, tokens: Column, table: DataFrame, id_col: str =
     With `punctuation` pieces of the ASCII punctuation string go too. A text that loses all its words stays, with none.
     The key has to be unique.
     """
+    terms = stage_table(table.select(F.col("term").alias("token")).filter("token IS NOT NULL").distinct(), "listed-words")
+    listed = _small(terms)
+    if listed is None:
+        return _remove_by_rows(df, tokens, terms, id_col, punctuation)
+    once, again = repeated_keys(df, id_col)
+    kept = once.select(id_col, _without(tokens, [r[0] for r in listed], punctuation).alias("tokens"))
+    return kept if again is None else kept.unionByName(_remove_by_rows(again, tokens, terms, id_col, punctuation))
+
+
+def _remove_by_rows(df: DataFrame, tokens: Column, terms: DataFrame, id_col: str, punctuation: bool) -> DataFrame:
     rows = stage_table(word_rows(df, tokens, id_col), "words")
-    kept = meet(rows, table.select(F.col("term").alias("token")).distinct(), "token", "left_anti")
+    kept = meet(rows, terms, "token", "left_anti")
     if punctuation:
         piece = F.instr(F.lit(tx.ASCII_PUNCTUATION), F.col("token")) > 0
         kept = kept.withColumn("position", F.when(~piece, F.col("position")))
@@ -79,10 +155,20 @@ def stem_by_table(df: DataFrame, tokens: Column, table: DataFrame | None = None,
     the least counts. Without a table the corpus's own dictionary is built, by the rules of `functions.stemming`.
     The key has to be unique.
     """
-    rows = stage_table(word_rows(df, tokens, id_col), "words")
     if table is None:
+        return _stem_by_rows(df, tokens, None, id_col)
+    stems = stage_table(table.filter("token IS NOT NULL").groupBy("token").agg(F.min("stem").alias("stem")), "stem-table")
+    listed = _small(stems)
+    if listed is None:
+        return _stem_by_rows(df, tokens, stems, id_col)
+    once, again = repeated_keys(df, id_col)
+    stemmed = once.select(id_col, _replaced(tokens, {r.token: r.stem for r in listed if r.stem is not None}).alias("tokens"))
+    return stemmed if again is None else stemmed.unionByName(_stem_by_rows(again, tokens, stems, id_col))
+
+
+def _stem_by_rows(df: DataFrame, tokens: Column, stems: DataFrame | None, id_col: str) -> DataFrame:
+    rows = stage_table(word_rows(df, tokens, id_col), "words")
+    if stems is None:
         stems = stage_table(stem_dictionary(rows), "stems")
-    else:
-        stems = table.groupBy("token").agg(F.min("stem").alias("stem"))
     stemmed = meet(rows, stems, "token", "left").withColumn("token", F.coalesce("stem", "token"))
     return reassemble(stemmed, id_col)

@@ -133,3 +133,26 @@ def test_known_abbreviations_keep_their_period(texts, spark, frequent):
     none = table.limit(0)
     plain = {r.doc_id: r.t for r in texts(rows).select("doc_id", tx.tokenize(F.col("text")).alias("t")).collect()}
     assert {r.doc_id: r.tokens for r in ab.tokenize_with(texts(rows), none, F.col("text")).collect()} == plain
+
+
+def test_small_tables_need_no_rows_per_word(texts, spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("rows per word")
+
+    table = spark.createDataFrame([("the", "T"), ("cats", None), (None, "x")], "token string, stem string")
+    listed_words = table.select(F.col("token").alias("term"))
+    lexicon = spark.createDataFrame([("cat", "positive", 1), ("THE", "negative", 2)], "term string, polarity string, weight int")
+
+    def run(frame):
+        return [listed(wt.remove_listed(frame, words(), listed_words)), listed(wt.stem_by_table(frame, words(), table)),
+                sorted(lj.matches(frame, lexicon).collect())]
+
+    twice = texts(ROWS).unionByName(texts(ROWS).filter("doc_id > 3"))
+    with monkeypatch.context() as m:
+        m.setattr(wt, "IN_ROW", 0)
+        m.setattr(lj, "IN_ROW", 0)
+        by_rows, by_rows_twice = run(texts(ROWS)), run(twice)
+    assert run(twice) == by_rows_twice
+    monkeypatch.setattr(wt, "word_rows", refused)
+    monkeypatch.setattr(lj, "grams", refused)
+    assert run(texts(ROWS)) == by_rows
