@@ -20,18 +20,37 @@ THRESHOLD = 0.3
 # --- end of fixed values --------------------------------------------------------------------
 
 
+def _raw_words(text: Column) -> Column:
+    return F.split(F.lower(text), f"[{tx.SPACE}]+")
+
+
+def _type(word: Column) -> Column:
+    """The type of a word and, after it, its period if it has one."""
+    return F.regexp_extract(word, tx.WORD_TYPE, 0)
+
+
 def word_types(text: Column) -> Column:
     """The lower-cased words as array<string>, each a type and, after it, its period if it has one."""
-    words = F.split(F.lower(text), f"[{tx.SPACE}]+")
-    return F.filter(F.transform(words, lambda w: F.regexp_extract(w, tx.WORD_TYPE, 0)), lambda w: w.rlike(r"\p{L}"))
+    return F.filter(F.transform(_raw_words(text), _type), lambda w: w.rlike(r"\p{L}"))
+
+
+def period_types(text: Column) -> Column:
+    """The different types of a text that stand with a period; only words that hold one are looked into."""
+    dotted = F.array_distinct(F.filter(_raw_words(text), lambda w: w.contains(".")))
+    return F.array_distinct(F.filter(F.transform(dotted, _type), lambda w: w.endswith(".") & w.rlike(r"\p{L}")))
 
 
 def type_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n_with, n_without): how often each type stands with and without a final period."""
-    words = unnest(df.select(word_types(F.col(text_col)).alias("_w")), F.col("_w"), "word")
-    parts = words.select(F.regexp_extract("word", tx.WORD_TYPE, 1).alias("term"),
-                         (F.regexp_extract("word", tx.WORD_TYPE, 2) == ".").cast("bigint").alias("period"))
-    return parts.groupBy("term").agg(F.sum("period").alias("n_with"), F.sum(1 - F.col("period")).alias("n_without"))
+    """(term, n_with, n_without): how often each type stands with and without a final period.
+
+    Words are counted as they stand, and the different ones are taken apart.
+    """
+    words = unnest(df.select(_raw_words(F.col(text_col)).alias("_w")), F.col("_w"), "raw")
+    counted = words.groupBy("raw").agg(F.count("*").alias("n")).select(_type(F.col("raw")).alias("word"), "n")
+    parts = counted.filter(F.col("word").rlike(r"\p{L}")).select(
+        F.regexp_extract("word", tx.WORD_TYPE, 1).alias("term"), "n",
+        F.when(F.regexp_extract("word", tx.WORD_TYPE, 2) == ".", F.col("n")).otherwise(F.lit(0).cast("bigint")).alias("period"))
+    return parts.groupBy("term").agg(F.sum("period").alias("n_with"), F.sum(F.col("n") - F.col("period")).alias("n_without"))
 
 
 def abbreviation_score(n_with: Column, n_without: Column, term: Column, periods: Column, words: Column) -> Column:
@@ -62,7 +81,7 @@ def tokenize_with(df: DataFrame, table: DataFrame, prepared: Column, id_col: str
     period meet it, and the text gets back the few it holds. The key has to be unique; a null text has null tokens.
     """
     texts = stage_table(df.select(id_col, prepared.alias("_text")), "prepared-texts")
-    mine = F.array_distinct(F.filter(word_types(F.col("_text")), lambda w: w.endswith(".")))
+    mine = period_types(F.col("_text"))
     held = unnest(texts.select(id_col, mine.alias("_m")), F.col("_m"), "_word", id_col)
     held = stage_table(held.select(id_col, F.regexp_extract("_word", tx.WORD_TYPE, 1).alias("term")), "held-words")
     found = meet(held, table.select("term").distinct(), "term", "left_semi")

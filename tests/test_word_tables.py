@@ -156,3 +156,11 @@ def test_small_tables_need_no_rows_per_word(texts, spark, monkeypatch):
     monkeypatch.setattr(wt, "word_rows", refused)
     monkeypatch.setattr(lj, "grams", refused)
     assert run(texts(ROWS)) == by_rows
+
+
+def test_types_are_taken_apart_once_per_different_word(texts):
+    plan = ab.type_counts(texts(CORPUS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract") < plan.index("Generate") and "regexp_extract" not in plan[plan.index("Generate"):]
+    rows = ["Dr. x. (e.g.) ... 5. a.b", "", None]
+    frame = texts(rows).select("doc_id", ab.period_types(F.col("text")).alias("p"), ab.word_types(F.col("text")).alias("w")).collect()
+    assert all(r.p is None or set(r.p) == {w for w in r.w if w.endswith(".")} for r in frame)
