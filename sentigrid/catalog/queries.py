@@ -86,12 +86,17 @@ def _staged(spark: SparkSession, folder: str) -> DataFrame:
     return stage_table(_prepared(spark, folder).select("doc_id", "label", "terms"), "prepared")
 
 
+def _staged_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, label, terms) for training, the terms of a document as one text."""
+    return stage_table(training.label_and_terms(_docs(spark, folder)), "terms")
+
+
 def _labels_only(spark: SparkSession, folder: str) -> DataFrame:
     return stage_table(_labelled(spark, folder).select("doc_id", "label"), "labels")
 
 
 def _trained(spark: SparkSession, folder: str, alpha: float | None = ALPHA) -> training.TrainedNaiveBayes:
-    return training.train_naive_bayes(_staged(spark, folder), Training(), alpha)
+    return training.train_naive_bayes(_staged_terms(spark, folder), Training(), alpha)
 
 
 def _scored_test(spark: SparkSession, folder: str) -> DataFrame:
@@ -409,7 +414,7 @@ def document_frequency(spark, folder):
 
 @query
 def class_term_sums(spark, folder):
-    features, vocabulary = training.split_features(_staged(spark, folder))
+    features, vocabulary = training.split_features(_staged_terms(spark, folder))
     sums = ft.class_term_sums(features.filter("split = 'train'"))
     names = F.broadcast(vocabulary.table(sums))
     return sums.join(names, "position").select("label", "term", _r("weight_sum").alias("weight_sum"))
@@ -746,7 +751,7 @@ def label_decode(spark, folder):
 
 @query
 def nb_fit(spark, folder):
-    features, vocabulary = training.split_features(_staged(spark, folder))
+    features, vocabulary = training.split_features(_staged_terms(spark, folder))
     sums = ft.class_term_sums(features.filter("split = 'train'"))
     theta = nb.theta_table(sums, vocabulary.table(sums), lb.class_list(features), ALPHA)
     return theta.select("label", "term", _r("theta").alias("theta"))
@@ -754,7 +759,7 @@ def nb_fit(spark, folder):
 
 @query
 def nb_prior(spark, folder):
-    features, _ = training.split_features(_staged(spark, folder))
+    features, _ = training.split_features(_staged_terms(spark, folder))
     priors = nb.class_log_priors(features.filter("split = 'train'"))
     return priors.withColumn("log_prior", _r("log_prior"))
 
@@ -785,7 +790,7 @@ def nb_alpha_sweep(spark, folder):
 def nb_alpha_sweep_unseen(spark, folder):
     """The sweep with the vocabulary from the training part and alpha chosen on a validation part."""
     config = Training(fit_on="train", choose_on="val")
-    history = training.train_naive_bayes(_staged(spark, folder), config).history
+    history = training.train_naive_bayes(_staged_terms(spark, folder), config).history
     return history.select(_r("alpha").alias("alpha"), _r("train_score").alias("train_score"), _r("val_score").alias("val_score"))
 
 

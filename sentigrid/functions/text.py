@@ -11,7 +11,7 @@ from sentigrid.config import Preprocess
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions.binding import let
 from sentigrid.functions.stemming import porter_stem, stem_tokens
-from sentigrid.functions.words import WordSteps, ascii_terms, word_tokens
+from sentigrid.functions.words import ascii_terms, word_steps, word_tokens
 
 # --- fixed values: character classes and patterns ---------------------------------------
 # Unicode whitespace and word characters are spelled out, because regex engines disagree
@@ -166,13 +166,13 @@ def prepare_tokens(text: Column, options: Preprocess = Preprocess.extended(),
     return stem_tokens(tokens) if options.stem else tokens
 
 
-def _prepared_words(text: Column, options: Preprocess, words: Sequence[str], joined: bool) -> Column:
+def _prepared_words(text: Column, options: Preprocess, words: Sequence[str], joined: bool, terms: bool = False) -> Column:
     """The steps behind noise cleaning, which leaves ASCII words: each different word goes through them once."""
-    steps = [*((p, r, True) for p, r in OPENING_QUOTE_STEPS), *((p, r, False) for p, r in PLAIN_STEPS),
-             *((p, r, True) for p, r in CLOSING_QUOTE_STEPS)]
+    steps = (*((p, r, True) for p, r in OPENING_QUOTE_STEPS), *((p, r, False) for p, r in PLAIN_STEPS),
+             *((p, r, True) for p, r in CLOSING_QUOTE_STEPS))
     quote, dropped = ANY_QUOTE, (frozenset(words), ASCII_PUNCTUATION) if options.stopwords else None
     stem = porter_stem if options.stem else None
-    return word_tokens(_bare_text(text), lambda: WordSteps(steps, quote, dropped, stem), joined)
+    return word_tokens(_bare_text(text), lambda: word_steps(steps, quote, dropped, stem, terms), joined)
 
 
 def cleaned_tokens(text: Column) -> Column:
@@ -212,6 +212,14 @@ def feature_terms(clean: Column) -> Column:
     return F.coalesce(ascii_terms(lowered), F.regexp_extract_all(lowered, F.lit(FEATURE_TERM), F.lit(0)))
 
 
+def term_text(text: Column, options: Preprocess = Preprocess.extended(),
+              words: Sequence[str] = stoplists.DEFAULT) -> Column:
+    """The feature terms of a raw text after the switched-on steps, joined by single spaces: one value a text instead of one a term."""
+    if options.clean:
+        return _prepared_words(text, options, words, joined=True, terms=True)
+    return F.array_join(feature_terms(full_pipeline(text, options, words)), " ")
+
+
 def title_case(label: Column) -> Column:
     return F.initcap(label)
 

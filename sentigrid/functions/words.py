@@ -1,14 +1,17 @@
 """Word by word work on Arrow batches of texts.
 
 The steps of the tokenizer look no further than a word and the spaces around it, so what they make of a word depends on the word
-alone and, at the start of a text, on its having no space before it. Plain words pass, all others go through the steps once.
+alone and, at the start of a text, on its having no space before it. Texts are cut at their spaces some megabytes at a time, in bulk;
+of each such chunk's different words the plain ones pass, all others go through the steps once, and the results are taken by position.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 # words a task remembers at a time, and the longest that it remembers
 MEMORY = 200_000
 LONGEST = 64
+# bytes of text that a task cuts into words at a time
+CHUNK_BYTES = 4 << 20
 # up to so many terms, texts without any of them are told apart in one go
 FEW_TERMS = 500
 # a step of the tokenizer puts these apart at the end of a word
@@ -47,18 +52,92 @@ def python_step(pattern: str, replacement: str) -> Callable[[str], str]:
     return lambda text: compiled.sub(put, text)
 
 
+# of the bytes of a text: lower-cased letters, a space for white space and for the bytes of other characters than ASCII
+_BARE = bytes(32 if c > 127 or c in b"\t\n\v\f\r\x1c\x1d\x1e\x1f" else c + 32 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c
+              for c in range(256))
+
+
+def chunks(texts: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """The texts in pieces of about `most` bytes (CHUNK_BYTES), one text at least."""
+    texts = texts.cast(pa.large_string())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + (most or CHUNK_BYTES), "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def cut_words(texts: pa.Array, table: bytes | None = None) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts between spaces, one after the other, and where each text's words begin (one more than texts).
+
+    `table` translates the bytes beforehand. A null text has no words.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset:texts.offset + len(texts) + 1] if ends else np.zeros(1, np.int64)
+    raw = bytes(memoryview(data)[ends[0]:ends[-1]]) if data else b""
+    raw = np.frombuffer(raw.translate(table) if table else raw, np.uint8)
+    ends = ends - ends[0]
+    solid = raw != 32
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    inner = ends[(ends > 0) & (ends < len(raw))]  # a text's end parts words as a space does
+    first[inner] = solid[inner]
+    last[inner - 1] = solid[inner - 1]
+    starts = np.flatnonzero(first)
+    lengths = np.flatnonzero(last) + 1 - starts
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw[solid]))
+    return words, np.searchsorted(starts, ends)
+
+
+# white space beyond ASCII, and the bytes of a text with the white space of ASCII as spaces
+_FAR_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPACED = bytes(32 if c in b"\t\n\v\f\r\x1c\x1d\x1e\x1f" else c for c in range(256))
+
+
+def cut_at_white_space(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """As `cut_words`, between any white space."""
+    if not pc.all(pc.string_is_ascii(texts)).as_py():
+        texts = pc.replace_substring_regex(texts, _FAR_SPACE, " ")
+    return cut_words(texts, _SPACED)
+
+
+def row_of(begins: np.ndarray) -> np.ndarray:
+    """For each word the number of its text."""
+    return np.repeat(np.arange(len(begins) - 1, dtype=np.int64), np.diff(begins))
+
+
+def label_codes(labels: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different labels, null among them, and the position of each row's."""
+    coded = labels.dictionary_encode(null_encoding="encode")
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] times, then from first[1], and so on."""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordSteps:
     """The tokens of a text from the steps (pattern, replacement, only for words with a `quote`).
 
-    `dropped` says which tokens are left out, a set of words and a string whose pieces go; `stem` is put on the rest.
+    `dropped` says which tokens are left out, a set of words and a string whose pieces go; `stem` is put on the rest. With `terms`
+    the runs of two or more letters, digits and underscores within the tokens are given in place of these.
     """
 
     def __init__(self, steps: Sequence[tuple[str, str, bool]], quote: str, dropped: tuple[frozenset[str], str] | None,
-                 stem: Callable[[str], str] | None):
+                 stem: Callable[[str], str] | None, terms: bool = False):
         self.steps = [(python_step(p, r), only) for p, r, only in steps]
-        self.quote, self.foreign = re.compile(quote), re.compile(r"[^\x00-\x7f]+")
+        self.quote, self.runs = re.compile(quote), re.compile(r"\w{2,}", re.ASCII) if terms else None
         self.dropped, self.stem = dropped, stem
         self.special = _CUT | (dropped[0] if dropped else frozenset())
+        self.first = Memo(lambda word: self.pieces(f"{word} "))
         self.inner = Memo(lambda word: self.pieces(f" {word} "))
 
     def pieces(self, spaced: str) -> list[str]:
@@ -68,27 +147,52 @@ class WordSteps:
         tokens = spaced.split()
         if self.dropped:
             tokens = [t for t in tokens if t not in self.dropped[0] and t not in self.dropped[1]]
-        return [self.stem(t) for t in tokens] if self.stem else tokens
-
-    def tokens(self, text: str) -> list[str]:
-        """Of the ASCII of a text, lower-cased."""
-        if not text.isascii():
-            text = self.foreign.sub(" ", text)
-        words = text.lower().split()
-        if not words:
-            return []
-        out = self.pieces(f"{words[0]} ")
-        inner, special, plain, whole = self.inner, self.special, self.stem is None, self.dropped is None
-        for word in words[1:]:
-            if plain and word.isalnum() and word not in special:
-                out.append(word)
-            elif plain and word[-1] in _ENDS and (bare := word[:-1]).isalnum() and bare not in special:
-                out.append(bare)
-                if whole:
-                    out.append(word[-1])
-            else:
-                out += inner[word]
-        return out
+        tokens = [self.stem(t) for t in tokens] if self.stem else tokens
+        return tokens if self.runs is None else [run for t in tokens for run in self.runs.findall(t)]
+
+    def _of_word(self, word: str) -> list[str]:
+        if self.stem is None and word[-1] in _ENDS and (bare := word[:-1]).isalnum() and bare not in self.special:
+            if self.runs is not None:
+                return [bare] if len(bare) > 1 else []
+            return [bare] if self.dropped else [bare, word[-1]]
+        return self.inner[word]
+
+    def token_lists(self, texts: pa.Array) -> pa.Array:
+        """list<string> of the tokens of the ASCII of texts, lower-cased; null stays null."""
+        words, begins = cut_words(texts, _BARE)
+        coded = words.dictionary_encode()
+        known, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        plain = np.zeros(len(known), bool)
+        if self.stem is None:
+            special = pc.is_in(known, value_set=pa.array(sorted(self.special), pa.large_string()))
+            plain = pc.and_not(pc.ascii_is_alnum(known), special).to_numpy(zero_copy_only=False)
+        # results of the different words, then of the first words of the texts, which have no space before them
+        begun = begins[:-1][begins[:-1] < begins[1:]]
+        others = np.flatnonzero(~plain)
+        made = [self._of_word(w) for w in known.take(pa.array(others)).to_pylist()]
+        made += [self.first[w] for w in words.take(pa.array(begun)).to_pylist()]
+        more = np.fromiter(map(len, made), np.int64, len(made))
+        places = len(known) + np.cumsum(more) - more
+        at = np.concatenate([np.arange(len(known)), places[len(others):]])
+        n = np.concatenate([np.ones(len(known), np.int64), more[len(others):]])
+        if self.runs is not None:
+            n[:len(known)] = pc.binary_length(known).to_numpy(zero_copy_only=False) > 1
+        at[others], n[others] = places[:len(others)], more[:len(others)]
+        tokens = pa.concat_arrays([known, pa.array([t for ts in made for t in ts], pa.large_string())])
+        codes = codes.astype(np.int64)
+        codes[begun] = len(known) + np.arange(len(begun))
+        counts = n[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])[begins]
+        flat = tokens.take(pa.array(_spread(at[codes], counts))).cast(pa.string())
+        mask = texts.is_null() if texts.null_count else None
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=mask)
+
+
+@lru_cache(maxsize=4)
+def word_steps(steps: tuple[tuple[str, str, bool], ...], quote: str, dropped: tuple[frozenset[str], str] | None,
+               stem: Callable[[str], str] | None, terms: bool) -> WordSteps:
+    """The steps of a Python worker: it runs many tasks, which go on with the words that earlier ones have taken apart."""
+    return WordSteps(steps, quote, dropped, stem, terms)
 
 
 def word_tokens(text: Column, make: Callable[[], WordSteps], joined: bool) -> Column:
@@ -99,8 +203,9 @@ def word_tokens(text: Column, make: Callable[[], WordSteps], joined: bool) -> Co
     def prepare(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         steps = make()
         for texts in batches:
-            lists = (None if t is None else steps.tokens(t) for t in texts.to_pylist())
-            yield pa.array((x if x is None or not joined else " ".join(x) for x in lists), kind)
+            lists = (steps.token_lists(chunk) for chunk in chunks(texts))
+            parts = [pc.binary_join(x, " ") if joined else x for x in lists]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return prepare(F.make_valid_utf8(text))
 

@@ -1,4 +1,8 @@
-"""TF-IDF features: term counts, vocabulary, weights."""
+"""TF-IDF features: term counts, vocabulary, weights.
+
+`terms` is an array of terms per document, or one text with a space between terms (`functions.text.term_text`): that moves as one value
+a document between the JVM and the Arrow batches and into staged tables, where an array moves as one a term.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +12,16 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentigrid.config import MAX_VOCABULARY
 from sentigrid.functions.text import feature_terms
+from sentigrid.functions.words import chunks, cut_words, label_codes, row_of
 from sentigrid.session import unnest_structs
 
 
@@ -46,27 +53,40 @@ def tfidf_terms(df: DataFrame, *keep: str, clean_col: str = "clean") -> DataFram
     return unnest_structs(counted, F.col("counts"), *keep)
 
 
+# bytes of terms that are counted at a time
+COUNT_BYTES = 16 << 20
+
+
+def _counted(terms: pa.Array, begins: np.ndarray) -> pa.RecordBatch:
+    """(term, df, total_tf) of texts whose terms lie one after the other, each text's from its place in `begins` on."""
+    coded = terms.dictionary_encode()
+    known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+    codes = coded.indices.fill_null(0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+    rows = row_of(begins)[known]
+    size = len(coded.dictionary)
+    held = np.unique(rows * size + codes) % max(size, 1)
+    return pa.RecordBatch.from_arrays(
+        [coded.dictionary.cast(pa.string()), pa.array(np.bincount(held, minlength=size)), pa.array(np.bincount(codes, minlength=size))],
+        names=["term", "df", "total_tf"])
+
+
 def _counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, df, total_tf) of the texts of each batch."""
     for batch in batches:
-        lists = batch.column(0).cast(pa.list_(pa.string()))
-        coded = lists.flatten().dictionary_encode()
-        known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
-        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        codes = coded.indices.fill_null(0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
-        rows = np.repeat(np.arange(batch.num_rows, dtype=np.int64), lengths)[known]
-        size = len(coded.dictionary)
-        if size:
-            held = np.unique(rows * size + codes) % size
-            yield pa.RecordBatch.from_arrays(
-                [coded.dictionary, pa.array(np.bincount(held, minlength=size)), pa.array(np.bincount(codes, minlength=size))],
-                names=["term", "df", "total_tf"])
+        column = batch.column(0)
+        if not pa.types.is_string(column.type) and not pa.types.is_large_string(column.type):
+            lists = column.cast(pa.list_(pa.string()))
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            yield _counted(lists.flatten(), np.concatenate([[0], np.cumsum(lengths)]))
+        else:
+            for texts in chunks(column, COUNT_BYTES):
+                yield _counted(*cut_words(texts))
 
 
 def document_frequency(df: DataFrame) -> DataFrame:
     """Per term: number of documents with it (df) and of occurrences (total_tf).
 
-    `df` has one array of terms per document. Both counts are taken batch by batch and combined, so the
+    `df` has one array of terms per document, or one text of them. Both counts are taken batch by batch and combined, so the
     shuffle carries one row per distinct term and task, however frequent a term is.
     """
     counted = df.select("terms").mapInArrow(_counted_terms, "term string, df bigint, total_tf bigint")
@@ -148,11 +168,55 @@ class Vocabulary:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds the vectors `tf` (counts) and `features` (weights)."""
+        if isinstance(df.schema["terms"].dataType, T.StringType):
+            both = df.withColumn("_vectors", _vectors(F.col("terms"), self.terms, self.idf))
+            return both.withColumns({c: F.col(f"_vectors.{c}") for c in ("tf", "features")}).drop("_vectors")
         for stage in self.stages:
             df = stage.transform(df)
         return df.drop("tfidf")
 
 
+def _vectors(terms: Column, known: list[str], idf: list[float]) -> Column:
+    """struct<tf, features> of a text of terms, the numbers that `Vocabulary.stages` give for an array of them; a null has no terms."""
+    if not known:
+        raise ValueError("the vocabulary is empty")
+    places, weights = pa.array(known, pa.large_string()), np.asarray(idf, dtype=np.float64)
+    kind = T.StructType([T.StructField(c, VectorUDT()) for c in ("tf", "features")])
+
+    def sparse(begins: np.ndarray, places: np.ndarray, values: np.ndarray) -> pa.StructArray:
+        rows, ends = len(begins) - 1, pa.array(begins, pa.int32())
+        return pa.StructArray.from_arrays(
+            [pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, len(known), np.int32)),
+             pa.ListArray.from_arrays(ends, pa.array(places, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(values))],
+            names=["type", "size", "indices", "values"])
+
+    @F.arrow_udf(kind)
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = []
+            for texts in chunks(batch):
+                words, begins = cut_words(texts)
+                coded = words.dictionary_encode()
+                found = pc.index_in(coded.dictionary, value_set=places).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                place = found[coded.indices.to_numpy(zero_copy_only=False)]
+                row = row_of(begins)
+                cells, tf = np.unique((row * len(known) + place)[place >= 0], return_counts=True)
+                row, place, tf = cells // len(known), cells % len(known), tf.astype(np.float64)
+                weight = tf * weights[place]
+                # added up in order, so that the length is that of the JVM's loop
+                length = np.sqrt(np.bincount(row, weight * weight, len(texts)))
+                ends = np.searchsorted(row, np.arange(len(texts) + 1))
+                parts.append(pa.StructArray.from_arrays(
+                    [sparse(ends, place, tf), sparse(ends, place, weight / length[row])], names=["tf", "features"]))
+            yield pa.concat_arrays(parts) if parts else _no_vectors
+
+    return count(terms)
+
+
+_SPARSE = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+_no_vectors = pa.array([], pa.struct([("tf", _SPARSE), ("features", _SPARSE)]))
+
+
 def long_features(df: DataFrame, *keep: str) -> DataFrame:
     """(kept columns, position, tf, weight) of the vectors made by Vocabulary.transform."""
     parts = df.select(*keep, F.unwrap_udt("tf").alias("_t"), F.unwrap_udt("features").alias("_w"))
@@ -187,11 +251,29 @@ def top_features(df: DataFrame, vocabulary: Vocabulary, k: int = 10) -> DataFram
         vocabulary.term_at(c["position"]).alias("term"), c["weight"].alias("weight")))).drop("_w", "_cells", "_best")
 
 
-def class_term_sums(df: DataFrame, *keys: str) -> DataFrame:
+def _summed_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, position, weight_sum) of the vectors of each batch."""
+    for batch in batches:
+        labels, label = label_codes(batch.column("label"))
+        lengths = batch.column("indices").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        position = batch.column("indices").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(position):
+            continue
+        size = int(position.max()) + 1
+        cells, which = np.unique(np.repeat(label, lengths) * size + position, return_inverse=True)
+        sums = np.bincount(which, batch.column("values").flatten().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays(
+            [labels.take(pa.array(cells // size)), pa.array((cells % size).astype(np.int32)), pa.array(sums)],
+            names=["label", "position", "weight_sum"])
+
+
+def class_term_sums(df: DataFrame) -> DataFrame:
     """Sum of the weights per class and term: (label, position, weight_sum).
 
-    At most classes x vocabulary rows leave each task.
+    Summed batch by batch, so the shuffle carries one row per class, term and batch at most.
     """
-    return long_features(df, "label", *keys).groupBy("label", *keys, "position").agg(
-        F.sum("weight").alias("weight_sum")
-    )
+    vector = F.unwrap_udt("features")
+    rows = df.select("label", vector["indices"].alias("indices"), vector["values"].alias("values"))
+    kind = df.schema["label"].dataType.simpleString()
+    partial = rows.mapInArrow(_summed_weights, f"label {kind}, position int, weight_sum double")
+    return partial.groupBy("label", "position").agg(F.sum("weight_sum").alias("weight_sum"))

@@ -262,7 +262,7 @@ class NaiveBayesModel:
 
     def score_text(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """Batch or streaming: text in, prediction and probabilities out, no shuffle."""
-        return self.score_terms(self.prepare(df, text_col))
+        return self.score_terms(df.withColumn("terms", tx.term_text(F.col(text_col), self.options, self.words)))
 
     def probability(self, label: str) -> Column:
         return F.get(F.col("probabilities"), self.classes.index(label))

@@ -26,12 +26,18 @@ from sentigrid.session import stage_table
 def label_and_prepare(docs: DataFrame, lexicon: Lexicon = EXTENDED,
                       options: Preprocess = Preprocess.extended(),
                       words: Sequence[str] = stoplists.DEFAULT) -> DataFrame:
-    """(doc_id, label, clean, terms), row by row. Labels come from the raw text."""
+    """(doc_id, label, clean, terms), row by row. Labels come from the raw text. Training alone takes `label_and_terms`."""
     labelled = with_label(docs, lexicon)
     prepared = labelled.select("doc_id", "label", tx.full_pipeline(F.col("text"), options, words).alias("clean"))
     return prepared.withColumn("terms", tx.feature_terms(F.col("clean")))
 
 
+def label_and_terms(docs: DataFrame, lexicon: Lexicon = EXTENDED, options: Preprocess = Preprocess.extended(),
+                    words: Sequence[str] = stoplists.DEFAULT) -> DataFrame:
+    """(doc_id, label, terms) with the terms of `label_and_prepare` as one text with spaces between them."""
+    return with_label(docs, lexicon).select("doc_id", "label", tx.term_text(F.col("text"), options, words).alias("terms"))
+
+
 @dataclass
 class TrainedNaiveBayes:
     model: NaiveBayesModel
@@ -51,7 +57,7 @@ class TrainedNaiveBayes:
 
 def split_features(prepared: DataFrame, config: Training = Training(),
                    sizes: dict[str, int] | None = None) -> tuple[DataFrame, Vocabulary]:
-    """Split, vocabulary and weights of a (doc_id, label, terms) table, written once. Known class sizes save a pass."""
+    """Split, vocabulary and weights of a (doc_id, label, terms) table, terms as array or text, written once. Known class sizes save a pass."""
     if config.choose_on == "val":
         parts = three_way_split(prepared, config.test_ratio, config.validation_share, config.seed, sizes)
     else:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentigrid.config import HeadTraining, Training
+from sentigrid.functions import text as tx
 from sentigrid.operators import features as ft
 from sentigrid.operators import metrics as mt
 from sentigrid.operators import naive_bayes as nb
@@ -364,3 +365,18 @@ def test_sweep_by_blocks_equals_that_at_once(spark, prepared, monkeypatch):
             monkeypatch.setattr(nb, "SWEEP_CELLS", width * len(alphas) * len(vocabulary.terms))
             assert swept() == at_once
         monkeypatch.undo()
+
+
+def test_terms_as_one_text_train_as_an_array_of_terms_does(texts):
+    rows = ["Saya SUKA mobil bagus, bagus!", "kecewa buruk sekali http://x.y don't", "", " ", "cannot x 9 a_b é ok", "日本 good 😀 bad",
+            "yang dan", "baik baik baik"]
+    both = texts(rows).select("doc_id", tx.feature_terms(tx.full_pipeline(F.col("text"))).alias("terms"), tx.term_text(F.col("text")).alias("joined"))
+    assert all(r.joined == " ".join(r.terms) for r in both.collect())
+    vocabulary = ft.Vocabulary.fit(both.select("terms"))
+    joined = both.select("doc_id", F.col("joined").alias("terms"))
+    assert ft.Vocabulary.fit(joined) == vocabulary
+
+    def vectors(frame):
+        return {r.doc_id: (r.tf, r.features) for r in vocabulary.transform(frame).collect()}
+
+    assert vectors(joined) == vectors(both.drop("joined"))
