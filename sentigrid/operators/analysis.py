@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
-from sentigrid.session import stage_table, unnest, unnest_structs
+from sentigrid.functions.words import Memo, chunks, cut_at_white_space, cut_words, label_codes, row_of
+from sentigrid.session import stage_table, unnest
 
 # --- fixed values: figures of the charts ------------------------------------------------
 HISTOGRAM_BINS = 30
@@ -21,6 +26,9 @@ KERNEL_RADIUS = 9.0
 CLOUD_WORD = rf"[{tx.WORD}][{tx.WORD}']*"
 # --- end of fixed values ----------------------------------------------------------------
 
+# bytes of text whose words are counted at a time
+COUNT_BYTES = 16 << 20
+
 
 def word_count_stats(df: DataFrame) -> DataFrame:
     return df.agg(
@@ -130,23 +138,87 @@ def _plural_base(word: Column) -> Column:
 
 
 def _merge_plurals(items: DataFrame, item: str) -> DataFrame:
-    """(label, base, item, n): a plural is counted under its singular where both occur.
+    """(label, base, item, n) of (label, item, n): a plural is counted under its singular where both occur.
 
     Forms with one base are the base itself and base + 's', so counting the former tells which
     occur. All aggregates are numbers, which keeps this a hash aggregation combined map-side.
     """
     base = _plural_base(F.col(item))
     counted = items.groupBy("label", base.alias("base")).agg(
-        F.count("*").alias("n"), F.count(F.when(F.col(item) == base, 1)).alias("n_singular"))
+        F.sum("n").alias("n"), F.sum(F.when(F.col(item) == base, F.col("n")).otherwise(0)).alias("n_singular"))
     form = F.when(F.col("n_singular") > 0, F.col("base")).otherwise(F.concat("base", F.lit("s")))
     return counted.select("label", "base", form.alias(item), "n")
 
 
+def _ascii_words(text: Column) -> Column:
+    """The words of an ASCII text without possessive 's and pure numbers, joined by spaces; null for any other text."""
+    @F.arrow_udf("string")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found, bare = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_']*"), re.compile(r"'[sS]\Z")
+
+        def of_word(word: str) -> str:
+            words = [bare.sub("", w) for w in found.findall(word)]
+            return " ".join(w for w in words if not w.isdigit())
+
+        known = Memo(of_word)
+        for batch in batches:
+            parts = []
+            for texts in chunks(batch):
+                words, begins = cut_at_white_space(texts)
+                coded = words.dictionary_encode()
+                made = pa.array([known[w] for w in coded.dictionary.to_pylist()], pa.string())
+                kept = made.take(coded.indices)
+                full = pc.not_equal(kept, "")
+                ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[begins]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), kept.filter(full))
+                ascii_only = pc.fill_null(pc.string_is_ascii(texts), False)
+                parts.append(pc.if_else(ascii_only, pc.binary_join(lists, " "), None))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return find(F.make_valid_utf8(text))
+
+
+def _label_words(df: DataFrame) -> DataFrame:
+    """(label, found): the words of `clean` in order, without possessive 's and pure numbers, joined by spaces."""
+    listed = F.filter(F.transform(_found_words(F.col("clean")), _bare_word), _is_word)
+    return df.select("label", F.coalesce(_ascii_words(F.col("clean")), F.array_join(listed, " ")).alias("found"))
+
+
+def _count_by_label(df: DataFrame, item: str, neighbours: bool, words: Sequence[str]) -> DataFrame:
+    """(label, item, n) of the words, or the pairs of neighbours, that are no stopwords; a row per label, item and some megabytes of text."""
+    dropped = sorted(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in chunks(batch.column("found"), COUNT_BYTES):
+                labels, label = label_codes(batch.column("label").slice(at, len(texts)))
+                at += len(texts)
+                found, begins = cut_words(texts)
+                coded = found.dictionary_encode()
+                known, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                size, row = max(len(known), 1), row_of(begins)
+                kept = ~pc.is_in(known, value_set=pa.array(dropped, known.type)).to_numpy(zero_copy_only=False)[codes]
+                cells = label[row] * size + codes
+                if neighbours:
+                    kept = kept[:-1] & kept[1:] & (row[:-1] == row[1:])
+                    cells = cells[:-1] * size + codes[1:]
+                cells, n = np.unique(cells[kept], return_counts=True)
+                names = known.take(pa.array(cells % size))
+                if neighbours:
+                    cells = cells // size
+                    names = pc.binary_join_element_wise(known.take(pa.array(cells % size)), names, pa.scalar(" ", known.type))
+                yield pa.RecordBatch.from_arrays(
+                    [labels.take(pa.array(cells // size)), names.cast(pa.string()), pa.array(n.astype(np.int64))],
+                    names=["label", item, "n"])
+
+    kind = df.schema["label"].dataType.simpleString()
+    return _label_words(df).mapInArrow(count, f"label {kind}, {item} string, n bigint")
+
+
 def term_counts_by_label(df: DataFrame, words: Sequence[str] = stoplists.ENGLISH) -> DataFrame:
     """(label, base, term, n) of the words of `clean` that are no stopwords."""
-    found = unnest(df, _found_words(F.col("clean")), "found", "label")
-    terms = found.select("label", _bare_word(F.col("found")).alias("term"))
-    return _merge_plurals(terms.filter(_is_word(F.col("term")) & ~F.col("term").isin(*words)), "term")
+    return _merge_plurals(_count_by_label(df, "term", False, words), "term")
 
 
 def _ranked(counts: DataFrame, k: int) -> DataFrame:
@@ -180,15 +252,8 @@ def phrase_association(c12: Column, c1: Column, c2: Column, total: Column) -> Co
 
 
 def _scored_pairs(df: DataFrame, unigrams: DataFrame, words: Sequence[str]) -> DataFrame:
-    found = df.select("label", "clean", _found_words(F.col("clean")).alias("found"))
-    bare = F.when(F.col("clean").contains("'"), F.transform("found", _bare_word)).otherwise(F.col("found"))
-    listed = found.select("label", F.filter(bare, _is_word).alias("ws"))
-    n_pairs = F.greatest(F.size("ws") - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice("ws", F.lit(1), n_pairs).alias("a"), F.slice("ws", F.lit(2), n_pairs).alias("b"))
-    neighbours = unnest_structs(listed, pairs, "label").filter(~F.col("a").isin(*words) & ~F.col("b").isin(*words))
-    phrases = _merge_plurals(
-        neighbours.select("label", F.concat_ws(" ", "a", "b").alias("phrase")), "phrase"
-    ).select("label", "phrase", F.col("n").alias("c12"))
+    phrases = _merge_plurals(_count_by_label(df, "phrase", True, words), "phrase").select(
+        "label", "phrase", F.col("n").alias("c12"))
     keyed = phrases.withColumns({
         "base_1": _plural_base(F.substring_index("phrase", " ", 1)),
         "base_2": _plural_base(F.substring_index("phrase", " ", -1)),
@@ -230,10 +295,29 @@ def distinct_words(df: DataFrame, *keys: str) -> DataFrame:
     return unnest(df, F.array_distinct(split), "term", *keys)
 
 
+def _label_terms(df: DataFrame) -> DataFrame:
+    """(label, term): the different whitespace-separated words of `clean` by label."""
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in chunks(batch.column("clean"), COUNT_BYTES):
+                labels, label = label_codes(batch.column("label").slice(at, len(texts)))
+                at += len(texts)
+                words, begins = cut_at_white_space(texts)
+                coded = words.dictionary_encode()
+                size = max(len(coded.dictionary), 1)
+                cells = np.unique(label[row_of(begins)] * size + coded.indices.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays(
+                    [labels.take(pa.array(cells // size)), coded.dictionary.take(pa.array(cells % size)).cast(pa.string())],
+                    names=["label", "term"])
+
+    kind = df.schema["label"].dataType.simpleString()
+    return df.select("label", F.make_valid_utf8("clean").alias("clean")).mapInArrow(distinct, f"label {kind}, term string").distinct()
+
+
 def class_words(df: DataFrame) -> DataFrame:
     """(term, labels): each word with the sorted classes whose texts hold it."""
-    pairs = distinct_words(df, "label").distinct()
-    return pairs.groupBy("term").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    return _label_terms(df).groupBy("term").agg(F.sort_array(F.collect_set("label")).alias("labels"))
 
 
 def class_vocab_overlap(inputs: DataFrame, training: DataFrame, show: int = 5,
@@ -254,7 +338,7 @@ def class_vocab_overlap(inputs: DataFrame, training: DataFrame, show: int = 5,
 
 def word_intersection(inputs: DataFrame, training: DataFrame) -> DataFrame:
     """Words that occur both in the inputs and in a class: (label, term)."""
-    known = distinct_words(training, "label").distinct()
+    known = _label_terms(training)
     return known.join(distinct_words(inputs).distinct(), "term", "left_semi").select("label", "term")
 
 

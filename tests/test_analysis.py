@@ -1,4 +1,6 @@
 import math
+import re
+from collections import Counter
 
 import pytest
 
@@ -154,3 +156,26 @@ def test_density_equals_the_dense_sum(spark):
         want = sum(math.exp(-0.5 * ((r.x - n) / h) ** 2) for n in own) / (len(own) * h * math.sqrt(2 * math.pi))
         assert abs(r.density - want) < 1e-15
     assert an.word_count_density(df.limit(0)).count() == 0 and an.word_count_histogram(df.limit(0)).count() == 0
+
+
+def test_words_are_counted_in_bulk_as_one_by_one(texts, monkeypatch):
+    rows = ["cats cat dog's dogs 12 the cat's x'S", "cat cats, (cats) n't 's don't the", "", None, "é cats'é dog 9 cat", "a b\ta　b", "cats cat cats cat"]
+    df = texts(rows).select((F.col("doc_id") % 2).cast("string").alias("label"), F.col("text").alias("clean"))
+    listed = F.filter(F.transform(F.regexp_extract_all("clean", F.lit(an.CLOUD_WORD), F.lit(0)), an._bare_word), an._is_word)
+    one_by_one = df.select("label", listed.alias("ws")).collect()
+    words, pairs, by_label = Counter(), Counter(), set()
+    for r in one_by_one:
+        words.update((r.label, w) for w in r.ws or [] if w != "the")
+        pairs.update((r.label, f"{a} {b}") for a, b in zip(r.ws or [], (r.ws or [])[1:]) if "the" not in (a, b))
+    for r in df.collect():
+        by_label |= {(r.label, w) for w in re.split(r"[\t 　]+", r.clean or "") if w}
+    for most in (an.COUNT_BYTES, 10):
+        monkeypatch.setattr(an, "COUNT_BYTES", most)
+        for name, neighbours, want in (("term", False, words), ("phrase", True, pairs)):
+            counted = an._count_by_label(df, name, neighbours, ["the"])
+            assert "Generate" not in counted._jdf.queryExecution().optimizedPlan().toString()
+            got = Counter()
+            for r in counted.collect():
+                got[(r.label, r[name])] += r.n
+            assert got == want
+        assert {(r.label, r.term) for r in an._label_terms(df).collect()} == by_label
