@@ -6,17 +6,22 @@ meet the table in a shuffle by word, in which no word has more than 1/FREQUENT o
 
 A table of at most IN_ROW rows goes to the tasks as a whole, and the words of a text are looked up where they are: no rows per word,
 no shuffle. Texts whose key repeats are one text, as before; these few are put together by rows.
+
+A larger stem table meets the different words of blocks of texts: a block is some megabytes, its texts hold numbers into its list of
+words, and of the words each is one row a block, however often it stands there. No word has more rows than there are blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentigrid.functions import text as tx
 from sentigrid.functions.stemming import stem_tokens
@@ -27,6 +32,8 @@ FREQUENT = 10_000
 BROADCAST_ROWS = 200_000
 # rows of a table that every task holds at most
 IN_ROW = 200_000
+# bytes of words in a block of texts, which a task holds at a time
+BLOCK_BYTES = 16 << 20
 
 
 def repeated_keys(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
@@ -49,8 +56,7 @@ def _lists(lists: pa.Array, change: Callable[[pa.Array], tuple[pa.Array, np.ndar
     """Lists of words after `change`, which gives the words and which of them stay; a null list becomes an empty one."""
     lists = lists.cast(pa.list_(pa.string()))
     words, kept = change(lists.flatten())
-    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-    left = np.concatenate([[0], np.cumsum(kept)])[ends]
+    left = np.concatenate([[0], np.cumsum(kept)])[_ends(lists)]
     return pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), words.filter(pa.array(kept)))
 
 
@@ -156,19 +162,92 @@ def stem_by_table(df: DataFrame, tokens: Column, table: DataFrame | None = None,
     The key has to be unique.
     """
     if table is None:
-        return _stem_by_rows(df, tokens, None, id_col)
+        return _stem_by_blocks(df, tokens, None, id_col)
     stems = stage_table(table.filter("token IS NOT NULL").groupBy("token").agg(F.min("stem").alias("stem")), "stem-table")
     listed = _small(stems)
     if listed is None:
-        return _stem_by_rows(df, tokens, stems, id_col)
+        return _stem_by_blocks(df, tokens, stems, id_col)
     once, again = repeated_keys(df, id_col)
     stemmed = once.select(id_col, _replaced(tokens, {r.token: r.stem for r in listed if r.stem is not None}).alias("tokens"))
-    return stemmed if again is None else stemmed.unionByName(_stem_by_rows(again, tokens, stems, id_col))
+    return stemmed if again is None else stemmed.unionByName(_stem_by_blocks(again, tokens, stems, id_col))
 
 
-def _stem_by_rows(df: DataFrame, tokens: Column, stems: DataFrame | None, id_col: str) -> DataFrame:
-    rows = stage_table(word_rows(df, tokens, id_col), "words")
+def _stem_by_blocks(df: DataFrame, tokens: Column, stems: DataFrame | None, id_col: str) -> DataFrame:
+    coded = stage_table(word_blocks(df, tokens, id_col), "blocks")
+    words = coded.filter(F.col("words").isNotNull()).select(F.col("block").alias("of"), F.posexplode("words").alias("position", "token"))
     if stems is None:
-        stems = stage_table(stem_dictionary(rows), "stems")
-    stemmed = meet(rows, stems, "token", "left").withColumn("token", F.coalesce("stem", "token"))
-    return reassemble(stemmed, id_col)
+        stems = stage_table(stem_dictionary(words), "stems")
+    found = words.join(stems.filter("stem IS NOT NULL"), "token").select("of", "position", "stem")
+    key = coded.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, key), T.StructField("tokens", T.ArrayType(T.StringType()))])
+    stemmed = coded.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_stemmed_block, schema)
+    once, again = repeated_keys(coded.select(id_col), id_col)
+    if again is None:
+        return stemmed
+    stemmed = stage_table(stemmed, "stemmed")
+    again = again.distinct().withColumnRenamed(id_col, "_again")
+    same = stemmed[id_col].eqNullSafe(again["_again"])
+    parts = word_rows(stemmed.join(again, same, "left_semi"), F.col("tokens"), id_col)
+    return stemmed.join(again, same, "left_anti").unionByName(reassemble(parts, id_col))
+
+
+def word_blocks(df: DataFrame, tokens: Column, id_col: str) -> DataFrame:
+    """(block, key, codes, words): the texts in blocks, their words as numbers into the block's different words.
+
+    These stand in the first row of a block, the other rows have null there. Null tokens become none, a null word a null number.
+    A block's number depends on how the table was read, so the result has to be staged.
+    """
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField(id_col, df.schema[id_col].dataType),
+                           T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.StringType()))])
+    most = BLOCK_BYTES
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, before, current, held = TaskContext.get().partitionId() << 32, 0, 0, []
+        for batch in batches:
+            ends = before + np.cumsum(_list_bytes(batch.column(1)))
+            blocks = np.concatenate([[before], ends[:-1]])[:len(ends)] // most
+            for block in np.unique(blocks).tolist():
+                if held and block != current:
+                    yield _coded_block(first + current, held, schema.names)
+                    held = []
+                start, stop = np.searchsorted(blocks, [block, block + 1]).tolist()
+                current, held = block, [*held, batch.slice(start, stop - start)]
+            before = int(ends[-1]) if len(ends) else before
+        if held:
+            yield _coded_block(first + current, held, schema.names)
+
+    return df.select(id_col, tokens.alias("tokens")).mapInArrow(number, schema)
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    """Where lists begin and end among their words; a null list has none."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+
+
+def _list_bytes(lists: pa.Array) -> np.ndarray:
+    """Bytes of each list of words, with some for every word and list."""
+    sizes = pc.fill_null(pc.binary_length(lists.flatten()), 0).to_numpy(zero_copy_only=False) + 4
+    return np.diff(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[_ends(lists)]) + 8
+
+
+def _coded_block(block: int, held: list[pa.RecordBatch], names: list[str]) -> pa.RecordBatch:
+    keys = pa.concat_arrays([b.column(0) for b in held])
+    lists = pa.concat_arrays([b.column(1).cast(pa.list_(pa.string())) for b in held])
+    coded = lists.flatten().dictionary_encode()
+    codes = pa.ListArray.from_arrays(pa.array(_ends(lists), pa.int32()), coded.indices)
+    only = np.full(len(keys) + 1, len(coded.dictionary), np.int32)
+    only[0] = 0
+    words = pa.ListArray.from_arrays(pa.array(only), coded.dictionary, mask=pa.array(np.arange(len(keys)) > 0))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), keys, codes, words], names=names)
+
+
+def _stemmed_block(texts: pa.Table, found: pa.Table) -> pa.Table:
+    """The rows of a block with their words, in place of those that were found the stem."""
+    _, keys, codes, words = (pa.concat_arrays(c.chunks) for c in texts.itercolumns())
+    words = words.flatten()
+    at = np.arange(len(words))
+    at[found["position"].to_numpy()] = len(words) + np.arange(len(found))
+    both = pa.concat_arrays([words, *(c.cast(words.type) for c in found["stem"].chunks)])
+    flat = both.take(pa.array(at)).take(codes.flatten())
+    lists = pa.ListArray.from_arrays(pa.array(_ends(codes), pa.int32()), flat)
+    return pa.Table.from_arrays([keys, lists], names=[texts.column_names[1], "tokens"])

@@ -164,3 +164,34 @@ def test_types_are_taken_apart_once_per_different_word(texts):
     rows = ["Dr. x. (e.g.) ... 5. a.b", "", None]
     frame = texts(rows).select("doc_id", ab.period_types(F.col("text")).alias("p"), ab.word_types(F.col("text")).alias("w")).collect()
     assert all(r.p is None or set(r.p) == {w for w in r.w if w.endswith(".")} for r in frame)
+
+
+def test_large_stem_tables_meet_blocks_of_texts(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("rows per word")
+
+    monkeypatch.setattr(wt, "IN_ROW", 0)
+    table = spark.createDataFrame([("the", "T"), ("the", "THE"), ("cats", None), ("zebra", "z"), (None, "x")], "token string, stem string")
+    rows = [(1, ["the", "cats", None, "the"]), (2, None), (3, []), (4, ["zebra", "cat"] * 9), (None, ["the"]), (5, ["cat", "zebra"]), (6, [None])]
+    want = {1: ["T", "cats", None, "T"], 2: [], 3: [], 4: ["z", "cat"] * 9, None: ["T"], 5: ["cat", "z"], 6: [None]}
+    schema = "doc_id bigint, words array<string>"
+    for size in (16 << 20, 40, 1):
+        with monkeypatch.context() as m:
+            m.setattr(wt, "BLOCK_BYTES", size, raising=False)
+            m.setattr(wt, "word_rows", refused)
+            m.setattr(wt, "meet", refused)
+            assert listed(wt.stem_by_table(spark.createDataFrame(rows, schema).repartition(2), F.col("words"), table)) == want
+            assert listed(wt.stem_by_table(spark.createDataFrame([], schema), F.col("words"), table)) == {}
+    # texts of one key are one text, word by word
+    twice = spark.createDataFrame([*rows, (5, ["the"]), (2, ["cats"]), (None, ["a", "the"])], schema)
+    assert listed(wt.stem_by_table(twice, F.col("words"), table)) == {
+        **want, 2: ["cats"], 5: ["T", "cat", "z"], None: ["T", "a", "T"]}
+
+
+def test_a_word_is_one_row_a_block(texts, monkeypatch):
+    frame = texts(["the cat the", "the cat", None, "the"]).coalesce(1)
+    for size, blocks in ((16 << 20, [["cat", "the"]]), (1, [["cat", "the"], ["cat", "the"], [], ["the"]])):
+        monkeypatch.setattr(wt, "BLOCK_BYTES", size)
+        got = wt.word_blocks(frame, words(), "doc_id").collect()
+        assert sorted(sorted(r.words) for r in got if r.words is not None) == sorted(blocks)
+        assert len(got) == 4 and len({r.block for r in got}) == len(blocks)
