@@ -27,7 +27,7 @@ from sentigrid.operators import sequences as sq
 from sentigrid.operators import split as sp
 from sentigrid.operators import word_tables as wt
 from sentigrid.plans import scoring, training
-from sentigrid.session import scratch_path, stage_table
+from sentigrid.session import scratch_path, stage_table, unnest
 from sentigrid.sources import csv as csv_source
 from sentigrid.sources import tables as src
 from sentigrid.streaming import live
@@ -596,16 +596,24 @@ def tokenize_abbreviations(spark, folder):
     return _joined(table, "tokens")
 
 
-def _message_stems(spark, folder) -> DataFrame:
+def _message_words(spark, folder) -> DataFrame:
+    """The different words of each conversation turn; a table of few splits is dealt out over the cores."""
+    messages = _messages(spark, folder)
+    cores = src.idle_cores(messages)
+    dealt = messages.repartition(cores, "doc_id") if cores else messages
+    return dealt.select(F.array_distinct(_cleaned_tokens()).alias("words"))
+
+
+def _message_stems(messages: DataFrame) -> DataFrame:
     """A user's stem table: the words of the conversations of more than five letters, by their first five."""
-    words = _messages(spark, folder).select(F.explode(_cleaned_tokens()).alias("token")).distinct()
+    words = unnest(messages, F.col("words"), "token").distinct()
     return words.filter(F.length("token") > 5).select("token", F.substring("token", 1, 5).alias("stem"))
 
 
 @query
 def stem_by_table(spark, folder):
     """All tokens stemmed by a user's table."""
-    return _joined(wt.stem_by_table(_docs(spark, folder), _cleaned_tokens(), _message_stems(spark, folder)), "stems")
+    return _joined(wt.stem_by_table(_docs(spark, folder), _cleaned_tokens(), _message_stems(_message_words(spark, folder))), "stems")
 
 
 @query
@@ -618,23 +626,24 @@ def stem_dictionary(spark, folder):
 def full_preparation_by_tables(spark, folder):
     """The compact preparation with a stop list and a stem table from the data, both joined."""
     docs = _docs(spark, folder)
-    kept = stage_table(wt.remove_listed(docs, _cleaned_tokens(), _stop_table(spark, folder)), "kept")
-    return _joined(wt.stem_by_table(kept, F.col("tokens"), _message_stems(spark, folder)), "clean")
+    messages = stage_table(_message_words(spark, folder), "message-words")
+    kept = stage_table(wt.remove_listed(docs, _cleaned_tokens(), _stop_table(messages)), "kept")
+    return _joined(wt.stem_by_table(kept, F.col("tokens"), _message_stems(messages)), "clean")
 
 
-def _stop_table(spark, folder) -> DataFrame:
+def _stop_table(messages: DataFrame) -> DataFrame:
     """A stop list: the default words, and the words of the conversations that over a tenth of them hold."""
-    words = _messages(spark, folder).select(F.explode(F.array_distinct(_cleaned_tokens())).alias("term"))
-    size = _messages(spark, folder).agg(F.count("*")).scalar()
+    words = unnest(messages, F.col("words"), "term")
+    size = messages.count()
     often = words.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") * 10 > size).select("term")
-    default = spark.createDataFrame([(w,) for w in stoplists.DEFAULT], "term string")
+    default = messages.sparkSession.createDataFrame([(w,) for w in stoplists.DEFAULT], "term string")
     return often.unionByName(default)
 
 
 @query
 def stopwords_by_table(spark, folder):
     """Stopwords removed by an anti join with a table."""
-    return _joined(wt.remove_listed(_docs(spark, folder), _cleaned_tokens(), _stop_table(spark, folder)), "kept")
+    return _joined(wt.remove_listed(_docs(spark, folder), _cleaned_tokens(), _stop_table(_message_words(spark, folder))), "kept")
 
 
 def _lexicon_table(spark, folder) -> DataFrame:
