@@ -18,10 +18,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # words a task remembers at a time, and the longest that it remembers
-MEMORY = 200_000
+MEMORY = 50_000
 LONGEST = 64
 # bytes of text that a task cuts into words at a time
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 # up to so many terms, texts without any of them are told apart in one go
 FEW_TERMS = 500
 # a step of the tokenizer puts these apart at the end of a word
@@ -107,6 +107,16 @@ def cut_at_white_space(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return cut_words(texts, _SPACED)
 
 
+def release() -> None:
+    """Gives memory that is free back at the end of a task: Python workers stay, and others run beside them."""
+    pa.default_memory_pool().release_unused()
+
+
+def listed(words: pa.Array) -> list[str | None]:
+    """The words as a list, several times as fast as by to_pylist."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def row_of(begins: np.ndarray) -> np.ndarray:
     """For each word the number of its text."""
     return np.repeat(np.arange(len(begins) - 1, dtype=np.int64), np.diff(begins))
@@ -124,6 +134,30 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def coded_pieces(texts: pa.Array, plain: np.ndarray, pieces: Callable[[str], list[str]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different pieces of the words of texts, all pieces in order as numbers into these, and where each text's begin.
+
+    A word of ASCII letters and digits, not of digits alone, is its own piece; all others go through `pieces`, each different one once.
+    Texts that are not `plain` are lists of pieces already, with spaces between them.
+    """
+    words, begins = cut_at_white_space(texts)
+    coded = words.dictionary_encode()
+    known, cells = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    whole = pc.and_not(pc.ascii_is_alnum(known), pc.ascii_is_decimal(known)).to_numpy(zero_copy_only=False)
+    others = np.flatnonzero(~whole)
+    made = [pieces(w) for w in listed(known.take(pa.array(others)))]
+    more = np.fromiter(map(len, made), np.int64, len(made))
+    # what the words stand for: first those of plain texts, then the same words in the other texts
+    at, n = np.tile(np.arange(len(known)), 2), np.ones(2 * len(known), np.int64)
+    at[others], n[others] = len(known) + np.cumsum(more) - more, more
+    if not plain.all():
+        cells = cells + np.where(plain, 0, len(known))[row_of(begins)]
+    tokens = pa.concat_arrays([known, pa.array([t for ts in made for t in ts], known.type)]).dictionary_encode()
+    counts = n[cells]
+    found = tokens.indices.to_numpy(zero_copy_only=False)[_spread(at[cells], counts)]
+    return tokens.dictionary, found, np.concatenate([[0], np.cumsum(counts)])[begins]
+
+
 class WordSteps:
     """The tokens of a text from the steps (pattern, replacement, only for words with a `quote`).
 
@@ -169,8 +203,8 @@ class WordSteps:
         # results of the different words, then of the first words of the texts, which have no space before them
         begun = begins[:-1][begins[:-1] < begins[1:]]
         others = np.flatnonzero(~plain)
-        made = [self._of_word(w) for w in known.take(pa.array(others)).to_pylist()]
-        made += [self.first[w] for w in words.take(pa.array(begun)).to_pylist()]
+        made = [self._of_word(w) for w in listed(known.take(pa.array(others)))]
+        made += [self.first[w] for w in listed(words.take(pa.array(begun)))]
         more = np.fromiter(map(len, made), np.int64, len(made))
         places = len(known) + np.cumsum(more) - more
         at = np.concatenate([np.arange(len(known)), places[len(others):]])
@@ -202,10 +236,15 @@ def word_tokens(text: Column, make: Callable[[], WordSteps], joined: bool) -> Co
     @F.arrow_udf("string" if joined else "array<string>")
     def prepare(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         steps = make()
-        for texts in batches:
+
+        def tokens(texts: pa.Array) -> pa.Array:
             lists = (steps.token_lists(chunk) for chunk in chunks(texts))
             parts = [pc.binary_join(x, " ") if joined else x for x in lists]
-            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+            return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+        for texts in batches:
+            yield tokens(texts)
+        release()
 
     return prepare(F.make_valid_utf8(text))
 
@@ -250,6 +289,14 @@ def _finder(terms: Sequence[str]) -> Callable[[str], list[int]]:
     return lambda text: sorted({*always, *(i for _, where in machine.iter(text) for i in where)})
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    """The texts lower-cased, those beyond ASCII one by one."""
+    texts = texts.cast(pa.large_string())
+    far = pc.invert(pc.fill_null(pc.string_is_ascii(texts), True))
+    one_by_one = pa.array([t.lower() for t in texts.filter(far).to_pylist()], pa.large_string())
+    return pc.replace_with_mask(pc.ascii_lower(texts), far, one_by_one)
+
+
 def term_positions(text: Column, terms: Sequence[str], fold: bool = False) -> Column:
     """Positions of the terms that occur anywhere in a text as array<int>, ascending; none in a null.
 
@@ -263,13 +310,16 @@ def term_positions(text: Column, terms: Sequence[str], fold: bool = False) -> Co
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         finder = _finder(terms)
         any_term = "|".join(map(re.escape, terms))
-        for texts in batches:
-            if fold:
-                texts = pa.array((t if t is None else t.lower() for t in texts.to_pylist()), pa.large_string())
+        def positions(texts: pa.Array) -> list[list[int]]:
+            texts = _lowered(texts) if fold else texts
             if len(terms) <= FEW_TERMS:
                 held = pc.fill_null(pc.match_substring_regex(texts, any_term), False).to_pylist()
             else:
                 held = pc.is_valid(texts).to_pylist()
-            yield pa.array((finder(t.as_py()) if h else [] for t, h in zip(texts, held)), pa.list_(pa.int32()))
+            return [finder(t.as_py()) if h else [] for t, h in zip(texts, held)]
+
+        for batch in batches:
+            yield pa.array([found for texts in chunks(batch) for found in positions(texts)], pa.list_(pa.int32()))
+        release()
 
     return find(F.make_valid_utf8(text))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from sentigrid.functions import stopwords as stoplists
 from sentigrid.functions import text as tx
-from sentigrid.functions.words import Memo, chunks, cut_at_white_space, cut_words, label_codes, row_of
+from sentigrid.functions.words import chunks, cut_at_white_space, label_codes, row_of
+from sentigrid.operators.phrases import base_rows, block_pairs, counted_bases, counted_pairs, counted_words, numbered, phrase_blocks
 from sentigrid.session import stage_table, unnest
 
 # --- fixed values: figures of the charts ------------------------------------------------
@@ -150,67 +151,35 @@ def _merge_plurals(items: DataFrame, item: str) -> DataFrame:
     return counted.select("label", "base", form.alias(item), "n")
 
 
-def _ascii_words(text: Column) -> Column:
-    """The words of an ASCII text without possessive 's and pure numbers, joined by spaces; null for any other text."""
-    @F.arrow_udf("string")
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        found, bare = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_']*"), re.compile(r"'[sS]\Z")
+_ASCII_WORD, _POSSESSIVE = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_']*"), re.compile(r"'[sS]\Z")
 
-        def of_word(word: str) -> str:
-            words = [bare.sub("", w) for w in found.findall(word)]
-            return " ".join(w for w in words if not w.isdigit())
 
-        known = Memo(of_word)
-        for batch in batches:
-            parts = []
-            for texts in chunks(batch):
-                words, begins = cut_at_white_space(texts)
-                coded = words.dictionary_encode()
-                made = pa.array([known[w] for w in coded.dictionary.to_pylist()], pa.string())
-                kept = made.take(coded.indices)
-                full = pc.not_equal(kept, "")
-                ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[begins]
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), kept.filter(full))
-                ascii_only = pc.fill_null(pc.string_is_ascii(texts), False)
-                parts.append(pc.if_else(ascii_only, pc.binary_join(lists, " "), None))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
-
-    return find(F.make_valid_utf8(text))
+def _ascii_words(word: str) -> list[str]:
+    """The words in a piece of ASCII text, without possessive 's and pure numbers."""
+    words = [_POSSESSIVE.sub("", w) for w in _ASCII_WORD.findall(word)]
+    return [w for w in words if not w.isdigit()]
 
 
 def _label_words(df: DataFrame) -> DataFrame:
-    """(label, found): the words of `clean` in order, without possessive 's and pure numbers, joined by spaces."""
+    """(label, found, plain): `clean` where it is ASCII (`plain`), of any other text its words, without possessive 's and pure numbers, joined by spaces."""
+    text = F.make_valid_utf8("clean")
+    plain = F.octet_length(text) == F.length(text)
     listed = F.filter(F.transform(_found_words(F.col("clean")), _bare_word), _is_word)
-    return df.select("label", F.coalesce(_ascii_words(F.col("clean")), F.array_join(listed, " ")).alias("found"))
+    return df.select("label", F.when(plain, text).otherwise(F.array_join(listed, " ")).alias("found"), F.coalesce(plain, F.lit(False)).alias("plain"))
 
 
 def _count_by_label(df: DataFrame, item: str, neighbours: bool, words: Sequence[str]) -> DataFrame:
     """(label, item, n) of the words, or the pairs of neighbours, that are no stopwords; a row per label, item and some megabytes of text."""
-    dropped = sorted(words)
+    dropped, most = sorted(words), COUNT_BYTES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for texts in chunks(batch.column("found"), COUNT_BYTES):
-                labels, label = label_codes(batch.column("label").slice(at, len(texts)))
-                at += len(texts)
-                found, begins = cut_words(texts)
-                coded = found.dictionary_encode()
-                known, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                size, row = max(len(known), 1), row_of(begins)
-                kept = ~pc.is_in(known, value_set=pa.array(dropped, known.type)).to_numpy(zero_copy_only=False)[codes]
-                cells = label[row] * size + codes
-                if neighbours:
-                    kept = kept[:-1] & kept[1:] & (row[:-1] == row[1:])
-                    cells = cells[:-1] * size + codes[1:]
-                cells, n = np.unique(cells[kept], return_counts=True)
-                names = known.take(pa.array(cells % size))
-                if neighbours:
-                    cells = cells // size
-                    names = pc.binary_join_element_wise(known.take(pa.array(cells % size)), names, pa.scalar(" ", known.type))
-                yield pa.RecordBatch.from_arrays(
-                    [labels.take(pa.array(cells // size)), names.cast(pa.string()), pa.array(n.astype(np.int64))],
-                    names=["label", item, "n"])
+        for label, known, n, pairs in counted_words(batches, _ascii_words, dropped, most, neighbours):
+            names = known
+            if neighbours:
+                first, second, n = pairs
+                names = pc.binary_join_element_wise(known.take(pa.array(first)), known.take(pa.array(second)), pa.scalar(" ", known.type))
+            yield pa.RecordBatch.from_arrays(
+                [label.take(pa.array(np.zeros(len(names), np.int64))), names.cast(pa.string()), pa.array(n)], names=["label", item, "n"])
 
     kind = df.schema["label"].dataType.simpleString()
     return _label_words(df).mapInArrow(count, f"label {kind}, {item} string, n bigint")
@@ -251,41 +220,60 @@ def phrase_association(c12: Column, c1: Column, c2: Column, total: Column) -> Co
     return F.when((total <= c1) | (total <= c2), F.lit(0.0)).otherwise(-2 * ratio)
 
 
-def _scored_pairs(df: DataFrame, unigrams: DataFrame, words: Sequence[str]) -> DataFrame:
-    phrases = _merge_plurals(_count_by_label(df, "phrase", True, words), "phrase").select(
-        "label", "phrase", F.col("n").alias("c12"))
-    keyed = phrases.withColumns({
-        "base_1": _plural_base(F.substring_index("phrase", " ", 1)),
-        "base_2": _plural_base(F.substring_index("phrase", " ", -1)),
-    })
-    totals = unigrams.groupBy("label").agg(F.sum("n").alias("total"))
-    first = unigrams.select("label", F.col("base").alias("base_1"), F.col("term").alias("word_1"), F.col("n").alias("c1"))
-    second = unigrams.select("label", F.col("base").alias("base_2"), F.col("term").alias("word_2"), F.col("n").alias("c2"))
-    joined = keyed.join(first, ["label", "base_1"]).join(second, ["label", "base_2"]).join(totals, "label")
-    return joined.withColumn("score", phrase_association(F.col("c12"), F.col("c1"), F.col("c2"), F.col("total")))
+def _may_pass(threshold: float):
+    """Function from counts to the pairs whose score may be over the threshold: `phrase_association` but for its last digits."""
+    def keep(c12: np.ndarray, c1: np.ndarray, c2: np.ndarray, total: int) -> np.ndarray:
+        def log_likelihood(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+            return np.log(np.maximum(p, PROBABILITY_FLOOR)) * k + np.log(np.maximum(1 - p, PROBABILITY_FLOOR)) * (n - k)
+
+        with np.errstate(all="ignore"):
+            p, p1, p2 = c2 / total, c12 / c1, (c2 - c12) / (total - c1)
+            ratio = (log_likelihood(c12, c1, p) + log_likelihood(c2 - c12, total - c1, p)
+                     - log_likelihood(c12, c1, p1) - log_likelihood(c2 - c12, total - c1, p2))
+        whole = (total <= c1) | (total <= c2)
+        return whole | ~(-2 * ratio < threshold - 1e-3 - 1e-9 * total)
+
+    return keep
+
+
+def _phrases(df: DataFrame, threshold: float, words: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(label, term, n) of the words, and (label, phrase, word_1, word_2, c12, c1, c2, score) of the phrases over the threshold.
+
+    Each text is cut into words once, for both. A word is counted under its base, and so is the second word of a phrase, as in `_merge_plurals`:
+    for a phrase's ending is that of its second word.
+    """
+    blocks = stage_table(phrase_blocks(_label_words(df), _ascii_words, sorted(words)), "phrase-blocks")
+    bases, bound = numbered(stage_table(counted_bases(blocks), "unigrams"))
+    totals = stage_table(bases.groupBy("label").agg(F.sum("total").alias("total")), "totals")
+    pairs = counted_pairs(block_pairs(blocks).join(totals, "label"), bases, bound, _may_pass(threshold))
+    score = phrase_association(F.col("c12"), F.col("c1"), F.col("c2"), F.col("total"))
+    strong = pairs.withColumn("score", score).filter(F.col("score") > threshold)
+    unigrams = base_rows(bases)
+    first = unigrams.select(F.col("id").alias("id_1"), "label", F.col("base").alias("base_1"), F.col("term").alias("word_1"))
+    second = unigrams.select(F.col("id").alias("id_2"), F.col("base").alias("base_2"), F.col("term").alias("word_2"))
+    phrase = F.concat("base_1", F.when(F.col("plural"), "s").otherwise(""), F.lit(" "), "base_2", F.when(F.col("singular"), "").otherwise("s"))
+    named = strong.join(first, "id_1").join(second, "id_2").select(
+        "label", phrase.alias("phrase"), "word_1", "word_2", "c12", "c1", "c2", "score")
+    return unigrams.select("label", "term", "n"), named
 
 
 def bigram_collocations(df: DataFrame, threshold: float = COLLOCATION_THRESHOLD,
                         words: Sequence[str] = stoplists.ENGLISH) -> DataFrame:
     """(label, phrase, n, c1, c2, score) of strongly associated neighbouring words."""
-    unigrams = stage_table(term_counts_by_label(df, words), "unigrams")
-    scored = _scored_pairs(df, unigrams, words)
-    return scored.filter(F.col("score") > threshold).select(
-        "label", "phrase", F.col("c12").alias("n"), "c1", "c2", "score"
-    )
+    return _phrases(df, threshold, words)[1].select("label", "phrase", F.col("c12").alias("n"), "c1", "c2", "score")
 
 
 def word_cloud(df: DataFrame, k: int = CLOUD_WORDS, threshold: float = COLLOCATION_THRESHOLD,
                words: Sequence[str] = stoplists.ENGLISH) -> DataFrame:
     """Words and phrases together: an accepted phrase is taken off the counts of its two words."""
-    unigrams = stage_table(term_counts_by_label(df, words), "unigrams")
-    accepted = stage_table(_scored_pairs(df, unigrams, words).filter(F.col("score") > threshold), "phrases")
+    unigrams, phrases = _phrases(df, threshold, words)
+    accepted = stage_table(phrases, "phrases")
     changes = accepted.select("label", F.inline(F.array(
         F.struct(F.col("phrase").alias("term"), F.col("c12").alias("n")),
         F.struct(F.col("word_1").alias("term"), (-F.col("c12")).alias("n")),
         F.struct(F.col("word_2").alias("term"), (-F.col("c12")).alias("n")),
     )))
-    merged = unigrams.select("label", "term", "n").unionByName(changes)
+    merged = unigrams.unionByName(changes)
     return _ranked(merged.groupBy("label", "term").agg(F.sum("n").alias("n")).filter("n > 0"), k)
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -6,6 +7,7 @@ import pytest
 
 from sentigrid.operators import analysis as an
 from sentigrid.operators import metrics as mt
+from sentigrid.operators import phrases
 from sentigrid.functions import scores as sc
 from pyspark.sql import functions as F
 
@@ -179,3 +181,52 @@ def test_words_are_counted_in_bulk_as_one_by_one(texts, monkeypatch):
                 got[(r.label, r[name])] += r.n
             assert got == want
         assert {(r.label, r.term) for r in an._label_terms(df).collect()} == by_label
+
+
+def counted_phrases(rows, stop, threshold):
+    """Plain Python: (label, phrase) -> (n, c1, c2, score) of (label, text) rows, plurals counted under their singular."""
+    def base(word):
+        return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
+
+    words, pairs, shown = Counter(), Counter(), {}
+    for label, text in rows:
+        found = [re.sub(r"'[sS]\Z", "", w) for w in re.findall(r"\w[\w']*", text or "")] if label else []
+        found = [w for w in found if not w.isdigit()]
+        words.update((label, base(w)) for w in found if w not in stop)
+        for a, b in zip(found, found[1:]):
+            if a not in stop and b not in stop:
+                pairs[label, a, base(b)] += 1
+                shown[label, a, base(b)] = min(b, shown.get((label, a, base(b)), b), key=len)
+    out = {}
+    for (label, a, b), n in pairs.items():
+        total, c1, c2 = sum(v for k, v in words.items() if k[0] == label), words[label, base(a)], words[label, b]
+
+        def ll(k, n, p):
+            return math.log(max(p, 1e-10)) * k + math.log(max(1 - p, 1e-10)) * (n - k)
+
+        p, p1, p2 = c2 / total, n / c1, (c2 - n) / (total - c1)
+        score = -2 * (ll(n, c1, p) + ll(c2 - n, total - c1, p) - ll(n, c1, p1) - ll(c2 - n, total - c1, p2))
+        if score > threshold:
+            out[label, f"{a} {shown[label, a, b]}"] = (n, c1, c2, round(score, 6))
+    return out
+
+
+def test_phrases_of_many_blocks_equal_a_count_of_all(spark, monkeypatch):
+    pick = random.Random(3)
+    known = ["cat", "cats", "dog", "dogs", "glass", "s", "bus", "the", "dog's", "12", "tree", "x_1", "été", "étés", "'"]
+    rows = [(pick.choice(["a", "b", None]), " ".join(pick.choices(known, k=pick.randint(0, 12))) if i % 9 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "label string, clean string").repartition(3)
+    want = counted_phrases(rows, {"the"}, 0.5)
+    assert len(want) > 40
+    for block, pairs in ((phrases.BLOCK_BYTES, phrases.PAIRS), (150, 40)):
+        monkeypatch.setattr(phrases, "BLOCK_BYTES", block)
+        monkeypatch.setattr(phrases, "PAIRS", pairs)
+        found = an.bigram_collocations(df, 0.5, ["the"]).collect()
+        assert {(r.label, r.phrase): (r.n, r.c1, r.c2, round(r.score, 6)) for r in found} == want
+    assert an.bigram_collocations(df.limit(0), 0.5).count() == 0 and an.word_cloud(df.limit(0)).count() == 0
+
+
+def test_pairs_are_merged_without_a_row_for_each_in_a_shuffle(spark):
+    df = spark.createDataFrame([("a", "new york new deal")] * 30 + [("b", "old york")], "label string, clean string")
+    plan = an.bigram_collocations(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "substring_index" not in plan and "Aggregate [label" not in plan

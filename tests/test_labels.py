@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentigrid.functions import lexicon as lx
+from sentigrid.functions import words
 from sentigrid.operators import labelling as lb
 
 GOLDEN = [
@@ -96,3 +97,10 @@ def test_label_by_words_equals_contains(texts):
 def test_labels_do_not_test_term_by_term(texts):
     plan = lx.with_label(texts(["a"])).filter("label = 'negative'")._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains" not in plan
+
+
+def test_texts_are_folded_in_bulk_as_one_by_one(texts):
+    rows = ["GOOD", None, "\u212aECE bad", "", "İ TOP", "É Nice BAD", "plain"]
+    df = texts(rows).select("doc_id", words.term_positions(F.col("text"), ["good", "kece", "top", "bad", "nice"], fold=True).alias("v"))
+    want = [[i for i, t in enumerate(["good", "kece", "top", "bad", "nice"]) if t in (r or "").lower()] for r in rows]
+    assert [r.v for r in sorted(df.collect(), key=lambda r: r.doc_id)] == want
