@@ -86,9 +86,13 @@ def _staged(spark: SparkSession, folder: str) -> DataFrame:
     return stage_table(_prepared(spark, folder).select("doc_id", "label", "terms"), "prepared")
 
 
+def _terms(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, label, terms) as of `_prepared`, the terms of a document as one text."""
+    return training.label_and_terms(_docs(spark, folder))
+
+
 def _staged_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, label, terms) for training, the terms of a document as one text."""
-    return stage_table(training.label_and_terms(_docs(spark, folder)), "terms")
+    return stage_table(_terms(spark, folder), "terms")
 
 
 def _labels_only(spark: SparkSession, folder: str) -> DataFrame:
@@ -254,7 +258,7 @@ def stopword_anti_join(spark, folder):
 @query
 def vocab_join(spark, folder):
     """Term counts of new texts, restricted to the vocabulary of the documents."""
-    vocabulary = ft.Vocabulary.fit(_prepared(spark, folder))
+    vocabulary = ft.Vocabulary.fit(_terms(spark, folder))
     texts = _messages(spark, folder).withColumn("clean", tx.full_pipeline(F.col("text")))
     weights = ft.tfidf_transform(ft.with_terms(texts), vocabulary, "doc_id")
     return weights.select("doc_id", "term", "tf")

@@ -380,3 +380,23 @@ def test_terms_as_one_text_train_as_an_array_of_terms_does(texts):
         return {r.doc_id: (r.tf, r.features) for r in vocabulary.transform(frame).collect()}
 
     assert vectors(joined) == vectors(both.drop("joined"))
+
+
+def test_vocab_join_moves_a_text_of_terms_and_counts_as_by_hand(spark, tmp_path, monkeypatch):
+    from sentigrid.catalog.queries import QUERIES
+
+    docs = ["good cars, good roads", "x y bad roads! @me", None, "", "cars cars 12 é"]
+    turns = [(1, 0, "Roads and roads: good"), (1, 1, ""), (2, 0, "nothing known"), (2, 0, "cars 12"), (None, 3, "bad")]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    kinds, fit = [], ft.Vocabulary.fit.__func__
+
+    def seen(cls, df, *args):
+        kinds.append(df.schema["terms"].dataType.simpleString())
+        return fit(cls, df, *args)
+
+    monkeypatch.setattr(ft.Vocabulary, "fit", classmethod(seen))
+    rows = QUERIES["vocab_join"](spark, str(tmp_path)).collect()
+    assert kinds == ["string"]
+    assert sorted(tuple(r) for r in rows) == [
+        ("1:0", "good", 1), ("1:0", "roads", 2), ("2:0", "12", 1), ("2:0", "cars", 1), ("3", "bad", 1)]
