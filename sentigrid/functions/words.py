@@ -184,11 +184,19 @@ class WordSteps:
         tokens = [self.stem(t) for t in tokens] if self.stem else tokens
         return tokens if self.runs is None else [run for t in tokens for run in self.runs.findall(t)]
 
+    def _without_mark(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The plain words among `words` that only a final mark, which is dropped, makes other than plain, without it, and which ones they are."""
+        if self.stem is not None or (self.dropped is None and self.runs is None):
+            return words.slice(0, 0), np.zeros(len(words), bool)
+        bare = pc.ascii_rtrim(words, characters="".join(_ENDS))
+        one = pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(bare)), 1)
+        special = pc.is_in(bare, value_set=pa.array(sorted(self.special), pa.large_string()))
+        marked = pc.and_(one, pc.and_not(pc.ascii_is_alnum(bare), special))
+        return bare.filter(marked), marked.to_numpy(zero_copy_only=False)
+
     def _of_word(self, word: str) -> list[str]:
         if self.stem is None and word[-1] in _ENDS and (bare := word[:-1]).isalnum() and bare not in self.special:
-            if self.runs is not None:
-                return [bare] if len(bare) > 1 else []
-            return [bare] if self.dropped else [bare, word[-1]]
+            return [bare, word[-1]]
         return self.inner[word]
 
     def token_lists(self, texts: pa.Array) -> pa.Array:
@@ -200,19 +208,23 @@ class WordSteps:
         if self.stem is None:
             special = pc.is_in(known, value_set=pa.array(sorted(self.special), pa.large_string()))
             plain = pc.and_not(pc.ascii_is_alnum(known), special).to_numpy(zero_copy_only=False)
-        # results of the different words, then of the first words of the texts, which have no space before them
+        # results of the different words, of those without a final mark, then of the first words of the texts, which have no space before them
         begun = begins[:-1][begins[:-1] < begins[1:]]
         others = np.flatnonzero(~plain)
+        bare, marked = self._without_mark(known.take(pa.array(others)))
+        easy, others = others[marked], others[~marked]
         made = [self._of_word(w) for w in listed(known.take(pa.array(others)))]
         made += [self.first[w] for w in listed(words.take(pa.array(begun)))]
         more = np.fromiter(map(len, made), np.int64, len(made))
-        places = len(known) + np.cumsum(more) - more
+        places = len(known) + len(bare) + np.cumsum(more) - more
         at = np.concatenate([np.arange(len(known)), places[len(others):]])
         n = np.concatenate([np.ones(len(known), np.int64), more[len(others):]])
         if self.runs is not None:
             n[:len(known)] = pc.binary_length(known).to_numpy(zero_copy_only=False) > 1
         at[others], n[others] = places[:len(others)], more[:len(others)]
-        tokens = pa.concat_arrays([known, pa.array([t for ts in made for t in ts], pa.large_string())])
+        at[easy] = len(known) + np.arange(len(bare))
+        n[easy] = 1 if self.runs is None else pc.binary_length(bare).to_numpy(zero_copy_only=False) > 1
+        tokens = pa.concat_arrays([known, bare, pa.array([t for ts in made for t in ts], pa.large_string())])
         codes = codes.astype(np.int64)
         codes[begun] = len(known) + np.arange(len(begun))
         counts = n[codes]

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from sentigrid.config import MAX_VOCABULARY
 from sentigrid.functions.text import feature_terms
-from sentigrid.functions.words import chunks, cut_words, label_codes, row_of
+from sentigrid.functions.words import chunks, cut_words, label_codes, release, row_of
 from sentigrid.session import unnest_structs
 
 
@@ -54,17 +54,21 @@ def tfidf_terms(df: DataFrame, *keep: str, clean_col: str = "clean") -> DataFram
 
 
 # bytes of terms that are counted at a time
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 8 << 20
 
 
 def _counted(terms: pa.Array, begins: np.ndarray) -> pa.RecordBatch:
     """(term, df, total_tf) of texts whose terms lie one after the other, each text's from its place in `begins` on."""
-    coded = terms.dictionary_encode()
-    known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
-    codes = coded.indices.fill_null(0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
-    rows = row_of(begins)[known]
-    size = len(coded.dictionary)
-    held = np.unique(rows * size + codes) % max(size, 1)
+    coded, rows = terms.dictionary_encode(), row_of(begins)
+    del terms
+    codes, size = coded.indices.fill_null(0).to_numpy(zero_copy_only=False), len(coded.dictionary)
+    if coded.indices.null_count:
+        known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+        codes, rows = codes[known], rows[known]
+    rows *= size
+    rows += codes
+    rows.sort()  # np.unique of numbers alone hashes them, which takes ten times as long
+    held = rows[np.diff(rows, prepend=-1) > 0] % max(size, 1)
     return pa.RecordBatch.from_arrays(
         [coded.dictionary.cast(pa.string()), pa.array(np.bincount(held, minlength=size)), pa.array(np.bincount(codes, minlength=size))],
         names=["term", "df", "total_tf"])
@@ -81,6 +85,7 @@ def _counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         else:
             for texts in chunks(column, COUNT_BYTES):
                 yield _counted(*cut_words(texts))
+    release()
 
 
 def document_frequency(df: DataFrame) -> DataFrame:

@@ -135,3 +135,12 @@ def test_words_go_through_the_steps_as_whole_texts_do(column):
 def test_preparation_runs_no_tokenizer_regex_over_whole_texts(texts):
     plan = texts(["a"]).select(tx.full_pipeline(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
     assert "(can)(not)" not in plan and "\\.{2,}" not in plan
+
+
+def test_words_with_a_final_mark_are_prepared_in_bulk_as_step_by_step(column):
+    rows = ["start. yang. yang! Cannot. a.. 1. gonna? x-y: end,", "b. ! .. (car). don't. A.", "a.\tb, c;", ""]
+    by_step = tx.tokenize(tx.case_fold(tx.clean_noise(F.col("text"))))
+    assert column(rows, tx.prepare_tokens(F.col("text"))) == column(rows, tx.remove_stopwords(by_step))
+    assert column(rows, tx.cleaned_tokens(F.col("text"))) == column(rows, by_step)
+    terms = tx.feature_terms(F.array_join(tx.remove_stopwords(by_step), " "))
+    assert column(rows, tx.term_text(F.col("text"))) == column(rows, F.array_join(terms, " "))
